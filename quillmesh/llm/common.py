@@ -43,3 +43,8 @@ def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as an array; null and blank texts have none."""
     trimmed = F.btrim(text, F.lit(BLANKS))
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) > 0, F.split(trimmed, BLANK_CLASS + "+")).otherwise(F.array().cast("array<string>"))
+
+
+def barrier(value: Column) -> Column:
+    """value, marked as not deterministic: the optimizer then neither inlines it into a lambda nor pushes a filter on it below its projection."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)

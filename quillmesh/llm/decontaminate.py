@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import barrier
+
 SEEDS = ("110110011", "1010111001")
 MIN_MATCHED = 8
 MIN_SHARE = 0.75
@@ -42,8 +44,8 @@ def seed_hashes(hashes: Column, mask: str) -> Column:
 
 def seed_rows(df: DataFrame, key: str, text: str, name: str, position: str, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """(name, seed, position) for each window of each seed."""
-    step = df.select(F.col(key).alias(name), F.transform(tokens_of(F.col(text)), lambda w: F.xxhash64(w)).alias("hashes"))
-    step = step.select(name, F.array(*[seed_hashes(F.col("hashes"), m) for m in seeds]).alias("by_seed"))
+    step = df.select(F.col(key).alias(name), barrier(F.transform(tokens_of(F.col(text)), lambda w: F.xxhash64(w))).alias("hashes"))
+    step = step.select(name, barrier(F.array(*[seed_hashes(F.col("hashes"), m) for m in seeds])).alias("by_seed"))
     return step.select(name, F.explode("by_seed").alias("windows")).select(name, F.posexplode("windows").alias(position, "seed"))
 
 
@@ -61,9 +63,9 @@ def find_overlaps(
     item_tokens = items.select("item_id", tokens_of(F.col("item_text")).alias("item"))
     verified = hits.join(F.broadcast(item_tokens) if small else item_tokens, "item_id").join(texts.select("doc_id", tokens_of(F.col("doc_text")).alias("tokens")), "doc_id")
     slice_from, cut = F.greatest(F.col("diagonal"), F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
-    verified = verified.select("doc_id", "item_id", "diagonal", "item", cut.alias("cut"), F.slice("tokens", slice_from + 1, F.greatest(F.size("item") - cut, F.lit(0))).alias("part"))
+    verified = verified.select("doc_id", "item_id", "diagonal", "item", cut.alias("cut"), barrier(F.slice("tokens", slice_from + 1, F.greatest(F.size("item") - cut, F.lit(0)))).alias("part"))
     matched = F.aggregate(F.transform(F.col("part"), lambda w, i: F.when(w == F.get(F.col("item"), i + F.col("cut")), 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    verified = verified.select("doc_id", "item_id", "diagonal", F.size("item").alias("item_tokens"), F.size("part").alias("overlap"), matched.alias("matched"))
+    verified = verified.select("doc_id", "item_id", "diagonal", F.size("item").alias("item_tokens"), F.size("part").alias("overlap"), barrier(matched).alias("matched"))
     good = verified.where((F.col("matched") >= min_matched) & (F.col("matched") >= min_share * F.col("item_tokens")))
     best = F.max(F.struct(F.col("matched"), (-F.col("diagonal")).alias("d"), F.col("overlap"))).alias("best")
     return good.groupBy("doc_id", "item_id").agg(best, F.max("item_tokens").alias("item_tokens")).select(

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, words_of
+from .common import WORD_CLASS, barrier, words_of
 
 # Frequent function words of the four languages.
 STOP_WORDS = (
@@ -88,7 +88,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
         (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
     ]
     done = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_stop_words", "n_shouts"]
-    step = step.select(*names, *counts, F.transform(words, lambda w: F.xxhash64(w)).alias(own + "hashes"))
+    step = step.select(*names, *counts, barrier(F.transform(words, lambda w: F.xxhash64(w))).alias(own + "hashes"))
     # Each column that a lambda reads is referenced more than once, so that it is computed once and not within the lambda.
     window = F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
     step = step.select(*names, *done, F.when(F.size(hashes) >= n, window).otherwise(F.array().cast("array<bigint>")).alias(own + "windows"))
@@ -97,7 +97,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     twice = F.filter(ordered, lambda x, k: F.coalesce((F.get(ordered, k - 1)["h"] == x["h"]) | (F.get(ordered, k + 1)["h"] == x["h"]), F.get(ordered, k - 1)["h"] == x["h"], F.get(ordered, k + 1)["h"] == x["h"]))
     step = step.select(*names, *done, F.sort_array(F.transform(twice, lambda x: x["i"])).alias(own + "at"))
     covered = F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(n), F.coalesce(F.get(at, k + 1) - p, F.lit(n)))), F.lit(0), lambda a, b: a + b)
-    step = step.select(*names, *done, covered.cast("long").alias("n_repeat_words"))
+    step = step.select(*names, *done, barrier(covered.cast("long")).alias("n_repeat_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     step = step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
     return step.select(*names, *METRICS)
