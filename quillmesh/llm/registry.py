@@ -6,16 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import CHAT_SQL, format_conversations, read_back, with_probe
 from .common import table
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
+from .line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from .mixing import MIX_SQL, mix
 from .quality import QUALITY_SQL, quality
+from .warc import WARC_SQL, warc_round_trip
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(format_conversations(with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -26,8 +41,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_warc": op7_warc,
+    "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": MIX_SQL, "op9_quality": QUALITY_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": MIX_SQL, "op6_line_dedup": LINE_DEDUP_SQL, "op7_warc": WARC_SQL, "op8_chat": CHAT_SQL, "op9_quality": QUALITY_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
