@@ -9,12 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import CHAT_SQL, format_conversations, read_back, with_probe
 from .common import table
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
+from .licenses import scan_licenses
 from .line_dedup import LINE_DEDUP_SQL, line_dedup_digest
 from .mixing import MIX_SQL, mix
+from .ngram_join import similar_classes
 from .quality import QUALITY_SQL, quality
+from .suffix_dedup import suffix_dedup_digest
+from .toxicity import toxicity
 from .warc import WARC_SQL, warc_round_trip
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -40,6 +60,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
+    "op2_ngram_join": op2_ngram_join,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
     "op3_mixing": op3_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
