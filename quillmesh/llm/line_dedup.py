@@ -94,7 +94,7 @@ nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, th ORDER BY no) AS k FR
 pr AS (SELECT doc_id, th, no, k, line AS l1, lead(line) OVER (PARTITION BY doc_id, th ORDER BY no) AS l2, lead(no) OVER (PARTITION BY doc_id, th ORDER BY no) AS no2 FROM nb),
 fl AS (SELECT doc_id, th, no, no2, k, row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, k) AS r FROM pr WHERE l2 IS NOT NULL),
 rm AS (SELECT DISTINCT doc_id, th, no FROM (SELECT doc_id, th, no FROM fl WHERE r > 1 UNION ALL SELECT doc_id, th, no2 FROM fl WHERE r > 1)),
-mk AS (SELECT ln.doc_id, ln.th, ln.no, line, rm.no IS NOT NULL AS gone, nb.k AS k FROM ln LEFT JOIN rm USING (doc_id, th, no) LEFT JOIN nb USING (doc_id, th, no)),
+mk AS (SELECT ln.doc_id, ln.th, ln.no, ln.line, rm.no IS NOT NULL AS gone, nb.k AS k FROM ln LEFT JOIN rm USING (doc_id, th, no) LEFT JOIN nb USING (doc_id, th, no)),
 rn AS (SELECT doc_id, th, count(*) AS n FROM (SELECT doc_id, th, k - lag(k) OVER (PARTITION BY doc_id, th ORDER BY k) AS g FROM mk WHERE gone) WHERE g IS NULL OR g > 1 GROUP BY doc_id, th),
 kept AS (SELECT doc_id, count(*) AS n_lines, sum(gone::INT) AS n_removed, COALESCE(max(rn.n), 0) AS n_runs, COALESCE(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text
          FROM mk LEFT JOIN rn USING (doc_id, th) GROUP BY doc_id, th)"""

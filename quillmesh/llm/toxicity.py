@@ -44,11 +44,11 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def buckets_of(word: str) -> np.ndarray:
-    """The hashed n-grams of a word between its bounds, and the word itself."""
-    bare = f"<{word.strip(STRIP)}>"
-    grams = {bare} | {bare[i : i + n] for n in GRAMS for i in range(len(bare) - n + 1)}
-    return np.array(sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams), np.int64)
+def buckets_of(word: str) -> list[int]:
+    """The hashed n-grams (of UTF-8 bytes) of a word between its bounds, and the word itself."""
+    bare = f"<{word.strip(STRIP)}>".encode("utf-8", "surrogatepass")
+    crc, n = zlib.crc32, len(bare)
+    return [crc(bare) % BUCKETS] + [crc(bare[i : i + k]) % BUCKETS for k in GRAMS for i in range(n - k + 1)]
 
 
 class Model:
@@ -57,9 +57,11 @@ class Model:
     def __init__(self, gram: np.ndarray, bias: float, curve: np.ndarray) -> None:
         self.gram, self.bias, self.curve = gram, bias, curve
         self.known: dict[str, float] = {}
+        self.values: list[float] = gram.tolist()
 
     def word(self, word: str) -> float:
-        value = float(self.gram[buckets_of(word)].mean())
+        values, buckets = self.values, buckets_of(word)
+        value = sum([values[b] for b in buckets]) / len(buckets)
         if len(word) <= 64:
             if len(self.known) >= MAX_CACHED:
                 self.known.clear()
@@ -99,7 +101,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 512
     if len(set(labels.tolist())) < 2:
         level = min(max(rate_toxic, 1e-9), 1 - 1e-9)
         return Model(np.zeros(BUCKETS), 0.0, np.array([0.0, 0.0, np.log(level / (1 - level))]))
-    grams = [buckets_of(w) for w in ids]
+    grams = [np.array(buckets_of(w), np.int64) for w in ids]
     lengths = np.array([len(g) for g in grams])
     flat, starts = np.concatenate(grams), np.concatenate([[0], np.cumsum(lengths)])
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
