@@ -91,7 +91,7 @@ class Index:
 def align(template: np.ndarray, part: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Banded local alignment (match 2, mismatch and gap -1) around the diagonal part = template + shift: matched tokens, first and past-the-last token of the part."""
     width = 2 * band + 1
-    best = (0, 0, 0, 0)  # score, matched, from, to
+    best, ranked = (0, 0, 0), (0, -width)  # matched, from, to; score, nearness to the diagonal
     score, matched, begin = np.zeros(width, np.int64), np.zeros(width, np.int64), np.zeros(width, np.int64)
     for i, word in enumerate(template):
         new_score, new_matched, new_begin = np.zeros(width, np.int64), np.zeros(width, np.int64), np.zeros(width, np.int64)
@@ -106,10 +106,10 @@ def align(template: np.ndarray, part: np.ndarray, shift: int, band: int = BAND)
             if k and new_score[k - 1] > 0:
                 options.append((int(new_score[k - 1]) - 1, int(new_matched[k - 1]), int(new_begin[k - 1])))
             new_score[k], new_matched[k], new_begin[k] = top = max(options, key=lambda x: (x[0], x[1], -x[2]))
-            if top[0] > best[0]:
-                best = (top[0], top[1], top[2], j + 1)
+            if (top[0], -abs(k - band)) > ranked and top[0]:
+                best, ranked = (top[1], top[2], j + 1), (top[0], -abs(k - band))
         score, matched, begin = new_score, new_matched, new_begin
-    return best[1], best[2], best[3]
+    return best
 
 
 def scan(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE) -> list[dict]:
@@ -124,7 +124,7 @@ def scan(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE) ->
     for p in np.flatnonzero(index.keys[at] == grams):
         for t, q in index.lists[int(grams[p])]:
             shift = int(p) - q
-            if not any(abs(shift - r[0]) <= BAND for r in regions[t][-4:]):
+            if not any(abs(shift - r[0]) <= min(BAND, len(index.words[t])) // 2 for r in regions[t][-4:]):
                 regions[t].append([shift])
     out = []
     for t, found in regions.items():

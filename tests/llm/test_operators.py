@@ -1,0 +1,203 @@
+"""The other training-data operators on small fixtures."""
+
+import random
+
+import numpy as np
+import pytest
+
+from quillmesh.llm.chat import PROBE_TEXT, Template, format_conversations, read_back
+from quillmesh.llm.decontaminate import clean_documents, decontaminate
+from quillmesh.llm.licenses import TEMPLATES, Index, align, scan, scan_licenses
+from quillmesh.llm.line_dedup import dedup_lines
+from quillmesh.llm.mixing import mix, source_rates
+from quillmesh.llm.quality import quality
+from quillmesh.llm.toxicity import fit, toxicity
+from quillmesh.llm.warc import assemble, read_warc, records_in, warc_round_trip, write_warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, start long"
+
+
+def frame(spark, texts, source="s"):
+    return spark.createDataFrame([(i, t, "en", source, len(t or ""), 0) for i, t in enumerate(texts)], DOCS)
+
+
+# --- quality
+
+
+def test_quality_counts(spark):
+    text = "one two three four five six seven eight " * 3
+    rows = {r["doc_id"]: r for r in quality(frame(spark, [text, None, "", " \n\t", "#a $b", "x\nx\n\n \ny\nx"])).collect()}
+    assert (rows[0]["n_words"], rows[0]["n_repeat_words"], rows[0]["base_failed"]) == (24, 24, True)
+    assert all((rows[i]["n_words"], rows[i]["word_chars"], rows[i]["kept"]) == (0, 0, False) for i in (1, 2, 3))
+    assert (rows[4]["n_symbols"], rows[5]["n_dup_lines"]) == (2, 2)
+    assert quality(frame(spark, [])).count() == 0
+
+
+def test_quality_repeat_words_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) for _ in range(40)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        assert got[i] == len({p for k, g in enumerate(grams) if grams.count(g) > 1 for p in range(k, k + 8)})
+
+
+# --- line dedup
+
+
+def test_line_runs_later_copies_go(spark):
+    texts = ["a x\nb x\nc x", "q\na x\nb x\nz", "a x\nz", "b x\n\nc x", None, ""]
+    rows = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"]) for r in dedup_lines(frame(spark, texts)).collect()}
+    assert rows[0] == ("a x\nb x\nc x", 0, 0) and rows[1] == ("q\nz", 2, 1) and rows[2] == ("a x\nz", 0, 0)
+    assert rows[3] == ("", 2, 1) and rows[4] == (None, 0, 0) and rows[5] == ("", 0, 0)
+
+
+@pytest.mark.parametrize("least", [1, 3, 4])
+def test_line_runs_of_other_lengths_against_brute_force(spark, least):
+    rng = random.Random(least)
+    texts = ["\n".join(rng.choice("abcd") + "!" for _ in range(rng.randrange(12))) for _ in range(12)]
+    seen, wanted = set(), {}
+    for i, t in enumerate(texts):
+        ls = [x for x in t.split("\n") if x]
+        runs = [tuple(ls[k : k + least]) for k in range(len(ls) - least + 1)]
+        gone = set()
+        for k, r in enumerate(runs):
+            if r in seen:
+                gone |= set(range(k, k + least))
+            seen.add(r)
+        wanted[i] = [x for k, x in enumerate(ls) if k not in gone]
+    got = {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in dedup_lines(frame(spark, texts), min_lines=least).collect()}
+    assert got == wanted
+
+
+def test_line_dedup_repeated_rows_and_clashing_columns(spark):
+    same = spark.createDataFrame([(1, "a b\nc d"), (1, "a b\nc d"), (2, "a b\nc d")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in dedup_lines(same).collect()) == [(1, 0), (1, 0), (2, 2)]
+    with pytest.raises(ValueError):
+        dedup_lines(same.withColumnRenamed("doc_id", "n_runs"), id_col="n_runs")
+
+
+# --- decontamination
+
+
+def test_substitutions_are_tolerated(spark):
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november"
+    bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, item)], "item_id long, text string")
+    changed = item.replace("delta", "xx").replace("kilo", "yy")
+    docs = frame(spark, ["before " + item.upper() + " after", changed, "alpha bravo charlie", None, "", item[: len(item) // 2]])
+    rows = {r["doc_id"]: (r["contaminated"], r["n_items"], r["max_matched"]) for r in decontaminate(docs, bench).collect()}
+    assert rows[0] == (True, 2, 14) and rows[1] == (True, 2, 12)
+    assert not any(rows[i][0] for i in (2, 3, 4, 5))
+    assert {r["doc_id"] for r in clean_documents(docs, bench).collect()} == {2, 3, 4, 5}
+    assert clean_documents(docs, bench.limit(0)).count() == 6 and decontaminate(docs.limit(0), bench).count() == 0
+
+
+# --- mixing
+
+
+def test_mixing_reaches_the_weights(spark):
+    docs = frame(spark, ["t"] * 3000, "a").unionByName(frame(spark, ["t"] * 30, "b").withColumn("doc_id", __import__("pyspark").sql.functions.col("doc_id") + 9000))
+    out = mix(docs, {"a": 0.5, "b": 0.5})
+    counts = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(counts["a"] - 1515) < 150 and abs(counts["b"] - 1515) < 150
+    keys = [r["shuffle_key"] for r in out.collect()]
+    assert keys == sorted(keys)
+    rates = {r["source"]: r for r in source_rates(docs, {"a": 0.999, "b": 0.001}).collect()}
+    assert rates["a"]["parts"] == 1 and abs(rates["a"]["cdf"][-1] - 1) < 1e-12
+
+
+def test_mixing_edges(spark):
+    rows = spark.createDataFrame([(None, "t", None), (1, None, "a"), (1, None, "a")], "doc_id long, text string, source string")
+    counts = {}
+    for r in mix(rows, {}).collect():
+        counts[r["source"]] = counts.get(r["source"], 0) + 1
+    assert counts.get("a", 0) % 2 == 0
+    assert mix(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mix(rows.withColumnRenamed("text", "copy"))
+
+
+# --- licenses
+
+
+def test_license_spans(spark):
+    body = "words before. " + TEMPLATES["MIT"].replace("free of charge", "at no charge") + " words after"
+    texts = [body, "Nothing here", None, "", "Released under the MIT License.\nx\nReleased under the MIT License."]
+    rows = [r.asDict() for r in scan_licenses(frame(spark, texts)).collect()]
+    mit = next(r for r in rows if r["doc_id"] == 0 and r["license"] == "MIT")
+    assert mit["coverage"] > 0.9 and body[mit["start"] : mit["end"]].startswith("Permission is hereby") and body[mit["start"] : mit["end"]].endswith("to do so")
+    assert [r["start"] for r in rows if r["doc_id"] == 4] == [0, 34] and {r["doc_id"] for r in rows} == {0, 4}
+
+
+def test_alignment_against_full_dynamic_programming():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        t = rng.integers(0, 6, 20).astype(np.uint64)
+        part = np.concatenate([t[:8], rng.integers(0, 6, int(rng.integers(0, 3))).astype(np.uint64), t[8:]])
+        score = np.zeros((len(t) + 1, len(part) + 1), int)
+        for i in range(len(t)):
+            for j in range(len(part)):
+                score[i + 1, j + 1] = max(0, score[i, j] + (2 if t[i] == part[j] else -1), score[i, j + 1] - 1, score[i + 1, j] - 1)
+        n, a, b = align(t, part, 0, band=len(part) + len(t))
+        assert 2 * n - score.max() >= 0 and b - a <= len(part) and n >= 20 - 3
+    assert scan("x y z", Index(TEMPLATES)) == []
+
+
+# --- toxicity
+
+
+def test_subwords_generalise_to_misspellings(spark):
+    rng = random.Random(6)
+    words = ["w%03d" % i for i in range(300)]
+    text = lambda bad: " ".join([rng.choice(words) for _ in range(30)] + ([rng.choice(["grumbly", "nasty"]) + rng.choice(["", "s", "est"])] if bad else []) + [rng.choice(words) for _ in range(30)])
+    texts = [text(i % 3 == 0) for i in range(600)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)] + [(3, None)], "doc_id long, toxic int")
+    rows = toxicity(docs, labels).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == 600 and 60 < len(held) < 180
+    assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in held]) > 0.95
+    model = fit(texts, np.array([int(i % 3 == 0) for i in range(600)]))
+    assert model.score(" ".join(words[:40]) + " grumblyyy " + " ".join(words[40:80])) > model.score(" ".join(words[:80]))
+    assert 0 <= model.score(None) <= 1 and model.score("") == model.score(None)
+    assert {r["predicted"] for r in toxicity(docs.limit(5), labels.limit(0)).collect()} == {0}
+
+
+# --- WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>é\r\n\r\nWARC/1.1</p>" * 20
+    rows = [(5, "http://a/\r\nx", big), (3, "http://b/", big), (9, None, big), (1, "u", "short"), (2, "u", "short"), (4, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc_round_trip(pages, f"file://{tmp_path}/w").collect()}
+    n = len(big.encode())
+    assert got == {5: (n, "revisit", 3), 3: (n, "response", None), 9: (n, "revisit", 3), 1: (5, "response", None), 2: (5, "response", None), 4: (0, "response", None)}
+    records = read_warc(spark, f"file://{tmp_path}/w")
+    nested = assemble(records).collect()
+    assert len(nested) == 6 and all(r["request"] and r["metadata"] and r["capture"]["digest_ok"] for r in nested)
+    assert sorted(bytes(r["capture"]["payload"]).decode() for r in nested if r["capture"]["type"] == "response") == sorted([big, "short", "short", ""])
+    write_warc(pages.limit(0), f"file://{tmp_path}/e")
+    assert read_warc(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_warc_parser_rejects_broken_records():
+    with pytest.raises(ValueError):
+        list(records_in(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"))
+    assert list(records_in(b"")) == []
+
+
+# --- chat
+
+
+def test_chat_round_trip(spark):
+    t = Template()
+    for role, text in [("user", PROBE_TEXT), ("a:b\\", "\\\\###</turn>\n"), ("", ""), ("assistant", "####\\"), ("x", "</turn>\n### user: y")]:
+        whole = "".join(s for s, _ in t.segments(role, text))
+        assert t.parse_turn(whole + "rest") == (role, text, "rest")
+    rows = [(1, 1, "assistant", "yes"), (1, 0, "user", None), (2, 0, "assistant", "a"), (2, 0, None, "b"), (None, 3, "user", "n"), (3, 0, "user", "q"), (3, 0, "user", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in read_back(format_conversations(df)).collect()}
+    assert {k: (r["n_turns"], r["valid"], r["loss_chars"]) for k, r in got.items()} == {1: (2, True, 3), 2: (2, False, 1), None: (1, True, 0), 3: (2, False, 0)}
+    assert read_back(format_conversations(df.limit(0))).count() == 0
