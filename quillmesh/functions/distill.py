@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 INVISIBLE = (0x00AD, 0x034F, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)
 INVISIBLE_TEXT = "".join(map(chr, INVISIBLE))
@@ -51,12 +52,12 @@ def decode_entity_text(text: str) -> str:
     return text.translate(dict.fromkeys(INVISIBLE))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _qp_udf(s: pd.Series) -> pd.Series:
     return s.map(decode_qp_text, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _entity_udf(s: pd.Series) -> pd.Series:
     return s.map(decode_entity_text, na_action="ignore")
 

@@ -1,6 +1,464 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import distill as D
+from ..functions import scalars as S
+from ..operators import feed as feed_ops
+from ..operators import graph, messages as M, rollups as R, scoring, search
+from ..sources.mailbox import MAILBOX_SQL, PEOPLE_SQL, mailbox, table
+from ..streaming.ingest import session_counts, windowed_counts
+from . import composites as C
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+NOW_MS = 915_148_800_000  # 1999-01-01
+SINCE_MS = 883_612_800_000  # 1998-01-01
+DAY = 86_400_000.0
+
+
+def query(sql: str | None = None, ctes: str = MAILBOX_SQL) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {ctes}{',' if ctes else ''} {sql.strip()}" if ctes else sql.strip()
+        return f
+
+    return add
+
+
+# --- SQL fragments
+
+ADDR = "lower(nullif(regexp_extract(coalesce(nullif(regexp_extract({0}, '<([^>]+)>', 1), ''), {0}), '[^\\s<>@]+@[^\\s<>@]+', 0), ''))"
+NAME = "CASE WHEN instr({0}, '<') > 1 THEN nullif(trim(split_part({0}, '<', 1)), '') END"
+HOST = "nullif(lower(regexp_extract({0}, '@([^@]*)$', 1)), '')"
+BRAND = "CASE WHEN len(string_split({0}, '.')) <= 2 THEN {0} ELSE array_to_string(list_slice(string_split({0}, '.'), -2, -1), '.') END"
+
+ROLLUP_SQL = f"""
+rcv AS (SELECT account, {ADDR.format("from_addr")} AS address, {NAME.format("from_addr")} AS name, thread_id, internal_date AS d, gmail_message_id AS id, 0 AS pos, 1 - unread AS rd, starred, important FROM mb WHERE direction <> 'sent'),
+rc AS (SELECT rcv.* FROM rcv WHERE address IS NOT NULL AND address NOT LIKE 'me@%'),
+sraw AS (SELECT account, thread_id, internal_date AS d, gmail_message_id AS id, 0 AS pos, to_addr AS raw FROM mb WHERE direction = 'sent' UNION ALL SELECT account, thread_id, internal_date, gmail_message_id, 1, cc_addr FROM mb WHERE direction = 'sent' AND cc_addr IS NOT NULL),
+sn AS (SELECT account, {ADDR.format("raw")} AS address, {NAME.format("raw")} AS name, thread_id, d, id, pos FROM sraw),
+ff AS (SELECT account, thread_id, address, min((d, id)) AS f FROM rc GROUP BY ALL), fi AS (SELECT account, thread_id, min((internal_date, gmail_message_id)) AS f FROM mb GROUP BY ALL),
+ev AS (SELECT account, address, name, d, id, pos, 1 AS received, 0 AS sent, rd, starred, important, 0 AS replied, 0 AS initiated FROM rc UNION ALL
+  SELECT sn.account, sn.address, name, d, id, pos, 0, 1, 0, 0, 0, coalesce(ff.f < (d, id), FALSE)::INT, (NOT coalesce(ff.f < (d, id), FALSE) AND fi.f = (d, id))::INT
+  FROM sn LEFT JOIN ff USING (account, thread_id, address) LEFT JOIN fi USING (account, thread_id)),
+contacts AS (SELECT account, address, arg_min(name, (d, id, pos)) FILTER (name IS NOT NULL) AS display_name, sum(received)::BIGINT AS msgs_received, sum(sent)::BIGINT AS msgs_sent, sum(rd)::BIGINT AS read_count, sum(replied)::BIGINT AS replied_count,
+  sum(initiated)::BIGINT AS initiated_count, sum(starred)::BIGINT AS starred_count, sum(important)::BIGINT AS important_count, min(d) AS first_seen, max(d) AS last_seen, {HOST.format("address")} AS domain FROM ev GROUP BY account, address),
+domains AS (SELECT account, domain, sum(msgs_received + msgs_sent)::BIGINT AS msgs, count(*) AS distinct_contacts, {BRAND.format("domain")} AS registrable_domain FROM contacts GROUP BY account, domain),
+part AS (SELECT DISTINCT account, thread_id, address FROM (SELECT account, thread_id, address FROM rc UNION ALL SELECT account, thread_id, address FROM sn UNION ALL SELECT account, thread_id, lower(from_addr) FROM mb WHERE direction = 'sent')),
+pl AS (SELECT account, thread_id, list(address ORDER BY address) AS participants FROM part GROUP BY ALL),
+threads AS (SELECT mb.account, mb.thread_id, count(*) AS msg_count, sum(unread)::BIGINT AS unread_count, max((direction = 'sent')::INT) AS user_participated, min(internal_date) AS first_at, max(internal_date) AS last_at FROM mb GROUP BY ALL),
+bulk AS (SELECT account, {ADDR.format("from_addr")} AS address, count(*) AS bulk_count FROM mb WHERE direction = 'received' AND (is_list OR coalesce(category IN ('promotions', 'social'), FALSE)) GROUP BY ALL),
+sc AS (SELECT c.*, coalesce(b.bulk_count, 0) AS bulk_count, msgs_received + msgs_sent AS vol FROM contacts c LEFT JOIN bulk b USING (account, address)),
+scored AS (SELECT *, 3.0 * (replied_count / (replied_count + 3.0)) + 3.0 * (initiated_count / (initiated_count + 3.0)) + starred_count / (starred_count + 3.0) + 1.5 * (important_count / (important_count + 3.0))
+  + CASE WHEN msgs_received > 0 THEN 1.5 * least(1.0, read_count / msgs_received) ELSE 0.0 END
+  + CASE WHEN vol > 0 THEN 0.5 * pow(0.5, greatest(0.0, ({NOW_MS} - last_seen) / {DAY}) / 60.0) * (vol / (vol + 10.0)) ELSE 0.0 END
+  + CASE WHEN msgs_received > 0 THEN -2.0 * least(1.0, bulk_count / msgs_received) ELSE 0.0 END
+  + CASE WHEN msgs_received > 0 AND read_count = 0 AND replied_count = 0 AND initiated_count = 0 THEN -2.0 ELSE 0.0 END AS engagement_score FROM sc),
+cur AS (SELECT *, CASE WHEN engagement_score >= 3.0 THEN 'important' WHEN engagement_score <= -0.5 THEN 'muted' END AS curation FROM scored),
+dcur AS (SELECT *, CASE WHEN distinct_contacts % 7 = 0 THEN 'important' END AS curation FROM domains),
+mem AS (SELECT account, thread_id, address FROM part SEMI JOIN contacts USING (account, address) ANTI JOIN (SELECT DISTINCT account, thread_id FROM mb WHERE is_list) l USING (account, thread_id)),
+edges AS (SELECT a.account, a.address AS src, b.address AS dst, count(*) AS weight FROM mem a JOIN mem b ON a.account = b.account AND a.thread_id = b.thread_id AND a.address < b.address GROUP BY ALL),
+both_ways AS (SELECT * FROM edges UNION ALL SELECT account, dst, src, weight FROM edges)"""
+FULL = MAILBOX_SQL + "," + ROLLUP_SQL
+
+
+def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.contacts_rollup(mailbox(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mailbox(spark, sf_dir)
+    return scoring.score_contacts(R.contacts_rollup(m), R.bulk_counts(m), NOW_MS)
+
+
+def _curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    scored = _scored(spark, sf_dir)
+    score = F.col("engagement_score")
+    domains = R.domains_rollup(scored).withColumn("curation", F.when(F.col("distinct_contacts") % 7 == 0, "important"))
+    return scored.withColumn("curation", F.when(score >= 3.0, "important").when(score <= -0.5, "muted")), domains
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mailbox(spark, sf_dir)
+    return graph.members(R.threads_rollup(m), m, R.contacts_rollup(m))
+
+
+# --- sources and projections
+
+
+@query("SELECT account, gmail_message_id, thread_id, internal_date, from_addr, to_addr, cc_addr, array_to_string(labels, ',') AS labels, category, is_list, direction, unread, starred, important, body_state FROM mb")
+def mailbox_projection(spark, sf_dir):
+    return mailbox(spark, sf_dir).withColumn("labels", F.array_join("labels", ",")).drop("own", "key")
+
+
+@query(f"SELECT gmail_message_id, {ADDR.format('from_addr')} AS address, {NAME.format('from_addr')} AS display_name, {HOST.format(ADDR.format('from_addr'))} AS host FROM mb")
+def address_parts(spark, sf_dir):
+    m = mailbox(spark, sf_dir).withColumn("address", S.extract_address(F.col("from_addr")))
+    return m.select("gmail_message_id", "address", S.display_name(F.col("from_addr")).alias("display_name"), S.host_of(F.col("address")).alias("host"))
+
+
+@query(f"SELECT DISTINCT host, {BRAND.format('host')} AS brand FROM (SELECT {HOST.format('address')} AS host FROM ppl)", PEOPLE_SQL)
+def registrable_domain(spark, sf_dir):
+    from ..sources.mailbox import people
+
+    return people(spark, sf_dir).select(S.host_of(F.col("address")).alias("host")).distinct().withColumn("brand", S.registrable_domain(F.col("host")))
+
+
+@query(
+    "SELECT gmail_message_id, len(list_filter(string_split(coalesce(to_addr, '') || ',' || coalesce(cc_addr, ''), ','), lambda x: trim(x) <> '')) AS recipients, nullif(concat_ws(' ', nullif(to_addr, ''), nullif(cc_addr, '')), '') AS projected FROM mb"
+)
+def recipients_projection(spark, sf_dir):
+    both = F.concat_ws(",", F.coalesce("to_addr", F.lit("")), F.coalesce("cc_addr", F.lit("")))
+    return mailbox(spark, sf_dir).select("gmail_message_id", F.size(S.split_recipients(both)).cast("long").alias("recipients"), S.project_recipients(F.col("to_addr"), F.col("cc_addr")).alias("projected"))
+
+
+@query("SELECT gmail_message_id, nullif(concat_ws(chr(10), nullif(snippet, ''), nullif(body_text, ''), nullif(summary_text, '')), '') AS body FROM mt")
+def body_projection(spark, sf_dir):
+    return mailbox(spark, sf_dir, True).select("gmail_message_id", S.project_body(F.col("snippet"), F.col("body_text"), F.col("summary_text")).alias("body"))
+
+
+@query("SELECT account || ':' || gmail_message_id AS ref, CASE WHEN length(f) > 160 THEN rtrim(substr(f, 1, 159)) || '…' WHEN f <> '' THEN f END AS snippet FROM (SELECT account, gmail_message_id, trim(regexp_replace(snippet, '[ \\t\\n\\r]+', ' ', 'g')) AS f FROM mt)")
+def hit_shape(spark, sf_dir):
+    return mailbox(spark, sf_dir, True).select(S.message_ref(F.col("account"), F.col("gmail_message_id")).alias("ref"), S.compact_snippet(F.col("snippet")).alias("snippet"))
+
+
+@query("SELECT category, direction, count(*) AS n FROM mb GROUP BY ALL")
+def category_counts(spark, sf_dir):
+    return mailbox(spark, sf_dir).groupBy("category", "direction").agg(F.count("*").alias("n"))
+
+
+@query("SELECT gmail_message_id, array_to_string(list_transform(labels, lambda x: CASE x WHEN 'INBOX' THEN 'Inbox' WHEN 'STARRED' THEN 'Starred' ELSE x END), '|') AS names FROM mb")
+def label_names(spark, sf_dir):
+    names = F.create_map(*map(F.lit, ("INBOX", "Inbox", "STARRED", "Starred")))
+    return mailbox(spark, sf_dir).select("gmail_message_id", F.array_join(S.render_labels(F.col("labels"), names), "|").alias("names"))
+
+
+@query("SELECT item_id, CASE WHEN len(string_split(text, ' ')) > 20 THEN 'long' ELSE 'short' END AS kind, length(regexp_replace(text, '\\s+', '', 'g')) AS visible FROM benchmark", "")
+def meaningful_length(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.when(F.size(F.split("text", " ")) > 20, "long").otherwise("short").alias("kind"), D.meaningful_length(F.col("text")).alias("visible"))
+
+
+@query()
+def distill_pages(spark, sf_dir):
+    """HTML to prose; Java and RE2 expressions differ, so it is tested against fixtures."""
+    return table(spark, sf_dir, "pages").select("page_id", D.distill(F.lit(None).cast("string"), F.col("html")).alias("body"))
+
+
+@query(
+    "SELECT doc_id, array_to_string(list_filter(CASE WHEN f IS NULL THEN ls ELSE list_slice(ls, 1, f - 1) END, lambda x: NOT regexp_matches(x, '^\\s*>+')), chr(10)) AS body FROM (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: "
+    "regexp_matches(x, '(?i)unsubscribe|^--\\s*$|^\\s*From:\\s.+$|all rights reserved')), TRUE) AS f FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE length(body) >= 0",
+    "",
+)
+def deboilerplate_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", D.deboilerplate(F.col("text")).alias("body"))
+
+
+# --- filters and small aggregates
+
+
+@query("SELECT account, gmail_message_id, internal_date FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY internal_date DESC, gmail_message_id) AS r FROM mb WHERE list_contains(labels, 'STARRED')) WHERE r <= 15")
+def list_labeled(spark, sf_dir):
+    return C.newest(M_filter_label(mailbox(spark, sf_dir), "STARRED"), 15).select("account", "gmail_message_id", "internal_date")
+
+
+def M_filter_label(m: DataFrame, label: str) -> DataFrame:
+    return m.where(F.array_contains("labels", label))
+
+
+@query("SELECT account, count(*) AS n FROM mb WHERE NOT is_list AND (category IS NULL OR category NOT IN ('promotions', 'social')) AND body_state = 'meta' GROUP BY account")
+def direct_backlog(spark, sf_dir):
+    return mailbox(spark, sf_dir).where(M.is_direct() & (F.col("body_state") == "meta")).groupBy("account").agg(F.count("*").alias("n"))
+
+
+@query("SELECT account, count(*) FILTER (body_state = 'meta') AS meta, count(*) FILTER (body_state = 'full') AS \"full\", count(*) FILTER (body_state = 'summary-only') AS summary_only, count(*) AS messages FROM mb GROUP BY account")
+def body_state_counts(spark, sf_dir):
+    return R.body_state_counts(mailbox(spark, sf_dir))
+
+
+@query("SELECT account FROM (SELECT account FROM mb UNION SELECT r_name FROM region) ORDER BY account")
+def account_discovery(spark, sf_dir):
+    return mailbox(spark, sf_dir).select("account").union(table(spark, sf_dir, "region").select("r_name")).distinct().orderBy("account")
+
+
+RUNS = "runs AS (SELECT event_type AS account, epoch_us(ts) // 1000 AS finished_at, CASE WHEN event_id % 5 = 0 THEN 'failed' END AS error FROM events), lastrun AS (SELECT account, max(finished_at) AS as_of FROM runs WHERE error IS NULL GROUP BY account)"
+
+
+@query("SELECT account, as_of FROM lastrun UNION ALL SELECT NULL, min(as_of) FROM lastrun", RUNS)
+def index_as_of(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("account"), F.unix_millis(F.col("ts").cast("timestamp")).alias("finished_at"), F.when(F.col("event_id") % 5 == 0, "failed").alias("error"))
+    return R.index_as_of(runs)
+
+
+@query(f"SELECT account, {BRAND.format('host')} AS domain, count(*) AS msgs, count(DISTINCT sender) AS senders, min(internal_date) AS first_ms, max(internal_date) AS last_ms, round(count(*) * 7 / greatest(1.0, (max(internal_date) - min(internal_date)) / {DAY}), 6) AS per_week, "
+       f"round(count(*) * 30 / greatest(1.0, (max(internal_date) - min(internal_date)) / {DAY}), 6) AS per_month FROM (SELECT account, internal_date, {ADDR.format('from_addr')} AS sender, {HOST.format(ADDR.format('from_addr'))} AS host FROM mb WHERE direction = 'received') GROUP BY account, {BRAND.format('host')}")
+def cadence(spark, sf_dir):
+    return R.cadence(mailbox(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("per_week", "per_month")})
+
+
+# --- rollups and scores
+
+
+@query("SELECT * FROM contacts", FULL)
+def contacts_rollup(spark, sf_dir):
+    return _contacts(spark, sf_dir)
+
+
+@query("SELECT * FROM domains", FULL)
+def domains_rollup(spark, sf_dir):
+    return R.domains_rollup(_contacts(spark, sf_dir))
+
+
+@query("SELECT t.*, array_to_string(participants, ',') AS participants FROM threads t LEFT JOIN pl USING (account, thread_id)", FULL)
+def threads_rollup(spark, sf_dir):
+    return R.threads_rollup(mailbox(spark, sf_dir)).withColumn("participants", F.array_join("participants", ",")).drop("subject")
+
+
+@query("SELECT account, thread_id, arg_max(subject, (internal_date, gmail_message_id)) FILTER (subject IS NOT NULL) AS subject FROM mt GROUP BY ALL")
+def thread_subjects(spark, sf_dir):
+    return R.threads_rollup(mailbox(spark, sf_dir, True)).select("account", "thread_id", "subject")
+
+
+@query("SELECT account, address, bulk_count, round(engagement_score, 6) AS engagement_score FROM scored", FULL)
+def engagement_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("account", "address", "bulk_count", F.round("engagement_score", 6).alias("engagement_score"))
+
+
+@query(f"SELECT account, address, {NOW_MS} AS taken_at, msgs_received, read_count, replied_count, round(engagement_score, 6) AS engagement_score FROM scored", FULL)
+def score_snapshot(spark, sf_dir):
+    return scoring.snapshot(_scored(spark, sf_dir), NOW_MS).withColumn("engagement_score", F.round("engagement_score", 6))
+
+
+@query(
+    "SELECT account, address, msgs_received, floor(least(1.0, read_count / msgs_received) * 100 + 0.5) / 100.0 AS read_rate, bulk_count * 2 > msgs_received AS is_list, CASE WHEN engagement_score >= 2.0 THEN 'important' WHEN bulk_count * 2 > msgs_received OR engagement_score <= -0.5 THEN 'muted' ELSE 'none' END AS suggested "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY round(engagement_score, 9) DESC, address) AS r FROM scored) WHERE r <= 20",
+    FULL,
+)
+def interest_propose(spark, sf_dir):
+    scored = _scored(spark, sf_dir).withColumn("engagement_score", F.round("engagement_score", 9))
+    return scoring.propose_contacts(scored).select("account", "address", "msgs_received", "read_rate", "is_list", "suggested")
+
+
+# --- composites
+
+
+@query(
+    f"SELECT account, gmail_message_id FROM (SELECT m.account, gmail_message_id, row_number() OVER (PARTITION BY m.account ORDER BY internal_date DESC, gmail_message_id) AS r FROM mb m LEFT JOIN (SELECT account, address FROM cur WHERE curation = 'important') c ON c.account = m.account AND c.address = {ADDR.format('m.from_addr')} "
+    f"LEFT JOIN (SELECT account, domain FROM dcur WHERE curation = 'important') d ON d.account = m.account AND d.domain = {HOST.format(ADDR.format('m.from_addr'))} WHERE direction = 'received' AND internal_date >= {SINCE_MS} AND (c.address IS NOT NULL OR d.domain IS NOT NULL)) WHERE r <= 25",
+    FULL,
+)
+def catch_up_important(spark, sf_dir):
+    return C.catch_up_important(mailbox(spark, sf_dir), *_curated(spark, sf_dir), SINCE_MS).select("account", "gmail_message_id")
+
+
+@query(f"SELECT account, gmail_message_id FROM (SELECT m.account, gmail_message_id, row_number() OVER (PARTITION BY m.account ORDER BY internal_date DESC, gmail_message_id) AS r FROM mb m JOIN threads t USING (account, thread_id) WHERE user_participated = 1 AND direction = 'received' AND internal_date >= {SINCE_MS}) WHERE r <= 25", FULL)
+def catch_up_user_threads(spark, sf_dir):
+    return C.catch_up_user_threads(mailbox(spark, sf_dir), SINCE_MS).select("account", "gmail_message_id")
+
+
+KEYWORDS = ("the of", "edble")
+
+
+@query(
+    f"SELECT account, gmail_message_id FROM (SELECT account, gmail_message_id, row_number() OVER (PARTITION BY account ORDER BY internal_date DESC, gmail_message_id) AS r FROM mt WHERE direction = 'received' AND internal_date >= {SINCE_MS} AND regexp_matches(' ' || array_to_string(regexp_extract_all(lower(coalesce(subject, '')), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ', ' (the of|edble) ')) WHERE r <= 25"
+)
+def catch_up_keywords(spark, sf_dir):
+    return C.catch_up_keywords(mailbox(spark, sf_dir, True), list(KEYWORDS), SINCE_MS, ["subject"]).select("account", "gmail_message_id")
+
+
+@query(
+    f"SELECT account, address, issues, unread, unsummarized FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY round(engagement_score, 9) DESC NULLS LAST, issues DESC, address) AS r FROM (SELECT c.account, c.address, c.engagement_score, count(*) AS issues, sum(unread)::BIGINT AS unread, count(*) FILTER (body_state <> 'summary-only') AS unsummarized "
+    f"FROM scored c JOIN (SELECT *, {ADDR.format('from_addr')} AS a FROM mb) m ON m.account = c.account AND m.a = c.address WHERE direction = 'received' AND internal_date >= {SINCE_MS} AND (is_list OR category IN ('promotions', 'social', 'updates', 'forums')) GROUP BY ALL)) WHERE r <= 20",
+    FULL,
+)
+def digest_sources(spark, sf_dir):
+    m = mailbox(spark, sf_dir).withColumn("summary_text", F.when(F.col("body_state") == "summary-only", F.lit("s")))
+    scored = _scored(spark, sf_dir).withColumn("engagement_score", F.round("engagement_score", 9))
+    return C.digest_sources(m, scored, SINCE_MS).select("account", "address", "issues", "unread", "unsummarized")
+
+
+@query("SELECT account, address, msgs_sent, msgs_received FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY round(engagement_score, 9) DESC, address) AS r FROM scored WHERE msgs_sent > 0) WHERE r <= 20", FULL)
+def list_contacts(spark, sf_dir):
+    scored = _scored(spark, sf_dir).withColumn("engagement_score", F.round("engagement_score", 9))
+    return C.list_contacts(scored, only="correspondent").select("account", "address", "msgs_sent", "msgs_received")
+
+
+@query("SELECT account, address, rank FROM (SELECT account, address, row_number() OVER (PARTITION BY account ORDER BY msgs_sent > 0 DESC, round(engagement_score, 9) DESC, address) AS rank FROM scored WHERE contains(lower(coalesce(display_name, '')), '00001') OR contains(address, '00001') OR contains(domain, '00001')) WHERE rank <= 10", FULL)
+def find_person(spark, sf_dir):
+    scored = _scored(spark, sf_dir).withColumn("engagement_score", F.round("engagement_score", 9))
+    return C.find_person(scored, "00001").select("account", "address", "rank")
+
+
+@query(
+    "SELECT account, domain, correspondents, msgs, rank FROM (SELECT d.account, d.domain, d.msgs, c.n AS correspondents, row_number() OVER (PARTITION BY d.account ORDER BY c.n DESC, d.msgs DESC, d.domain) AS rank FROM domains d JOIN (SELECT account, domain, count(*) FILTER (msgs_sent > 0) AS n FROM contacts GROUP BY ALL) c USING (account, domain)) WHERE rank <= 20",
+    FULL,
+)
+def domains_to_categorize(spark, sf_dir):
+    contacts = _contacts(spark, sf_dir)
+    return C.domains_to_categorize(contacts, R.domains_rollup(contacts).withColumn("category", F.lit(None).cast("string"))).select("account", "domain", "correspondents", "msgs", "rank")
+
+
+@query("SELECT account, domain, string_agg(address, ',' ORDER BY r) AS samples FROM (SELECT account, domain, address, row_number() OVER (PARTITION BY account, domain ORDER BY msgs_received + msgs_sent DESC, address) AS r FROM contacts) WHERE r <= 5 GROUP BY ALL", FULL)
+def domain_samples(spark, sf_dir):
+    return C.domain_samples(_contacts(spark, sf_dir)).withColumn("samples", F.array_join("samples", ","))
+
+
+@query("SELECT account, gmail_message_id FROM (SELECT m.*, c.msgs_sent FROM (SELECT *, {0} AS a FROM mb) m LEFT JOIN contacts c ON c.account = m.account AND c.address = m.a) WHERE category = 'updates' AND NOT is_list AND msgs_sent > 0 AND list_contains(labels, 'UNREAD')".format(ADDR.format("from_addr")), FULL)
+def trigger_match(spark, sf_dir):
+    m, contacts = mailbox(spark, sf_dir), _contacts(spark, sf_dir)
+    domains = R.domains_rollup(contacts).withColumn("curation", F.lit(None).cast("string"))
+    rule = [("category", "updates"), ("is_list", False), ("correspondent", True), ("label", "UNREAD")]
+    return M.matching(m, contacts.withColumn("curation", F.lit(None).cast("string")), domains, rule).select("account", "gmail_message_id")
+
+
+# --- graph
+
+
+@query("SELECT * FROM edges", FULL)
+def cofrequency_edges(spark, sf_dir):
+    return graph.edges(_members(spark, sf_dir))
+
+
+@query("SELECT account, address, neighbour, shared_threads, rank FROM (SELECT account, src AS address, dst AS neighbour, weight AS shared_threads, row_number() OVER (PARTITION BY account, src ORDER BY weight DESC, dst) AS rank FROM both_ways) WHERE rank <= 15", FULL)
+def graph_neighbors(spark, sf_dir):
+    return graph.neighbours(graph.edges(_members(spark, sf_dir)))
+
+
+PAGERANK_STEPS = 20
+
+
+def _pagerank_sql() -> str:
+    out = [
+        "nd AS MATERIALIZED (SELECT DISTINCT account, address FROM mem), sz AS MATERIALIZED (SELECT account, count(*) AS n FROM nd GROUP BY account), tot AS (SELECT account, src, sum(weight) AS t FROM both_ways GROUP BY ALL)",
+        "lk AS MATERIALIZED (SELECT b.account, b.src, b.dst, b.weight / t.t AS share FROM both_ways b JOIN tot t USING (account, src)), bs AS MATERIALIZED (SELECT nd.account, nd.address, n, t.t IS NULL AS dangling FROM nd JOIN sz USING (account) LEFT JOIN tot t ON t.account = nd.account AND t.src = nd.address)",
+        "r0 AS MATERIALIZED (SELECT account, address, 1.0::DOUBLE / n AS r FROM bs)",
+    ]
+    for i in range(PAGERANK_STEPS):
+        out.append(
+            f"r{i + 1} AS MATERIALIZED (SELECT b.account, b.address, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(f.flow, 0) + coalesce(l.lost, 0) / n) AS r FROM bs b LEFT JOIN (SELECT k.account, k.dst AS address, sum(r * share) AS flow FROM lk k JOIN r{i} ON r{i}.account = k.account AND r{i}.address = k.src GROUP BY ALL) f USING (account, address) "
+            f"LEFT JOIN (SELECT account, sum(r) AS lost FROM bs JOIN r{i} USING (account, address) WHERE dangling GROUP BY ALL) l USING (account))"
+        )
+    return ", ".join(out)
+
+
+@query(f"SELECT account, address, round(r, 9) AS centrality FROM r{PAGERANK_STEPS}", FULL + "," + _pagerank_sql())
+def graph_pagerank(spark, sf_dir):
+    people = _members(spark, sf_dir)
+    return graph.pagerank(people, graph.edges(people), tolerance=0.0, iterations=PAGERANK_STEPS).withColumn("centrality", F.round("centrality", 9))
+
+
+@query()
+def graph_communities(spark, sf_dir):
+    people = _members(spark, sf_dir)
+    return graph.louvain(people, graph.edges(people)).groupBy("account", "community_id").agg(F.count("*").alias("size"), F.min("address").alias("first_member"))
+
+
+# --- search
+
+
+def _search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mailbox(spark, sf_dir, True)
+    return m.select(F.col("gmail_message_id").alias("docid"), "subject", F.col("from_addr").alias("sender"), S.project_recipients(F.col("to_addr"), F.col("cc_addr")).alias("recipients"), F.col("snippet").alias("body"))
+
+
+@query(
+    "docs AS (SELECT gmail_message_id AS docid, subject, from_addr AS sender, nullif(concat_ws(' ', nullif(to_addr, ''), nullif(cc_addr, '')), '') AS recipients, snippet AS body FROM mt), "
+    "tk AS (SELECT docid, regexp_extract_all(lower(coalesce(subject, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+') AS s, regexp_extract_all(lower(coalesce(sender, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+') AS f, regexp_extract_all(lower(coalesce(recipients, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+') AS r, regexp_extract_all(lower(coalesce(body, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+') AS b FROM docs), "
+    "tf AS (SELECT docid, len(s) + len(f) + len(r) + len(b) AS dl, q, 10.0 * len(list_filter(s, lambda x: x = q)) + 8.0 * len(list_filter(f, lambda x: x = q)) + 4.0 * len(list_filter(r, lambda x: x = q)) + len(list_filter(b, lambda x: x = q)) AS f FROM tk, (SELECT unnest(['edble', 'nicht']) AS q)), "
+    "st AS (SELECT count(DISTINCT docid) AS n, avg(dl) AS avgdl FROM tf), dfs AS (SELECT q, count(*) AS df FROM tf WHERE f > 0 GROUP BY q), "
+    "pt AS (SELECT docid, -CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS p FROM tf JOIN dfs USING (q), st WHERE f > 0) "
+    "SELECT docid, round(sum(p), 9) AS score FROM pt GROUP BY docid"
+)
+def bm25_exact(spark, sf_dir):
+    return search.SearchIndex(_search_docs(spark, sf_dir), stem=False).search(["edble", "nicht"], prefix=False).withColumn("score", F.round("score", 9))
+
+
+@query()
+def search_messages(spark, sf_dir):
+    """Stemmed prefix-OR search; the stemmer has no SQL form."""
+    hits = search.SearchIndex(_search_docs(spark, sf_dir)).search(search.expand_query(["thing", "invoice"]))
+    return hits.orderBy("score", "docid").limit(15)
+
+
+# --- feed, retention, ingest
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select((F.col("event_id") + 1).alias("sequence"), F.col("event_type").alias("account"), F.col("user_id").cast("string").alias("entity_key"))
+
+
+@query("SELECT event_id + 1 AS sequence, event_type AS account, user_id::VARCHAR AS entity_key, 'crm_v1_' || rtrim(translate(to_base64(encode((event_id + 1)::VARCHAR)), '+/=', '-_ ')) AS cursor FROM events WHERE event_id + 1 > 50 AND event_type IN ('view', 'click') ORDER BY event_id LIMIT 100", "")
+def feed_page(spark, sf_dir):
+    return feed_ops.page(_feed(spark, sf_dir), 50, 100, ["view", "click"])
+
+
+@query("SELECT account, count(*) AS events, count(DISTINCT gmail_message_id) AS keys FROM mb GROUP BY account")
+def feed_append(spark, sf_dir):
+    events = feed_ops.message_changes(mailbox(spark, sf_dir))
+    empty = events.limit(0).withColumn("sequence", F.lit(0).cast("long"))
+    first = feed_ops.append(empty, events.unionByName(events))
+    return first.groupBy("account").agg(F.count("*").alias("events"), F.countDistinct("entity_key").alias("keys"))
+
+
+CUTOFF_MS = 852_076_800_000  # 1997-01-01
+
+
+@query(
+    f"SELECT account, gmail_message_id FROM mb m ANTI JOIN (SELECT account, address AS a FROM cur WHERE curation = 'important') c ON c.account = m.account AND c.a = {ADDR.format('m.from_addr')} ANTI JOIN (SELECT account, domain AS d FROM dcur WHERE curation = 'important') d ON d.account = m.account AND d.d = {HOST.format(ADDR.format('m.from_addr'))} "
+    f"ANTI JOIN (SELECT DISTINCT account, thread_id FROM mb WHERE direction = 'sent') t USING (account, thread_id) WHERE body_state = 'full' AND internal_date < {CUTOFF_MS}",
+    FULL,
+)
+def retention_eligible(spark, sf_dir):
+    return M.evictable(mailbox(spark, sf_dir), *_curated(spark, sf_dir), CUTOFF_MS).select("account", "gmail_message_id")
+
+
+@query("SELECT account, gmail_message_id, CASE WHEN key % 3 = 0 AND body_state = 'meta' THEN 'full' ELSE body_state END AS body_state, CASE WHEN key % 3 = 0 THEN 1 - unread ELSE unread END AS unread FROM mb")
+def lattice_upsert(spark, sf_dir):
+    m = mailbox(spark, sf_dir).select("account", "gmail_message_id", "body_state", "unread", "key")
+    new = m.where("key % 3 = 0").withColumn("unread", 1 - F.col("unread"))
+    batches = new.withColumn("body_state", F.lit("full")).withColumn("batch", F.lit(1)).unionByName(new.withColumn("body_state", F.lit("meta")).withColumn("batch", F.lit(2)))
+    return M.upsert(m, batches).drop("key")
+
+
+@query("SELECT account, gmail_message_id, CASE WHEN key % 10 = 9 THEN 'archived' ELSE 'restored' END AS change FROM mb WHERE (list_contains(labels, 'INBOX') AND key % 10 = 9) OR (NOT list_contains(labels, 'INBOX') AND key % 10 = 4)")
+def reconcile_inbox(spark, sf_dir):
+    m = mailbox(spark, sf_dir)
+    inbox = F.array_contains("labels", "INBOX")
+    live = m.where((inbox & (F.col("key") % 10 != 9)) | (~inbox & (F.col("key") % 10 == 4))).select("account", "gmail_message_id")
+    return M.reconcile(m, live)
+
+
+@query("SELECT gmail_message_id, array_to_string(list_sort(list_concat(list_filter(labels, lambda x: x <> 'INBOX' AND x <> 'STARRED'), ['STARRED'])), ',') AS labels, 1 AS starred, CASE WHEN category = 'primary' THEN NULL ELSE category END AS category FROM mb WHERE key % 2 = 0")
+def edit_labels(spark, sf_dir):
+    m = mailbox(spark, sf_dir).where("key % 2 = 0")
+    edits = m.select("account", "gmail_message_id", F.array(F.lit("STARRED")).alias("add"), F.array(F.lit("INBOX")).alias("remove"))
+    return M.edit_labels(m, edits).select("gmail_message_id", F.array_join(F.array_sort("labels"), ",").alias("labels"), "starred", "category")
+
+
+@query("SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL", "")
+def event_windows(spark, sf_dir):
+    return windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query(
+    "g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), i AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM i GROUP BY user_id, k",
+    "",
+)
+def event_sessions(spark, sf_dir):
+    return session_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+for _name in ("event_windows", "event_sessions"):
+    if not ORACLE_SQL[_name].upper().startswith(("WITH", "SELECT")):
+        ORACLE_SQL[_name] = "WITH " + ORACLE_SQL[_name]

@@ -22,7 +22,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as correspondents: account, own address, address, header, the next customer of the nation."""
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    slug = lambda x: F.replace(F.lower(x), F.lit("_"), F.lit("-"))
+    slug = lambda x: F.translate(F.lower(x), "_ ", "--")
     sub = F.element_at(F.array(*map(F.lit, ("mail", "news", "www"))), (F.col("c_custkey") % 3 + 1).cast("int"))
     address = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@"), sub, F.lit("."), slug(F.col("n_name")), F.lit(".com"))
     c = c.select("c_custkey", "c_name", "c_nationkey", F.col("r_name").alias("account"), F.concat(F.lit("me@"), slug(F.col("r_name")), F.lit(".org")).alias("own"), address.alias("address"), (F.col("c_mktsegment") == "MACHINERY").alias("is_list"))
@@ -71,8 +71,8 @@ def _case(expr: str, values: tuple[str, ...]) -> str:
 
 
 PEOPLE_SQL = f"""
-people AS (SELECT c_custkey, c_name, c_nationkey, r_name AS account, 'me@' || replace(lower(r_name), '_', '-') || '.org' AS own, c_mktsegment = 'MACHINERY' AS is_list,
-  'c' || c_custkey || '@' || {_case("c_custkey % 3", ("mail", "news", "www"))} || '.' || replace(lower(n_name), '_', '-') || '.com' AS address
+people AS (SELECT c_custkey, c_name, c_nationkey, r_name AS account, 'me@' || replace(replace(lower(r_name), '_', '-'), ' ', '-') || '.org' AS own, c_mktsegment = 'MACHINERY' AS is_list,
+  'c' || c_custkey || '@' || {_case("c_custkey % 3", ("mail", "news", "www"))} || '.' || replace(replace(lower(n_name), '_', '-'), ' ', '-') || '.com' AS address
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 ppl AS (SELECT *, lead(address) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS partner, c_name || ' <' || address || '>' AS header FROM people)"""
 
