@@ -92,8 +92,8 @@ def peaks(values: np.ndarray) -> tuple[np.ndarray, int]:
     return (total[size:] - total[:-size]) / size, size
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 512, rate: float = 0.01, seed: int = 7) -> Model:
-    """Train on whole texts; labels are 0 or 1."""
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 512, rate: float = 0.01, seed: int = 7, min_steps: int = 250) -> Model:
+    """Train on whole texts; labels are 0 or 1. A small sample gets more epochs, for min_steps in all."""
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
     docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int64) for t in texts]
@@ -115,7 +115,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 512
         part = (table @ (out[:, 1] - out[:, 0])).astype(np.float64)
         return np.add.reduceat(part[flat], starts[:-1]) / lengths
 
-    for epoch in range(epochs):
+    epoch = -1
+    while epoch + 1 < epochs or steps < min_steps:
+        epoch += 1
         values = word_values()
         windows, wanted = [], []
         for i in filled:
