@@ -1,8 +1,9 @@
 """The co-recipiency graph: edges, neighbours, PageRank, Louvain communities.
 
 Edges are counted by a self-join of thread participants, after pairs are reduced to one row per
-thread and participant; PageRank is iterated as joins and aggregations, its lineage cut by
-checkpoint(). Louvain has no declarative form and runs per account.
+thread and participant; PageRank runs per account, or as joins and aggregations with
+checkpoint() where an account is too large for a task. Louvain has no declarative form and runs
+per account.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import random
 import tempfile
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,27 +49,62 @@ def neighbours(found: DataFrame, limit: int = 15) -> DataFrame:
     return both_ways(found).withColumn("rank", rank).where(F.col("rank") <= limit).withColumnsRenamed({"src": "address", "dst": "neighbour", "weight": "shared_threads"})
 
 
-def pagerank(people: DataFrame, found: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, iterations: int = 100, every: int = 10) -> DataFrame:
-    """(account, address, centrality): weighted PageRank per account, from equal ranks, until no account moves by more than its nodes times the tolerance."""
+MAX_LOCAL_EDGES = 2_000_000
+
+
+def pagerank(people: DataFrame, found: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, iterations: int = 100, max_local_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
+    """(account, address, centrality): weighted PageRank per account, from equal ranks, until it moves by no more than its nodes times the tolerance.
+
+    Accounts are independent, so each is iterated in one task while the largest has at most
+    max_local_edges edges (counted first); beyond that the iteration is distributed.
+    """
+    largest = found.groupBy("account").count().agg(F.max("count")).first()[0] or 0
+    run = _local_pagerank if largest <= max_local_edges else _distributed_pagerank
+    return run(people, found, damping, tolerance, iterations)
+
+
+def _local_pagerank(people: DataFrame, found: DataFrame, damping: float, tolerance: float, iterations: int) -> DataFrame:
+    nodes = people.select("account", F.col("address").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).distinct()
+    rows = nodes.unionByName(found.select("account", "src", "dst", F.col("weight").cast("double").alias("weight")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.sort(pdf[pdf.dst.isna()].src.to_numpy(dtype=object))
+        links = pdf[pdf.dst.notna()]
+        a, b, w = np.searchsorted(names, links.src), np.searchsorted(names, links.dst), links.weight.to_numpy()
+        src, dst, weight, n = np.concatenate([a, b]).astype(int), np.concatenate([b, a]).astype(int), np.concatenate([w, w]), len(names)
+        total = np.bincount(src, weight, n)
+        share, dangling = weight / total[src], total == 0
+        ranks = np.full(n, 1.0 / n)
+        for _ in range(iterations):
+            new = (1 - damping) / n + damping * (np.bincount(dst, ranks[src] * share, n) + ranks[dangling].sum() / n)
+            moved, ranks = np.abs(new - ranks).sum(), new
+            if moved <= n * tolerance:
+                break
+        return pd.DataFrame({"account": pdf.account.iloc[0], "address": names, "centrality": ranks})
+
+    return rows.groupBy("account").applyInPandas(run, "account string, address string, centrality double")
+
+
+def _distributed_pagerank(people: DataFrame, found: DataFrame, damping: float, tolerance: float, iterations: int, every: int = 5) -> DataFrame:
     nodes = people.select("account", "address").distinct()
     sizes = nodes.groupBy("account").agg(F.count("*").alias("n"))
     links = both_ways(found)
     out = links.groupBy("account", "src").agg(F.sum("weight").alias("total"))
-    links = _checkpointed(links.join(out, ["account", "src"]).select("account", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    links = _checkpointed(links.join(out, ["account", "src"]).select("account", F.col("src").alias("address"), "dst", (F.col("weight") / F.col("total")).alias("share")))
     base = _checkpointed(nodes.join(sizes, "account").join(out.withColumnRenamed("src", "address"), ["account", "address"], "left").select("account", "address", "n", F.col("total").isNull().alias("dangling")))
-    ranks = base.select("account", "address", (F.lit(1.0) / F.col("n")).alias("r"))
+    ranks = base.withColumn("r", F.lit(1.0) / F.col("n"))
     for step in range(1, iterations + 1):
         before = ranks
-        flow = links.join(before.withColumnRenamed("address", "src"), ["account", "src"]).groupBy("account", F.col("dst").alias("address")).agg(F.sum(F.col("r") * F.col("share")).alias("flow"))
-        lost = base.where("dangling").join(before, ["account", "address"]).groupBy("account").agg(F.sum("r").alias("lost"))
+        flow = before.join(links, ["account", "address"]).groupBy("account", F.col("dst").alias("address")).agg(F.sum(F.col("r") * F.col("share")).alias("flow"))
+        lost = before.where("dangling").groupBy("account").agg(F.sum("r").alias("lost"))
         new = (1 - damping) / F.col("n") + damping * (F.coalesce("flow", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))
-        ranks = base.join(flow, ["account", "address"], "left").join(lost, "account", "left").select("account", "address", new.alias("r"))
+        ranks = base.join(flow, ["account", "address"], "left").join(lost, "account", "left").select("account", "address", "n", "dangling", new.alias("r"))
         if step % every == 0 or step == iterations:
             ranks = _checkpointed(ranks)
-            moved = ranks.join(before.withColumnRenamed("r", "old"), ["account", "address"]).groupBy("account").agg((F.sum(F.abs(F.col("r") - F.col("old"))) - F.count("*") * tolerance).alias("over"))
+            moved = ranks.join(before.select("account", "address", F.col("r").alias("old")), ["account", "address"]).groupBy("account").agg((F.sum(F.abs(F.col("r") - F.col("old"))) - F.count("*") * tolerance).alias("over"))
             if (moved.agg(F.max("over")).first()[0] or 0) <= 0:
                 break
-    return ranks.withColumnRenamed("r", "centrality")
+    return ranks.select("account", "address", F.col("r").alias("centrality"))
 
 
 def louvain_labels(links: list[tuple[str, str, float]], nodes: list[str], seed: int = 0x5EED) -> dict[str, int]:
