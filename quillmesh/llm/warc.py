@@ -60,7 +60,10 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
     base = pages.select("page_id", target.alias("url"), payload.alias("payload")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("bytes", F.octet_length("payload"))
     sizes = pages.select(F.sum(F.octet_length(payload)).alias("b")).first()["b"] or 0
     groups = base.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    rows = base.join(groups, "digest", "left")
+    known = base.select("page_id", "digest").join(groups, "digest").dropDuplicates(["page_id", "digest"])
+    files = max(1, math.ceil(sizes / target_bytes), min(pages.sparkSession.sparkContext.defaultParallelism, math.ceil(sizes / (1 << 20))))
+    # one shuffle of the payloads: it cuts the archives and is the one that the join needs
+    rows = base.repartition(files, "page_id", "digest").join(known.repartition(files, "page_id", "digest"), ["page_id", "digest"], "left")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False)) | (F.col("first").isNotNull() & F.col("page_id").isNull())
     own, first = record_urn("capture", F.col("page_id"), F.col("digest")), record_urn("capture", F.col("first"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
@@ -74,9 +77,8 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
     request = record("request", record_urn("request", F.col("page_id"), F.col("digest")), [uri, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http;msgtype=request"))], F.lit("GET / HTTP/1.1" + END))
     fields = F.concat_ws("\r\n", F.concat(F.lit("pageId: "), F.col("page_id").cast("string")), F.concat(F.lit("payloadLength: "), F.col("bytes").cast("string")), F.when(revisit, F.concat(F.lit("refersToPageId: "), F.col("first").cast("string"))), F.lit(""))
     metadata = record("metadata", record_urn("metadata", F.col("page_id"), F.col("digest")), [uri, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], fields)
-    files = max(1, math.ceil(sizes / target_bytes), min(pages.sparkSession.sparkContext.defaultParallelism, math.ceil(sizes / (1 << 20))))
-    lines = rows.select(F.concat(request, F.lit(END), capture, F.lit(END), metadata).alias("value"), "page_id")
-    lines.repartition(files, F.hash("page_id")).select("value").write.option("lineSep", END).option("compression", "gzip").text(path)
+    lines = rows.select(F.concat(request, F.lit(END), capture, F.lit(END), metadata).alias("value"))
+    lines.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, headers map<string,string>, payload binary, payload_bytes bigint, payload_digest string, digest_ok boolean"
