@@ -16,9 +16,9 @@ Steps: (1) one pass gives each document's set size, a 128-bit set signature and
 sets are one class from here on. (2) A second pass gives the short lists (prefixes) of the class
 representatives; lists of one document are dropped. (3) Rounds link classes: first every member
 of a list with the list's centre (the member whose lists are longest, which in a group of near
-copies is one of the least edited); then minority members of lists that still span several
-components with their best partner in another; and last those with every remaining partner in
-other components. A pair that is already connected is never compared, so a group of copies costs links
+copies is one of the least edited); then documents outside the largest component of a list that
+still spans several with their best partner in another, counted over all such lists of theirs; and
+last those with every remaining partner in other components. A pair that is already connected is never compared, so a group of copies costs links
 in proportion to its size. (4) Components by star contraction.
 
 No link is lost: equal sets apart, a similar pair shares at least 6 shingles (6 of 7 is the
@@ -197,7 +197,7 @@ def searched(queries: DataFrame, best_only: bool, percent: int) -> DataFrame:
         found = [(b, count) for b, count in t_occurrence(lists, M) if count >= least_in_prefixes(n, about[b][0], percent)]
         if best_only:
             found = sorted(found, key=lambda x: (-x[1], x[0]))[:1]
-        yield from ((a, b) for b, _ in found)
+        yield from ((a, b) if best_only else (min(a, b), max(a, b)) for b, _ in found)  # both may ask: the pair is compared once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -221,17 +221,23 @@ def _labelled(postings: DataFrame, components: DataFrame | None) -> DataFrame:
 
 
 def _queries(labelled: DataFrame) -> DataFrame:
-    """Of lists that span several components: each member outside the list's largest component, with the list in chunks."""
+    """Of lists that span several components: each document that is outside the largest component of at least one, with all of them in chunks.
+
+    Of any list that a pair from two components shares, one of both is outside the largest component,
+    so it asks; and it asks in all lists they share. A member of the list's largest component gets
+    the list's other members only, so a list has no more than twice as many (asker, member) rows.
+    """
     shares = labelled.groupBy("token", "label").agg(F.count("*").alias("c"))
     mixed = shares.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("df"), F.max(F.struct("c", "label")).alias("top")).where("labels > 1").select("token", "df", F.col("top.label").alias("main"))
     mixed = staged(mixed, "mixed")
     chunks = -(-(mixed.agg(F.max("df")).first()[0] or 1) // CHUNK)  # one number for all lists, so that an id is in the same chunk of each
-    rows = labelled.join(mixed, "token")
+    rows = labelled.join(mixed, "token").select("token", "doc", "n", "label", (F.col("label") == F.col("main")).alias("inside"))
     chunk = F.pmod(F.xxhash64("doc"), F.lit(chunks)).alias("chunk")
-    lists = rows.groupBy("token", chunk).agg(F.sort_array(F.collect_list(F.struct("doc", "n", "label"))).alias("l"))
-    lists = lists.select("token", "chunk", F.col("l.doc").alias("ids"), F.col("l.n").alias("sizes"), F.col("l.label").alias("labels"))
-    asking = rows.where("label <> main").select("token", F.col("doc").alias("a"), "n", "label")
-    return asking.join(lists, "token").select("a", "chunk", "n", "label", "ids", "sizes", "labels")
+    member = F.struct("doc", "n", "label")
+    lists = rows.groupBy("token", chunk).agg(F.sort_array(F.collect_list(member)).alias("whole"), F.sort_array(F.collect_list(F.when(~F.col("inside"), member))).alias("others"))
+    asking = rows.join(rows.where("NOT inside").select("doc").distinct(), "doc").select("token", F.col("doc").alias("a"), "n", "label", "inside")
+    asked = asking.join(lists, "token").select("a", "chunk", "n", "label", F.when(F.col("inside"), F.col("others")).otherwise(F.col("whole")).alias("l")).where(F.size("l") > 0)
+    return asked.select("a", "chunk", "n", "label", F.col("l.doc").alias("ids"), F.col("l.n").alias("sizes"), F.col("l.label").alias("labels"))
 
 
 def similar_classes(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> DataFrame:

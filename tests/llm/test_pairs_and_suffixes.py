@@ -62,6 +62,28 @@ def test_components_equal_brute_force(spark, seed, k):
     assert got == brute_components(texts, k)
 
 
+def revision_chains(seed, families=12, length=6):
+    """Texts of 100 shingles of four words; of each chain only neighbours (92 in common) are similar."""
+    rng = random.Random(seed)
+    out = []
+    for f in range(families):
+        text = [f"f{f}w{i}" for i in range(103)]
+        places = rng.sample(range(4, 99, 5), 2 * (length - 1))
+        for r in range(length):
+            for i in places[2 * r - 2 : 2 * r] if r else ():
+                text[i] = f"f{f}r{r}w{i}"
+            out.append(" ".join(text))
+    rng.shuffle(out)
+    return list(enumerate(out, 10))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_revision_chains_equal_brute_force(spark, seed):
+    texts = revision_chains(seed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_classes(frame(spark, texts)).collect()}
+    assert got == brute_components(texts, 4) and len({c for _, c in got.values()}) == 12
+
+
 def test_keep_one_keeps_the_smallest_of_each_component(spark):
     texts = near_texts(3)[:30]
     wanted = {i for i, (_, c) in brute_components(texts, 5).items() if i == c}
