@@ -31,8 +31,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 85 percent) the document with the smallest id."""
-    return keep_one(docs.select(*COLUMNS), k=5)
+    """Of each group of near duplicates (five words, 80 percent) the document with the smallest id."""
+    return keep_one(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ last those with every remaining partner in other components. A pair that is alre
 in proportion to its size. (4) Components by star contraction.
 
 No link is lost: equal sets apart, a similar pair shares at least 6 shingles (6 of 7 is the
-smallest overlap of 0.85 without equality), so M <= 6 keeps the guarantee; the last round covers
+smallest overlap of 0.85 without equality; 4 of 5 at 0.8, the least that is admitted), so M = 4 keeps the guarantee; the last round covers
 each pair that shares M short lists and is not connected yet.
 
 Scale: only prefixes and candidates' sets are shuffled; hot lists are cut into chunks of
@@ -120,7 +120,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataF
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = set_of(text.as_py(), k)
                 n = len(s)
-                if n >= 6:  # smaller sets have no similar one but equals
+                if n * (100 - percent) >= percent:  # smaller sets have no similar one but equals: 6 at 85 percent, 4 at 80
                     ids.append(doc)
                     sizes.append(n)
                     cut.append(ordered_set(s, rank)[: n - min_shared(n, percent) + M].astype(np.int64))
@@ -242,8 +242,8 @@ def _queries(labelled: DataFrame) -> DataFrame:
 
 def similar_classes(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id, class_id): class_id is the smallest id with an equal set, component_id the smallest one reachable over links."""
-    if percent < 85:
-        raise ValueError("the guarantee of M shared short lists is proved for 85 percent or more")
+    if percent < 80:
+        raise ValueError("the guarantee of M shared short lists is proved for 80 percent or more")
     signed = staged(signatures(docs, k), "sets")
     counts = np.zeros(CELLS, np.int64)
     for row in signed.where("cells IS NOT NULL").select(F.posexplode("cells").alias("cell", "c")).groupBy("cell").agg(F.sum("c").alias("c")).toLocalIterator():

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from quillmesh.llm.ngram_join import keep_one, set_of, similar, similar_classes, t_occurrence
 from quillmesh.llm.suffix_dedup import LENGTH, counted_windows, suffix_dedup, suffix_dedup_digest
 
@@ -84,6 +85,15 @@ def test_revision_chains_equal_brute_force(spark, seed):
     assert got == brute_components(texts, 4) and len({c for _, c in got.values()}) == 12
 
 
+def test_pipeline_stage_takes_80_percent(spark):
+    """5-word sets: 4 of 5 in common (80 percent), 46 of 56 (82 percent) and 7 of 10 (70)."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    texts = [words("a", 8), words("a", 9), words("b", 55), words("b", 55).replace("b25 ", "x "), words("c", 12), words("c", 11) + " x y"]
+    docs = frame(spark, list(enumerate(texts)))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert kept == {i for i, (_, c) in brute_components(list(enumerate(texts)), 5, 80).items() if i == c} == {0, 2, 4, 5}
+
+
 def test_keep_one_keeps_the_smallest_of_each_component(spark):
     texts = near_texts(3)[:30]
     wanted = {i for i, (_, c) in brute_components(texts, 5).items() if i == c}
