@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import WORD_CLASS, staged, table
 from quillmesh.llm.decontaminate import clean_documents
-from quillmesh.llm.line_dedup import dedup_lines
+from quillmesh.llm.line_dedup import LONG_WORDS, dedup_lines
 from quillmesh.llm.mixing import mix
 from quillmesh.llm.ngram_join import keep_one
 from quillmesh.llm.quality import quality
@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are cut; a document of which no word is left goes."""
-    out = dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | F.coalesce(F.col("text").rlike(WORD_CLASS), F.lit(False)))
+    """Later copies of repeated line runs, and of single lines of over 50 words, are cut; a document of which no word is left goes."""
+    out = dedup_lines(docs.select(*COLUMNS), long_words=LONG_WORDS).where((F.col("n_removed") == 0) | F.coalesce(F.col("text").rlike(WORD_CLASS), F.lit(False)))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -6,7 +6,9 @@ names of its halves; since a document holds its own lines, a doubling step is an
 within the row and needs no shuffle. One shuffle then sorts the suffixes' names at depth
 `min_lines` into classes: a class of two or more is an LCP interval of at least that depth, and
 its first member in (doc_id, line) order is the original. Overlapping members merge to maximal
-repeated runs; every line of a later copy is removed.
+repeated runs; every line of a later copy is removed. With `long_words`, a single line of more
+words than that is a run as well (a passage without line breaks); the registered query, whose SQL
+knows runs of MIN_LINES only, leaves it out, the corpus pipeline sets it.
 
 Scale: the class table is built with partial aggregation (a hot run is one row a map task), only
 classes of two or more are joined back, and that join has exchanges AQE splits where skewed.
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD_CLASS, barrier
 
 MIN_LINES = 2
+LONG_WORDS = 50
 REPORT = ("n_lines", "n_removed", "n_runs")
 
 
@@ -38,39 +41,59 @@ def name_runs(names: Column, length: int) -> Column:
     return joined(names, F.size(names), length)
 
 
-def run_names(docs: DataFrame, min_lines: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, start, a, b): the name of the run of min_lines lines at each start."""
+def is_long(line: Column, words: int) -> Column:
+    """Whether a line has more than so many words; a line too short for them is not split."""
+    return F.when(F.length(line) > 2 * words, F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")) > words).otherwise(F.lit(False))
+
+
+def run_names(docs: DataFrame, min_lines: int, id_col: str, text_col: str, long_words: int | None = None) -> DataFrame:
+    """(id, text_hash, start, a, b): the name of the run of min_lines lines at each start. With long_words also the lines of more words, and each run's length."""
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: x.rlike(WORD_CLASS))
     names = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
-    step = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), barrier(names).alias("names"))
+    key = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")]
+    if long_words is None:
+        step = docs.select(*key, barrier(names).alias("names"))
+        kept = []
+    else:
+        step = docs.select(*key, barrier(lines).alias("lines"))
+        named = F.transform("lines", lambda x, i: F.struct(i.alias("start"), F.lit(1).alias("length"), F.xxhash64(F.lit(1), x).alias("a"), F.xxhash64(F.lit(9), x).alias("b"), is_long(x, long_words).alias("long")))
+        names = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
+        step = step.select("id", "text_hash", barrier(names).alias("names"), barrier(named).alias("single"))
+        kept = ["single"]
     length = 1
     while length < min_lines:
         k = min(length, min_lines - length)
-        step = step.select("id", "text_hash", barrier(name_runs(F.col("names"), k)).alias("names"))
+        step = step.select("id", "text_hash", barrier(name_runs(F.col("names"), k)).alias("names"), *kept)
         length += k
-    return step.select("id", "text_hash", F.posexplode("names").alias("start", "name")).select("id", "text_hash", "start", "name.a", "name.b")
+    if long_words is None:
+        return step.select("id", "text_hash", F.posexplode("names").alias("start", "name")).select("id", "text_hash", "start", "name.a", "name.b")
+    runs = F.transform("names", lambda x, i: F.struct(i.alias("start"), F.lit(min_lines).alias("length"), x["a"].alias("a"), x["b"].alias("b")))
+    single = F.transform(F.filter("single", lambda x: x["long"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), x["a"].alias("a"), x["b"].alias("b")))
+    return step.select("id", "text_hash", F.explode(barrier(F.concat(runs, single))).alias("run")).select("id", "text_hash", "run.start", "run.a", "run.b", "run.length")
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, start, first): the runs that an earlier position holds as well."""
-    named = run_names(docs, min_lines, id_col, text_col)
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
+    """(id, text_hash, start, first): the runs that an earlier position holds as well, with long_words also their length."""
+    named = run_names(docs, min_lines, id_col, text_col, long_words)
     at = F.struct("id", "text_hash", "start")
     classes = named.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
-    return named.join(classes.drop("last"), ["a", "b"]).where(~at.eqNullSafe(F.col("first"))).select("id", "text_hash", "start", "first")
+    return named.join(classes.drop("last"), ["a", "b"]).where(~at.eqNullSafe(F.col("first"))).select("id", "text_hash", "start", "first", *([] if long_words is None else ["length"]))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """The input's rows and columns, text without later copies of repeated runs, and REPORT."""
     if set(REPORT) & set(docs.columns):
         raise ValueError(f"the input has a column of {REPORT}")
-    starts = later_copies(docs, min_lines, id_col, text_col).groupBy("id", "text_hash").agg(F.collect_set("start").alias("__starts"))
+    run = F.col("start") if long_words is None else F.struct("start", "length")
+    starts = later_copies(docs, min_lines, id_col, text_col, long_words).groupBy("id", "text_hash").agg(F.collect_set(run).alias("__starts"))
     keyed = docs.withColumn("__hash", F.xxhash64(text_col))
     joined = keyed.join(starts, keyed[id_col].eqNullSafe(starts["id"]) & keyed["__hash"].eqNullSafe(starts["text_hash"]), "left")
     columns = [F.col(c) for c in docs.columns]
     lines, numbers, starts_col, covered = (F.col("__" + c) for c in ("lines", "numbers", "starts", "covered"))
     step = joined.select(*columns, "__starts", barrier(F.split(F.col(text_col), "\n")).alias("__lines"))
     numbers_of = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.rlike(WORD_CLASS).alias("w"))), lambda s: s["w"]), lambda s: s["i"])
-    spread = F.array_distinct(F.flatten(F.transform(starts_col, lambda s: F.sequence(s, s + (min_lines - 1)))))
+    lines_of = (lambda s: F.sequence(s, s + (min_lines - 1))) if long_words is None else (lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))
+    spread = F.array_distinct(F.flatten(F.transform(starts_col, lines_of)))
     step = step.select(*columns, "__lines", barrier(numbers_of).alias("__numbers"), barrier(F.sort_array(F.coalesce(spread, F.array().cast("array<int>")))).alias("__covered"))
     n_runs = F.size(F.filter(covered, lambda c, i: (i == 0) | (F.get(covered, i - 1) < c - 1)))
     every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1))

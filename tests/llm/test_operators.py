@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quillmesh.llm.chat import PROBE_TEXT, Template, format_conversations, read_back
 from quillmesh.llm.decontaminate import clean_documents, decontaminate
 from quillmesh.llm.licenses import TEMPLATES, Index, align, scan, scan_licenses
@@ -71,6 +72,16 @@ def test_line_runs_of_other_lengths_against_brute_force(spark, least):
     assert got == wanted
 
 
+def test_long_single_lines_are_runs_in_the_pipeline(spark):
+    long_, fifty = " ".join(f"w{i}" for i in range(51)), " ".join(f"v{i}" for i in range(50))
+    texts = [f"a\n{long_}\nb\n{fifty}", f"c\n{long_}\nd\n{fifty}\ne", long_, f"x\n{long_}\n{long_}", f"y\n{long_}\nb\nz", None]
+    docs = frame(spark, texts).selectExpr("doc_id", "text", "'en' lang", "source", "cast(length(text) as long) n_chars")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got == {0: texts[0], 1: f"c\nd\n{fifty}\ne", 3: "x", 4: "y\nz", 5: None}
+    rows = {r["doc_id"]: (r["n_removed"], r["n_runs"]) for r in dedup_lines(docs, long_words=50).collect()}
+    assert rows == {0: (0, 0), 1: (1, 1), 2: (1, 1), 3: (2, 1), 4: (2, 1), 5: (0, 0)}
+
+
 def test_line_dedup_repeated_rows_and_clashing_columns(spark):
     same = spark.createDataFrame([(1, "a b\nc d"), (1, "a b\nc d"), (2, "a b\nc d")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_removed"]) for r in dedup_lines(same).collect()) == [(1, 0), (1, 0), (2, 2)]
