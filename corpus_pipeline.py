@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import WORD_CLASS, staged, table
-from quillmesh.llm.decontaminate import clean_documents
+from quillmesh.llm.decontaminate import WINDOW, clean_documents
 from quillmesh.llm.line_dedup import LONG_WORDS, dedup_lines
 from quillmesh.llm.mixing import mix
 from quillmesh.llm.ngram_join import keep_one
@@ -37,7 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), window=WINDOW).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

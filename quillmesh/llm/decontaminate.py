@@ -4,7 +4,10 @@ A seed is a fixed mask over a window of tokens: positions marked 1 are hashed, p
 are ignored, so a window still hits after a substitution at an ignored position. The hashes of
 every window of the documents are joined with those of the benchmark; each hit fixes a diagonal
 (document offset minus item offset), and on each distinct diagonal the whole item is compared
-token by token with the document, which counts substitutions wherever they are.
+token by token with the document, which counts substitutions wherever they are. With `window`, a
+part of the item of so many tokens is enough, if `min_share` of them match around the hit; the
+registered query, whose SQL states the share of the whole item, leaves it out, the corpus pipeline
+sets it.
 
 Everything is native. The benchmark side is broadcast only when its row count times windows is
 within `max_broadcast_seeds`; beyond it the join shuffles on the seed hash. Hits are distinct
@@ -26,6 +29,7 @@ from .common import barrier
 SEEDS = ("110110011", "1010111001")
 MIN_MATCHED = 8
 MIN_SHARE = 0.75
+WINDOW = 13
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -51,7 +55,7 @@ def seed_rows(df: DataFrame, key: str, text: str, name: str, position: str, seed
 
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    seeds: tuple[str, ...] = SEEDS, min_matched: int = MIN_MATCHED, min_share: float = MIN_SHARE, max_broadcast_seeds: int = 500_000,
+    seeds: tuple[str, ...] = SEEDS, min_matched: int = MIN_MATCHED, min_share: float = MIN_SHARE, max_broadcast_seeds: int = 500_000, window: int | None = None,
 ) -> DataFrame:
     """One row per (document, item) that overlaps: matched tokens, item tokens, the best diagonal's start and end in document tokens."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id IS NOT NULL").distinct()
@@ -64,9 +68,15 @@ def find_overlaps(
     verified = hits.join(F.broadcast(item_tokens) if small else item_tokens, "item_id").join(texts.select("doc_id", tokens_of(F.col("doc_text")).alias("tokens")), "doc_id")
     slice_from, cut = F.greatest(F.col("diagonal"), F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
     verified = verified.select("doc_id", "item_id", "diagonal", "item", cut.alias("cut"), barrier(F.slice("tokens", slice_from + 1, F.greatest(F.size("item") - cut, F.lit(0)))).alias("part"))
-    matched = F.aggregate(F.transform(F.col("part"), lambda w, i: F.when(w == F.get(F.col("item"), i + F.col("cut")), 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    verified = verified.select("doc_id", "item_id", "diagonal", F.size("item").alias("item_tokens"), F.size("part").alias("overlap"), barrier(matched).alias("matched"))
-    good = verified.where((F.col("matched") >= min_matched) & (F.col("matched") >= min_share * F.col("item_tokens")))
+    equal = F.transform(F.col("part"), lambda w, i: F.when(w == F.get(F.col("item"), i + F.col("cut")), 1).otherwise(0))
+    added = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+    verified = verified.select("doc_id", "item_id", "diagonal", F.size("item").alias("item_tokens"), F.size("part").alias("overlap"), *([barrier(added(equal)).alias("matched")] if window is None else [barrier(equal).alias("equal")]))
+    enough = (F.col("matched") >= min_matched) & (F.col("matched") >= min_share * F.col("item_tokens"))
+    if window is not None:
+        dense = F.when(F.size("equal") >= window, F.exists(F.sequence(F.lit(0), F.size("equal") - window), lambda i: added(F.slice("equal", i + 1, window)) >= min_share * window)).otherwise(F.lit(False))
+        verified = verified.select("doc_id", "item_id", "diagonal", "item_tokens", "overlap", barrier(added(F.col("equal"))).alias("matched"), barrier(F.array(dense)).alias("dense"))
+        enough = enough | F.get("dense", F.lit(0))
+    good = verified.where(enough)
     best = F.max(F.struct(F.col("matched"), (-F.col("diagonal")).alias("d"), F.col("overlap"))).alias("best")
     return good.groupBy("doc_id", "item_id").agg(best, F.max("item_tokens").alias("item_tokens")).select(
         "doc_id", "item_id", F.col("best.matched").alias("matched"), "item_tokens", F.greatest(-F.col("best.d"), F.lit(0)).alias("start"), (F.greatest(-F.col("best.d"), F.lit(0)) + F.col("best.overlap")).alias("end")

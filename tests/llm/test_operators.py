@@ -104,6 +104,17 @@ def test_substitutions_are_tolerated(spark):
     assert clean_documents(docs, bench.limit(0)).count() == 6 and decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_part_of_an_item_is_enough_in_the_pipeline(spark, tmp_path):
+    item = [f"t{i}" for i in range(59)]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    parts = [item[5:45], item[:30] + ["x"] + item[30:], item[:29] + item[30:], item[20:26] + ["x"] + item[27:33], item[20:26] + ["x"] + item[27:34], item]
+    docs = frame(spark, ["a b " + " ".join(p) + " c d" for p in parts]).selectExpr("doc_id", "text", "'en' lang", "source", "n_chars")
+    assert {r["doc_id"] for r in corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()} == set()
+    short = frame(spark, ["a b " + " ".join(item[20:29]) + " c d", "e f g"]).selectExpr("doc_id", "text", "'en' lang", "source", "n_chars")
+    assert {r["doc_id"] for r in corpus_pipeline.decontamination_stage(spark, short, str(tmp_path)).collect()} == {0, 1}
+    assert {r["doc_id"] for r in clean_documents(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()} == {0, 1, 2, 3, 4}
+
+
 # --- mixing
 
 
