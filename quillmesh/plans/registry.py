@@ -366,9 +366,11 @@ def graph_communities(spark, sf_dir):
 # --- search
 
 
-def _search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _search_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The indexed columns; body is the snippet, as bm25_exact's SQL has it, or the whole projected body."""
     m = mailbox(spark, sf_dir, True)
-    return m.select(F.col("gmail_message_id").alias("docid"), "subject", F.col("from_addr").alias("sender"), S.project_recipients(F.col("to_addr"), F.col("cc_addr")).alias("recipients"), F.col("snippet").alias("body"))
+    body = S.project_body(F.col("snippet"), F.col("body_text"), F.col("summary_text")) if whole else F.col("snippet")
+    return m.select(F.col("gmail_message_id").alias("docid"), "subject", F.col("from_addr").alias("sender"), S.project_recipients(F.col("to_addr"), F.col("cc_addr")).alias("recipients"), body.alias("body"))
 
 
 @query(
@@ -386,7 +388,7 @@ def bm25_exact(spark, sf_dir):
 @query()
 def search_messages(spark, sf_dir):
     """Stemmed prefix-OR search; the stemmer has no SQL form."""
-    hits = search.SearchIndex(_search_docs(spark, sf_dir)).search(search.expand_query(["thing", "invoice"]))
+    hits = search.SearchIndex(_search_docs(spark, sf_dir, whole=True)).search(search.expand_query(["thing", "invoice"]))
     return hits.orderBy("score", "docid").limit(15)
 
 

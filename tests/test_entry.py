@@ -33,3 +33,13 @@ def test_query_equals_its_sql(spark, db, name):
 def test_every_oracle_has_its_query(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_search_messages_indexes_whole_bodies(spark, monkeypatch):
+    """A word after character 200 of a full message is found."""
+    from quillmesh.plans import registry
+
+    row = ("m", "a", "x@y.z", "me@y.z", None, "s" * 200, "s" * 200 + " invoice", None)
+    one = spark.createDataFrame([row, ("n", "b", "x@y.z", "me@y.z", None, "other", None, None)], "gmail_message_id string, subject string, from_addr string, to_addr string, cc_addr string, snippet string, body_text string, summary_text string")
+    monkeypatch.setattr(registry, "mailbox", lambda *_: one)
+    assert [r["docid"] for r in registry.search_messages(spark, "").collect()] == ["m"]
