@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch
 
 
-def _step(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges, written and read again, and a fingerprint observed while they are written."""
-    seen = Observation()
-    marks = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("x"), F.sum(F.xxhash64("b", "a") % 999_983).alias("y")]
-    now = staged(edges.observe(seen, *marks), "cc")
-    return now, tuple(sorted(seen.get.items()))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (a, b) of long ids -> (node, component): the smallest id reachable, for every id that has an edge.
 
     Each step keeps at most one row per edge, and its minimum per node is aggregated before the
     shuffle, so a node with very many edges costs no task more than its share (its join is one
-    that AQE splits). The number of steps grows with the logarithm of the longest path.
+    that AQE splits). The number of steps grows with the logarithm of the longest path. The result reads
+    scratch's table "star"; write it before that is dropped.
     """
-    now, mark = _step(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def step(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges, written and read again, and a fingerprint observed while they are written."""
+        seen = Observation()
+        marks = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("x"), F.sum(F.xxhash64("b", "a") % 999_983).alias("y")]
+        now = scratch.put(edges.observe(seen, *marks), "star")
+        return now, tuple(sorted(seen.get.items()))
+
+    now, mark = step(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while before != mark:
         before = mark
@@ -32,5 +33,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now, mark = _step(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+        now, mark = step(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
