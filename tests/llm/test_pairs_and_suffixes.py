@@ -1,14 +1,16 @@
 """The n-gram join and suffix dedup against brute force on small fixtures."""
 
+import functools
 import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from quillmesh.llm.ngram_join import keep_one, set_of, similar, similar_classes, t_occurrence
-from quillmesh.llm.suffix_dedup import LENGTH, counted_windows, suffix_dedup, suffix_dedup_digest
+from quillmesh.llm.suffix_dedup import LENGTH, suffix_dedup, suffix_dedup_digest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, token string, label long"
 
@@ -143,18 +145,71 @@ def brute_cut(texts):
     return out
 
 
-@pytest.mark.parametrize(("seed", "letters"), [(1, "abcdefghij"), (2, "ab")])
+@pytest.mark.parametrize(("seed", "letters"), [(1, "abcdefghij"), (2, "ab"), (3, "a")])
 def test_suffix_dedup_equals_brute_force(spark, seed, letters):
     texts = suffix_texts(seed, letters)
     got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffix_dedup_digest(frame(spark, texts)).collect()}
     assert got == brute_cut(texts)
 
 
-def test_large_buckets_are_counted(spark, monkeypatch):
+@pytest.mark.parametrize(("block", "per_task"), [(1, 50_000), (3, 50_000), (16384, 1)])
+def test_crowded_and_salted_buckets(spark, monkeypatch, block, per_task):
+    """Hashes with more contexts than a block holds, and all hashes dealt by salt."""
     import quillmesh.llm.suffix_dedup as S
 
-    monkeypatch.setattr(S, "BLOCK", 1)
+    salts = np.full(S.sketch.CELLS, 3) if per_task == 1 else np.ones(S.sketch.CELLS, np.int64)
+    monkeypatch.setattr(S, "ranked", functools.partial(ranked_with, S.ranked, block, salts))
     texts = suffix_texts(3, "abcdef")
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup(frame(spark, texts)).collect()}
     assert got == {i: x[1:3] for i, x in brute_cut(texts).items()}
-    assert counted_windows is S.counted_windows
+
+
+def ranked_with(real, block, salts, found, cells):
+    """`ranked`, under another block size and other salts; the workers see neither patch, so what they need is set in the closure."""
+    import quillmesh.llm.suffix_dedup as S
+
+    rows = found.collect()
+    out = []
+    for salt in range(int(salts.max())):
+        stream = S._Ranked(salts > 1)
+        some = sorted((r["hash"], r["ctx"], r["doc"], r["mark"], r["place"]) for r in rows if r["ctx"] % int(salts.max()) == salt)
+        keep, S.BLOCK = S.BLOCK, block
+        for lo in range(0, len(some), 7):
+            part = list(zip(*some[lo : lo + 7], strict=True))
+            out += stream.take([np.array(part[i], t) for i, t in ((2, np.int64), (3, np.int32), (4, np.int64), (0, np.int64), (1, np.int64))]).to_pylist()
+        out += stream.take([x[:0] for x in stream.rows], ends=True).to_pylist()
+        S.BLOCK = keep
+    return found.sparkSession.createDataFrame([(r["doc"], r["mark"], r["place"], r["hash"], r["what"]) for r in out], "doc long, mark int, place long, hash long, what int")
+
+
+def test_ranked_stream_equals_groups():
+    """The stream over batches of any size against plain groups."""
+    import quillmesh.llm.suffix_dedup as S
+
+    rng = random.Random(5)
+    for size in (1, 2, 3, 10, 1000):
+        rows = sorted((rng.randrange(12), rng.randrange(3)) for _ in range(60))
+        stream, got = S._Ranked(np.zeros(S.sketch.CELLS, bool)), []
+        for lo in range(0, 60, size):
+            part = rows[lo : lo + size]
+            got += stream.take([np.arange(lo, lo + len(part)), np.zeros(len(part), np.int32), np.zeros(len(part), np.int64), np.array([x[0] for x in part]), np.array([x[1] for x in part])]).to_pylist()
+        got += stream.take([x[:0] for x in stream.rows], ends=True).to_pylist()
+        covered = sorted(r["doc"] for r in got if r["what"] == S.COVERED)
+        assert covered == [i for i, x in enumerate(rows) if rows.count(x) > 1]
+        stands = sorted(rows[r["doc"]] for r in got if r["what"] == S.REPRESENTATIVE)
+        assert stands == sorted(x for x in set(rows) if len({c for h, c in rows if h == x[0]}) > 1)
+
+
+def test_suffix_dedup_ids_and_long_texts(spark):
+    """Rows without an id, one id with two texts, equal rows, a text of several segments and extra columns."""
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    a, b, long_ = draw(500), draw(700), draw((1 << 20) + 3000)
+    seam = (1 << 20) - 400
+    texts = [(None, a), (1, a), (2, b), (2, draw(800)), (None, draw(600)), (3, draw(450)), (3, draw(10) + b), (4, long_), (5, "q" * 5 + long_[seam - 700 : seam + 900]), (6, long_[-600:]), (7, b + "x")]
+    texts += [(8, t := draw(400)), (8, t)]
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in texts], "doc_id long, text string, doc long, hash string")
+    wanted = brute_cut(list(enumerate(t for _, t in texts)))
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup_digest(docs).collect() if r["doc_id"] is not None)
+    assert got == sorted((False, texts[i][0], *x) for i, x in wanted.items() if texts[i][0] is not None)
+    assert sorted(r["n_removed"] for r in suffix_dedup_digest(docs).where("doc_id IS NULL").collect()) == [0, 500]
