@@ -7,9 +7,10 @@ import pytest
 
 import corpus_pipeline
 from quillmesh.llm.chat import PROBE_TEXT, Template, format_conversations, read_back
+from quillmesh.llm.common import Scratch
 from quillmesh.llm.decontaminate import clean_documents, decontaminate
 from quillmesh.llm.licenses import TEMPLATES, Index, align, scan, scan_licenses
-from quillmesh.llm.line_dedup import dedup_lines
+from quillmesh.llm.line_dedup import dedup_lines, later_copies
 from quillmesh.llm.mixing import mix, source_rates
 from quillmesh.llm.quality import quality
 from quillmesh.llm.toxicity import fit, toxicity
@@ -54,22 +55,38 @@ def test_line_runs_later_copies_go(spark):
     assert rows[3] == ("", 2, 1) and rows[4] == (None, 0, 0) and rows[5] == ("", 0, 0)
 
 
-@pytest.mark.parametrize("least", [1, 3, 4])
-def test_line_runs_of_other_lengths_against_brute_force(spark, least):
-    rng = random.Random(least)
-    texts = ["\n".join(rng.choice("abcd") + "!" for _ in range(rng.randrange(12))) for _ in range(12)]
-    seen, wanted = set(), {}
+def brute_lines(texts, least):
+    """Lines left by ids 0, 1, ...: every run of `least` lines that starts at an earlier place as well goes, but for lines of that first place's run."""
+    first, wanted = {}, {}
     for i, t in enumerate(texts):
-        ls = [x for x in t.split("\n") if x]
-        runs = [tuple(ls[k : k + least]) for k in range(len(ls) - least + 1)]
+        ls = [x for x in (t or "").split("\n") if x.strip()]
         gone = set()
-        for k, r in enumerate(runs):
-            if r in seen:
-                gone |= set(range(k, k + least))
-            seen.add(r)
-        wanted[i] = [x for k, x in enumerate(ls) if k not in gone]
-    got = {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in dedup_lines(frame(spark, texts), min_lines=least).collect()}
-    assert got == wanted
+        for k in range(len(ls) - least + 1):
+            d, at = first.setdefault(tuple(ls[k : k + least]), (i, k))
+            if (d, at) != (i, k):
+                gone |= {x for x in range(k, k + least) if d != i or x >= at + least}
+        wanted[i] = ([x for k, x in enumerate(ls) if k not in gone], len(gone), sum(1 for x in gone if x - 1 not in gone))
+    return wanted
+
+
+@pytest.mark.parametrize(("least", "letters"), [(1, "abcd"), (2, "abcd"), (3, "abcd"), (4, "abcd"), (2, "a"), (3, "ab"), (5, "ab")])
+def test_line_runs_against_brute_force(spark, least, letters):
+    rng = random.Random(least)
+    draw = lambda n: [rng.choice(letters) + "!" for _ in range(n)]
+    passage = [f"p{i}" for i in range(37)]
+    texts = ["\n".join(draw(rng.randrange(12))) for _ in range(12)]
+    texts += ["\n".join(draw(2) + passage[a : a + n] + draw(2) + ["", "x"]) for a, n in ((0, 37), (0, 37), (3, 20), (10, 27), (30, 7))]
+    texts += [texts[-1], None, "", " \n\n", "a!\n" * 9]
+    got = {r["doc_id"]: ([x for x in (r["text"] or "").split("\n") if x.strip()], r["n_removed"], r["n_runs"]) for r in dedup_lines(frame(spark, texts), min_lines=least).collect()}
+    assert got == brute_lines(texts, least)
+
+
+def test_maximal_line_runs_have_their_lcp(spark):
+    """The runs that the LCP gives are maximal: 41 lines of one document in another, and 5 in a third."""
+    passage = [f"line {i}" for i in range(41)]
+    texts = ["\n".join(x) for x in (["a", *passage, "b"], ["c", *passage, "d"], ["e", *passage[7:12], "f"])]
+    runs = later_copies(frame(spark, texts), Scratch(spark, "test")).collect()
+    assert sorted((r["start"], r["length"], r["opos"]) for r in runs) == [(1, 5, 8), (1, 41, 1)]
 
 
 def test_long_single_lines_are_runs_in_the_pipeline(spark):
