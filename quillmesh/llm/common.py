@@ -77,3 +77,8 @@ def of_documents(docs: DataFrame, ids: DataFrame, key: str, max_broadcast: int =
     """The rows of docs whose key is in ids (one column, distinct). The ids are broadcast up to a counted number, else both sides are shuffled."""
     small = ids.count() <= max_broadcast
     return docs.join(F.broadcast(ids) if small else ids, key, "left_semi")
+
+
+def doc_key(id_col: str, text_col: str) -> list[Column]:
+    """k1, k2: 128 bits that name a document, an id and a text; either may be null."""
+    return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(5), F.col(text_col), F.col(id_col)).alias("k2")]

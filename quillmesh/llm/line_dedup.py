@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, Scratch, barrier
+from .common import WORD_CLASS, Scratch, barrier, doc_key
 
 MIN_LINES = 2
 LONG_WORDS = 50
@@ -41,11 +41,6 @@ REPORT = ("n_lines", "n_removed", "n_runs")
 KEY = ("k1", "k2")
 
 
-def doc_key(id_col: str, text_col: str) -> list[Column]:
-    """128 bits that name a document, an id and a text."""
-    return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(5), F.col(text_col), F.col(id_col)).alias("k2")]
-
-
 def joined_name(left: str, right: str) -> list[Column]:
     """The name of two runs that follow each other."""
     return [F.xxhash64(f"{left}.a", f"{right}.a").alias("a"), F.xxhash64(F.lit(3), f"{left}.b", f"{right}.b").alias("b")]

@@ -1,6 +1,7 @@
 """The other training-data operators on small fixtures."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -129,7 +130,49 @@ def test_part_of_an_item_is_enough_in_the_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()} == set()
     short = frame(spark, ["a b " + " ".join(item[20:29]) + " c d", "e f g"]).selectExpr("doc_id", "text", "'en' lang", "source", "n_chars")
     assert {r["doc_id"] for r in corpus_pipeline.decontamination_stage(spark, short, str(tmp_path)).collect()} == {0, 1}
-    assert {r["doc_id"] for r in clean_documents(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()} == {0, 1, 2, 3, 4}
+
+
+def brute_overlap(doc, item):
+    """Equal tokens of the best overlap over all diagonals, 0 without any."""
+    low = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    d, b, best = low(doc), low(item), 0
+    width = min(len(b), 13)
+    for diagonal in range(-len(b), len(d) + 1):
+        equal = [0 <= j + diagonal < len(d) and d[j + diagonal] == w for j, w in enumerate(b)]
+        dense = [i for i in range(len(b) - width + 1) if width and sum(equal[i : i + width]) >= max(8, 0.75 * width)]
+        if dense:
+            best = max(best, sum(equal[dense[0] : dense[-1] + width]))
+    return best
+
+
+def test_overlaps_against_brute_force(spark):
+    """Items with substitutions, insertions, deletions and cuts, null and repeated ids; every diagonal compared, without seeds."""
+    rng = random.Random(9)
+    items = {i: [f"w{rng.randrange(400)}" for _ in range(n)] for i, n in enumerate((7, 8, 9, 13, 14, 20, 59))}
+    texts = [None, "", "a b c", " ".join(items[3] * 3)]
+    for words in items.values():
+        for kind in range(12):
+            part = list(words)
+            for _ in range(kind // 4):
+                part[rng.randrange(len(part))] = "x"
+            if kind % 4 == 1:
+                part.insert(len(part) // 2, "y")
+            if kind % 4 == 2:
+                del part[len(part) // 2]
+            if kind % 4 == 3:
+                part = part[len(part) // 3 :]
+            texts.append(" ".join([f"w{rng.randrange(400)}" for _ in range(5)] + part + ["z"]))
+    ids = [None if i % 9 == 0 else 5 if i % 9 == 1 else 100 + i for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, k1 long, seed string")
+    bench = spark.createDataFrame([(i, " ".join(w), "x") for i, w in items.items()] + [(3, " ".join(items[3]), "y"), (None, texts[-1], "")], "item_id long, text string, tokens string")
+    order = lambda rows: sorted(rows, key=repr)
+    wanted = []
+    for i, t in zip(ids, texts, strict=True):
+        found = {k: n for k, w in items.items() if (n := brute_overlap(t, " ".join(w)))}
+        wanted.append((i, len(found), min(found, default=None), max(found.values(), default=0)))
+    missed = [x for x in zip(order(wanted), order((r["doc_id"], r["n_items"], r["first_item"], r["max_matched"]) for r in decontaminate(docs, bench).collect()), strict=True) if x[0] != x[1]]
+    assert not missed
+    assert sum(x[1] > 0 for x in wanted) > 25
 
 
 # --- mixing
