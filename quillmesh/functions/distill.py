@@ -19,10 +19,13 @@ INVISIBLE_TEXT = "".join(map(chr, INVISIBLE))
 
 # Named entities and what they stand for.
 ENTITIES = {
-    "amp": "&", "apos": "'", "bdquo": "„", "bull": "•", "cent": "¢", "copy": "©", "dagger": "†", "deg": "°", "emsp": " ", "ensp": " ", "euro": "€",
-    "gt": ">", "hellip": "…", "laquo": "«", "ldquo": "“", "lrm": "‎", "lsquo": "‘", "lt": "<", "mdash": "—", "middot": "·", "nbsp": " ", "ndash": "–",
-    "para": "¶", "permil": "‰", "pound": "£", "prime": "′", "quot": '"', "raquo": "»", "rdquo": "”", "reg": "®", "rlm": "‏", "rsquo": "’",
-    "sbquo": "‚", "sect": "§", "shy": "­", "thinsp": " ", "trade": "™", "yen": "¥", "zwj": "‍", "zwnj": "‌",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
+    "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
+    "nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": " ",
+    "mdash": "—", "ndash": "–", "hellip": "…",
+    "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“", "sbquo": "‚", "bdquo": "„", "laquo": "«", "raquo": "»",
+    "deg": "°", "euro": "€", "pound": "£", "cent": "¢", "yen": "¥", "sect": "§", "para": "¶", "dagger": "†", "permil": "‰", "prime": "′",
+    "shy": "­", "zwnj": "‌", "zwj": "‍", "lrm": "‎", "rlm": "‏",
 }
 
 BLOCKS = "p|div|tr|li|h[1-6]|table|ul|ol|blockquote|section|article|header|footer"

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..functions.scalars import all_of, blank_to_null
@@ -123,11 +122,64 @@ def evict(messages: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.withColumns({"body_text": F.when(~hit, F.col("body_text")), "body_state": state}).drop("__hit")
 
 
+def active_selector(rule: str | None = None, sender: str | None = None, match: list[str] | None = None) -> str | None:
+    """Which rule holds: `direct` unless another is named or the selection is narrowed by sender or match."""
+    return rule or (None if sender or match else "direct")
+
+
+def select_backlog(messages: DataFrame, rule: str | None = None, sender: str | None = None, match: list[str] | None = None, since_ms: int | None = None, limit: int | None = None) -> DataFrame:
+    """Metadata-only messages to enrich, newest first, by all the selectors given: rule (direct or all), sender's address, search terms, earliest date; of each account at most limit, with their rank."""
+    rows = messages.where(F.col("body_state") == "meta")
+    if active_selector(rule, sender, match) == "direct":
+        rows = rows.where(is_direct())
+    if sender:
+        rows = rows.where(S.extract_address(F.col("from_addr")) == sender.lower())
+    if since_ms is not None:
+        rows = rows.where(F.col("internal_date") >= since_ms)
+    if match:
+        rows = rows.join(matching_terms(rows, match), ["account", "gmail_message_id"], "left_semi")
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("account").orderBy(F.desc_nulls_last("internal_date"), "gmail_message_id")))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+
+
+def matching_terms(messages: DataFrame, terms: list[str]) -> DataFrame:
+    """(account, gmail_message_id) of the messages that the search index finds for any term."""
+    from .search import index_of_messages
+
+    hits = index_of_messages(messages).search([t.strip() for t in terms if t.strip()]).select("docid")
+    return messages.select("account", "gmail_message_id", S.message_ref(F.col("account"), F.col("gmail_message_id")).alias("docid")).join(hits, "docid", "left_semi").drop("docid")
+
+
 # --- trigger rules
 
+# What conditions may name.
+CATEGORIES = ["primary", "promotions", "social", "updates", "forums"]
+CURATIONS = ["important", "muted", "blocked"]
+
+
+def check_conditions(conditions: list[tuple[str, object]]) -> None:
+    """ValueError unless a rule has conditions and each is valid."""
+    if not conditions:
+        raise ValueError("a rule needs a condition")
+    for kind, value in conditions:
+        if kind == "category":
+            fine = value in CATEGORIES
+        elif kind == "interest_profile":
+            fine = value in CURATIONS
+        elif kind in ("is_list", "correspondent"):
+            fine = isinstance(value, bool)
+        elif kind == "subject_fts":
+            fine = isinstance(value, (list, tuple)) and any(isinstance(t, str) and t.strip() for t in value)
+        elif kind in ("label", "from_addr", "from_domain"):
+            fine = isinstance(value, str) and bool(value.strip())
+        else:
+            raise ValueError(f"no such condition: {kind}")
+        if not fine:
+            raise ValueError(f"not a value of {kind}: {value!r}")
+
 
 def condition_column(kind: str, value, strict: bool = False) -> Column:
-    """A trigger condition over messages joined with contacts (msgs_sent, curation) and domains (domain_curation)."""
+    """A trigger condition, all but subject_fts, over messages joined with contacts (msgs_sent, curation) and domains (domain_curation)."""
     sender = F.lower(F.coalesce("from_addr", F.lit(""))) if strict else S.extract_address(F.col("from_addr"))
     made = {
         "category": lambda: F.col("category") == value,
@@ -137,17 +189,20 @@ def condition_column(kind: str, value, strict: bool = False) -> Column:
         "label": lambda: F.array_contains("labels", value),
         "from_addr": lambda: sender == value.lower(),
         "from_domain": lambda: sender.endswith("@" + value.lower()),
-        "subject_fts": lambda: reduce(lambda a, b: a | b, [F.lower(F.concat_ws(" ", "subject", "from_addr", "to_addr", "cc_addr", "snippet", "body_text", "summary_text")).rlike(r"(?<![\p{L}\p{N}])" + t.lower()) for t in value]),
     }
     return F.coalesce(made[kind](), F.lit(False))
 
 
 def matching(messages: DataFrame, contacts: DataFrame, domains: DataFrame, conditions: list[tuple[str, object]], batch: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """Messages (of a batch of ids, if given) that meet every condition."""
+    """Messages (of a batch of ids, if given) that meet every condition; subject_fts asks the search index (stemmed prefixes over all its columns)."""
+    check_conditions(conditions)
     rows = messages if batch is None else messages.join(batch, ["account", "gmail_message_id"], "left_semi")
+    for kind, value in conditions:
+        if kind == "subject_fts":
+            rows = rows.join(matching_terms(rows, value), ["account", "gmail_message_id"], "left_semi")
     address = F.lower("from_addr") if strict else S.extract_address(F.col("from_addr"))
     rows = rows.withColumn("__address", address).withColumn("__host", S.host_of(F.col("__address")))
     c = contacts.select("account", F.col("address").alias("__address"), "msgs_sent", "curation")
     d = domains.select("account", F.col("domain").alias("__host"), F.col("curation").alias("domain_curation"))
     rows = rows.join(c, ["account", "__address"], "left").join(d, ["account", "__host"], "left")
-    return rows.where(all_of([condition_column(k, v, strict) for k, v in conditions])).select(*messages.columns)
+    return rows.where(all_of([condition_column(k, v, strict) for k, v in conditions if k != "subject_fts"])).select(*messages.columns)

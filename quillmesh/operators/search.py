@@ -21,12 +21,12 @@ from pyspark.sql.types import StringType
 # Column weights, synonyms.
 WEIGHTS = {"subject": 10.0, "sender": 8.0, "recipients": 4.0, "body": 1.0}
 SYNONYMS = {
-    "airfare": ("flight", "itinerary"),
-    "bill": ("invoice", "receipt"),
-    "flight": ("airfare", "itinerary"),
-    "invoice": ("receipt", "bill"),
-    "receipt": ("invoice", "bill"),
-    "refund": ("reimbursement", "credit"),
+    "invoice": ["receipt", "bill"],
+    "receipt": ["invoice", "bill"],
+    "bill": ["invoice", "receipt"],
+    "flight": ["airfare", "itinerary"],
+    "airfare": ["flight", "itinerary"],
+    "refund": ["reimbursement", "credit"],
 }
 K1, B = 1.2, 0.75
 

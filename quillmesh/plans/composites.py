@@ -102,3 +102,33 @@ def profile_backlog(messages: DataFrame, contacts: DataFrame, domains: DataFrame
 def correspondents(contacts: DataFrame, cap: int) -> DataFrame:
     """Addresses the user writes to, strongest ties first."""
     return top(contacts.where("msgs_sent > 0"), cap, F.desc("msgs_sent"), F.desc("replied_count"), F.col("address"))
+
+
+# How much one run of a sweep takes on, and how correspondents are asked for.
+RETENTION_BATCH, BACKFILL_BATCH, INLINE_ENRICH_BATCH, FEED_BATCH = 200, 100, 50, 200
+CORRESPONDENT_CHUNK, CORRESPONDENT_CAP = 25, 500
+
+
+def retention_batch(messages: DataFrame, contacts: DataFrame, domains: DataFrame, cutoff_ms: int, limit: int = RETENTION_BATCH) -> DataFrame:
+    """The next bodies of each account to evict, oldest first; the sweep is done once none is left."""
+    return top(M.evictable(messages, contacts, domains, cutoff_ms), limit, F.asc("internal_date"), F.col("gmail_message_id"))
+
+
+def enrich_batch(messages: DataFrame, cutoff_ms: int | None, limit: int = BACKFILL_BATCH) -> DataFrame:
+    """The next messages of each account to enrich: direct ones in the window, newest first."""
+    return M.select_backlog(messages, since_ms=cutoff_ms, limit=limit)
+
+
+def correspondent_queries(contacts: DataFrame, cap: int = CORRESPONDENT_CAP, chunk: int = CORRESPONDENT_CHUNK) -> DataFrame:
+    """(account, chunk, query): an account's correspondents in provider queries of so many addresses each."""
+    rows = correspondents(contacts, cap).withColumn("chunk", F.floor((F.col("rank") - 1) / chunk).cast("int"))
+    found = rows.groupBy("account", "chunk").agg(F.sort_array(F.collect_list(F.struct("rank", "address"))).alias("l"))
+    return found.select("account", "chunk", F.concat(F.lit("from:{"), F.array_join("l.address", " "), F.lit("}")).alias("query"))
+
+
+def backfill_slice(source_messages: DataFrame, contacts: DataFrame, since_ms: int, until_ms: int, cap: int = CORRESPONDENT_CAP) -> DataFrame:
+    """What a slice of history [since, until) brings in: everything sent, and what the correspondents of each account sent."""
+    rows = source_messages.where((F.col("internal_date") >= since_ms) & (F.col("internal_date") < until_ms))
+    people = correspondents(contacts, cap).select("account", F.col("address").alias("__address"))
+    theirs = rows.where("direction <> 'sent'").withColumn("__address", S.extract_address(F.col("from_addr"))).join(people, ["account", "__address"], "left_semi")
+    return rows.where("direction = 'sent'").unionByName(theirs.select(*rows.columns))

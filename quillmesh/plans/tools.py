@@ -9,6 +9,9 @@ provider read `archive.source` (message payloads at hand) or report that there i
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+import hmac
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import distill as D
 from ..functions import images as I
 from ..functions import scalars as S
-from ..operators import graph, messages as M, rollups as R, scoring, search
+from ..operators import graph, messages as M, rollups as R, runs, scoring, search
 from ..sources import payload
 from . import composites as C
 
@@ -43,6 +46,7 @@ class Archive:
     consumers: dict[str, dict] = field(default_factory=dict)
     label_names: dict[str, str] = field(default_factory=dict)
     runs: DataFrame | None = None
+    jobs: DataFrame | None = None
     source: DataFrame | None = None  # parsed payloads
 
     def _overlay(self, values: dict, key: str, column: str) -> DataFrame:
@@ -94,9 +98,9 @@ def _of(rows: DataFrame, account: str | None) -> DataFrame:
     return rows if account is None else rows.where(F.col("account") == account)
 
 
-def _hits(rows: DataFrame) -> DataFrame:
+def _hits(rows: DataFrame, *more: str) -> DataFrame:
     snippet = S.compact_snippet(F.col("snippet")) if "snippet" in rows.columns else F.lit(None).cast("string")
-    return rows.select(S.message_ref(F.col("account"), F.col("gmail_message_id")).alias("ref"), "account", "thread_id", "internal_date", "from_addr", *[c for c in ("subject",) if c in rows.columns], snippet.alias("snippet"), "labels", "unread", "body_state")
+    return rows.select(S.message_ref(F.col("account"), F.col("gmail_message_id")).alias("ref"), "account", "thread_id", "internal_date", "from_addr", *[c for c in ("subject",) if c in rows.columns], snippet.alias("snippet"), "labels", "unread", "body_state", *more)
 
 
 def _message(archive: Archive, ref: str) -> DataFrame:
@@ -118,9 +122,10 @@ def _one(rows: DataFrame, ref: str) -> dict:
 
 @tool
 def search_(archive: Archive, query: str, account: str | None = None, limit: int = 15) -> DataFrame:
-    hits = search.index_of_messages(archive.messages).search(search.expand_query(query.split()))
-    rows = archive.messages.withColumn("docid", S.message_ref(F.col("account"), F.col("gmail_message_id"))).join(hits, "docid")
-    return _of(rows, account).orderBy("score", F.desc("internal_date"), "docid").limit(limit)
+    messages = _of(archive.messages, account)
+    hits = search.index_of_messages(messages).search(search.expand_query(query.split()))
+    best = messages.withColumn("docid", S.message_ref(F.col("account"), F.col("gmail_message_id"))).join(hits, "docid").orderBy("score", F.desc("internal_date"), "docid").limit(limit)
+    return _hits(best, "score").orderBy("score", F.desc("internal_date"), "ref")
 
 
 TOOLS["search"] = TOOLS.pop("search_")
@@ -267,22 +272,45 @@ def settings_set(archive: Archive, account: str, **patch: Any) -> dict:
 
 @tool
 def backfill_bodies(archive: Archive, account: str) -> dict:
-    import datetime as dt
-
     cutoff = S.window_cutoff(settings_get(archive, account)["body_window_months"], dt.datetime.fromtimestamp(archive.now_ms / 1000, dt.UTC))
     rows = _of(archive.messages, account).where("body_state = 'meta'")
     return {"account": account, "cutoff_ms": cutoff, "pending": (rows if cutoff is None else rows.where(F.col("internal_date") >= cutoff)).count()}
 
 
-@tool
-def onboarding(archive: Archive, account: str) -> dict:
-    """What comes next: sync, curate, categorize or done."""
-    steps = {
-        "sync": not _of(archive.messages, account).isEmpty(),
-        "curate": any(a == account for a, _ in (*archive.contact_curation, *archive.domain_curation)) or bool(archive.keywords.get(account)),
-        "categorize": any(a == account for a, _ in archive.categories),
+# The steps of the guided first run in their order, and the answers that each offers.
+ONBOARDING = {
+    "accounts": ["yes"],
+    "retention": [3, 6, 12, 0],
+    "interests": ["propose", "skip"],
+    "backfill": ["now", "skip"],
+}
+
+
+@tool
+def onboarding(archive: Archive, account: str, step: str | None = None, answer: str | int | None = None) -> dict:
+    """The guided first run: stores the answer to a step and returns the next one with its question and options. Once the last is answered it stays done."""
+    if step is not None and step not in ONBOARDING:
+        raise ValueError(f"no such step: {step}")
+    if step == "retention" and answer is not None:
+        settings_set(archive, account, body_window_months=int(answer), retention="window" if int(answer) > 0 else "off")
+    pending = None
+    if step == "backfill" and answer is not None:
+        pending = None if answer == "skip" else backfill_bodies(archive, account)["pending"]
+        settings_set(archive, account, onboarding_completed_at=dt.datetime.fromtimestamp(archive.now_ms / 1000, dt.UTC).isoformat())
+    settings, names = settings_get(archive, account), list(ONBOARDING)
+    done = len(names) if settings["onboarding_completed_at"] else names.index(step) + 1 if step else 0
+    months = settings["body_window_months"]
+    questions = {
+        "accounts": f"{account} is indexed. Go on to how much of it stays readable at once?",
+        "retention": "For how many months are whole bodies kept? Headers and snippets always are.",
+        "interests": "Which senders and topics keep their bodies for longer?",
+        "backfill": f"Fetch the missing bodies of the last {months} months now?",
     }
-    return {"steps": steps, "next": next((k for k, done in steps.items() if not done), "done")}
+    at = names[done] if done < len(names) else "done"
+    return {
+        "step": at, "question": questions.get(at, "Setup is complete."), "options": ONBOARDING.get(at, []), "remaining_steps": names[done + 1 :],
+        "progress": {"done": min(done, len(names)), "total": len(names)}, "pending_bodies": pending,
+    }
 
 
 @tool
@@ -355,14 +383,22 @@ def cadence(archive: Archive, account: str | None = None, since: str | None = No
 
 @tool
 def sync_status(archive: Archive) -> DataFrame:
+    """Each account's body states, and as far as runs and jobs are known its freshness, live run, queue depth and newest sync job."""
     states = R.body_state_counts(archive.messages)
-    return states if archive.runs is None else states.join(R.index_as_of(archive.runs).where("account IS NOT NULL"), "account", "left")
+    if archive.runs is not None:
+        states = states.join(R.index_as_of(archive.runs).where("account IS NOT NULL"), "account", "left")
+        if "id" in archive.runs.columns:
+            states = states.join(runs.active_runs(archive.runs, archive.now_ms).withColumnRenamed("id", "active_run"), "account", "left")
+    return states if archive.jobs is None else states.join(runs.queue_status(archive.jobs), "account", "left")
 
 
 @tool
 def relay_menu_status(archive: Archive) -> dict:
+    """Counts, whether any account syncs now, and the least fresh account's age."""
     counts = archive.messages.agg(F.count("*").alias("messages"), F.countDistinct("account").alias("accounts")).first().asDict()
-    return counts | freshness(archive)
+    syncing = archive.runs is not None and "id" in archive.runs.columns and not runs.active_runs(archive.runs, archive.now_ms).isEmpty()
+    oldest = None if archive.runs is None else R.index_as_of(archive.runs).where("account IS NOT NULL").agg(F.min("as_of")).first()[0]
+    return counts | freshness(archive) | {"any_syncing": syncing, "oldest_as_of": oldest}
 
 
 @tool
@@ -391,10 +427,9 @@ def digest_sources(archive: Archive, account: str, since: str = "7d", limit: int
 
 @tool
 def trigger_rule_save(archive: Archive, rule_id: str, account: str, conditions: list[tuple[str, Any]], consumers: list[str] | None = None, enabled: bool = True) -> dict:
-    if not conditions:
-        raise ValueError("a rule needs a condition")
-    for kind, value in conditions:
-        M.condition_column(kind, value)
+    M.check_conditions(conditions)
+    if unknown := [c for c in consumers or [] if c not in archive.consumers]:
+        raise ValueError(f"no such consumer: {unknown[0]}")
     archive.rules[rule_id] = {"id": rule_id, "account": account, "conditions": list(conditions), "consumers": consumers or [], "enabled": enabled}
     return archive.rules[rule_id]
 
@@ -410,11 +445,12 @@ def trigger_rule_delete(archive: Archive, rule_id: str) -> dict:
 
 
 @tool
-def webhook_consumer_register(archive: Archive, consumer_id: str, url: str) -> dict:
+def webhook_consumer_register(archive: Archive, consumer_id: str, url: str, secret: str = "") -> dict:
+    """The secret signs deliveries (`signature`) and is never returned."""
     if not url.startswith("https://"):
         raise ValueError("a consumer needs an https address")
-    archive.consumers[consumer_id] = {"id": consumer_id, "url": url}
-    return archive.consumers[consumer_id]
+    archive.consumers[consumer_id] = {"id": consumer_id, "url": url, "secret": secret}
+    return {"id": consumer_id, "url": url, "signed": bool(secret)}
 
 
 @tool
@@ -422,6 +458,11 @@ def webhook_consumer_delete(archive: Archive, consumer_id: str) -> dict:
     return {"deleted": archive.consumers.pop(consumer_id, None) is not None}
 
 
+def signature(secret: str, body: str) -> str:
+    """The HMAC-SHA256 of a delivery's body, in hexadecimal digits."""
+    return hmac.new(secret.encode(), body.encode(), hashlib.sha256).hexdigest()
+
+
 def fired(archive: Archive, batch: DataFrame) -> dict[str, DataFrame]:
     """Per enabled rule the messages of a batch (account, gmail_message_id) that match it."""
     contacts, domains = archive.contacts(), archive.domains()

@@ -1,15 +1,17 @@
 """Rollups against a plain fold, and the other operators on small mailboxes."""
 
+import json
 import random
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.operators import feed, graph, messages as M, rollups as R, scoring, search
+from quillmesh.operators import feed, graph, messages as M, rollups as R, runs, scoring, search
 from quillmesh.plans import composites as C
-from quillmesh.plans.tools import TOOLS, Archive, call, fired
+from quillmesh.plans.tools import TOOLS, Archive, call, fired, signature
 from quillmesh.sources import ndjson, payload
+from quillmesh.sources.provider import TableSource
 
 MAIL = "account string, gmail_message_id string, thread_id string, internal_date long, from_addr string, to_addr string, cc_addr string, subject string, labels array<string>, category string, is_list boolean, direction string, unread int, starred int, important int, body_state string, body_text string, summary_text string, summarized_at long, snippet string, own string"
 
@@ -201,7 +203,27 @@ def test_payloads(spark):
     row = payload.metadata(parsed, "acc", ["me@x.y"]).first()
     assert (row["from_addr"], row["is_list"], row["category"], row["unread"], row["direction"], row["internal_date"]) == ("A <a@b.c>", True, "primary", 1, "received", 12)
     assert payload.bodies(parsed).first().asDict() == {"id": "i1", "text": "héllo", "html": "<b>"}
-    assert {(r["attachment_id"], r["filename"]) for r in payload.attachments(parsed).collect()} == {("att", "f.pdf"), ("inline:0.2", "i.png")}
+    assert {(r["attachment_id"], r["filename"]) for r in payload.attachments(parsed).collect()} == {("att", "f.pdf"), ("inline:2", "i.png")}
+    assert [r["status"] for r in payload.storable(parsed, "acc").collect()] == []  # a list's mail
+
+
+def test_payload_trees_of_any_depth(spark):
+    leaf = {"mimeType": "text/plain", "body": {"data": "aMOpbGxv"}}
+    files = [{"mimeType": "application/x-dosexec", "filename": "a.exe", "body": {"attachmentId": "e", "size": 3}}, {"mimeType": " ", "filename": "Füße (1).txt", "body": {"data": "aGk"}}, {"mimeType": "text/plain", "filename": "f", "body": {"attachmentId": "big", "size": 26 * 1024 * 1024}}, {"filename": "none", "body": {}}, {"mimeType": "text/plain", "filename": "apart", "body": {"attachmentId": "p", "size": 2}}]
+    tree = {"mimeType": "multipart/mixed", "parts": [leaf, *files]}
+    for _ in range(40):
+        tree = {"mimeType": "multipart/mixed", "headers": [{"name": "X", "value": "y"}], "parts": [tree]}
+    lines = [json.dumps({"id": "deep", "labelIds": ["INBOX"], "payload": tree}), json.dumps({"id": "auto", "payload": {**tree, "headers": [{"name": "Auto-Submitted", "value": "yes"}]}}), json.dumps({"id": "junk", "labelIds": ["spam"], "payload": tree}), json.dumps({"id": "bare"})]
+    parsed = payload.parse(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert {r["id"]: r["text"] for r in payload.bodies(parsed).collect()} == {"deep": "héllo", "auto": "héllo", "junk": "héllo", "bare": None}
+    stored = {r["filename"]: r for r in payload.storable(parsed, "a b", spark.createDataFrame([("deep", "p", "aGk=")], "id string, attachment_id string, data string")).collect()}
+    assert {k: r["status"] for k, r in stored.items()} == {"a.exe": "rejected_by_policy", "Füße (1).txt": "stored", "f": "rejected_by_policy", "apart": "stored"}
+    one = stored["Füße (1).txt"]
+    assert (bytes(one["content"]), one["stored_name"], one["attachment_id"], one["mime_type"]) == (b"hi", "F__e__1_.txt", "inline:" + "0." * 40 + "2", "application/octet-stream")
+    assert stored["apart"]["storage_key"] == "crm/a%20b/deep/p-apart"
+    events = payload.attachment_events(payload.storable(parsed, "a b"), "a b").collect()
+    assert sorted(json.loads(r["payload"])["importStatus"] for r in events) == ["rejected_by_policy", "rejected_by_policy", "stored"]
+    assert {r["dedupe_key"] for r in events} >= {"attachment:a b:deep:e:rejected"}
 
 
 def test_triggers(spark):
@@ -223,7 +245,7 @@ def test_tools(spark):
     ]
     a = Archive(spark, mail(spark, rows), {"a": ["me@me.org"]}, 13 * day)
     assert len(TOOLS) == 35
-    assert [r["gmail_message_id"] for r in call(a, "search", query="refunds")["result"].collect()] == ["m000"]
+    assert [r["ref"] for r in call(a, "search", query="refunds")["result"].collect()] == ["a:m000"]
     assert call(a, "list_labeled", label="INBOX")["result"].count() == 2
     assert call(a, "get_contact", address="pal@x.com")["result"]["contact"]["replied_count"] == 1
     assert call(a, "get_contact", address="zz")["result"]["contact"] is None
@@ -236,8 +258,22 @@ def test_tools(spark):
     assert call(a, "graph_communities")["result"].count() == 1
     call(a, "trigger_rule_save", rule_id="r", account="a", conditions=[("from_domain", "n.com")])
     assert fired(a, a.messages.select("account", "gmail_message_id"))["r"].count() == 1
-    assert call(a, "settings_set", account="a", body_window_months=3)["result"] == {"body_window_months": 3}
-    assert call(a, "onboarding", account="a")["result"]["next"] == "categorize"
+    assert call(a, "settings_set", account="a", body_window_months=3)["result"]["body_window_months"] == 3
+    assert call(a, "settings_set", account="a", retention="off", backfill_cursor="2020-01-01")["result"] == {"body_window_months": 3, "retention": "off", "onboarding_completed_at": None, "backfill_cursor": "2020-01-01", "backfill_done": False}
+    walk = [call(a, "onboarding", account="a")["result"]["step"]]
+    for step, answer in (("accounts", "yes"), ("retention", 6), ("interests", "skip"), ("backfill", "now")):
+        walk.append(call(a, "onboarding", account="a", step=step, answer=answer)["result"]["step"])
+    assert walk == ["accounts", "retention", "interests", "backfill", "done"] and call(a, "onboarding", account="a")["result"]["step"] == "done"
+    assert (a.settings["a"]["body_window_months"], a.settings["a"]["retention"]) == (6, "window")
+    with pytest.raises(ValueError):
+        call(a, "onboarding", account="a", step="curate")
+    for bad in ([], [("category", "spam")], [("is_list", "yes")], [("subject_fts", [" "])], [("label", " ")], [("size", 3)]):
+        with pytest.raises(ValueError):
+            call(a, "trigger_rule_save", rule_id="x", account="a", conditions=bad)
+    assert call(a, "webhook_consumer_register", consumer_id="c", url="https://h/x", secret="k")["result"] == {"id": "c", "url": "https://h/x", "signed": True}
+    assert signature("key", "The quick brown fox jumps over the lazy dog") == "f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8"
+    counts = call(a, "relay_menu_status")["result"]
+    assert (counts["messages"], counts["any_syncing"]) == (4, False)
     assert call(a, "list_threads", contact="kim@x.com")["result"].count() == 1
     with pytest.raises(ValueError):
         call(a, "save_summary", ref="a:m000", text=" ")
@@ -250,3 +286,58 @@ def test_profile_backlog(spark):
     contacts = spark.createDataFrame([("a", "v@v.com", "important"), ("a", "m@m.com", "muted")], "account string, address string, curation string")
     domains = spark.createDataFrame([], "account string, domain string, curation string")
     assert sorted(r["gmail_message_id"] for r in C.profile_backlog(df, contacts, domains, ["refund"], ["subject"]).collect()) == ["m000", "m001"]
+
+
+def test_backlog_selectors(spark):
+    rows = [{"from_addr": "A <a@x.com>", "internal_date": 30, "subject": "Refunds (due"}, {"from_addr": "l@l.com", "is_list": True, "internal_date": 20, "snippet": "a refund"}, {"from_addr": "p@p.com", "category": "promotions", "internal_date": 40}, {"from_addr": "a@x.com", "body_state": "full", "internal_date": 50}, {"from_addr": "a@x.com"}]
+    df = mail(spark, rows)
+    pick = lambda **by: [r["gmail_message_id"] for r in M.select_backlog(df, **by).orderBy("rank").collect()]
+    assert pick() == ["m000", "m004"] and pick(rule="all") == ["m002", "m000", "m001", "m004"]
+    assert pick(rule="all", limit=1) == ["m002"] and pick(sender="L@L.com") == ["m001"] and pick(sender="l@l.com", rule="direct") == []
+    assert pick(match=["refund"]) == ["m000", "m001"] and pick(match=["(due"], rule="all") == ["m000"] and pick(rule="all", since_ms=30) == ["m002", "m000"]
+    assert C.enrich_batch(df, 10, 1).count() == 1
+
+
+def test_runs_and_identity(spark):
+    hour = 3_600_000
+    empty = spark.createDataFrame([], "id long, account string, phase string, selector string, started_at long, finished_at long, error string, fetched long, indexed long")
+    table, first = runs.acquire(empty, "a", "sync", 100 * hour)
+    with pytest.raises(runs.RunError):
+        runs.acquire(table, "a", "sync", 101 * hour)
+    assert [(r["account"], r["id"]) for r in runs.active_runs(table, 101 * hour).collect()] == [("a", 1)] and runs.active_runs(table, 101 * hour, first).isEmpty()
+    table, second = runs.acquire(table, "a", "sync", 107 * hour)  # the first one has gone stale
+    closed = runs.finish(table, second, 108 * hour, 5, 4, "broken")
+    assert runs.active_runs(closed, 108 * hour).isEmpty() and closed.where("error = 'broken' AND fetched = 5").count() == 1
+    known = runs.guard_identity({}, "a", "Me@x.com", "one")
+    assert runs.guard_identity(known, "a", "me@X.com", "two") == {"a": ("Me@x.com", "two")}
+    with pytest.raises(runs.RunError):
+        runs.guard_identity(known, "a", "you@x.com", "one")
+    jobs = spark.createDataFrame([("a", "sync", "done", 5), ("a", "graph", "queued", 9), ("a", "sync", "running", 7)], "account string, kind string, status string, created_at long")
+    assert [tuple(r) for r in runs.queue_status(jobs).collect()] == [("a", 2, 7)]
+
+
+def test_table_source(spark):
+    day = 86_400_000
+    df = mail(spark, [{"from_addr": "p@x.com", "labels": ["INBOX"], "internal_date": 5 * day}, {"from_addr": "me@me.org", "labels": ["SENT"], "internal_date": 6 * day}, {"from_addr": "Q <q@x.com>", "labels": [], "internal_date": 7 * day}])
+    source = TableSource(df, "me@me.org", 8 * day)
+    ids = lambda **by: [r["gmail_message_id"] for r in source.list_ids(**by).collect()]
+    assert ids() == ["m002", "m001", "m000"] and ids(limit=1) == ["m002"] and ids(include_sent=False) == ["m002", "m000"]
+    assert ids(query="in:inbox") == ["m000"] and ids(since="2d", until="1970-01-08") == ["m001"] and ids(query="from:{q@x.com p@x.com}") == ["m002", "m000"]
+    wanted = spark.createDataFrame([("m002", 0), ("zz", 1), ("m000", 2)], "gmail_message_id string, position int")
+    assert [r["gmail_message_id"] for r in source.metadata(wanted).collect()] == ["m002", "m000"] and "body_text" not in source.metadata(wanted).columns
+    assert source.full("m001")["from_addr"] == "me@me.org" and source.full("zz") is None and source.check()["ok"]
+    catalogue = spark.createDataFrame([("a", "L1", "One", "user"), ("b", "L2", "Two", "user")], "account string, id string, name string, type string")
+    listed = spark.createDataFrame([("L3", "Three", "user")], "id string, name string, type string")
+    assert sorted(r["id"] for r in runs.replace_labels(catalogue, "a", listed).collect()) == ["L2", "L3"]
+    assert runs.replace_labels(catalogue, "a", listed.limit(0)).count() == 2
+
+
+def test_backfill_slices_and_sweeps(spark):
+    df = mail(spark, [{"from_addr": "pal@x.com", "internal_date": 5}, {"from_addr": "bulk@x.com", "internal_date": 5}, {"direction": "sent", "from_addr": "me@me.org", "internal_date": 6}, {"from_addr": "pal@x.com", "internal_date": 10}])
+    contacts = spark.createDataFrame([("a", f"p{i:02d}@x.com", 50 - i, 0) for i in range(30)] + [("a", "pal@x.com", 99, 1), ("a", "bulk@x.com", 0, 0)], "account string, address string, msgs_sent int, replied_count int")
+    assert sorted(r["gmail_message_id"] for r in C.backfill_slice(df, contacts, 0, 10).collect()) == ["m000", "m002"]
+    queries = [r["query"] for r in C.correspondent_queries(contacts).orderBy("chunk").collect()]
+    assert queries[0].startswith("from:{pal@x.com p00@x.com ") and len(queries) == 2 and queries[1].count("@") == 6
+    none = spark.createDataFrame([], "account string, address string, curation string")
+    old = mail(spark, [{"body_state": "full", "body_text": "x", "internal_date": i, "from_addr": "z@z.com"} for i in range(3)])
+    assert [r["gmail_message_id"] for r in C.retention_batch(old, none, none.withColumnRenamed("address", "domain"), 9, 2).orderBy("rank").collect()] == ["m000", "m001"]

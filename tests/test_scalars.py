@@ -43,7 +43,7 @@ def test_text_shapes(spark):
     assert values(spark, lambda c: S.compact_snippet(c, 6), ["a  b\nc", "abcdefgh", " ", None]) == ["a b c", "abcde…", None, None]
     assert values(spark, S.parse_ref, ["a:b:c", ":b", "a:", "ab"])[0].asDict() == {"account": "a", "id": "b:c"}
     assert values(spark, S.parse_ref, [":b", "a:", "ab"]) == [None] * 3
-    assert values(spark, S.safe_filename, ["a b/c.pdf", None]) == ["a_b_c.pdf", "attachment"]
+    assert values(spark, S.safe_filename, ["a b/c.pdf", "a  b", "x" * 200, "", None]) == ["a_b_c.pdf", "a__b", "x" * 160, "attachment.bin", "attachment.bin"]
 
 
 def test_numbers(spark):
@@ -61,7 +61,12 @@ def test_driver_values():
         S.parse_since("soon", now)
     assert S.minus_months(dt.datetime(2026, 5, 31, tzinfo=dt.UTC), 3) == dt.datetime(2026, 3, 3, tzinfo=dt.UTC)
     assert S.window_cutoff(0, dt.datetime.now(dt.UTC)) is None
-    assert S.normalize_settings({"body_window_months": 500, "x": 1}) == S.SETTINGS
+    assert S.normalize_settings({"body_window_months": 500, "x": 1, "retention": "on", "backfill_cursor": "May", "backfill_done": 1, "onboarding_completed_at": 5}) == S.normalize_settings(None) == S.SETTINGS
+    own = {"body_window_months": 0, "retention": "off", "onboarding_completed_at": "2026-01-01T00:00:00Z", "backfill_cursor": "2010-03-31", "backfill_done": True}
+    assert S.normalize_settings(own) == own and S.next_backfill(own, dt.datetime(2026, 1, 1, tzinfo=dt.UTC)) is None
+    assert S.next_backfill(own | {"backfill_done": False}, dt.datetime(2026, 1, 1, tzinfo=dt.UTC)) == ("2009-03-31", "2010-03-31")
+    assert S.next_backfill(S.SETTINGS, dt.datetime(2026, 5, 2, 9, tzinfo=dt.UTC)) == ("2025-05-02", "2026-05-02")
+    assert S.next_backfill(own | {"backfill_done": False, "backfill_cursor": "2004-01-01"}, dt.datetime(2026, 1, 1, tzinfo=dt.UTC)) is None
     assert S.next_backfill_slice(dt.datetime(2004, 6, 1, tzinfo=dt.UTC))[0] == S.BACKFILL_FLOOR and S.next_backfill_slice(S.BACKFILL_FLOOR) is None
     assert S.decode_cursor(S.encode_cursor(1234)) == 1234 and S.format_age(7200) == "2h"
     assert S.parse_keywords("a, B,b ,,A") == ["a", "B"]
