@@ -153,7 +153,7 @@ def matching_terms(messages: DataFrame, terms: list[str]) -> DataFrame:
 # --- trigger rules
 
 # What conditions may name.
-CATEGORIES = ["primary", "promotions", "social", "updates", "forums"]
+CATEGORIES = ["promotions", "social", "updates", "forums", "personal", "primary"]
 CURATIONS = ["important", "muted", "blocked"]
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -130,42 +129,50 @@ class SearchIndex:
     def __init__(self, docs: DataFrame, weights: dict[str, float] | None = None, stem: bool = True) -> None:
         self.weights = dict(weights or WEIGHTS)
         self.stem = stem
-        parts = [docs.select("docid", F.lit(c).alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "token")) for c in self.weights]
-        self.postings = reduce(DataFrame.unionByName, parts)
-        sizes = reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in self.weights])
-        self.lengths = docs.select("docid", sizes.cast("long").alias("len"))
+        self.rows = docs.select("docid", F.concat(*map(self._placed, self.weights)).alias("words"))
+        self.lengths = self.rows.select("docid", F.size("words").cast("long").alias("len"))
+        self.postings = self.rows.select("docid", F.size("words").cast("long").alias("len"), F.explode("words").alias("w")).select("docid", "len", "w.col", "w.pos", "w.token")
+
+    @staticmethod
+    def _placed(name: str) -> Column:
+        return F.transform(tokens(F.col(name)), lambda t, i: F.struct(F.lit(name).alias("col"), i.alias("pos"), t.alias("token")))
 
     def vocabulary(self) -> DataFrame:
         words = self.postings.select("token").distinct()
         return words.withColumn("stem", stem_udf("token") if self.stem else F.col("token"))
 
-    def _phrase_hits(self, phrase: str, prefix: bool) -> DataFrame:
-        """(docid, col, tf) of a phrase: consecutive tokens, the last one as a prefix."""
-        parts = re.findall(r"[^\W_]+", phrase.lower())
-        if not parts:
-            return self.postings.select("docid", "col", F.lit(0).cast("long").alias("tf")).limit(0)
-        keys = [porter(fold(p)) if self.stem else p for p in parts]
-        words, hits = self.vocabulary(), None
-        for i, key in enumerate(keys):
-            match = F.col("stem").startswith(key) if prefix and i == len(keys) - 1 else F.col("stem") == key
-            at = self.postings.join(words.where(match).select("token"), "token", "left_semi").select("docid", "col", (F.col("pos") - i).alias("start"))
-            hits = at if hits is None else hits.join(at, ["docid", "col", "start"], "left_semi")
-        return hits.groupBy("docid", "col").agg(F.count("*").alias("tf"))
+    def _hits(self, phrases: list[list[str]], prefix: bool) -> DataFrame:
+        """(docid, len, col, phrase, tf): phrases as consecutive tokens, the last one as a prefix. One pass over the postings for all phrases."""
+        keys = [[porter(fold(w)) if self.stem else w for w in words] for words in phrases]
+        tests = [
+            F.when(F.col("stem").startswith(key) if prefix and i == len(words) - 1 else F.col("stem") == key, F.struct(F.lit(p).alias("phrase"), F.lit(i).alias("part")))
+            for p, words in enumerate(keys)
+            for i, key in enumerate(words)
+        ]
+        parts = F.explode(F.array_compact(F.array(*tests))).alias("m")
+        if self.stem:
+            found = self.postings.join(self.vocabulary().select("token", parts), "token")
+        else:
+            found = self.postings.withColumn("stem", F.col("token")).select("docid", "len", "col", "pos", parts)
+        found = found.select("docid", "len", "col", "m.phrase", "m.part", (F.col("pos") - F.col("m.part")).alias("start"))
+        if max(map(len, keys)) > 1:
+            sizes = F.element_at(F.array(*[F.lit(len(words)) for words in keys]), F.col("phrase") + 1)
+            found = found.groupBy("docid", "len", "col", "phrase", "start").agg(F.countDistinct("part").alias("n")).where(F.col("n") == sizes)
+        return found.groupBy("docid", "len", "col", "phrase").agg(F.count("*").alias("tf"))
 
     def search(self, phrases: list[str], prefix: bool = True) -> DataFrame:
         """(docid, score): documents with any phrase; the score is negative, the best one is the smallest."""
+        split = [words for words in (re.findall(r"[^\W_]+", p.lower()) for p in phrases) if words]
+        if not split:
+            return self.lengths.select("docid", F.lit(0.0).alias("score")).limit(0)
         totals = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
         weight = F.element_at(F.create_map(*[F.lit(x) for kv in self.weights.items() for x in kv]), F.col("col"))
-        scored = []
-        for phrase in phrases:
-            f = self._phrase_hits(phrase, prefix).groupBy("docid").agg(F.sum(weight * F.col("tf")).alias("f"))
-            df = f.agg(F.count("*").alias("df"))
-            idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-            rows = f.join(self.lengths, "docid").join(F.broadcast(totals)).join(F.broadcast(df))  # one row each
-            scored.append(rows.select("docid", (-F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("part")))
-        if not scored:
-            return self.lengths.select("docid", F.lit(0.0).alias("score")).limit(0)
-        return reduce(DataFrame.unionByName, scored).groupBy("docid").agg(F.sum("part").alias("score"))
+        rows = self._hits(split, prefix).groupBy("docid", "len", "phrase").agg(F.sum(weight * F.col("tf")).alias("f"))
+        df = rows.groupBy("phrase").agg(F.count("*").alias("df"))
+        idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = -F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        rows = rows.join(F.broadcast(df), "phrase").join(F.broadcast(totals))  # a row for each phrase, and one
+        return rows.groupBy("docid").agg(F.sum(part).alias("score"))
 
 
 def index_of_messages(messages: DataFrame, stem: bool = True) -> SearchIndex:

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import distill as D
+from ..functions import images as I
 from ..functions import scalars as S
 from ..operators import feed as feed_ops
-from ..operators import graph, messages as M, rollups as R, scoring, search
+from ..operators import graph, messages as M, rollups as R, runs, scoring, search
 from ..sources.mailbox import MAILBOX_SQL, PEOPLE_SQL, mailbox, table
+from ..sources.provider import TableSource
 from ..streaming.ingest import session_counts, windowed_counts
 from . import composites as C
 
@@ -267,13 +269,15 @@ def catch_up_user_threads(spark, sf_dir):
 
 
 KEYWORDS = ("the of", "edble")
+INDEXED = ["subject", "from_addr", "to_addr", "cc_addr", "snippet", "body_text", "summary_text"]
+HAS_KEYWORD = "(" + " OR ".join(f"regexp_matches(' ' || array_to_string(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}]+'), ' ') || ' ', ' (the of|edble) ')" for c in INDEXED) + ")"
 
 
 @query(
-    f"SELECT account, gmail_message_id FROM (SELECT account, gmail_message_id, row_number() OVER (PARTITION BY account ORDER BY internal_date DESC, gmail_message_id) AS r FROM mt WHERE direction = 'received' AND internal_date >= {SINCE_MS} AND regexp_matches(' ' || array_to_string(regexp_extract_all(lower(coalesce(subject, '')), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ', ' (the of|edble) ')) WHERE r <= 25"
+    f"SELECT account, gmail_message_id FROM (SELECT account, gmail_message_id, row_number() OVER (PARTITION BY account ORDER BY internal_date DESC, gmail_message_id) AS r FROM mt WHERE direction = 'received' AND internal_date >= {SINCE_MS} AND {HAS_KEYWORD}) WHERE r <= 25"
 )
 def catch_up_keywords(spark, sf_dir):
-    return C.catch_up_keywords(mailbox(spark, sf_dir, True), list(KEYWORDS), SINCE_MS, ["subject"]).select("account", "gmail_message_id")
+    return C.catch_up_keywords(mailbox(spark, sf_dir, True), list(KEYWORDS), SINCE_MS, INDEXED).select("account", "gmail_message_id")
 
 
 @query(
@@ -366,15 +370,15 @@ def graph_communities(spark, sf_dir):
 # --- search
 
 
-def _search_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The indexed columns; body is the snippet, as bm25_exact's SQL has it, or the whole projected body."""
+def _search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indexed columns, bodies as a whole."""
     m = mailbox(spark, sf_dir, True)
-    body = S.project_body(F.col("snippet"), F.col("body_text"), F.col("summary_text")) if whole else F.col("snippet")
+    body = S.project_body(F.col("snippet"), F.col("body_text"), F.col("summary_text"))
     return m.select(F.col("gmail_message_id").alias("docid"), "subject", F.col("from_addr").alias("sender"), S.project_recipients(F.col("to_addr"), F.col("cc_addr")).alias("recipients"), body.alias("body"))
 
 
 @query(
-    "docs AS (SELECT gmail_message_id AS docid, subject, from_addr AS sender, nullif(concat_ws(' ', nullif(to_addr, ''), nullif(cc_addr, '')), '') AS recipients, snippet AS body FROM mt), "
+    "docs AS (SELECT gmail_message_id AS docid, subject, from_addr AS sender, nullif(concat_ws(' ', nullif(to_addr, ''), nullif(cc_addr, '')), '') AS recipients, nullif(concat_ws(chr(10), nullif(snippet, ''), nullif(body_text, ''), nullif(summary_text, '')), '') AS body FROM mt), "
     "tk AS (SELECT docid, regexp_extract_all(lower(coalesce(subject, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+') AS s, regexp_extract_all(lower(coalesce(sender, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+') AS f, regexp_extract_all(lower(coalesce(recipients, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+') AS r, regexp_extract_all(lower(coalesce(body, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+') AS b FROM docs), "
     "tf AS (SELECT docid, len(s) + len(f) + len(r) + len(b) AS dl, q, 10.0 * len(list_filter(s, lambda x: x = q)) + 8.0 * len(list_filter(f, lambda x: x = q)) + 4.0 * len(list_filter(r, lambda x: x = q)) + len(list_filter(b, lambda x: x = q)) AS f FROM tk, (SELECT unnest(['edble', 'nicht']) AS q)), "
     "st AS (SELECT count(DISTINCT docid) AS n, avg(dl) AS avgdl FROM tf), dfs AS (SELECT q, count(*) AS df FROM tf WHERE f > 0 GROUP BY q), "
@@ -388,7 +392,7 @@ def bm25_exact(spark, sf_dir):
 @query()
 def search_messages(spark, sf_dir):
     """Stemmed prefix-OR search; the stemmer has no SQL form."""
-    hits = search.SearchIndex(_search_docs(spark, sf_dir, whole=True)).search(search.expand_query(["thing", "invoice"]))
+    hits = search.SearchIndex(_search_docs(spark, sf_dir)).search(search.expand_query(["thing", "invoice"]))
     return hits.orderBy("score", "docid").limit(15)
 
 
@@ -441,13 +445,174 @@ def reconcile_inbox(spark, sf_dir):
     return M.reconcile(m, live)
 
 
-@query("SELECT gmail_message_id, array_to_string(list_sort(list_concat(list_filter(labels, lambda x: x <> 'INBOX' AND x <> 'STARRED'), ['STARRED'])), ',') AS labels, 1 AS starred, CASE WHEN category = 'primary' THEN NULL ELSE category END AS category FROM mb WHERE key % 2 = 0")
+@query("SELECT gmail_message_id, array_to_string(list_sort(CASE WHEN key % 2 = 0 THEN list_concat(list_filter(labels, lambda x: x <> 'INBOX' AND x <> 'STARRED'), ['STARRED']) ELSE labels END), ',') AS labels, "
+       "CASE WHEN key % 2 = 0 THEN 1 ELSE starred END AS starred, CASE WHEN key % 2 = 0 AND category = 'primary' THEN NULL ELSE category END AS category FROM mb")
 def edit_labels(spark, sf_dir):
-    m = mailbox(spark, sf_dir).where("key % 2 = 0")
-    edits = m.select("account", "gmail_message_id", F.array(F.lit("STARRED")).alias("add"), F.array(F.lit("INBOX")).alias("remove"))
+    """The whole mailbox; the messages with even keys have an edit."""
+    m = mailbox(spark, sf_dir)
+    edits = m.where("key % 2 = 0").select("account", "gmail_message_id", F.array(F.lit("STARRED")).alias("add"), F.array(F.lit("INBOX")).alias("remove"))
     return M.edit_labels(m, edits).select("gmail_message_id", F.array_join(F.array_sort("labels"), ",").alias("labels"), "starred", "category")
 
 
+# --- selectors, sweeps and sources
+
+
+@query(f"SELECT account, gmail_message_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY internal_date DESC, gmail_message_id) AS rank FROM mb WHERE body_state = 'meta' AND internal_date >= {SINCE_MS}) WHERE rank <= 100")
+def enrich_all(spark, sf_dir):
+    """rule=all with since and limit."""
+    return M.select_backlog(mailbox(spark, sf_dir), rule="all", since_ms=SINCE_MS, limit=100).select("account", "gmail_message_id", "rank")
+
+
+@query(f"SELECT account, gmail_message_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY internal_date DESC, gmail_message_id) AS rank FROM mt WHERE body_state = 'meta' AND NOT is_list AND (category IS NULL OR category NOT IN ('promotions', 'social')) AND internal_date >= {SINCE_MS} "
+       "AND (" + " OR ".join(f"regexp_matches(lower(coalesce({c}, '')), '(^|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}])nicht')" for c in ("subject", "from_addr", "to_addr", "cc_addr", "snippet", "body_text", "summary_text")) + ")) WHERE rank <= 100")
+def enrich_matching(spark, sf_dir):
+    """rule=direct with search terms (a prefix that stemming keeps), since and limit."""
+    return M.select_backlog(mailbox(spark, sf_dir, True), rule="direct", match=["nicht"], since_ms=SINCE_MS, limit=100).select("account", "gmail_message_id", "rank")
+
+
+@query(
+    "SELECT account, gmail_message_id FROM (SELECT mt.*, c.msgs_sent, c.curation, d.curation AS domain_curation FROM (SELECT *, {0} AS a, {1} AS h FROM mt) mt LEFT JOIN cur c ON c.account = mt.account AND c.address = mt.a LEFT JOIN dcur d ON d.account = mt.account AND d.domain = mt.h) "
+    "WHERE NOT is_list AND msgs_sent > 0 AND (curation IN ('muted', 'important') OR domain_curation = 'important') AND a LIKE '%.com' AND ((category = 'updates' AND list_contains(labels, 'UNREAD')) OR (category = 'forums' AND h = 'mail.france.com' AND regexp_matches(lower(subject), '(^|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}])th')))".format(ADDR.format("from_addr"), HOST.format(ADDR.format("from_addr"))),
+    FULL,
+)
+def trigger_conditions(spark, sf_dir):
+    """Two rules that name seven of the eight conditions; the eighth, from_addr, is in trigger_sender."""
+    contacts, domains = _curated(spark, sf_dir)
+    m = mailbox(spark, sf_dir, True)
+    m = m.withColumns({c: F.lit(None).cast("string") for c in ("snippet", "body_text", "summary_text")})
+    both = [("is_list", False), ("correspondent", True)]
+    curated = lambda *more: M.matching(m, contacts, domains, [*both, *more])
+    one = [curated(("interest_profile", c), ("category", "updates"), ("label", "UNREAD")) for c in ("muted", "important")]
+    two = [curated(("interest_profile", c), ("category", "forums"), ("from_domain", "mail.france.com"), ("subject_fts", ["th"])) for c in ("muted", "important")]
+    kept = [x.where(S.extract_address(F.col("from_addr")).endswith(".com")).select("account", "gmail_message_id") for x in (*one, *two)]
+    return reduce(DataFrame.union, kept).distinct()
+
+
+@query("SELECT account, gmail_message_id FROM mb WHERE {0} = (SELECT min({0}) FROM mb WHERE direction = 'received')".format(ADDR.format("from_addr")))
+def trigger_sender(spark, sf_dir):
+    m = mailbox(spark, sf_dir)
+    address = m.where("direction = 'received'").agg(F.min(S.extract_address(F.col("from_addr")))).first()[0] or "none@none"
+    none = m.sparkSession.createDataFrame([], "account string, address string, domain string, msgs_sent long, curation string")
+    return M.matching(m, none.drop("domain"), none.select("account", "domain", "curation"), [("from_addr", address.upper())]).select("account", "gmail_message_id")
+
+
+@query(
+    f"SELECT account, gmail_message_id, rank FROM (SELECT m.account, gmail_message_id, row_number() OVER (PARTITION BY m.account ORDER BY internal_date, gmail_message_id) AS rank FROM mb m ANTI JOIN (SELECT account, address AS a FROM cur WHERE curation = 'important') c ON c.account = m.account AND c.a = {ADDR.format('m.from_addr')} "
+    f"ANTI JOIN (SELECT account, domain AS d FROM dcur WHERE curation = 'important') d ON d.account = m.account AND d.d = {HOST.format(ADDR.format('m.from_addr'))} ANTI JOIN (SELECT DISTINCT account, thread_id FROM mb WHERE direction = 'sent') t USING (account, thread_id) WHERE body_state = 'full' AND internal_date < {CUTOFF_MS}) WHERE rank <= 200",
+    FULL,
+)
+def retention_sweep(spark, sf_dir):
+    return C.retention_batch(mailbox(spark, sf_dir), *_curated(spark, sf_dir), CUTOFF_MS).select("account", "gmail_message_id", "rank")
+
+
+SUMMARIZED = "SELECT *, CASE WHEN key % 3 = 0 THEN 'kept' END AS summary_text, CASE WHEN body_state = 'full' THEN 'whole' END AS body_text FROM mb"
+CHOSEN = (
+    f"sm AS ({SUMMARIZED}), chosen AS (SELECT m.account, m.gmail_message_id FROM sm m ANTI JOIN (SELECT account, address AS a FROM cur WHERE curation = 'important') c ON c.account = m.account AND c.a = {ADDR.format('m.from_addr')} "
+    f"ANTI JOIN (SELECT account, domain AS d FROM dcur WHERE curation = 'important') d ON d.account = m.account AND d.d = {HOST.format(ADDR.format('m.from_addr'))} ANTI JOIN (SELECT DISTINCT account, thread_id FROM mb WHERE direction = 'sent') t USING (account, thread_id) WHERE body_state = 'full' AND {{0}})"
+)
+
+
+def _summarized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mailbox(spark, sf_dir)
+    return m.withColumns({"summary_text": F.when(F.col("key") % 3 == 0, "kept"), "body_text": F.when(F.col("body_state") == "full", "whole"), "summarized_at": F.col("internal_date")})
+
+
+@query(CHOSEN.format(f"summary_text IS NOT NULL AND internal_date <= {CUTOFF_MS} AND (is_list OR coalesce(category IN ('promotions', 'social'), FALSE))") + " SELECT sm.gmail_message_id, CASE WHEN c.account IS NOT NULL THEN 'summary-only' ELSE body_state END AS body_state, CASE WHEN c.account IS NULL THEN body_text END AS body_text FROM sm LEFT JOIN chosen c USING (account, gmail_message_id)", FULL)
+def demoted_mailbox(spark, sf_dir):
+    m = _summarized(spark, sf_dir)
+    return M.demote(m, M.demotable(m, *_curated(spark, sf_dir), CUTOFF_MS)).select("gmail_message_id", "body_state", "body_text")
+
+
+@query(CHOSEN.format(f"internal_date < {CUTOFF_MS}") + " SELECT sm.gmail_message_id, CASE WHEN c.account IS NULL THEN body_state WHEN summary_text IS NOT NULL THEN 'summary-only' ELSE 'meta' END AS body_state, CASE WHEN c.account IS NULL THEN body_text END AS body_text FROM sm LEFT JOIN chosen c USING (account, gmail_message_id)", FULL)
+def evicted_mailbox(spark, sf_dir):
+    m = _summarized(spark, sf_dir)
+    return M.evict(m, M.evictable(m, *_curated(spark, sf_dir), CUTOFF_MS)).select("gmail_message_id", "body_state", "body_text")
+
+
+@query(
+    f"pb AS (SELECT *, {ADDR.format('from_addr')} AS a, {HOST.format(ADDR.format('from_addr'))} AS h FROM mt WHERE body_state = 'meta') SELECT pb.account, gmail_message_id FROM pb LEFT JOIN cur c ON c.account = pb.account AND c.address = a LEFT JOIN dcur d ON d.account = pb.account AND d.domain = h "
+    f"WHERE (coalesce(c.curation = 'important', FALSE) OR coalesce(d.curation = 'important', FALSE) OR {HAS_KEYWORD}) AND coalesce(c.curation <> 'muted', TRUE)",
+    FULL,
+)
+def profile_backlog(spark, sf_dir):
+    return C.profile_backlog(mailbox(spark, sf_dir, True), *_curated(spark, sf_dir), list(KEYWORDS), INDEXED).select("account", "gmail_message_id")
+
+
+@query("SELECT account, domain, rank, subject FROM (SELECT account, {1} AS domain, subject, row_number() OVER (PARTITION BY account, {1} ORDER BY internal_date DESC, gmail_message_id) AS rank FROM mt WHERE direction = 'received' AND subject IS NOT NULL) WHERE rank <= 3".format(ADDR.format("from_addr"), HOST.format(ADDR.format("from_addr"))))
+def recent_subjects(spark, sf_dir):
+    return C.recent_subjects(mailbox(spark, sf_dir, True))
+
+
+@query("SELECT account, address, rank FROM (SELECT account, address, row_number() OVER (PARTITION BY account ORDER BY msgs_sent DESC, replied_count DESC, address) AS rank FROM contacts WHERE msgs_sent > 0) WHERE rank <= 500", FULL)
+def correspondents(spark, sf_dir):
+    return C.correspondents(_contacts(spark, sf_dir), C.CORRESPONDENT_CAP).select("account", "address", "rank")
+
+
+@query("SELECT account, chunk, 'from:{' || string_agg(address, ' ' ORDER BY r) || '}' AS query FROM (SELECT *, (r - 1) // 25 AS chunk FROM (SELECT account, address, row_number() OVER (PARTITION BY account ORDER BY msgs_sent DESC, replied_count DESC, address) AS r FROM contacts WHERE msgs_sent > 0) WHERE r <= 500) GROUP BY ALL", FULL)
+def correspondent_queries(spark, sf_dir):
+    return C.correspondent_queries(_contacts(spark, sf_dir)).withColumn("chunk", F.col("chunk").cast("long"))
+
+
+@query(f"SELECT account, gmail_message_id FROM mb m WHERE internal_date >= {CUTOFF_MS} AND internal_date < {SINCE_MS} AND (direction = 'sent' OR EXISTS (SELECT 1 FROM (SELECT account, address FROM (SELECT account, address, row_number() OVER (PARTITION BY account ORDER BY msgs_sent DESC, replied_count DESC, address) AS r FROM contacts WHERE msgs_sent > 0) WHERE r <= 500) c WHERE c.account = m.account AND c.address = {ADDR.format('m.from_addr')}))", FULL)
+def backfill_slice(spark, sf_dir):
+    return C.backfill_slice(mailbox(spark, sf_dir), _contacts(spark, sf_dir), CUTOFF_MS, SINCE_MS).select("account", "gmail_message_id")
+
+
+@query("SELECT account, address, rank FROM (SELECT account, address, row_number() OVER (PARTITION BY account ORDER BY msgs_received + msgs_sent DESC, address) AS rank FROM contacts) WHERE rank <= 20", FULL)
+def contacts_by_volume(spark, sf_dir):
+    return C.list_contacts(_contacts(spark, sf_dir), sort="volume").select("account", "address", "rank")
+
+
+@query("SELECT account, address, rank FROM (SELECT account, address, row_number() OVER (PARTITION BY account ORDER BY last_seen DESC NULLS LAST, address) AS rank FROM contacts) WHERE rank <= 20", FULL)
+def contacts_by_recency(spark, sf_dir):
+    return C.list_contacts(_contacts(spark, sf_dir), sort="recency").select("account", "address", "rank")
+
+
+@query("SELECT t.account, t.thread_id, msg_count, last_at FROM threads t JOIN pl USING (account, thread_id) WHERE list_contains(participants, (SELECT min(address) FROM contacts))", FULL)
+def threads_of_contact(spark, sf_dir):
+    m = mailbox(spark, sf_dir)
+    first = R.contacts_rollup(m).agg(F.min("address").alias("who"))
+    return R.threads_rollup(m).join(F.broadcast(first), F.array_contains("participants", F.col("who"))).select("account", "thread_id", "msg_count", "last_at")
+
+
+@query(f"SELECT gmail_message_id, internal_date FROM mb WHERE list_contains(labels, 'INBOX') AND internal_date >= {CUTOFF_MS} AND internal_date < {SINCE_MS} ORDER BY internal_date DESC, gmail_message_id LIMIT 500")
+def source_listing(spark, sf_dir):
+    return TableSource(mailbox(spark, sf_dir), "me", NOW_MS).list_ids("in:inbox", "1997-01-01", "1998-01-01", 500, include_sent=False)
+
+
+@query("SELECT page_id, len(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<img[^>]*>'), lambda t: regexp_matches(t, '(?i)src\\s*=\\s*.?[^\\s>\"'']'))) AS images FROM pages", "")
+def image_counts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    found = I.parse_images(pages).groupBy("page_id").agg(F.count("*").alias("n"))
+    return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("images"))
+
+
+@query("SELECT event_type AS account, count(*) FILTER (event_id % 4 IN (0, 1)) AS queue_depth, max(event_id) FILTER (event_id % 3 = 0) AS last_sync FROM events GROUP BY event_type", "")
+def queue_status(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, ("queued", "running", "done", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    jobs = table(spark, sf_dir, "events").select(F.col("event_type").alias("account"), F.when(F.col("event_id") % 3 == 0, "sync").otherwise("graph").alias("kind"), status.alias("status"), F.col("event_id").alias("created_at"))
+    return runs.queue_status(jobs)
+
+
+@query("SELECT event_type AS account, arg_max(event_id, (epoch_ms(ts), event_id)) AS id FROM events WHERE event_id % 2 = 0 AND epoch_ms(ts) >= (SELECT max(epoch_ms(ts)) FROM events) - 21600000 GROUP BY event_type", "")
+def active_runs(spark, sf_dir):
+    made = table(spark, sf_dir, "events").select(F.col("event_type").alias("account"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("started_at"))
+    made = made.withColumn("finished_at", F.when(F.col("id") % 2 == 1, F.col("started_at")))
+    return runs.active_runs(made, made.agg(F.max("started_at")).first()[0] or 0)
+
+
+@query(f"SELECT host, {BRAND.format('host')} AS brand FROM (SELECT DISTINCT n_name AS n, 'a.b.' || lower(replace(n_name, ' ', '-')) || '.com' AS host FROM nation) UNION ALL SELECT 'shop.' || lower(replace(n_name, ' ', '-')) || '.' || s, lower(replace(n_name, ' ', '-')) || '.' || s FROM nation, (SELECT unnest(['co.uk', 'com.au', 'co.jp', 'com.br', 'co.za']) AS s)", "")
+def two_label_suffixes(spark, sf_dir):
+    slug = F.translate(F.lower("n_name"), " ", "-")
+    nation = table(spark, sf_dir, "nation")
+    plain = nation.select(F.concat(F.lit("a.b."), slug, F.lit(".com")).alias("host"))
+    hosts = plain.union(nation.select(F.explode(F.array(*[F.concat(F.lit("shop."), slug, F.lit("." + x)) for x in ("co.uk", "com.au", "co.jp", "com.br", "co.za")]))))
+    return hosts.withColumn("brand", S.registrable_domain(F.col("host")))
+
+
+# --- streams
+
+
 @query("SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL", "")
 def event_windows(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
