@@ -118,7 +118,7 @@ PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
-    """The table plus conversation -7, whose texts hold the template's own control strings."""
+    """The table plus conversation -7, whose texts hold the template's own control strings. Turns that the table itself has under -7 join it, in their order."""
     probe = conversations.sparkSession.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
 

@@ -24,7 +24,7 @@ exchanges that AQE splits where skewed. Texts are joined with the runs to cut by
 Edge cases: null and empty texts have no lines and stay as they are; rows that are equal in id
 and text count as one document, so none is the other's copy; rows without an id are documents by their text; ties cannot
 occur between others, as (id, text, line) orders all; an empty table gives an empty result; further columns
-are kept by `dedup_lines` (an input with a column of REPORT is refused).
+are kept by `dedup_lines`, but for columns of REPORT, which the operator's own replace.
 """
 
 from __future__ import annotations
@@ -143,8 +143,9 @@ def later_copies(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES,
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """The input's rows and columns, text without later copies of repeated runs, and REPORT."""
-    if set(REPORT) & set(docs.columns):
-        raise ValueError(f"the input has a column of {REPORT}")
+    if {id_col, text_col} & set(REPORT):
+        raise ValueError(f"the id or the text cannot be named one of {REPORT}")
+    docs = docs.drop(*REPORT)
     scratch = Scratch(docs.sparkSession, "line-dedup")
     runs = scratch.put(later_copies(docs, scratch, min_lines, id_col, text_col, long_words), "runs")
     scratch.drop(*[x for x in scratch.paths if x != "runs"])

@@ -15,8 +15,8 @@ Per-source tables are joined by broadcast where the number of sources is within
 `max_broadcast_sources`, else by a shuffle that AQE splits where a source is hot.
 
 Edge cases: a null source is a source of its own; a null id is hashed as the empty text; rows
-with equal ids get equal counts; an empty table gives no rows; further columns are kept (an input
-with a column `copy` or `shuffle_key` is refused).
+with equal ids get equal counts; an empty table gives no rows; further columns are kept, but for columns
+named `copy` or `shuffle_key`, which the operator's own replace.
 """
 
 from __future__ import annotations
@@ -66,8 +66,9 @@ def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", shuffle: bool = True, max_broadcast_sources: int = 20_000
 ) -> DataFrame:
     """The input's columns, copy (1, 2, ...) and shuffle_key, in the order of shuffle_key."""
-    if {"copy", "shuffle_key"} & set(docs.columns):
-        raise ValueError("the input has a column copy or shuffle_key")
+    if {id_col, source_col} & {"copy", "shuffle_key"}:
+        raise ValueError("the id or the source cannot be named copy or shuffle_key")
+    docs = docs.drop("copy", "shuffle_key")
     rates = source_rates(docs, TARGET_WEIGHTS if weights is None else weights, source_col).select(F.col("source").alias("__mix_source"), "parts", "cdf").withColumnsRenamed({"parts": "__mix_parts", "cdf": "__mix_cdf"})
     side = F.broadcast(rates) if rates.count() <= max_broadcast_sources else rates
     joined = docs.join(side, F.col(source_col).eqNullSafe(F.col("__mix_source")))

@@ -6,8 +6,8 @@ shuffled, so the operator is a single scan whatever the number of documents.
 
 Edge cases: a null text counts as an empty one, which has no words and so fails the base rules;
 repeated rows are judged one by one; an empty table gives an empty result; columns of the input
-other than `id_col` and `text_col` are ignored unless `keep_columns` is set, in which case the
-columns of `METRICS` must not be among them (names are matched exactly).
+other than `id_col` and `text_col` are ignored unless `keep_columns` is set, in which case those named as
+one of `METRICS` are replaced by the operator's own.
 """
 
 from __future__ import annotations
@@ -71,6 +71,7 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """One row per input row: id, METRICS; with keep_columns the input's columns as well."""
     n = 8  # words of a window
+    docs = docs.drop(*[c for c in docs.columns if c in METRICS and c not in (id_col, text_col)])
     kept = [F.col(c) for c in docs.columns] if keep_columns else [F.col(id_col)]
     own = "__quality_"
     text, words, hashes, windows, ordered, at = (F.col(own + c) for c in ("text", "words", "hashes", "windows", "ordered", "at"))

@@ -14,7 +14,7 @@ that is broadcast has a fixed size: a number for each bucket.
 
 Edge cases: null, empty and blank texts have no window and score the curve's value at a logit of 0
 and no words; repeated rows are scored one by one and count once in the fit; without labelled rows of both
-classes every score is the share of toxic ones (0 without any); null labels are not learnt from; an empty
+classes, or with empty texts only, every score is the share of toxic ones (0 without any); null labels are not learnt from; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -98,7 +98,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 512
     ids: dict[str, int] = {}
     docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int64) for t in texts]
     rate_toxic = float(labels.mean()) if len(labels) else 0.0
-    if len(set(labels.tolist())) < 2:
+    if len(set(labels.tolist())) < 2 or not ids:
         level = min(max(rate_toxic, 1e-9), 1 - 1e-9)
         return Model(np.zeros(BUCKETS), 0.0, np.array([0.0, 0.0, np.log(level / (1 - level))]))
     grams = [np.array(buckets_of(w), np.int64) for w in ids]

@@ -46,6 +46,12 @@ def test_quality_repeat_words_against_brute_force(spark):
         assert got[i] == len({p for k, g in enumerate(grams) if grams.count(g) > 1 for p in range(k, k + 8)})
 
 
+def test_quality_clashing_columns_and_long_texts(spark):
+    docs = frame(spark, ["the word and more of it " * 30_000, "x"]).selectExpr("doc_id", "text", "'a' kept", "'b' n_words", "source")
+    rows = {r["doc_id"]: r for r in quality(docs, keep_columns=True).collect()}
+    assert (rows[0]["n_words"], rows[0]["kept"], rows[0]["source"]) == (180_000, False, "s") and rows[0]["n_repeat_words"] == 180_000
+
+
 # --- line dedup
 
 
@@ -105,6 +111,13 @@ def test_line_dedup_repeated_rows_and_clashing_columns(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in dedup_lines(same).collect()) == [(1, 0), (1, 0), (2, 2)]
     with pytest.raises(ValueError):
         dedup_lines(same.withColumnRenamed("doc_id", "n_runs"), id_col="n_runs")
+    clashing = same.selectExpr("doc_id", "text", "'x' n_runs", "'y' k1", "'z' pos")
+    assert sorted((r["doc_id"], r["n_removed"], r["n_runs"], r["k1"]) for r in dedup_lines(clashing).collect()) == [(1, 0, 0, "y"), (1, 0, 0, "y"), (2, 2, 1, "y")]
+    none = spark.createDataFrame([(None, "a b\nc d"), (3, "a b\nc d"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in dedup_lines(none).collect()) == [(0, 0), (0, 0), (3, 2)]
+    long_ = "\n".join(f"l{i}" for i in range(30_000))
+    two = spark.createDataFrame([(1, long_), (2, "q\n" + long_ + "\nz")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_removed"], r["n_runs"], r["text"][:9]) for r in dedup_lines(two).collect()} == {1: (0, 0, "l0\nl1\nl2\n"[:9]), 2: (30_000, 1, "q\nz")}
 
 
 # --- decontamination
@@ -196,8 +209,12 @@ def test_mixing_edges(spark):
         counts[r["source"]] = counts.get(r["source"], 0) + 1
     assert counts.get("a", 0) % 2 == 0
     assert mix(rows.limit(0)).count() == 0
+    clashing = mix(rows.withColumnRenamed("text", "copy"), {"a": 1.0})
+    assert clashing.columns == ["doc_id", "source", "copy", "shuffle_key"] and {r["copy"] for r in clashing.collect()} <= set(range(1, 60))
     with pytest.raises(ValueError):
-        mix(rows.withColumnRenamed("text", "copy"))
+        mix(rows.withColumnRenamed("doc_id", "copy"), id_col="copy")
+    wide = spark.createDataFrame([(i, "é" * 300_000, "a") for i in range(6)], "doc_id long, text string, source string")
+    assert {len(r["text"]) for r in mix(wide, {}).collect()} <= {300_000}
 
 
 # --- licenses
@@ -212,20 +229,62 @@ def test_license_spans(spark):
     assert [r["start"] for r in rows if r["doc_id"] == 4] == [0, 34] and {r["doc_id"] for r in rows} == {0, 4}
 
 
+def full_alignment(template, part):
+    """Local alignment (match 2, else -1) of everything: the best score, and the equal tokens of the best paths by the cells where they end."""
+    best, ends = 0, set()
+    row = [(0, 0)] * (len(part) + 1)
+    for word in template:
+        new = [(0, 0)]
+        for j, x in enumerate(part):
+            new.append(max((0, 0), (row[j][0] + (2 if x == word else -1), row[j][1] + (x == word)), (row[j + 1][0] - 1, row[j + 1][1]), (new[j][0] - 1, new[j][1])))
+            if new[-1][0] > best:
+                best, ends = new[-1][0], set()
+            if new[-1][0] == best and best:
+                ends.add(new[-1][1])
+        row = new
+    return best, ends
+
+
 def test_alignment_against_full_dynamic_programming():
     rng = np.random.default_rng(5)
-    for _ in range(50):
+    for _ in range(60):
         t = rng.integers(0, 6, 20).astype(np.uint64)
         part = np.concatenate([t[:8], rng.integers(0, 6, int(rng.integers(0, 3))).astype(np.uint64), t[8:]])
-        score = np.zeros((len(t) + 1, len(part) + 1), int)
-        for i in range(len(t)):
-            for j in range(len(part)):
-                score[i + 1, j + 1] = max(0, score[i, j] + (2 if t[i] == part[j] else -1), score[i, j + 1] - 1, score[i + 1, j] - 1)
+        part[rng.integers(0, len(part))] = 9
         n, a, b = align(t, part, 0, band=len(part) + len(t))
-        assert 2 * n - score.max() >= 0 and b - a <= len(part) and n >= 20 - 3
+        score, ends = full_alignment(t.tolist(), part.tolist())
+        assert n in ends and full_alignment(t.tolist(), part[a:b].tolist())[0] == score
     assert scan("x y z", Index(TEMPLATES)) == []
 
 
+def test_license_scan_against_brute_force(spark):
+    """Without index, winnowing or band: every template aligned with every whole text."""
+    rng = random.Random(12)
+    low = lambda t: [w for w in re.split(r"[^0-9A-Za-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w]
+    noise = lambda n: " ".join(f"n{rng.randrange(500)}" for _ in range(n))
+    texts = ["", None, noise(3000) + " " + TEMPLATES["ISC"] + " " + noise(2000)]
+    for text in TEMPLATES.values():
+        words = text.split(" ")
+        texts.append(noise(20) + " " + text + " " + noise(10))
+        changed = list(words)
+        for i in range(4, len(words), 15):
+            changed[i] = "zz"
+        texts += [noise(5) + "\n" + " ".join(changed), " ".join(words[: len(words) // 2]) + " " + noise(30), text.upper()]
+    docs = frame(spark, [*texts, texts[3], texts[3]]).withColumn("license", __import__("pyspark").sql.functions.lit("x"))
+    got = {}
+    for r in scan_licenses(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    wanted = {}
+    for i, t in enumerate([*texts, texts[3], texts[3]]):
+        part = low(t or "")
+        for name, template in TEMPLATES.items():
+            words = low(template)
+            if part and max(full_alignment(words, part)[1], default=0) >= 0.8 * len(words):
+                wanted.setdefault(i, set()).add(name)
+    assert got == wanted and len(wanted) > 30
+    assert scan_licenses(docs.limit(0)).collect() == []
+
+
 # --- toxicity
 
 
@@ -246,6 +305,38 @@ def test_subwords_generalise_to_misspellings(spark):
     assert {r["predicted"] for r in toxicity(docs.limit(5), labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_scores_equal_a_plain_version(spark):
+    """Scores of Spark, cached and vectorised, against loops over n-grams and windows; null, empty, long, repeated and extra."""
+    import zlib
+
+    from quillmesh.llm.toxicity import BUCKETS, STRIP, training_rows
+
+    texts = ["you vile grub " * 3 + f"word{i}" if i % 2 else f"a calm day {i} in the garden with tea" for i in range(60)] + [None, "", "  ", "tea and cake " * 4000, "so VILE!", "so VILE!"]
+    docs = frame(spark, texts).withColumnRenamed("start", "toxic")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    rows = {r["doc_id"]: r["score"] for r in toxicity(docs, labels).collect()}
+    model = fit(*training_rows(docs, labels, 1500, 3000))
+
+    def plain(text):
+        words = (text or "").lower().split()
+        values = []
+        for word in words:
+            bare = f"<{word.strip(STRIP)}>".encode()
+            grams = [bare] + [bare[i : i + k] for k in (3, 4, 5) for i in range(len(bare) - k + 1)]
+            values.append(sum(model.gram[zlib.crc32(g) % BUCKETS] for g in grams) / len(grams))
+        size = min(8, len(values))
+        peak = max(sum(values[i : i + size]) / size for i in range(len(values) - size + 1)) + model.bias if values else 0.0
+        z = model.curve[0] * peak + model.curve[1] * np.log1p(len(words)) + model.curve[2]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    assert all(abs(rows[i] - plain(t)) < 1e-9 for i, t in enumerate(texts)) and len(rows) == len(texts)
+    assert rows[64] == rows[65] and toxicity(docs.limit(0), labels).collect() == []
+    blank = frame(spark, ["", "", " ", ""])
+    marks = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    assert {0 <= r["score"] <= 1 for r in toxicity(blank, marks).collect()} == {True}
+    assert fit(["", ""], np.array([0, 1])).score("") == pytest.approx(0.5)
+
+
 # --- WARC
 
 
@@ -283,3 +374,21 @@ def test_chat_round_trip(spark):
     got = {r["conv_id"]: r for r in read_back(format_conversations(df)).collect()}
     assert {k: (r["n_turns"], r["valid"], r["loss_chars"]) for k, r in got.items()} == {1: (2, True, 3), 2: (2, False, 1), None: (1, True, 0), 3: (2, False, 0)}
     assert read_back(format_conversations(df.limit(0))).count() == 0
+
+
+def test_chat_long_and_clashing(spark):
+    """A conversation of 4,000 turns, one turn of a million characters, a real conversation -7 (the probe's turns join it) and extra columns."""
+    from quillmesh.llm.chat import with_probe
+
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(4000)] + [(2, 0, "user", "q"), (2, 1, "assistant", "é###" * 250_000), (-7, 5, "user", "own")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' segments", "1 seq")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["valid"]) for r in read_back(format_conversations(with_probe(df))).collect()}
+    assert got[1] == (4000, sum(len(f"t{i}") for i in range(1, 4000, 2)), True) and got[2] == (2, 1_000_000, True) and got[-7] == (3, len(PROBE_TEXT), True)
+
+
+def test_warc_null_and_repeated_rows(spark):
+    big = "z" * 200
+    rows = [(None, "u", big), (4, "u", big), (4, "u", big), (2, "u", "s")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' payload", "'y' record_type")
+    got = sorted(((r["page_id"] is None, r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc_round_trip(pages).collect()), key=repr)
+    assert len(got) >= 3 and (False, 2, "response", None) in got and {x[1:] for x in got if x[1] == 4} <= {(4, "response", None), (4, "revisit", 4)}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillmesh.llm.ngram_join import keep_one, set_of, similar, similar_classes, t_occurrence
+from quillmesh.llm.ngram_join import divide_skip, keep_one, set_of, similar, similar_classes, t_occurrence
 from quillmesh.llm.suffix_dedup import LENGTH, suffix_dedup, suffix_dedup_digest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, token string, label long"
@@ -107,6 +107,57 @@ def test_empty_table_and_columns(spark):
     assert suffix_dedup_digest(frame(spark, [])).collect() == []
 
 
+def test_ids_and_long_texts_in_the_join(spark):
+    """Rows without an id, one id with several texts, repeated rows, a very long text and clashing columns."""
+    rng = random.Random(3)
+    a, b, c = ([f"{x}{rng.randrange(10**6)}" for _ in range(n)] for x, n in (("a", 60), ("b", 60), ("c", 40_000)))
+    near = lambda w: " ".join([*w[:30], "zz", *w[31:]])
+    rows = [(None, " ".join(a)), (1, " ".join(a)), (2, near(a)), (3, " ".join(b)), (3, "~ " + " ".join(a)), (4, near(b)), (5, " ".join(c)), (6, near(c)), (6, near(c)), (None, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, n long, token string, label long")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in similar_classes(docs).collect()), key=repr)
+    # the greater text stands for 3: "~ a..." is similar to 1 and 2, so 4 is alone with its own text
+    assert got == sorted([(None, 57, None), (1, 57, 1), (2, 57, 1), (3, 57, 1), (3, 58, 1), (4, 57, 4), (5, 39_997, 5), (6, 39_997, 5), (6, 39_997, 5), (None, 0, None), (7, 0, 7)], key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edit_chains_of_any_kind(spark, seed):
+    """Each text made from an earlier one by a replaced word: chains whose ends are far apart."""
+    rng = random.Random(100 + seed)
+    texts = []
+    for family in range(8):
+        out = [[f"f{family}w{i}" for i in range(rng.choice([45, 90, 150]))]]
+        for r in range(13):
+            copy = list(rng.choice(out))
+            copy[rng.randrange(len(copy))] = f"f{family}r{r}"
+            out.append(copy)
+        texts += [" ".join(x) for x in out]
+    rng.shuffle(texts)
+    texts = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_classes(frame(spark, texts)).collect()}
+    assert got == brute_components(texts, 4)
+
+
+def test_divide_skip_equals_counting():
+    rng = random.Random(6)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(40), rng.choice([1, 3, 10, 35]))) for _ in range(rng.randrange(1, 14))]
+        least = rng.randrange(1, len(lists) + 2)
+        counts = {i: sum(i in x for x in lists) for i in range(40)}
+        assert sorted(divide_skip(lists, least)) == [(i, n) for i, n in counts.items() if n >= least]
+
+
+def test_lists_dealt_by_salt(spark, monkeypatch):
+    """Every list dealt over three tasks, and lists of one chunk per three ids: the result stays."""
+    import quillmesh.llm.ngram_join as J
+
+    monkeypatch.setattr(J.sketch, "salts_of", lambda cells: np.full(len(cells), 3))
+    monkeypatch.setattr(J, "CHUNK", 3)
+    monkeypatch.setattr(J, "WORK", 0)
+    texts = near_texts(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_classes(frame(spark, texts)).collect()}
+    assert got == brute_components(texts, 4)
+
+
 def test_t_occurrence():
     assert t_occurrence([[1, 2, 5], [2, 5], [5, 9]], 2) == [(2, 2), (5, 3)]
     assert similar(6, 7, 6, 85) and not similar(5, 6, 6, 85)
