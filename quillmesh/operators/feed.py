@@ -15,27 +15,29 @@ def message_changes(messages: DataFrame) -> DataFrame:
     """One candidate event per message version; its key changes when the content does."""
     content = F.to_json(F.struct("from_addr", "to_addr", "cc_addr", "internal_date", "direction"), {"ignoreNullFields": "false"})
     key = F.concat_ws(":", F.lit("message"), "account", "gmail_message_id", F.substring(F.sha2(content, 256), 1, 16))
-    return messages.select("account", F.lit("message").alias("entity_type"), F.col("gmail_message_id").alias("entity_key"), F.lit("upsert").alias("operation"), F.lit(None).cast("string").alias("reason"), content.alias("payload"), key.alias("dedupe_key"))
+    return messages.select("account", F.lit("message").alias("entity_type"), F.col("gmail_message_id").alias("entity_key"), F.lit("upsert").alias("operation"), F.lit(None).cast("string").alias("reason"), content.alias("payload"), key.alias("dedupe_key"), F.col("internal_date").alias("occurred_at"))
 
 
 def append(feed: DataFrame, events: DataFrame) -> DataFrame:
-    """The feed and those events whose key is new, numbered on from its last sequence; events without a key are always new. A tombstone (operation delete) without a reason is an error."""
+    """The feed and those events whose key is new, numbered on from its last sequence in the order of occurred_at (if there is one), account and keys; events without a key are always new. A tombstone (operation delete) without a reason is an error."""
+    if "occurred_at" not in events.columns:
+        events = events.withColumn("occurred_at", F.lit(None).cast("long"))
     checked = events.withColumn("operation", F.when((F.col("operation") == "delete") & F.col("reason").isNull(), F.raise_error(F.lit("a tombstone needs a reason"))).otherwise(F.col("operation")))
     keyed = checked.where("dedupe_key IS NOT NULL").join(feed.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
     rank = F.row_number().over(W.partitionBy("dedupe_key").orderBy("account", "entity_key"))
     fresh = keyed.withColumn("__nth", rank).where("__nth = 1").drop("__nth").unionByName(checked.where("dedupe_key IS NULL"))
     last = feed.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("last"))
-    return feed.unionByName(_numbered(fresh, ["account", "entity_type", "entity_key", "dedupe_key"]).join(F.broadcast(last)).withColumn("sequence", F.col("last") + F.col("nth")).select(*feed.columns))
+    return feed.unionByName(_numbered(fresh, ["occurred_at", "account", "entity_type", "entity_key", "dedupe_key"]).join(F.broadcast(last)).withColumn("sequence", F.col("last") + F.col("nth")).select(*feed.columns))
 
 
-def _numbered(rows: DataFrame, order: list[str], buckets: int = 256) -> DataFrame:
-    """rows with nth = 1, 2, ... over (bucket, order): counts per hash bucket are added up first, so no task sorts everything."""
-    key = F.pmod(F.xxhash64(*order), F.lit(buckets)).alias("__bucket")
-    bucketed = rows.select("*", key)
-    counts = bucketed.groupBy("__bucket").agg(F.count("*").alias("c"))
-    before = counts.withColumn("__before", F.sum("c").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))).select("__bucket", F.coalesce("__before", F.lit(0)).alias("__before"))
-    nth = F.row_number().over(W.partitionBy("__bucket").orderBy(*order))
-    return bucketed.withColumn("__nth", nth).join(F.broadcast(before), "__bucket").withColumn("nth", F.col("__before") + F.col("__nth")).drop("__bucket", "__nth", "__before")
+def _numbered(rows: DataFrame, order: list[str], span_ms: int = 3_600_000) -> DataFrame:
+    """rows with nth = 1, 2, ... in the order given, whose first column is a time: the rows of each hour are counted and the counts added up first, so no task sorts everything."""
+    hour = F.coalesce(F.floor(F.col(order[0]) / span_ms), F.lit(-(2**62))).cast("long").alias("__hour")
+    timed = rows.select("*", hour)
+    counts = timed.groupBy("__hour").agg(F.count("*").alias("c"))
+    before = counts.withColumn("__before", F.sum("c").over(W.orderBy("__hour").rowsBetween(W.unboundedPreceding, -1))).select("__hour", F.coalesce("__before", F.lit(0)).alias("__before"))
+    nth = F.row_number().over(W.partitionBy("__hour").orderBy(*order))
+    return timed.withColumn("__nth", nth).join(before, "__hour").withColumn("nth", F.col("__before") + F.col("__nth")).drop("__hour", "__nth", "__before")
 
 
 def page(feed: DataFrame, after: int | str = 0, limit: int = 100, accounts: list[str] | None = None) -> DataFrame:

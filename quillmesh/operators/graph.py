@@ -20,9 +20,11 @@ from pyspark.sql import Window as W
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
+    context, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmesh-"))
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quillmesh-"))
     return df.checkpoint()
 
 

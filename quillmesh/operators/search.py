@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,8 +120,11 @@ def stem_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda w: porter(fold(w)), na_action="ignore")
 
 
+TOKEN = r"([\p{L}\p{N}\p{Co}\p{Mn}]+)"
+
+
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}\p{Co}\p{Mn}]+)"), 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), 1)
 
 
 class SearchIndex:
@@ -129,9 +133,15 @@ class SearchIndex:
     def __init__(self, docs: DataFrame, weights: dict[str, float] | None = None, stem: bool = True) -> None:
         self.weights = dict(weights or WEIGHTS)
         self.stem = stem
+        size = sum((F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN)) for c in self.weights), F.lit(0)).cast("long")
+        self.lengths = docs.select("docid", size.alias("len"))
         self.rows = docs.select("docid", F.concat(*map(self._placed, self.weights)).alias("words"))
-        self.lengths = self.rows.select("docid", F.size("words").cast("long").alias("len"))
-        self.postings = self.rows.select("docid", F.size("words").cast("long").alias("len"), F.explode("words").alias("w")).select("docid", "len", "w.col", "w.pos", "w.token")
+        self.postings = self._exploded(F.col("words"))
+
+    def _exploded(self, some: Column) -> DataFrame:
+        """(docid, len, col, pos, token) of some of the rows' words."""
+        rows = self.rows.select("docid", F.size("words").cast("long").alias("len"), F.explode(some).alias("w"))
+        return rows.select("docid", "len", "w.col", "w.pos", "w.token")
 
     @staticmethod
     def _placed(name: str) -> Column:
@@ -153,7 +163,9 @@ class SearchIndex:
         if self.stem:
             found = self.postings.join(self.vocabulary().select("token", parts), "token")
         else:
-            found = self.postings.withColumn("stem", F.col("token")).select("docid", "len", "col", "pos", parts)
+            last = {words[-1] for words in keys} if prefix else set()
+            wanted = lambda w: reduce(lambda a, k: a | w["token"].startswith(k), sorted(last), w["token"].isin(sorted({k for words in keys for k in words})))
+            found = self._exploded(F.filter("words", wanted)).withColumn("stem", F.col("token")).select("docid", "len", "col", "pos", parts)
         found = found.select("docid", "len", "col", "m.phrase", "m.part", (F.col("pos") - F.col("m.part")).alias("start"))
         if max(map(len, keys)) > 1:
             sizes = F.element_at(F.array(*[F.lit(len(words)) for words in keys]), F.col("phrase") + 1)

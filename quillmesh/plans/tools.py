@@ -27,6 +27,7 @@ from ..sources import payload
 from . import composites as C
 
 STALE_SECONDS = 3 * 3600
+MAX_BROADCAST = 100_000
 TEXTS = ["subject", "from_addr", "to_addr", "cc_addr", "snippet", "body_text", "summary_text"]
 
 
@@ -50,20 +51,22 @@ class Archive:
     source: DataFrame | None = None  # parsed payloads
 
     def _overlay(self, values: dict, key: str, column: str) -> DataFrame:
-        return self.spark.createDataFrame([(a, k, v) for (a, k), v in values.items()], f"account string, {key} string, {column} string")
+        """The user's own marks as a table; it is broadcast up to MAX_BROADCAST of them."""
+        rows = self.spark.createDataFrame([(a, k, v) for (a, k), v in values.items()], f"account string, {key} string, {column} string")
+        return F.broadcast(rows) if len(values) <= MAX_BROADCAST else rows
 
     def contacts(self) -> DataFrame:
         scored = scoring.score_contacts(R.contacts_rollup(self.messages), R.bulk_counts(self.messages), self.now_ms)
-        return scored.join(F.broadcast(self._overlay(self.contact_curation, "address", "curation")), ["account", "address"], "left")
+        return scored.join(self._overlay(self.contact_curation, "address", "curation"), ["account", "address"], "left")
 
     def domains(self) -> DataFrame:
         rows = R.domains_rollup(R.contacts_rollup(self.messages))
         for values, name in ((self.domain_curation, "curation"), (self.categories, "category")):
-            rows = rows.join(F.broadcast(self._overlay(values, "domain", name)), ["account", "domain"], "left")
+            rows = rows.join(self._overlay(values, "domain", name), ["account", "domain"], "left")
         return rows
 
     def threads(self) -> DataFrame:
-        return R.threads_rollup(self.messages).join(F.broadcast(self._overlay(self.thread_summaries, "thread_id", "summary")), ["account", "thread_id"], "left")
+        return R.threads_rollup(self.messages).join(self._overlay(self.thread_summaries, "thread_id", "summary"), ["account", "thread_id"], "left")
 
     def members(self) -> DataFrame:
         return graph.members(R.threads_rollup(self.messages), self.messages, R.contacts_rollup(self.messages))

@@ -174,6 +174,9 @@ def test_stems():
 
 
 def test_feed(spark):
+    timed = feed.message_changes(mail(spark, [{"internal_date": 9 * 10**9}, {"internal_date": 5}, {}, {"internal_date": 7}]))
+    order = feed.append(timed.limit(0).withColumn("sequence", F.lit(0).cast("long")), timed)
+    assert [r["entity_key"] for r in order.orderBy("sequence").collect()] == ["m002", "m001", "m003", "m000"]
     events = feed.message_changes(mail(spark, [{"from_addr": "x@y.z"}, {"from_addr": "q@y.z"}]))
     empty = events.limit(0).withColumn("sequence", F.lit(0).cast("long"))
     one = feed.append(empty, events)
