@@ -1,55 +1,94 @@
 """Incremental ingest with Structured Streaming: idempotent micro-batches into a versioned table.
 
-Each micro-batch is merged with the stored messages by the state lattice and written to a new version
-folder; a pointer file names the current one. A batch that is replayed gives the same table, so
-at-least-once delivery is enough.
+The table is cut by the month of a message's internal date, which its provider sets once and for all. Each micro-batch is merged
+with the stored messages of its months by the state lattice; only these months are written anew. A version is a
+manifest that names, for each month, the folder that holds it. A batch that is replayed gives the same
+table, so at-least-once delivery is enough; a reader of an older version keeps its files until `vacuum`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.messages import upsert
 
+PART = "__month"
+
+
+def month_of(df: DataFrame) -> Column:
+    """The month of internal_date; `none` without a date."""
+    if "internal_date" not in df.columns:
+        return F.lit("none")
+    return F.coalesce(F.date_format(F.timestamp_millis("internal_date"), "yyyy-MM"), F.lit("none"))
+
 
 class VersionedTable:
-    """Parquet folders v=<n>; the highest complete one (with _SUCCESS) is current."""
+    """<path>/data/<version>/__month=<m>: the months a version wrote; <path>/manifest/v=<version>: month -> version that holds it. The highest manifest with _SUCCESS is current."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def versions(self) -> list[int]:
+    def _listed(self, folder: str) -> list:
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath() for s in fs.listStatus(root)]
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return [(fs, s.getPath()) for s in fs.listStatus(root)] if fs.exists(root) else []
 
-    def read(self) -> DataFrame | None:
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
+    def versions(self) -> list[int]:
+        done = [p for fs, p in self._listed("manifest") if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName().removeprefix("v=")) for p in done)
 
-    def write(self, df: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+    def manifest(self, version: int | None = None) -> dict[str, int]:
+        """month -> version of its folder, of the current version or another; a row for each month."""
+        found = self.versions()
+        if not found:
+            return {}
+        return {r["month"]: r["version"] for r in self.spark.read.schema("month string, version int").json(f"{self.path}/manifest/v={version or found[-1]}").collect()}
+
+    def read(self, months: list[str] | None = None, version: int | None = None) -> DataFrame | None:
+        """The table, or its rows of some months; None if there are none."""
+        held: dict[int, list[str]] = {}
+        for month, at in self.manifest(version).items():
+            if months is None or month in months:
+                held.setdefault(at, []).append(f"{self.path}/data/{at}/{PART}={month}")
+        parts = [self.spark.read.parquet(*sorted(paths)) for _, paths in sorted(held.items())]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def write(self, df: DataFrame, months: list[str] | None = None) -> int:
+        """A new version in which df replaces these months (of all months without). df may be empty for some of them."""
+        found = self.versions()
+        version = (found or [0])[-1] + 1
+        kept = {} if months is None else {m: v for m, v in self.manifest().items() if m not in months}
+        df.withColumn(PART, month_of(df)).write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/data/{version}")
+        written = [p.getName().removeprefix(PART + "=") for _, p in self._listed(f"data/{version}") if p.getName().startswith(PART + "=")]
+        rows = [*kept.items(), *((m, version) for m in written)]
+        self.spark.createDataFrame(rows, "month string, version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/v={version}")
         return version
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete all manifests but the newest few, and the folders that these do not name."""
+        newest = self.versions()[-keep:]
+        named = {at for v in newest for at in self.manifest(v).values()}
+        for folder, wanted, cut in (("manifest", set(newest), "v="), ("data", named, "")):
+            for fs, p in self._listed(folder):
+                if int(p.getName().removeprefix(cut)) not in wanted:
+                    fs.delete(p, True)
+
 
 def merge_batches(table: VersionedTable, after: Callable[[DataFrame, DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: upsert, then `after(batch, messages)` on the new rows only (rules, derived tables)."""
+    """A foreachBatch function: upsert into the batch's months, then `after(batch, messages)` on the new rows only (rules, derived tables)."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        months = sorted(r[0] for r in batch.select(month_of(batch)).distinct().collect())
+        if not months:
+            return
+        stored = table.read(months)
         rows = batch.withColumn("batch", F.lit(batch_id))
-        stored = table.read()
-        if stored is None:
-            stored = batch.limit(0)
-        merged = upsert(stored, rows)
-        table.write(merged)
+        table.write(upsert(batch.limit(0) if stored is None else stored, rows), months)
         if after:
             after(batch, table.read())
 

@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quillmesh.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ("cadence", "contacts_rollup", "threads_rollup", "engagement_score", "digest_sources", "catch_up_important", "trigger_match", "graph_neighbors", "bm25_exact", "feed_page", "lattice_upsert", "index_as_of", "event_sessions")
+SQL_QUERIES = sorted(registry.ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def normal(rows):
     return sorted(map(repr, rows))
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", SQL_QUERIES)
 def test_query_equals_its_sql(spark, db, name):
     got = entry.queries()[name](spark, DATA)
     columns = sorted(got.columns)

@@ -23,6 +23,24 @@ def test_batches_merge_and_replays_are_idempotent(spark, tmp_path):
     assert {tuple(r)[1:] for r in table.read().select(*[c.split()[0] for c in SCHEMA.split(", ")]).collect()} == wanted
 
 
+def test_only_the_months_of_a_batch_are_written(spark, tmp_path):
+    table, day = VersionedTable(spark, f"file://{tmp_path}/t"), 86_400_000
+    rows = lambda *x: spark.createDataFrame(list(x), SCHEMA + ", internal_date long")
+    merge = merge_batches(table)
+    merge(rows(("a", "1", "full", "x", 1, 0), ("a", "2", "meta", None, 1, 40 * day), ("a", "3", "meta", None, 1, None)), 0)
+    assert table.manifest() == {"1970-01": 1, "1970-02": 1, "none": 1}
+    merge(rows(("a", "2", "full", "y", 0, 40 * day), ("b", "2", "meta", None, 1, 41 * day)), 1)
+    assert table.manifest() == {"1970-01": 1, "1970-02": 2, "none": 1}
+    got = {(r["account"], r["gmail_message_id"], r["body_state"], r["unread"]) for r in table.read().collect()}
+    assert got == {("a", "1", "full", 1), ("a", "2", "full", 0), ("a", "3", "meta", 1), ("b", "2", "meta", 1)}
+    assert table.read(["1970-02"]).count() == 2 and table.read(["2000-01"]) is None and table.read(version=1).count() == 3
+    merge(rows(("a", "1", "meta", None, 0, 0), ("a", "3", "meta", None, 0, None)), 2)
+    table.vacuum(keep=1)
+    assert table.versions() == [3] and {tuple(r)[1:3] for r in table.read().select("account", "gmail_message_id", "body_state").collect()} == {("1", "full"), ("2", "full"), ("2", "meta"), ("3", "meta")}
+    merge(rows().limit(0), 3)
+    assert table.versions() == [3]
+
+
 def test_windows(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:10:00", "v"), (1, "2024-01-01 00:20:00", "v"), (1, "2024-01-02 05:00:00", "v")], "user_id int, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in windowed_counts(rows).collect()) == [1, 2]
