@@ -3,13 +3,16 @@
 The rollups depend on the order of messages (a reply follows an earlier message of the contact in
 the thread). The order (internal_date nulls first, id) is compared as a struct, so no global
 numbering is needed: the first message of a thread and the first one received from a contact in it are
-minimums, joined back on their keys.
+minimums over the thread.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 
@@ -43,17 +46,44 @@ def sent_events(messages: DataFrame) -> DataFrame:
     return rows.select("account", "address", "thread_id", "internal_date", "seq", "pos", S.display_name(F.col("raw")).alias("name"), F.lit(0).alias("received"), F.lit(1).alias("sent"), *zero)
 
 
-def contacts_rollup(messages: DataFrame) -> DataFrame:
-    received, sent = received_events(messages), sent_events(messages)
-    first_from = received.where("thread_id IS NOT NULL").groupBy("account", "thread_id", "address").agg(F.min("seq").alias("first_from"))
-    first_in = messages.where(_thread().isNotNull()).groupBy("account", "thread_id").agg(F.min(order_key()).alias("first_in"))
-    sent = sent.join(first_from, ["account", "thread_id", "address"], "left").join(first_in, ["account", "thread_id"], "left")
-    replied = F.coalesce(F.col("first_from") < F.col("seq"), F.lit(False))
-    initiated = ~replied & F.coalesce(F.col("first_in") == F.col("seq"), F.lit(False))
-    columns = ["account", "address", "internal_date", "seq", "pos", "name", "received", "sent", "read", "starred", "important"]
-    events = received.select(*columns, F.lit(0).alias("replied"), F.lit(0).alias("initiated")).unionByName(sent.select(*columns, replied.cast("int").alias("replied"), initiated.cast("int").alias("initiated")))
+def contact_events(messages: DataFrame) -> DataFrame:
+    """One scan: a row per message and correspondent (a message without one keeps a row with a null address), with the minimums that replies depend on.
+
+    first_in is the thread's first message, first_from the first one received from the address in the thread; both come from
+    windows over one shuffle by thread, in which a message without a thread is a thread of its own.
+    """
+    sent = F.col("direction") == "sent"
+    recipients = F.transform(F.concat(S.split_recipients(F.col("to_addr")), S.split_recipients(F.col("cc_addr"))), lambda x, i: F.struct(i.alias("pos"), x.alias("raw")))
+    people = F.when(sent, recipients).otherwise(F.array(F.struct(F.lit(0).alias("pos"), F.col("from_addr").alias("raw"))))
+    known = {"is_list": F.coalesce(F.col("is_list"), F.lit(False)), "category": F.coalesce(F.col("category").isin("promotions", "social"), F.lit(False))}
+    bulk = reduce(lambda a, b: a | b, [v for k, v in known.items() if k in messages.columns], F.lit(False))
+    marks = {"received": ~sent, "sent": sent, "bulk": bulk & ~sent}
+    received = {"read": 1 - F.col("unread"), "starred": F.col("starred"), "important": F.col("important")}
+    rows = messages.select(
+        "account", F.lower("own").alias("own"), _thread().alias("thread_id"), "gmail_message_id", "internal_date", order_key().alias("seq"),
+        *[F.coalesce(v, F.lit(False)).cast("int").alias(k) for k, v in marks.items()], *[F.when(sent, 0).otherwise(v).alias(k) for k, v in received.items()], F.explode_outer(people).alias("p"),
+    )
+    address = S.extract_address(F.col("p.raw"))
+    rows = rows.withColumn("address", F.when(~F.coalesce(address == F.col("own"), F.lit(False)), address))
+    rows = rows.withColumn("__thread", F.coalesce("thread_id", F.concat(F.lit("\x00"), "gmail_message_id")))
+    in_thread = F.col("thread_id").isNotNull()
+    first_from = F.min(F.when((F.col("received") == 1) & F.col("address").isNotNull(), F.col("seq"))).over(W.partitionBy("account", "__thread", "address"))
+    first_in = F.min("seq").over(W.partitionBy("account", "__thread"))
+    rows = rows.withColumn("first_from", F.when(in_thread, first_from)).withColumn("first_in", F.when(in_thread, first_in))
+    return rows.select("account", "address", "internal_date", "seq", F.col("p.pos").alias("pos"), S.display_name(F.col("p.raw")).alias("name"), *marks, *received, "first_from", "first_in")
+
+
+def contacts_rollup(messages: DataFrame, with_bulk: bool = False) -> DataFrame:
+    """One row per correspondent; with_bulk adds how many bulk messages it sent (bulk_count)."""
+    events = contact_events(messages).where("address IS NOT NULL")
+    sent = F.col("sent") == 1
+    replied = sent & F.coalesce(F.col("first_from") < F.col("seq"), F.lit(False))
+    initiated = sent & ~replied & F.coalesce(F.col("first_in") == F.col("seq"), F.lit(False))
+    events = events.withColumns({"replied": replied.cast("int"), "initiated": initiated.cast("int")})
     named = F.when(F.col("name").isNotNull(), F.struct("seq", "pos", "name"))
     sums = {"msgs_received": "received", "msgs_sent": "sent", "read_count": "read", "replied_count": "replied", "initiated_count": "initiated", "starred_count": "starred", "important_count": "important"}
+    if with_bulk:
+        sums["bulk_count"] = "bulk"
     out = events.groupBy("account", "address").agg(F.min(named)["name"].alias("display_name"), *[F.sum(v).cast("long").alias(k) for k, v in sums.items()], F.min("internal_date").alias("first_seen"), F.max("internal_date").alias("last_seen"))
     return out.withColumn("domain", S.host_of(F.col("address")))
 

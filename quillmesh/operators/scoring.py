@@ -30,8 +30,10 @@ def engagement(now_ms: int) -> Column:
     return score + F.when(never, WEIGHTS["never_opened"]).otherwise(0.0)
 
 
-def score_contacts(contacts: DataFrame, bulk: DataFrame, now_ms: int) -> DataFrame:
-    rows = contacts.join(bulk, ["account", "address"], "left").withColumn("bulk_count", F.coalesce("bulk_count", F.lit(0)))
+def score_contacts(contacts: DataFrame, bulk: DataFrame | None, now_ms: int) -> DataFrame:
+    """bulk: `rollups.bulk_counts`, or None where the contacts have their bulk_count already."""
+    rows = contacts if bulk is None else contacts.join(bulk, ["account", "address"], "left")
+    rows = rows.withColumn("bulk_count", F.coalesce("bulk_count", F.lit(0)))
     return rows.withColumn("engagement_score", engagement(now_ms))
 
 

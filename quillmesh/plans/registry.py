@@ -81,7 +81,7 @@ def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mailbox(spark, sf_dir)
-    return scoring.score_contacts(R.contacts_rollup(m), R.bulk_counts(m), NOW_MS)
+    return scoring.score_contacts(R.contacts_rollup(m, with_bulk=True), None, NOW_MS)
 
 
 def _curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -56,7 +56,7 @@ class Archive:
         return F.broadcast(rows) if len(values) <= MAX_BROADCAST else rows
 
     def contacts(self) -> DataFrame:
-        scored = scoring.score_contacts(R.contacts_rollup(self.messages), R.bulk_counts(self.messages), self.now_ms)
+        scored = scoring.score_contacts(R.contacts_rollup(self.messages, with_bulk=True), None, self.now_ms)
         return scored.join(self._overlay(self.contact_curation, "address", "curation"), ["account", "address"], "left")
 
     def domains(self) -> DataFrame:
