@@ -48,6 +48,7 @@ class Archive:
     label_names: dict[str, str] = field(default_factory=dict)
     runs: DataFrame | None = None
     jobs: DataFrame | None = None
+    metrics: DataFrame | None = None  # account, address, centrality, community_id: what build_graph found last
     source: DataFrame | None = None  # parsed payloads
 
     def _overlay(self, values: dict, key: str, column: str) -> DataFrame:
@@ -57,6 +58,8 @@ class Archive:
 
     def contacts(self) -> DataFrame:
         scored = scoring.score_contacts(R.contacts_rollup(self.messages, with_bulk=True), None, self.now_ms)
+        if self.metrics is not None:
+            scored = scored.join(self.metrics, ["account", "address"], "left")
         return scored.join(self._overlay(self.contact_curation, "address", "curation"), ["account", "address"], "left")
 
     def domains(self) -> DataFrame:
@@ -72,6 +75,13 @@ class Archive:
         return graph.members(R.threads_rollup(self.messages), self.messages, R.contacts_rollup(self.messages))
 
 
+def build_graph(archive: Archive) -> Archive:
+    """The archive with the graph's metrics on its contacts, as of now."""
+    people = archive.members()
+    found = graph.edges(people)
+    return replace(archive, metrics=graph.pagerank(people, found).join(graph.louvain(people, found).select("account", "address", "community_id"), ["account", "address"], "full_outer"))
+
+
 Tool = Callable[..., Any]
 TOOLS: dict[str, Tool] = {}
 
@@ -218,11 +228,9 @@ def list_threads(archive: Archive, account: str | None = None, contact: str | No
 
 @tool
 def list_contacts(archive: Archive, account: str | None = None, only: str | None = None, sort: str = "engagement", limit: int = 20) -> DataFrame:
-    rows = _of(archive.contacts(), account)
-    if sort == "community":
-        people = archive.members()
-        rows = rows.join(graph.louvain(people, graph.edges(people)), ["account", "address"], "left")
-    return C.list_contacts(rows, only, sort, limit)
+    if sort == "community" and archive.metrics is None:
+        archive = build_graph(archive)
+    return C.list_contacts(_of(archive.contacts(), account), only, sort, limit)
 
 
 @tool

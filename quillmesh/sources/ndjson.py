@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.messages import upsert
+
 SCHEMA_VERSION = 20
 TABLES = ("messages", "contacts", "domains", "threads", "interest_profile", "labels", "sync_runs", "account_settings")
 
@@ -41,6 +43,32 @@ def import_rows(spark: SparkSession, path: str, schemas: dict) -> dict[str, Data
     return {name: lines.where(F.col("type") == name).select(F.from_json(F.get_json_object("value", "$.row"), schema).alias("r")).select("r.*") for name, schema in schemas.items()}
 
 
+#: What names a row of each table; rows of the others are known by all their columns.
+KEYS = {
+    "messages": ["account", "gmail_message_id"],
+    "contacts": ["account", "address"],
+    "domains": ["account", "domain"],
+    "threads": ["account", "thread_id"],
+    "labels": ["account", "id"],
+    "account_settings": ["account"],
+}
+
+
+def merged(stored: dict[str, DataFrame], imported: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The stored tables with an import in them: messages by the state lattice, so a body is never lost to a header; else the imported row wins. Importing again, whole or from any line on, changes nothing more."""
+    out = dict(stored)
+    for name, rows in imported.items():
+        if name not in stored:
+            out[name] = rows
+        elif name == "messages":
+            out[name] = upsert(stored[name], rows.dropDuplicates(KEYS[name]).withColumn("batch", F.lit(0)))
+        elif name in KEYS:
+            out[name] = stored[name].join(rows.select(*KEYS[name]).distinct(), KEYS[name], "left_anti").unionByName(rows.dropDuplicates(KEYS[name]), allowMissingColumns=True)
+        else:
+            out[name] = stored[name].unionByName(rows, allowMissingColumns=True).distinct()
+    return out
+
+
 def watermarks(messages: DataFrame, runs: DataFrame) -> DataFrame:
     """A finished run at the newest message for each account that has none."""
     finished = runs.where("finished_at IS NOT NULL AND error IS NULL").select("account").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators import feed, graph, messages as M, rollups as R, runs, scoring, search
 from quillmesh.plans import composites as C
-from quillmesh.plans.tools import TOOLS, Archive, call, fired, signature
+from quillmesh.plans.tools import TOOLS, Archive, build_graph, call, fired, signature
 from quillmesh.sources import ndjson, payload
 from quillmesh.sources.provider import TableSource
 
@@ -194,6 +194,12 @@ def test_ndjson_round_trip(spark, tmp_path):
     back = ndjson.import_rows(spark, f"{tmp_path}/all", {"messages": df.schema})["messages"]
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert ndjson.export_lines({"messages": df}, "b").count() == 1
+    held = mail(spark, [{"body_state": "full", "body_text": "B", "subject": "old"}])
+    labels = spark.createDataFrame([("a", "1", "One"), ("a", "2", "Two")], "account string, id string, name string")
+    tables = ndjson.merged({"messages": held, "labels": labels}, {"messages": df, "labels": labels.where("id = '2'").withColumn("name", F.lit("New")), "sync_runs": labels.limit(0)})
+    twice = ndjson.merged(tables, {"messages": df})
+    assert {(r["account"], r["gmail_message_id"], r["body_state"], r["subject"]) for r in twice["messages"].collect()} == {("a", "m000", "full", None), ("b", "m001", "meta", None)}
+    assert {(r["id"], r["name"]) for r in tables["labels"].collect()} == {("1", "One"), ("2", "New")} and tables["sync_runs"].count() == 0
     runs = spark.createDataFrame([("a", 1, None)], "account string, finished_at long, error string")
     assert [(r["account"], r["finished_at"]) for r in ndjson.watermarks(df, runs).collect()] == [("b", 9)]
     with pytest.raises(ValueError):
@@ -259,6 +265,9 @@ def test_tools(spark):
     assert call(a, "archive_message", ref="a:m000")["result"]["labels"] == []
     assert call(a, "graph_neighbors", address="pal@x.com")["result"]["fallback"] is False
     assert call(a, "graph_communities")["result"].count() == 1
+    with_graph = {r["address"]: r for r in build_graph(a).contacts().collect()}
+    assert with_graph["pal@x.com"]["centrality"] > 0 and with_graph["pal@x.com"]["community_id"] == with_graph["kim@x.com"]["community_id"] and with_graph["news@n.com"]["centrality"] is None
+    assert call(a, "list_contacts", sort="community")["result"].count() == 3
     call(a, "trigger_rule_save", rule_id="r", account="a", conditions=[("from_domain", "n.com")])
     assert fired(a, a.messages.select("account", "gmail_message_id"))["r"].count() == 1
     assert call(a, "settings_set", account="a", body_window_months=3)["result"]["body_window_months"] == 3
