@@ -366,7 +366,7 @@ def linked(docs: DataFrame, cells: np.ndarray, copies: DataFrame, k: int, percen
         found = scratch.put(verified(candidates, docs, k, percent, scratch), "links")
         if not found.isEmpty():
             components = scratch.put(connected_components(edges.unionByName(found), scratch), "components")
-    scratch.drop(*[x for x in scratch.paths if x not in ("components", "signed", "known")])
+    scratch.drop(*[x for x in scratch.paths if x not in ("components", "signed", "known", "classes")])
     return components
 
 
@@ -386,6 +386,7 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = PERCENT) -> Data
     cells = sketch.merged(signed.where("block IS NOT NULL"))
     key = ["sig_a", "sig_b", "n"]
     classes = known.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last"))
+    classes = scratch.put(classes, "classes")  # as a table of its own, so that the joins below have exchanges that AQE splits where a class is hot
     copies = known.join(classes.where("class_id <> last"), key).where("doc_id <> class_id").select(F.col("doc_id").alias("doc"), "class_id").distinct()
     components = linked(texts, cells, scratch.put(copies, "copies"), k, percent, scratch)
     of_class = classes.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"))
