@@ -52,6 +52,8 @@ def neighbours(found: DataFrame, limit: int = 15) -> DataFrame:
 
 
 MAX_LOCAL_EDGES = 2_000_000
+#: Both forms look whether an account has settled after every so many steps, so that they stop it at the same one.
+SETTLED_EVERY = 5
 
 
 def pagerank(people: DataFrame, found: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, iterations: int = 100, max_local_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
@@ -77,35 +79,44 @@ def _local_pagerank(people: DataFrame, found: DataFrame, damping: float, toleran
         total = np.bincount(src, weight, n)
         share, dangling = weight / total[src], total == 0
         ranks = np.full(n, 1.0 / n)
-        for _ in range(iterations):
+        for step in range(1, iterations + 1):
             new = (1 - damping) / n + damping * (np.bincount(dst, ranks[src] * share, n) + ranks[dangling].sum() / n)
             moved, ranks = np.abs(new - ranks).sum(), new
-            if moved <= n * tolerance:
+            if step % SETTLED_EVERY == 0 and moved <= n * tolerance:
                 break
         return pd.DataFrame({"account": pdf.account.iloc[0], "address": names, "centrality": ranks})
 
     return rows.groupBy("account").applyInPandas(run, "account string, address string, centrality double")
 
 
-def _distributed_pagerank(people: DataFrame, found: DataFrame, damping: float, tolerance: float, iterations: int, every: int = 5) -> DataFrame:
+def _distributed_pagerank(people: DataFrame, found: DataFrame, damping: float, tolerance: float, iterations: int) -> DataFrame:
+    """Accounts that have settled keep their ranks and leave the iteration."""
     nodes = people.select("account", "address").distinct()
     sizes = nodes.groupBy("account").agg(F.count("*").alias("n"))
     links = both_ways(found)
     out = links.groupBy("account", "src").agg(F.sum("weight").alias("total"))
     links = _checkpointed(links.join(out, ["account", "src"]).select("account", F.col("src").alias("address"), "dst", (F.col("weight") / F.col("total")).alias("share")))
     base = _checkpointed(nodes.join(sizes, "account").join(out.withColumnRenamed("src", "address"), ["account", "address"], "left").select("account", "address", "n", F.col("total").isNull().alias("dangling")))
-    ranks = base.withColumn("r", F.lit(1.0) / F.col("n"))
+    ranks, settled = base.withColumn("r", F.lit(1.0) / F.col("n")), []
     for step in range(1, iterations + 1):
         before = ranks
         flow = before.join(links, ["account", "address"]).groupBy("account", F.col("dst").alias("address")).agg(F.sum(F.col("r") * F.col("share")).alias("flow"))
         lost = before.where("dangling").groupBy("account").agg(F.sum("r").alias("lost"))
         new = (1 - damping) / F.col("n") + damping * (F.coalesce("flow", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))
-        ranks = base.join(flow, ["account", "address"], "left").join(lost, "account", "left").select("account", "address", "n", "dangling", new.alias("r"))
-        if step % every == 0 or step == iterations:
+        old = before.withColumnRenamed("r", "old")
+        ranks = old.join(flow, ["account", "address"], "left").join(lost, "account", "left").select("account", "address", "n", "dangling", "old", new.alias("r"))
+        if step % SETTLED_EVERY == 0 and step < iterations:
             ranks = _checkpointed(ranks)
-            moved = ranks.join(before.select("account", "address", F.col("r").alias("old")), ["account", "address"]).groupBy("account").agg((F.sum(F.abs(F.col("r") - F.col("old"))) - F.count("*") * tolerance).alias("over"))
-            if (moved.agg(F.max("over")).first()[0] or 0) <= 0:
+            still = ranks.groupBy("account").agg((F.sum(F.abs(F.col("r") - F.col("old"))) > F.first("n") * tolerance).alias("moves"))
+            ranks = _checkpointed(ranks.join(still, "account").drop("old"))
+            settled.append(ranks.where("NOT moves").select("account", "address", "r"))
+            ranks = ranks.where("moves").drop("moves")
+            if ranks.isEmpty():
                 break
+        else:
+            ranks = ranks.drop("old")
+    for rows in settled:
+        ranks = ranks.select("account", "address", "r").unionByName(rows)
     return ranks.select("account", "address", F.col("r").alias("centrality"))
 
 

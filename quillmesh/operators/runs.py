@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ def queue_status(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("account").agg(waiting.alias("queue_depth"), F.max(F.when(F.col("kind") == "sync", F.col("created_at"))).alias("last_sync"))
 
 
+def discover_accounts(*tables: DataFrame) -> DataFrame:
+    """(account): every account that any of the tables names."""
+    return reduce(DataFrame.union, [t.select("account").distinct() for t in tables]).distinct()
+
+
 def replace_labels(catalogue: DataFrame, account: str, listed: DataFrame) -> DataFrame:
     """The label catalogue with the account's labels replaced by those listed (id, name, type); an empty list changes nothing."""
     if listed.isEmpty():

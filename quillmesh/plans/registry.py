@@ -13,7 +13,7 @@ from ..functions import distill as D
 from ..functions import images as I
 from ..functions import scalars as S
 from ..operators import feed as feed_ops
-from ..operators import graph, messages as M, rollups as R, runs, scoring, search
+from ..operators import graph, jobs, messages as M, rollups as R, runs, scoring, search
 from ..sources.mailbox import MAILBOX_SQL, PEOPLE_SQL, mailbox, table
 from ..sources.provider import TableSource
 from ..streaming.ingest import session_counts, windowed_counts
@@ -188,9 +188,10 @@ def body_state_counts(spark, sf_dir):
     return R.body_state_counts(mailbox(spark, sf_dir))
 
 
-@query("SELECT account FROM (SELECT account FROM mb UNION SELECT r_name FROM region) ORDER BY account")
+@query("SELECT account FROM (SELECT account FROM mb UNION SELECT account FROM contacts UNION SELECT event_type FROM events) ORDER BY account", FULL)
 def account_discovery(spark, sf_dir):
-    return mailbox(spark, sf_dir).select("account").union(table(spark, sf_dir, "region").select("r_name")).distinct().orderBy("account")
+    synced = table(spark, sf_dir, "events").select(F.col("event_type").alias("account"))
+    return runs.discover_accounts(mailbox(spark, sf_dir), _contacts(spark, sf_dir), synced).orderBy("account")
 
 
 RUNS = "runs AS (SELECT event_type AS account, epoch_us(ts) // 1000 AS finished_at, CASE WHEN event_id % 5 = 0 THEN 'failed' END AS error FROM events), lastrun AS (SELECT account, max(finished_at) AS as_of FROM runs WHERE error IS NULL GROUP BY account)"
@@ -594,6 +595,43 @@ def queue_status(spark, sf_dir):
     return runs.queue_status(jobs)
 
 
+def _job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as jobs, their month pressed into an hour, so that both leases end within it."""
+    status = F.element_at(F.array(*map(F.lit, ("queued", "running", "done", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    made = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 720).cast("long")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 3 == 0, "sync").otherwise("graph").alias("kind"), F.concat_ws("-", "event_type", F.col("user_id") % 50).alias("account"), F.lit("{}").alias("params"),
+        status.alias("status"), made.alias("created_at"), F.when(F.col("event_id") % 4 > 0, made).alias("started_at"), F.lit(None).cast("long").alias("finished_at"), F.lit(None).cast("string").alias("error"), (F.col("event_id") % 4 > 1).alias("terminal"))
+
+
+JOBS_SQL = "jobs AS (SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 3 = 0 THEN 'sync' ELSE 'graph' END AS kind, event_type || '-' || CAST(user_id % 50 AS VARCHAR) AS account, (['queued', 'running', 'done', 'failed'])[event_id % 4 + 1] AS status, epoch_us(ts) // 1000 // 720 AS made FROM events), clock AS (SELECT max(made) AS now FROM jobs)"
+
+
+@query("SELECT id, kind, account, CASE WHEN over THEN 'failed' ELSE status END AS status, CASE WHEN over AND status = 'running' THEN 'stale Job lock expired after 15 minutes' WHEN over THEN 'queued Job was never delivered' END AS error, "
+       "CASE WHEN kind IN ('enrich_bulk', 'retention', 'backfill_slice', 'graph') THEN 'sweep' ELSE 'sync' END AS queue FROM (SELECT *, (status = 'running' AND made < now - 900000) OR (status = 'queued' AND made < now - 3000000) AS over FROM jobs, clock)", JOBS_SQL)
+def job_leases(spark, sf_dir):
+    rows = _job_rows(spark, sf_dir)
+    now = rows.agg(F.max("created_at")).first()[0] or 0
+    return jobs.expired(rows, now).select("id", "kind", "account", "status", "error", jobs.queue_of(F.col("kind")).alias("queue"))
+
+
+@query("SELECT w.kind, w.account, l.id AS live, l.id IS NULL AS is_new FROM (SELECT DISTINCT kind, account FROM jobs) w LEFT JOIN (SELECT kind, account, arg_max(id, (made, id)) AS id FROM jobs, clock "
+       "WHERE (status = 'running' AND made >= now - 900000) OR (status = 'queued' AND made >= now - 3000000) GROUP BY ALL) l USING (kind, account)", JOBS_SQL)
+def job_enqueue(spark, sf_dir):
+    rows = _job_rows(spark, sf_dir)
+    now = rows.agg(F.max("created_at")).first()[0] or 0
+    _, answers = jobs.enqueue(rows, rows.select("kind", "account", "params"), now)
+    return answers.select("kind", "account", F.when(~F.col("is_new"), F.col("id")).alias("live"), "is_new")
+
+
+@query("SELECT a.account, greatest(coalesce(l.last, f.floor), f.floor) AS since FROM (SELECT event_type AS account FROM events GROUP BY event_type) a CROSS JOIN (SELECT max(epoch_us(ts) // 1000) - 3600000 AS floor FROM events) f "
+       "LEFT JOIN (SELECT event_type AS account, max(epoch_us(ts) // 1000) AS last FROM events WHERE event_id % 5 > 0 GROUP BY event_type) l USING (account)", "")
+def due_syncs(spark, sf_dir):
+    made = table(spark, sf_dir, "events").select(F.col("event_type").alias("account"), F.unix_millis(F.col("ts").cast("timestamp")).alias("finished_at"), F.when(F.col("event_id") % 5 == 0, "failed").alias("error"))
+    floor = (made.agg(F.max("finished_at")).first()[0] or 0) - 3_600_000
+    return jobs.due_syncs(made.select("account", F.lit(None).cast("string").alias("auth_error")).distinct(), made, floor)
+
+
 @query("SELECT event_type AS account, arg_max(event_id, (epoch_ms(ts), event_id)) AS id FROM events WHERE event_id % 2 = 0 AND epoch_ms(ts) >= (SELECT max(epoch_ms(ts)) FROM events) - 21600000 GROUP BY event_type", "")
 def active_runs(spark, sf_dir):
     made = table(spark, sf_dir, "events").select(F.col("event_type").alias("account"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("started_at"))

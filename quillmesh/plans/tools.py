@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import hmac
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 from ..functions import distill as D
 from ..functions import images as I
 from ..functions import scalars as S
-from ..operators import graph, messages as M, rollups as R, runs, scoring, search
+from ..operators import graph, jobs as J, messages as M, rollups as R, runs, scoring, search
 from ..sources import payload
 from . import composites as C
 
 STALE_SECONDS = 3 * 3600
+SYNC_ETA_SECONDS = 90
 MAX_BROADCAST = 100_000
 TEXTS = ["subject", "from_addr", "to_addr", "cc_addr", "snippet", "body_text", "summary_text"]
 
@@ -47,7 +49,8 @@ class Archive:
     consumers: dict[str, dict] = field(default_factory=dict)
     label_names: dict[str, str] = field(default_factory=dict)
     runs: DataFrame | None = None
-    jobs: DataFrame | None = None
+    jobs: DataFrame | None = None  # jobs.SCHEMA; where there is such a table, reads of a stale account ask for a sync
+    auth_errors: dict[str, int] = field(default_factory=dict)  # account -> when its provider refused the grant
     metrics: DataFrame | None = None  # account, address, centrality, community_id: what build_graph found last
     source: DataFrame | None = None  # parsed payloads
 
@@ -92,19 +95,44 @@ def tool(f: Tool) -> Tool:
 
 
 def call(archive: Archive, name: str, **args: Any) -> dict:
-    """A tool's result with the freshness of the index."""
+    """A tool's result with the freshness of the index; of a single account that is stale and idle, a sync is asked for."""
     if name not in TOOLS:
         raise KeyError(f"no such tool: {name}")
-    return {"result": TOOLS[name](archive, **args), "freshness": freshness(archive, args.get("account"))}
+    account = args.get("account") or (next(iter(archive.own)) if len(archive.own) == 1 else None)
+    result, state = TOOLS[name](archive, **args), freshness(archive, account)
+    out = {"result": result, "freshness": state}
+    if account and _can_queue(archive) and state["stale"] and not state["syncing"] and state["auth"] == "ok":
+        started = request_sync(archive, account, state["age_seconds"])
+        state |= {"syncing": True, "refresh_command": started}
+        out |= {"sync_started": True, "eta_seconds": SYNC_ETA_SECONDS}
+    return out
+
+
+def _can_queue(archive: Archive) -> bool:
+    return archive.jobs is not None and {"id", "params", "started_at"} <= set(archive.jobs.columns)
+
+
+def request_sync(archive: Archive, account: str, age_seconds: int | None) -> dict:
+    """A sync job of the account, from a day before its last one; one that was never synced is read whole. A live job is shared."""
+    since = None if age_seconds is None else f"{-(-age_seconds // 86_400) + 1}d"
+    wanted = archive.spark.createDataFrame([("sync", account, json.dumps({"since": since} if since else {}))], "kind string, account string, params string")
+    archive.jobs, answers = J.enqueue(archive.jobs, wanted, archive.now_ms)
+    return {"job_id": answers.first()["id"], "status": "queued", "poll": "sync_status"}
 
 
 def freshness(archive: Archive, account: str | None = None) -> dict:
+    """When the index was last synced without an error (of several accounts the oldest), whether that is stale or a sync runs, and the grant's state."""
+    failed = archive.auth_errors.get(account) if account else min(archive.auth_errors.values(), default=None)
+    auth = "ok" if failed is None else "needs_reauth"
+    command = {"kind": "reauth", "account": account, "status": "blocked", "reason": "invalid_grant"} if failed is not None and account else {"kind": "sync", "account": account, "status": "available", "poll": "sync_status"}
+    state = {"index_as_of": None, "age_seconds": None, "age": S.format_age(None), "stale": True, "syncing": False, "auth": auth, "auth_failed_at": failed, "refresh_command": command}
     if archive.runs is None:
-        return {"index_as_of": None, "age_seconds": None, "stale": True}
+        return state
     rows = R.index_as_of(archive.runs).where(F.col("account").eqNullSafe(F.lit(account))).collect()
     as_of = rows[0]["as_of"] if rows else None
     age = None if as_of is None else max(0, (archive.now_ms - as_of) // 1000)
-    return {"index_as_of": as_of, "age_seconds": age, "age": S.format_age(age), "stale": age is None or age > STALE_SECONDS}
+    syncing = account is not None and "id" in archive.runs.columns and not runs.active_runs(_of(archive.runs, account), archive.now_ms).isEmpty()
+    return state | {"index_as_of": as_of, "age_seconds": age, "age": S.format_age(age), "stale": age is None or age > STALE_SECONDS, "syncing": syncing}
 
 
 def _of(rows: DataFrame, account: str | None) -> DataFrame:
@@ -414,7 +442,12 @@ def relay_menu_status(archive: Archive) -> dict:
 
 @tool
 def sync_now(archive: Archive, account: str) -> dict:
-    return {"account": account, "started": False, "reason": "no provider is connected; use quillmesh.streaming.ingest"}
+    """Asks for a sync, if there is a table of jobs and the grant holds; what runs the jobs reads it there."""
+    if account in archive.auth_errors:
+        return {"account": account, "started": False, "reason": "the provider refused the grant; renew it"}
+    if not _can_queue(archive):
+        return {"account": account, "started": False, "reason": "no provider is connected; use quillmesh.streaming.ingest"}
+    return {"account": account, "started": True, **request_sync(archive, account, freshness(archive, account)["age_seconds"])}
 
 
 @tool

@@ -7,10 +7,10 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.operators import feed, graph, messages as M, rollups as R, runs, scoring, search
+from quillmesh.operators import feed, graph, jobs, messages as M, rollups as R, runs, scoring, search
 from quillmesh.plans import composites as C
 from quillmesh.plans.tools import TOOLS, Archive, build_graph, call, fired, signature
-from quillmesh.sources import ndjson, payload
+from quillmesh.sources import ndjson, payload, schema
 from quillmesh.sources.provider import TableSource
 
 MAIL = "account string, gmail_message_id string, thread_id string, internal_date long, from_addr string, to_addr string, cc_addr string, subject string, labels array<string>, category string, is_list boolean, direction string, unread int, starred int, important int, body_state string, body_text string, summary_text string, summarized_at long, snippet string, own string"
@@ -144,6 +144,9 @@ def test_graph_two_circles(spark):
     spread = {r["address"]: r["centrality"] for r in graph.pagerank(people, found, tolerance=0.0, iterations=5, max_local_edges=0).collect()}
     near = {r["address"]: r["centrality"] for r in graph.pagerank(people, found, tolerance=0.0, iterations=5).collect()}
     assert all(abs(spread[k] - near[k]) < 1e-12 for k in near)
+    two = people.unionByName(spark.createDataFrame([("b", "t", "p"), ("b", "t", "q")], people.schema))  # b settles at once, a does not
+    both = [{(r["account"], r["address"]): r["centrality"] for r in graph.pagerank(two, graph.edges(two), tolerance=1e-3, iterations=7, max_local_edges=m).collect()} for m in (0, 100)]
+    assert set(both[0]) == set(both[1]) and all(abs(both[0][k] - both[1][k]) < 1e-12 for k in both[1])
     labels = {r["address"]: r["community_id"] for r in graph.louvain(people, found).collect()}
     assert len(set(labels.values())) == 2 and labels["hub"] == labels["a"] == labels["b"] == labels["c"] and labels["x"] == labels["y"] == labels["z"]
     assert [(r["neighbour"], r["rank"]) for r in graph.neighbours(found).where("address = 'x'").orderBy("rank").collect()] == [("y", 1), ("z", 2)]
@@ -353,3 +356,86 @@ def test_backfill_slices_and_sweeps(spark):
     none = spark.createDataFrame([], "account string, address string, curation string")
     old = mail(spark, [{"body_state": "full", "body_text": "x", "internal_date": i, "from_addr": "z@z.com"} for i in range(3)])
     assert [r["gmail_message_id"] for r in C.retention_batch(old, none, none.withColumnRenamed("address", "domain"), 9, 2).orderBy("rank").collect()] == ["m000", "m001"]
+
+
+def job_table(spark, rows):
+    names = [f.split()[0] for f in jobs.SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple({"params": "{}", "terminal": False, **r}.get(c) for c in names) for r in rows], jobs.SCHEMA)
+
+
+def test_jobs(spark):
+    minute = 60_000
+    now = 100 * minute
+    table = job_table(
+        spark,
+        [
+            {"id": "1", "kind": "sync", "account": "a", "status": "running", "created_at": 20 * minute, "started_at": now - 15 * minute},  # at its lease's end, not beyond
+            {"id": "2", "kind": "sync", "account": "b", "status": "running", "created_at": 20 * minute, "started_at": now - 15 * minute - 1},
+            {"id": "3", "kind": "graph", "account": "a", "status": "queued", "created_at": now - 20 * minute},  # older than the other lease
+            {"id": "4", "kind": "graph", "account": "b", "status": "queued", "created_at": now - 50 * minute - 1},
+            {"id": "5", "kind": "sync", "account": "c", "status": "done", "created_at": 1, "terminal": True},
+            {"id": "6", "kind": "sync", "account": "a", "status": "queued", "created_at": now - minute},
+            {"id": "7", "kind": "sync", "account": "z", "status": None, "created_at": None},
+        ],
+    )
+    closed = {r["id"]: (r["status"], r["error"]) for r in jobs.expired(table, now).collect()}
+    assert closed["2"] == ("failed", jobs.RUNNING_EXPIRED) and closed["4"] == ("failed", jobs.QUEUED_EXPIRED)
+    assert [closed[k][0] for k in "13567"] == ["running", "queued", "done", "queued", None]
+    asked = spark.createDataFrame([("sync", "a", "x"), ("sync", "b", "y"), ("sync", "b", "x"), ("sync", "c", "x")], "kind string, account string, params string")
+    after, answers = jobs.enqueue(table, asked, now)
+    found = {r["account"]: (r["id"], r["is_new"]) for r in answers.collect()}
+    assert found["a"] == ("6", False) and found["b"][1] and found["c"][1] and len({x for x, _ in found.values()}) == 3
+    rows = {r["id"]: r for r in after.collect()}
+    assert len(rows) == 9 and rows["2"]["status"] == "failed" and rows["2"]["finished_at"] == now and rows["4"]["status"] == "queued"  # a kind that was not asked for
+    assert (rows[found["b"][0]]["status"], rows[found["b"][0]]["params"]) == ("queued", "x")
+    again, same = jobs.enqueue(after, asked, now + 1)
+    assert again.count() == 9 and {r["account"]: r["id"] for r in same.collect()} == {k: v for k, (v, _) in found.items()}
+    assert {r["id"] for r in jobs.started(table, now, 2).where("status = 'running'").collect()} == {"1", "2", "3", "4"}  # both slots of syncs are taken
+    assert {r["id"] for r in jobs.started(table, now, 1).where("status = 'running' AND kind = 'graph'").collect()} == {"4"}
+    report = spark.createDataFrame([("1", None), ("3", "broken"), ("5", "late")], "id string, error string")
+    ended = {r["id"]: (r["status"], r["error"], r["terminal"]) for r in jobs.finished(table, report, now).collect()}
+    assert (ended["1"], ended["3"], ended["5"]) == (("done", None, True), ("failed", "broken", True), ("done", None, True))
+    runs_ = spark.createDataFrame([("a", 50, None, "sync"), ("a", 90, "broken", "sync"), ("b", 5, None, "sync"), ("a", 95, None, "enrich")], "account string, finished_at long, error string, phase string")
+    accounts = spark.createDataFrame([("a", None), ("b", None), ("c", None), ("d", "invalid_grant")], "account string, auth_error string")
+    assert {r["account"]: r["since"] for r in jobs.due_syncs(accounts, runs_, 10).collect()} == {"a": 50, "b": 10, "c": 10}
+
+
+def test_stale_reads_ask_for_a_sync(spark):
+    day = 86_400_000
+    ran = spark.createDataFrame([(1, "a", "sync", 8 * day, 9 * day, None)], "id long, account string, phase string, started_at long, finished_at long, error string")
+    archive = Archive(spark, mail(spark, [{"internal_date": 8 * day}]), {"a": ["me@me.org"]}, 10 * day + 5, runs=ran, jobs=job_table(spark, []))
+    first = call(archive, "list_labeled", label="INBOX")
+    assert first["sync_started"] and first["freshness"]["syncing"] and first["freshness"]["age_seconds"] == 86_400
+    job = archive.jobs.collect()
+    assert [(r["kind"], r["account"], r["params"], r["id"]) for r in job] == [("sync", "a", '{"since": "2d"}', first["freshness"]["refresh_command"]["job_id"])]
+    assert call(archive, "sync_now", account="a")["result"]["job_id"] == job[0]["id"] and archive.jobs.count() == 1
+    archive.auth_errors["a"] = 7
+    refused = call(archive, "list_labeled", label="INBOX", account="a")
+    assert "sync_started" not in refused and refused["freshness"]["auth"] == "needs_reauth" and refused["freshness"]["refresh_command"]["status"] == "blocked"
+    assert call(archive, "sync_now", account="a")["result"]["started"] is False
+    archive.auth_errors.clear()
+    archive.now_ms = 9 * day + 5
+    assert "sync_started" not in call(archive, "list_labeled", label="INBOX") and archive.jobs.count() == 1
+
+
+def test_migrations(spark):
+    df = spark.createDataFrame([("x", 1)], "id string, n int")
+    steps = [schema.Migration(2, lambda t: t | {"m": t["m"].withColumn("extra", F.lit(None).cast("string"))}), schema.Migration(1, lambda t: t | {"m": df})]
+    stored = []
+    tables, version = schema.migrate({}, 0, steps, lambda t, v: stored.append(v) or t)
+    assert version == 2 and stored == [1, 2] and tables["m"].columns == ["id", "n", "extra"]
+    assert schema.migrate(tables, 2, steps) == (tables, 2)
+
+    def broken(_):
+        raise OSError
+
+    with pytest.raises(OSError):
+        schema.migrate({}, 0, [*steps, schema.Migration(3, broken)], lambda t, v: stored.append(v) or t)
+    assert stored == [1, 2, 1, 2]  # what went before is published
+    with pytest.raises(schema.SchemaError):
+        schema.migrate({}, 3, steps)
+    wide = spark.createDataFrame([], "id string, n long, note string").schema
+    assert schema.conform(df, wide).schema == wide and schema.conform(df, wide).first()["n"] == 1
+    for bad in ("n string", "id string, n int, d date not null"):
+        with pytest.raises(schema.SchemaError):
+            schema.conform(df, spark.createDataFrame([], bad).schema)
