@@ -11,6 +11,7 @@ from ..functions.scalars import all_of, blank_to_null
 
 RANK = {"meta": 0, "full": 1, "summary-only": 2}
 BODY = ("body_state", "body_text")
+SUMMARY = ("summary_text", "summarized_at")
 RETAINED = ("reply_to", "origin_from")
 
 
@@ -19,17 +20,24 @@ def state_rank(state: Column) -> Column:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """One row per (account, id): metadata of the last batch, body and state of the highest rank (the later of equals), retained headers by the last value that is not null. batch numbers order incoming rows."""
+    """One row per (account, id): metadata of the last batch, body and state of the highest rank (the later of equals), retained headers and the summary (text and time together) by the last batch that brings one. batch numbers order incoming rows.
+
+    A sync never has summaries, so it keeps those that were saved; only demotion, eviction and a newer summary change them.
+    """
     columns = [c for c in stored.columns if c not in ("account", "gmail_message_id")]
     rows = stored.withColumn("batch", F.lit(-1)).unionByName(incoming, allowMissingColumns=True)
     body = [c for c in BODY if c in columns]
+    summary = [c for c in SUMMARY if c in columns]
     kept = [c for c in RETAINED if c in columns]
-    meta = [c for c in columns if c not in (*body, *kept)]
+    meta = [c for c in columns if c not in (*body, *summary, *kept)]
     last = lambda names, key: F.max(F.struct(*key, F.struct(*names).alias("v")))["v"]
     groups = [last(meta, [F.col("batch")]).alias("m"), last(body, [state_rank(F.col("body_state")), F.col("batch")]).alias("b")]
+    if summary:
+        groups.append(F.max(F.when(F.col(summary[0]).isNotNull(), F.struct("batch", F.struct(*summary).alias("v"))))["v"].alias("s"))
     groups += [F.max(F.when(F.col(c).isNotNull(), F.struct("batch", c)))[c].alias(c) for c in kept]
     out = rows.groupBy("account", "gmail_message_id").agg(*groups)
-    return out.select("account", "gmail_message_id", *[F.col(f"{'b' if c in body else 'm'}.{c}").alias(c) if c not in kept else F.col(c) for c in columns])
+    of = {**dict.fromkeys(meta, "m."), **dict.fromkeys(body, "b."), **dict.fromkeys(summary, "s."), **dict.fromkeys(kept, "")}
+    return out.select("account", "gmail_message_id", *[F.col(of[c] + c).alias(c) for c in columns])
 
 
 def with_labels(messages: DataFrame, labels: Column) -> DataFrame:
@@ -39,9 +47,20 @@ def with_labels(messages: DataFrame, labels: Column) -> DataFrame:
     return out.withColumns({"category": S.classify_category(F.col("labels")), **flags})
 
 
+def folded_edits(edits: DataFrame) -> DataFrame:
+    """One edit a message: of each label named by several the last word counts (by `seq`, without one all edits are as of one time; at one time adding wins)."""
+    seq = F.col("seq") if "seq" in edits.columns else F.lit(0)
+    empty = F.array().cast("array<string>")
+    wanted = lambda name, on: F.transform(F.coalesce(name, empty), lambda x: F.struct(x.alias("label"), F.lit(on).alias("on")))
+    rows = edits.select("account", "gmail_message_id", seq.alias("seq"), F.explode(F.concat(wanted("add", True), wanted("remove", False))).alias("e")).where("e.label IS NOT NULL")
+    rows = rows.groupBy("account", "gmail_message_id", F.col("e.label").alias("label")).agg(F.max(F.struct("seq", "e.on"))["on"].alias("on"))
+    told = lambda on: F.sort_array(F.collect_list(F.when(F.col("on") == on, F.col("label"))))
+    return rows.groupBy("account", "gmail_message_id").agg(told(True).alias("add"), told(False).alias("remove"))
+
+
 def edit_labels(messages: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits (account, gmail_message_id, add array, remove array); messages without one are unchanged."""
-    rows = messages.join(edits, ["account", "gmail_message_id"], "left")
+    """edits (account, gmail_message_id, add array, remove array, maybe seq), several a message or none; messages without one are unchanged."""
+    rows = messages.join(folded_edits(edits), ["account", "gmail_message_id"], "left")
     empty = F.array().cast("array<string>")
     labels = F.array_union(F.array_except("labels", F.coalesce("remove", empty)), F.coalesce("add", empty))
     return with_labels(rows, labels).drop("add", "remove")
@@ -143,11 +162,10 @@ def select_backlog(messages: DataFrame, rule: str | None = None, sender: str | N
 
 
 def matching_terms(messages: DataFrame, terms: list[str]) -> DataFrame:
-    """(account, gmail_message_id) of the messages that the search index finds for any term."""
-    from .search import index_of_messages
+    """(account, gmail_message_id) of the messages that the search index finds for any term (stemmed, as a prefix)."""
+    from .search import with_phrases
 
-    hits = index_of_messages(messages).search([t.strip() for t in terms if t.strip()]).select("docid")
-    return messages.select("account", "gmail_message_id", S.message_ref(F.col("account"), F.col("gmail_message_id")).alias("docid")).join(hits, "docid", "left_semi").drop("docid")
+    return with_phrases(messages, [t.strip() for t in terms if t.strip()], prefix=True)
 
 
 # --- trigger rules

@@ -1,8 +1,9 @@
-"""Full-text search: tokens, stemming over the vocabulary, prefix-OR match, weighted BM25.
+"""Full-text search: tokens, stems, prefix-OR match, phrases by position, weighted BM25.
 
-The index is two DataFrames: postings (docid, col, pos, token) and lengths (docid, len). Stemming is
-an Arrow UDF over distinct tokens only, so its cost follows the vocabulary and not the text. A
-query filters the vocabulary by stem prefix first and joins what is left with the postings.
+`Matcher` turns postings (docid, len, col, pos, stem) into scores; where they come from is up to its two forms.
+`SearchIndex` reads the texts themselves: rows are tokenised once and only words that may have a wanted stem
+become rows; stemming is an Arrow UDF over the distinct ones. `stored_index.StoredIndex` keeps postings as tables and
+reads those of a query's terms. Texts and queries go through one tokeniser (`TOKEN`, in lower case) and one `fold`.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -127,82 +129,132 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), 1)
 
 
-class SearchIndex:
-    """docs: docid and one text column per weighted column."""
+def phrase_tokens(phrase: str) -> list[str]:
+    """A query's words, split as texts are; a word of marks alone is none."""
+    return [w for w in regex.findall(TOKEN, phrase.lower()) if fold(w)]
 
-    def __init__(self, docs: DataFrame, weights: dict[str, float] | None = None, stem: bool = True) -> None:
-        self.weights = dict(weights or WEIGHTS)
-        self.stem = stem
-        size = sum((F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN)) for c in self.weights), F.lit(0)).cast("long")
-        self.lengths = docs.select("docid", size.alias("len"))
-        self.rows = docs.select("docid", F.concat(*map(self._placed, self.weights)).alias("words"))
-        self.postings = self._exploded(F.col("words"))
 
-    def _exploded(self, some: Column) -> DataFrame:
-        """(docid, len, col, pos, token) of some of the rows' words."""
-        rows = self.rows.select("docid", F.size("words").cast("long").alias("len"), F.explode(some).alias("w"))
-        return rows.select("docid", "len", "w.col", "w.pos", "w.token")
+def maybe_stems_to(token: Column, key: str, prefix: bool) -> Column:
+    """False only if the token's stem cannot be key (or begin with it): stemming changes no more than a word's end, of which at most the last letter of the stem is new, and folding changes no ASCII letter."""
+    sure = token.startswith(key) if prefix and len(key) < 2 else token.startswith(key[:-1])
+    return sure | token.rlike(r"[^\x00-\x7F]")
 
-    @staticmethod
-    def _placed(name: str) -> Column:
-        return F.transform(tokens(F.col(name)), lambda t, i: F.struct(F.lit(name).alias("col"), i.alias("pos"), t.alias("token")))
 
-    def vocabulary(self) -> DataFrame:
-        words = self.postings.select("token").distinct()
-        return words.withColumn("stem", stem_udf("token") if self.stem else F.col("token"))
+class Matcher:
+    """Phrases against postings. Subclasses give `totals` and `found`."""
+
+    weights: dict[str, float]
+    stem: bool
 
-    def _hits(self, phrases: list[list[str]], prefix: bool) -> DataFrame:
-        """(docid, len, col, phrase, tf): phrases as consecutive tokens, the last one as a prefix. One pass over the postings for all phrases."""
-        keys = [[porter(fold(w)) if self.stem else w for w in words] for words in phrases]
+    def totals(self) -> DataFrame:
+        """One row: n_docs, avg_len."""
+        raise NotImplementedError
+
+    def found(self, keys: list[list[str]], prefix: bool) -> DataFrame:
+        """(docid, len, col, pos, stem): at least the postings whose stem a phrase names."""
+        raise NotImplementedError
+
+    def keys(self, phrases: list[str]) -> list[list[str]]:
+        return [[porter(fold(w)) if self.stem else w for w in words] for words in map(phrase_tokens, phrases) if words]
+
+    def hits(self, keys: list[list[str]], prefix: bool) -> DataFrame:
+        """(docid, len, col, phrase, tf): phrases as stems at consecutive positions of one column, the last one as a prefix."""
         tests = [
             F.when(F.col("stem").startswith(key) if prefix and i == len(words) - 1 else F.col("stem") == key, F.struct(F.lit(p).alias("phrase"), F.lit(i).alias("part")))
             for p, words in enumerate(keys)
             for i, key in enumerate(words)
         ]
-        parts = F.explode(F.array_compact(F.array(*tests))).alias("m")
-        if self.stem:
-            found = self.postings.join(self.vocabulary().select("token", parts), "token")
-        else:
-            last = {words[-1] for words in keys} if prefix else set()
-            wanted = lambda w: reduce(lambda a, k: a | w["token"].startswith(k), sorted(last), w["token"].isin(sorted({k for words in keys for k in words})))
-            found = self._exploded(F.filter("words", wanted)).withColumn("stem", F.col("token")).select("docid", "len", "col", "pos", parts)
-        found = found.select("docid", "len", "col", "m.phrase", "m.part", (F.col("pos") - F.col("m.part")).alias("start"))
+        rows = self.found(keys, prefix).select("docid", "len", "col", "pos", F.explode(F.array_compact(F.array(*tests))).alias("m"))
+        rows = rows.select("docid", "len", "col", "m.phrase", "m.part", (F.col("pos") - F.col("m.part")).alias("start"))
         if max(map(len, keys)) > 1:
             sizes = F.element_at(F.array(*[F.lit(len(words)) for words in keys]), F.col("phrase") + 1)
-            found = found.groupBy("docid", "len", "col", "phrase", "start").agg(F.countDistinct("part").alias("n")).where(F.col("n") == sizes)
-        return found.groupBy("docid", "len", "col", "phrase").agg(F.count("*").alias("tf"))
+            rows = rows.groupBy("docid", "len", "col", "phrase", "start").agg(F.countDistinct("part").alias("n")).where(F.col("n") == sizes)
+        return rows.groupBy("docid", "len", "col", "phrase").agg(F.count("*").alias("tf"))
+
+    def matching(self, phrases: list[str], prefix: bool = False) -> DataFrame:
+        """(docid): documents with any of the phrases."""
+        keys = self.keys(phrases)
+        return self.hits(keys, prefix).select("docid").distinct() if keys else self._none().select("docid")
 
     def search(self, phrases: list[str], prefix: bool = True) -> DataFrame:
         """(docid, score): documents with any phrase; the score is negative, the best one is the smallest."""
-        split = [words for words in (re.findall(r"[^\W_]+", p.lower()) for p in phrases) if words]
-        if not split:
-            return self.lengths.select("docid", F.lit(0.0).alias("score")).limit(0)
-        totals = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+        keys = self.keys(phrases)
+        return self.scored(self.hits(keys, prefix)) if keys else self._none()
+
+    def scored(self, hits: DataFrame, df: DataFrame | None = None) -> DataFrame:
+        """Scores of hits; df (phrase, df) where the hits are not all there are."""
         weight = F.element_at(F.create_map(*[F.lit(x) for kv in self.weights.items() for x in kv]), F.col("col"))
-        rows = self._hits(split, prefix).groupBy("docid", "len", "phrase").agg(F.sum(weight * F.col("tf")).alias("f"))
-        df = rows.groupBy("phrase").agg(F.count("*").alias("df"))
+        rows = hits.groupBy("docid", "len", "phrase").agg(F.sum(weight * F.col("tf")).alias("f"))
+        df = rows.groupBy("phrase").agg(F.count("*").alias("df")) if df is None else df
         idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = -F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-        rows = rows.join(F.broadcast(df), "phrase").join(F.broadcast(totals))  # a row for each phrase, and one
+        rows = rows.join(F.broadcast(df), "phrase").join(F.broadcast(self.totals()))  # a row for each phrase, and one
         return rows.groupBy("docid").agg(F.sum(part).alias("score"))
 
+    def _none(self) -> DataFrame:
+        return self.totals().select(F.lit("").alias("docid"), F.lit(0.0).alias("score")).limit(0)
 
-def index_of_messages(messages: DataFrame, stem: bool = True) -> SearchIndex:
+
+class SearchIndex(Matcher):
+    """docs: docid and one text column per weighted column."""
+
+    def __init__(self, docs: DataFrame, weights: dict[str, float] | None = None, stem: bool = True) -> None:
+        self.weights = dict(weights or WEIGHTS)
+        self.stem = stem
+        size = sum((F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN)) for c in self.weights), F.lit(0)).cast("long")
+        self.lengths = docs.select("docid", size.alias("len"))
+        self.rows = docs.select("docid", F.concat(*map(self._placed, self.weights)).alias("words"))
+
+    @staticmethod
+    def _placed(name: str) -> Column:
+        return F.transform(tokens(F.col(name)), lambda t, i: F.struct(F.lit(name).alias("col"), i.alias("pos"), t.alias("token")))
+
+    def totals(self) -> DataFrame:
+        return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+
+    def found(self, keys: list[list[str]], prefix: bool) -> DataFrame:
+        last = {words[-1] for words in keys} if prefix else set()
+        whole = {k for words in keys for k in (words[:-1] if prefix else words)}
+        if self.stem:
+            wanted = lambda w: reduce(lambda a, t: a | maybe_stems_to(w["token"], *t), [*((k, False) for k in sorted(whole)), *((k, True) for k in sorted(last))], F.lit(False))
+        else:
+            wanted = lambda w: reduce(lambda a, k: a | w["token"].startswith(k), sorted(last), w["token"].isin(sorted(whole)))
+        rows = self.rows.select("docid", F.size("words").cast("long").alias("len"), F.explode(F.filter("words", wanted)).alias("w")).select("docid", "len", "w.col", "w.pos", "w.token")
+        if not self.stem:
+            return rows.withColumnRenamed("token", "stem")
+        stems = rows.select("token").distinct().withColumn("stem", stem_udf("token"))
+        kept = reduce(lambda a, k: a | F.col("stem").startswith(k), sorted(last), F.col("stem").isin(sorted(whole)))
+        return rows.join(stems.where(kept), "token").drop("token")
+
+
+def message_docs(messages: DataFrame) -> DataFrame:
+    """A row for each message with what is searched: docid and a text for each weighted column."""
     from ..functions.scalars import message_ref, project_body, project_recipients
 
-    docs = messages.select(
+    return messages.select(
         message_ref(F.col("account"), F.col("gmail_message_id")).alias("docid"), "subject", F.col("from_addr").alias("sender"), project_recipients(F.col("to_addr"), F.col("cc_addr")).alias("recipients"),
         project_body(F.col("snippet"), F.col("body_text"), F.col("summary_text")).alias("body"),
     )
-    return SearchIndex(docs, stem=stem)
 
 
-def bm25_reference(docs: list[dict[str, str]], phrase_tokens: list[str], weights: dict[str, float]) -> dict[int, float]:
+def index_of_messages(messages: DataFrame, stem: bool = True) -> SearchIndex:
+    return SearchIndex(message_docs(messages), stem=stem)
+
+
+def with_phrases(messages: DataFrame, phrases: list[str], index: Matcher | None = None, prefix: bool = False) -> DataFrame:
+    """(account, gmail_message_id) of the messages with any phrase, by the index of all messages or, without one, by their own texts."""
+    from ..functions.scalars import message_ref
+
+    hits = (index or index_of_messages(messages)).matching(phrases, prefix)
+    return messages.select("account", "gmail_message_id", message_ref(F.col("account"), F.col("gmail_message_id")).alias("docid")).join(hits, "docid", "left_semi").drop("docid")
+
+
+def bm25_reference(docs: list[dict[str, str]], words: list[str], weights: dict[str, float]) -> dict[int, float]:
     """A plain version for tests: exact single tokens, no stemming."""
-    split = [{c: re.findall(r"[^\W_]+", (d.get(c) or "").lower()) for c in weights} for d in docs]
+    split = [{c: phrase_tokens(d.get(c) or "") for c in weights} for d in docs]
     sizes = [sum(map(len, d.values())) for d in split]
     avg, out = sum(sizes) / len(sizes), {}
-    for token in phrase_tokens:
+    for token in words:
         f = {i: sum(w * d[c].count(token) for c, w in weights.items()) for i, d in enumerate(split)}
         f = {i: x for i, x in f.items() if x}
         idf = math.log((len(docs) - len(f) + 0.5) / (len(f) + 0.5))

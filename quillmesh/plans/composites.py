@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import messages as M
-from ..operators.search import tokens
+from ..operators.search import Matcher, with_phrases
 
 
 def top(rows: DataFrame, limit: int | None, *order: Column, keys: tuple[str, ...] = ("account",)) -> DataFrame:
@@ -34,16 +33,10 @@ def catch_up_user_threads(messages: DataFrame, since_ms: int, limit: int = 25) -
     return newest(recent.join(M.user_threads(messages), ["account", "thread_id"], "left_semi"), limit)
 
 
-def contains_phrase(columns: list[str], phrases: list[str]) -> Column:
-    """Any column holds any phrase as consecutive whole tokens."""
-    texts = [F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" ")) for c in columns]
-    wanted = [" " + " ".join(re.findall(r"[^\W_]+", p.lower())) + " " for p in phrases]
-    return reduce(lambda a, b: a | b, [t.contains(w) for t in texts for w in wanted if w.strip()], F.lit(False))
-
-
-def catch_up_keywords(messages: DataFrame, keywords: list[str], since_ms: int, columns: list[str], limit: int = 25) -> DataFrame:
-    recent = messages.where((F.col("direction") == "received") & (F.col("internal_date") >= since_ms))
-    return newest(recent.where(contains_phrase(columns, keywords)), limit)
+def catch_up_keywords(messages: DataFrame, keywords: list[str], since_ms: int, limit: int = 25, index: Matcher | None = None) -> DataFrame:
+    """Recent messages, sent ones too, that hold a keyword: whole stemmed words at consecutive places of subject, sender, recipients or body."""
+    recent = messages.where(F.col("internal_date") >= since_ms)
+    return newest(recent.join(with_phrases(recent, keywords, index), ["account", "gmail_message_id"], "left_semi"), limit)
 
 
 def digest_sources(messages: DataFrame, contacts: DataFrame, since_ms: int, limit: int = 20) -> DataFrame:
@@ -89,10 +82,12 @@ def recent_subjects(messages: DataFrame, limit: int = 3) -> DataFrame:
     return top(rows, limit, F.desc("internal_date"), F.col("gmail_message_id"), keys=("account", "domain")).select("account", "domain", "rank", "subject")
 
 
-def profile_backlog(messages: DataFrame, contacts: DataFrame, domains: DataFrame, keywords: list[str], columns: list[str]) -> DataFrame:
+def profile_backlog(messages: DataFrame, contacts: DataFrame, domains: DataFrame, keywords: list[str], index: Matcher | None = None) -> DataFrame:
     """Metadata-only messages that the profile wants: important senders or keywords, but not of muted or blocked contacts or domains."""
     rows = messages.where(F.col("body_state") == "meta")
-    rows = M.important_senders(rows, contacts, domains).where(F.col("from_important") | contains_phrase(columns, keywords)).drop("from_important")
+    named = with_phrases(rows, keywords, index).withColumn("__named", F.lit(True)).dropDuplicates(["account", "gmail_message_id"])
+    rows = M.important_senders(rows, contacts, domains).join(named, ["account", "gmail_message_id"], "left")
+    rows = rows.where(F.col("from_important") | F.col("__named").isNotNull()).drop("from_important", "__named")
     rows = rows.withColumn("address", S.extract_address(F.col("from_addr"))).withColumn("domain", S.host_of(F.col("address")))
     unwanted = F.col("curation").isin("muted", "blocked")
     rows = rows.join(contacts.where(unwanted).select("account", "address"), ["account", "address"], "left_anti")

@@ -14,6 +14,8 @@ from ..functions import images as I
 from ..functions import scalars as S
 from ..operators import feed as feed_ops
 from ..operators import graph, jobs, messages as M, rollups as R, runs, scoring, search
+from ..operators.stored_index import StoredIndex
+from ..session import shared_folder
 from ..sources.mailbox import MAILBOX_SQL, PEOPLE_SQL, mailbox, table
 from ..sources.provider import TableSource
 from ..streaming.ingest import session_counts, windowed_counts
@@ -269,16 +271,22 @@ def catch_up_user_threads(spark, sf_dir):
     return C.catch_up_user_threads(mailbox(spark, sf_dir), SINCE_MS).select("account", "gmail_message_id")
 
 
-KEYWORDS = ("the of", "edble")
-INDEXED = ["subject", "from_addr", "to_addr", "cc_addr", "snippet", "body_text", "summary_text"]
-HAS_KEYWORD = "(" + " OR ".join(f"regexp_matches(' ' || array_to_string(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}]+'), ' ') || ' ', ' (the of|edble) ')" for c in INDEXED) + ")"
+KEYWORDS = ("The Ernting", "onths")
+#: The stem of every word of the data whose stem a keyword names, as a table.
+STEMS_SQL = "stems AS (SELECT unnest(['the', 'thed', 'thes', 'ernt', 'ernts', 'ernted', 'erntes', 'ernting', 'onth', 'onthes', 'onthed', 'onthing']) AS token, unnest(['the', 'thed', 'the', 'ernt', 'ernt', 'ernt', 'ernt', 'ernt', 'onth', 'onth', 'onth', 'onth']) AS stem)"
+#: Positions of these stems in every indexed column (kept), and the messages that hold a keyword (named): neighbours in one column, or a single word.
+KEYWORD_SQL = STEMS_SQL + """, cols AS (SELECT gmail_message_id AS id, unnest(['subject', 'sender', 'recipients', 'body']) AS col, unnest([subject, from_addr, concat_ws(' ', nullif(to_addr, ''), nullif(cc_addr, '')), concat_ws(chr(10), nullif(snippet, ''), nullif(body_text, ''), nullif(summary_text, ''))]) AS t FROM mt),
+words AS (SELECT id, col, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM (SELECT id, col, regexp_extract_all(lower(coalesce(t, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+') AS ws FROM cols)),
+kept AS (SELECT id, col, pos, stem FROM words JOIN stems USING (token)),
+named AS (SELECT a.id FROM kept a JOIN kept b ON a.id = b.id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.stem = 'the' AND b.stem = 'ernt' UNION SELECT id FROM kept WHERE stem = 'onth')"""
 
 
 @query(
-    f"SELECT account, gmail_message_id FROM (SELECT account, gmail_message_id, row_number() OVER (PARTITION BY account ORDER BY internal_date DESC, gmail_message_id) AS r FROM mt WHERE direction = 'received' AND internal_date >= {SINCE_MS} AND {HAS_KEYWORD}) WHERE r <= 25"
+    f"SELECT account, gmail_message_id FROM (SELECT account, gmail_message_id, row_number() OVER (PARTITION BY account ORDER BY internal_date DESC, gmail_message_id) AS r FROM mt WHERE internal_date >= {SINCE_MS} AND gmail_message_id IN (SELECT id FROM named)) WHERE r <= 25",
+    MAILBOX_SQL + "," + KEYWORD_SQL,
 )
 def catch_up_keywords(spark, sf_dir):
-    return C.catch_up_keywords(mailbox(spark, sf_dir, True), list(KEYWORDS), SINCE_MS, INDEXED).select("account", "gmail_message_id")
+    return C.catch_up_keywords(mailbox(spark, sf_dir, True), list(KEYWORDS), SINCE_MS).select("account", "gmail_message_id")
 
 
 @query(
@@ -390,11 +398,42 @@ def bm25_exact(spark, sf_dir):
     return search.SearchIndex(_search_docs(spark, sf_dir), stem=False).search(["edble", "nicht"], prefix=False).withColumn("score", F.round("score", 9))
 
 
-@query()
+def _bm25_sql(terms: list[str], docs: str = "mt") -> str:
+    """BM25 of messages (gmail_message_id and texts in docs) over all weighted columns; a term is a condition on a word x."""
+    found = " UNION ALL ".join(f"SELECT docid, dl, {i} AS q, " + " + ".join(f"{w} * len(list_filter({c}, lambda x: {t}))" for c, w in (("s", 10.0), ("f", 8.0), ("r", 4.0), ("b", 1.0))) + " AS f FROM tk" for i, t in enumerate(terms))
+    word = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}]+')"
+    texts = {"s": "subject", "f": "from_addr", "r": "concat_ws(' ', nullif(to_addr, ''), nullif(cc_addr, ''))", "b": "concat_ws(chr(10), nullif(snippet, ''), nullif(body_text, ''), nullif(summary_text, ''))"}
+    return (
+        "tk AS (SELECT *, len(s) + len(f) + len(r) + len(b) AS dl FROM (SELECT gmail_message_id AS docid, " + ", ".join(f"{word.format(t)} AS {c}" for c, t in texts.items()) + f" FROM {docs})), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM tk), "
+        f"tf AS (SELECT * FROM ({found}) WHERE f > 0), dfs AS (SELECT q, count(*) AS df FROM tf GROUP BY q), "
+        "scores AS (SELECT docid, round(sum(-CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN dfs USING (q), st GROUP BY docid)"
+    )
+
+
+@query("SELECT docid, score FROM scores ORDER BY score, docid LIMIT 15", MAILBOX_SQL + "," + _bm25_sql(["starts_with(x, 'thing')", "starts_with(x, 'invoic')", "starts_with(x, 'receipt')", "starts_with(x, 'bill')"]))
 def search_messages(spark, sf_dir):
-    """Stemmed prefix-OR search; the stemmer has no SQL form."""
+    """Stemmed prefix-OR search over the texts; no word of the data loses the end of these stems."""
     hits = search.SearchIndex(_search_docs(spark, sf_dir)).search(search.expand_query(["thing", "invoice"]))
-    return hits.orderBy("score", "docid").limit(15)
+    return hits.withColumn("score", F.round("score", 9)).orderBy("score", "docid").limit(15)
+
+
+STORED = ("Ernting", "onths", "thing")
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The mailbox as two batches: first all messages, some with texts of another one and some that are deleted later; then the former as they are."""
+    docs = _search_docs(spark, sf_dir).withColumn("key", F.expr("cast(substring(docid, 2) as bigint)"))
+    stale = F.col("key") % 10 == 3
+    index = StoredIndex(spark, shared_folder(spark, "search"))
+    index.add(docs.withColumn("body", F.when(stale, F.concat_ws(" ", F.lit("onth thing old"), "subject")).otherwise(F.col("body"))).drop("key"))
+    index.add(docs.where(stale).drop("key"), docs.where("key % 10 = 7").select("docid"))
+    return index
+
+
+@query("SELECT docid, score FROM scores", MAILBOX_SQL + ", held AS (SELECT * FROM mt WHERE key % 10 <> 7), " + _bm25_sql([f"x IN ('{s}', '{s}s', '{s}ed', '{s}es', '{s}ing')" for s in ("ernt", "onth", "thing")], "held"))
+def search_stored(spark, sf_dir):
+    """Whole stemmed words by the stored index: a batch replaced and deleted messages of the one before."""
+    return _stored_index(spark, sf_dir).search(list(STORED), prefix=False).withColumn("score", F.round("score", 9))
 
 
 # --- feed, retention, ingest
@@ -430,12 +469,17 @@ def retention_eligible(spark, sf_dir):
     return M.evictable(mailbox(spark, sf_dir), *_curated(spark, sf_dir), CUTOFF_MS).select("account", "gmail_message_id")
 
 
-@query("SELECT account, gmail_message_id, CASE WHEN key % 3 = 0 AND body_state = 'meta' THEN 'full' ELSE body_state END AS body_state, CASE WHEN key % 3 = 0 THEN 1 - unread ELSE unread END AS unread FROM mb")
+@query("SELECT account, gmail_message_id, CASE WHEN key % 3 = 0 AND body_state = 'meta' THEN 'full' ELSE body_state END AS body_state, CASE WHEN key % 3 = 0 AND body_state IN ('meta', 'full') THEN 'new body' ELSE body_text END AS body_text, "
+       "CASE WHEN key % 21 = 0 THEN 'newer summary' ELSE summary_text END AS summary_text, CASE WHEN key % 21 = 0 THEN 1 WHEN summary_text IS NOT NULL THEN internal_date END AS summarized_at, CASE WHEN key % 3 = 0 THEN 1 - unread ELSE unread END AS unread FROM mt")
 def lattice_upsert(spark, sf_dir):
-    m = mailbox(spark, sf_dir).select("account", "gmail_message_id", "body_state", "unread", "key")
-    new = m.where("key % 3 = 0").withColumn("unread", 1 - F.col("unread"))
-    batches = new.withColumn("body_state", F.lit("full")).withColumn("batch", F.lit(1)).unionByName(new.withColumn("body_state", F.lit("meta")).withColumn("batch", F.lit(2)))
-    return M.upsert(m, batches).drop("key")
+    """Three batches: bodies, summaries of some, then metadata alone, which takes neither away."""
+    m = mailbox(spark, sf_dir, True).withColumn("summarized_at", F.when(F.col("summary_text").isNotNull(), F.col("internal_date")))
+    m = m.select("account", "gmail_message_id", "body_state", "body_text", "summary_text", "summarized_at", "unread", "key")
+    flipped = m.where("key % 3 = 0").select("account", "gmail_message_id", (1 - F.col("unread")).alias("unread"), "key")
+    bodies = flipped.withColumns({"body_state": F.lit("full"), "body_text": F.lit("new body"), "batch": F.lit(1)})
+    summaries = flipped.where("key % 7 = 0").withColumns({"body_state": F.lit("meta"), "summary_text": F.lit("newer summary"), "summarized_at": F.lit(1).cast("long"), "batch": F.lit(2)})
+    plain = flipped.withColumns({"body_state": F.lit("meta"), "batch": F.lit(3)})
+    return M.upsert(m, bodies.unionByName(summaries, True).unionByName(plain, True)).drop("key")
 
 
 @query("SELECT account, gmail_message_id, CASE WHEN key % 10 = 9 THEN 'archived' ELSE 'restored' END AS change FROM mb WHERE (list_contains(labels, 'INBOX') AND key % 10 = 9) OR (NOT list_contains(labels, 'INBOX') AND key % 10 = 4)")
@@ -446,13 +490,16 @@ def reconcile_inbox(spark, sf_dir):
     return M.reconcile(m, live)
 
 
-@query("SELECT gmail_message_id, array_to_string(list_sort(CASE WHEN key % 2 = 0 THEN list_concat(list_filter(labels, lambda x: x <> 'INBOX' AND x <> 'STARRED'), ['STARRED']) ELSE labels END), ',') AS labels, "
-       "CASE WHEN key % 2 = 0 THEN 1 ELSE starred END AS starred, CASE WHEN key % 2 = 0 AND category = 'primary' THEN NULL ELSE category END AS category FROM mb")
+@query("SELECT gmail_message_id, array_to_string(list_sort(CASE WHEN key % 2 = 0 THEN list_concat(list_filter(labels, lambda x: x NOT IN ('INBOX', 'STARRED', 'IMPORTANT')), CASE WHEN key % 4 = 0 THEN ['IMPORTANT'] ELSE ['STARRED'] END) ELSE labels END), ',') AS labels, "
+       "CASE WHEN key % 4 = 0 THEN 0 WHEN key % 2 = 0 THEN 1 ELSE starred END AS starred, CASE WHEN key % 2 = 0 AND category = 'primary' THEN NULL ELSE category END AS category FROM mb")
 def edit_labels(spark, sf_dir):
-    """The whole mailbox; the messages with even keys have an edit."""
+    """The whole mailbox; the messages with even keys have two edits, of which every second pair's later one takes back what the first one did."""
     m = mailbox(spark, sf_dir)
-    edits = m.where("key % 2 = 0").select("account", "gmail_message_id", F.array(F.lit("STARRED")).alias("add"), F.array(F.lit("INBOX")).alias("remove"))
-    return M.edit_labels(m, edits).select("gmail_message_id", F.array_join(F.array_sort("labels"), ",").alias("labels"), "starred", "category")
+    names = lambda *labels: F.array(*map(F.lit, labels))
+    some = m.where("key % 2 = 0").select("account", "gmail_message_id", "key")
+    first = some.select("account", "gmail_message_id", names("STARRED").alias("add"), names("INBOX", "IMPORTANT").alias("remove"), F.lit(1).alias("seq"))
+    later = some.where("key % 4 = 0").select("account", "gmail_message_id", names("IMPORTANT").alias("add"), names("STARRED").alias("remove"), F.lit(2).alias("seq"))
+    return M.edit_labels(m, first.unionByName(later)).select("gmail_message_id", F.array_join(F.array_sort("labels"), ",").alias("labels"), "starred", "category")
 
 
 # --- selectors, sweeps and sources
@@ -532,11 +579,11 @@ def evicted_mailbox(spark, sf_dir):
 
 @query(
     f"pb AS (SELECT *, {ADDR.format('from_addr')} AS a, {HOST.format(ADDR.format('from_addr'))} AS h FROM mt WHERE body_state = 'meta') SELECT pb.account, gmail_message_id FROM pb LEFT JOIN cur c ON c.account = pb.account AND c.address = a LEFT JOIN dcur d ON d.account = pb.account AND d.domain = h "
-    f"WHERE (coalesce(c.curation = 'important', FALSE) OR coalesce(d.curation = 'important', FALSE) OR {HAS_KEYWORD}) AND coalesce(c.curation <> 'muted', TRUE)",
-    FULL,
+    "WHERE (coalesce(c.curation = 'important', FALSE) OR coalesce(d.curation = 'important', FALSE) OR gmail_message_id IN (SELECT id FROM named)) AND coalesce(c.curation <> 'muted', TRUE)",
+    FULL + "," + KEYWORD_SQL,
 )
 def profile_backlog(spark, sf_dir):
-    return C.profile_backlog(mailbox(spark, sf_dir, True), *_curated(spark, sf_dir), list(KEYWORDS), INDEXED).select("account", "gmail_message_id")
+    return C.profile_backlog(mailbox(spark, sf_dir, True), *_curated(spark, sf_dir), list(KEYWORDS)).select("account", "gmail_message_id")
 
 
 @query("SELECT account, domain, rank, subject FROM (SELECT account, {1} AS domain, subject, row_number() OVER (PARTITION BY account, {1} ORDER BY internal_date DESC, gmail_message_id) AS rank FROM mt WHERE direction = 'received' AND subject IS NOT NULL) WHERE rank <= 3".format(ADDR.format("from_addr"), HOST.format(ADDR.format("from_addr"))))

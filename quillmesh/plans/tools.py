@@ -30,7 +30,6 @@ from . import composites as C
 STALE_SECONDS = 3 * 3600
 SYNC_ETA_SECONDS = 90
 MAX_BROADCAST = 100_000
-TEXTS = ["subject", "from_addr", "to_addr", "cc_addr", "snippet", "body_text", "summary_text"]
 
 
 @dataclass
@@ -53,6 +52,7 @@ class Archive:
     auth_errors: dict[str, int] = field(default_factory=dict)  # account -> when its provider refused the grant
     metrics: DataFrame | None = None  # account, address, centrality, community_id: what build_graph found last
     source: DataFrame | None = None  # parsed payloads
+    index: search.Matcher | None = None  # a stored index of the messages; without one searches read the texts
 
     def _overlay(self, values: dict, key: str, column: str) -> DataFrame:
         """The user's own marks as a table; it is broadcast up to MAX_BROADCAST of them."""
@@ -164,7 +164,7 @@ def _one(rows: DataFrame, ref: str) -> dict:
 @tool
 def search_(archive: Archive, query: str, account: str | None = None, limit: int = 15) -> DataFrame:
     messages = _of(archive.messages, account)
-    hits = search.index_of_messages(messages).search(search.expand_query(query.split()))
+    hits = (archive.index or search.index_of_messages(messages)).search(search.expand_query(query.split()))
     best = messages.withColumn("docid", S.message_ref(F.col("account"), F.col("gmail_message_id"))).join(hits, "docid").orderBy("score", F.desc("internal_date"), "docid").limit(limit)
     return _hits(best, "score").orderBy("score", F.desc("internal_date"), "ref")
 
@@ -243,8 +243,8 @@ def list_threads(archive: Archive, account: str | None = None, contact: str | No
     if contact:
         rows = rows.where(F.array_contains("participants", contact.lower()))
     elif query:
-        hits = search.index_of_messages(archive.messages).search(query.split())
-        found = archive.messages.withColumn("docid", S.message_ref(F.col("account"), F.col("gmail_message_id"))).join(hits, "docid", "left_semi").select("account", "thread_id").distinct()
+        named = search.with_phrases(archive.messages, query.split(), archive.index, prefix=True)
+        found = archive.messages.join(named, ["account", "gmail_message_id"], "left_semi").select("account", "thread_id").distinct()
         rows = rows.join(found, ["account", "thread_id"], "left_semi")
     else:
         raise ValueError("a contact or a query is needed")
@@ -457,7 +457,7 @@ def catch_up(archive: Archive, account: str, since: str = "1d") -> dict:
     return {
         "from_important": _hits(C.catch_up_important(rows, archive.contacts(), archive.domains(), cutoff)),
         "user_threads": _hits(C.catch_up_user_threads(rows, cutoff)),
-        "keywords": _hits(C.catch_up_keywords(rows, words, cutoff, TEXTS)) if words else None,
+        "keywords": _hits(C.catch_up_keywords(rows, words, cutoff, index=archive.index)) if words else None,
     }
 
 
