@@ -1,16 +1,15 @@
-"""The co-recipiency graph: edges, neighbours, PageRank, Louvain communities.
+"""The co-recipiency graph: edges, neighbours, PageRank, communities.
 
 Edges are counted by a self-join of thread participants, after pairs are reduced to one row per
-thread and participant; PageRank runs per account, or as joins and aggregations with
-checkpoint() where an account is too large for a task. Louvain has no declarative form and runs
-per account.
+thread and participant; a thread of many participants is cut into tiles, so that its pairs are many
+tasks' work. PageRank runs per account, or as joins and aggregations with
+checkpoint() where an account is too large for a task. Communities grow by merges that raise modularity,
+as joins and aggregations over all accounts at once.
 """
 
 from __future__ import annotations
 
-import random
 import tempfile
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import Stage
+
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     context, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -35,10 +36,25 @@ def members(threads: DataFrame, messages: DataFrame, contacts: DataFrame) -> Dat
     return rows.join(contacts.select("account", "address"), ["account", "address"], "left_semi")
 
 
-def edges(people: DataFrame) -> DataFrame:
+#: Participants of a tile's side; a tile makes at most 2 * TILE * TILE pairs.
+TILE = 256
+
+
+def tiled(people: DataFrame, tile: int = TILE) -> DataFrame:
+    """people with `block` (of its thread's participants), `row` and `col`: each participant once for each tile of the triangle that its block has a side of. A thread of up to `tile` participants is one tile."""
+    large = people.groupBy("account", "thread_id").count().where(F.col("count") > tile).select("account", "thread_id", F.ceil(F.col("count") / tile).cast("int").alias("blocks"))
+    rows = people.join(large, ["account", "thread_id"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("address"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("account", "thread_id", "address", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"))
+
+
+def edges(people: DataFrame, tile: int = TILE) -> DataFrame:
     """(account, src, dst, weight): src < dst, weight = threads shared."""
-    a, b = people.withColumnRenamed("address", "src"), people.withColumnRenamed("address", "dst")
-    return a.join(b, ["account", "thread_id"]).where("src < dst").groupBy("account", "src", "dst").agg(F.count("*").alias("weight"))
+    sides = tiled(people, tile)
+    a = sides.where("block = row").select("account", "thread_id", "row", "col", F.col("address").alias("a"))
+    b = sides.where("block = col").select("account", "thread_id", "row", "col", F.col("address").alias("b"))
+    pairs = a.join(b, ["account", "thread_id", "row", "col"]).where("row < col OR a < b")
+    return pairs.groupBy("account", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count("*").alias("weight"))
 
 
 def both_ways(found: DataFrame) -> DataFrame:
@@ -120,63 +136,71 @@ def _distributed_pagerank(people: DataFrame, found: DataFrame, damping: float, t
     return ranks.select("account", "address", F.col("r").alias("centrality"))
 
 
-def louvain_labels(links: list[tuple[str, str, float]], nodes: list[str], seed: int = 0x5EED) -> dict[str, int]:
-    """Communities by greedy modularity in levels; numbered by their smallest member."""
-    rng = random.Random(seed)
-    member = {n: n for n in nodes}
-    graph: dict[str, dict[str, float]] = {n: defaultdict(float) for n in nodes}
-    for a, b, w in links:
-        graph[a][b] += w
-        graph[b][a] += w
-    while True:
-        total = sum(sum(x.values()) for x in graph.values())
-        if not total:
-            break
-        degree = {n: sum(x.values()) for n, x in graph.items()}
-        group = {n: n for n in graph}
-        weight = dict(degree)
-        order = sorted(graph)
-        rng.shuffle(order)
-        moved_any, moving = False, True
-        while moving:
-            moving = False
-            for n in order:
-                own = group[n]
-                weight[own] -= degree[n]
-                into: dict[str, float] = defaultdict(float)
-                for m, w in graph[n].items():
-                    if m != n:
-                        into[group[m]] += w
-                best = max(sorted(into), key=lambda g: into[g] - weight[g] * degree[n] / total, default=own)
-                stay = into.get(own, 0.0) - weight[own] * degree[n] / total
-                if best != own and into[best] - weight[best] * degree[n] / total > stay + 1e-12:
-                    group[n], moving, moved_any = best, True, True
-                weight[group[n]] += degree[n]
-        if not moved_any:
+def communities(people: DataFrame, found: DataFrame, rounds: int = 100) -> DataFrame:
+    """(account, address, community): greedy modularity by parallel merges; a community is named by a member.
+
+    Each round a community looks for the neighbour whose merger with it raises modularity most (ties by a hash of the two names, so that no chain of equals waits for its end). Of two that chose
+    each other the one of higher degree is a head, and whoever chose a head joins it if that pays even after all others who chose it have
+    joined; the other one of the two joins in any case. So every merger raises modularity, mergers of a round do not
+    interfere, and a community is always connected. The merged graph is the next round's, until no merger pays. Weights are integers
+    and so are all comparisons: twice the account's weight, times the weight between, against the product of degrees.
+    """
+    stage = Stage(people.sparkSession, "communities")
+    links = stage.put("links", both_ways(found.select("account", "src", "dst", "weight")).withColumnsRenamed({"src": "a", "dst": "b", "weight": "w"}))
+    degrees = links.groupBy("account", "a").agg(F.sum("w").alias("d"))
+    totals = degrees.groupBy("account").agg(F.sum("d").alias("t"))
+    nodes = stage.put("nodes", degrees.join(totals, "account"))
+    member = stage.put("member", people.select("account", "address").distinct().withColumn("community", F.col("address")))
+    for _ in range(rounds):
+        joined = stage.put("joined", _mergers(links, nodes))
+        if joined.isEmpty():
             break
-        member = {n: group[g] for n, g in member.items()}
-        merged: dict[str, dict[str, float]] = {g: defaultdict(float) for g in set(group.values())}
-        for a, x in graph.items():
-            for b, w in x.items():
-                merged[group[a]][group[b]] += w
-        graph = merged
-    first: dict[str, str] = {}
-    for n in sorted(member):
-        first.setdefault(member[n], n)
-    numbers = {g: i for i, g in enumerate(sorted(first, key=first.get))}
-    return {n: numbers[g] for n, g in member.items()}
+        of = lambda name: joined.select("account", F.col("a").alias(name), F.col("head").alias("new_" + name))
+        to = lambda name: F.coalesce("new_" + name, name).alias(name)
+        merged = links.join(of("a"), ["account", "a"], "left").join(of("b"), ["account", "b"], "left").select("account", to("a"), to("b"), "w")
+        links = stage.put("links", merged.where("a <> b").groupBy("account", "a", "b").agg(F.sum("w").alias("w")))
+        nodes = stage.put("nodes", nodes.join(of("a"), ["account", "a"], "left").select("account", to("a"), "d", "t").groupBy("account", "a").agg(F.sum("d").alias("d"), F.first("t").alias("t")))
+        member = stage.put("member", member.join(of("community"), ["account", "community"], "left").select("account", "address", to("community")))
+    stage.drop("links", "nodes", "joined")
+    return member
+
+
+def _mergers(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(account, a, head): who joins whom in a round."""
+    other = nodes.select("account", F.col("a").alias("b"), F.col("d").alias("d_b"))
+    gains = links.join(nodes, ["account", "a"]).join(other, ["account", "b"]).withColumn("gain", F.col("t") * F.col("w") - F.col("d") * F.col("d_b")).where("gain > 0")
+    tie = F.md5(F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b")).cast("binary"))
+    best = gains.groupBy("account", "a").agg(F.min(F.struct((-F.col("gain")).alias("loss"), tie.alias("tie"), "b", "w", "d", "d_b", "t")).alias("m"))
+    best = best.select("account", "a", "m.b", "m.w", "m.d", "m.d_b", "m.t")
+    back = best.select("account", F.col("a").alias("b"), F.col("b").alias("choice"))
+    heads = best.join(back, ["account", "b"]).where("choice = a").where("d > d_b OR (d = d_b AND a < b)")
+    heads = heads.select("account", F.col("a").alias("head"), F.col("b").alias("partner"))
+    suitors = best.withColumnRenamed("b", "head").join(heads, ["account", "head"])
+    sums = suitors.groupBy("account", "head").agg(F.sum("d").alias("all_d"))
+    pays = F.col("t") * F.col("w") > F.col("d") * (F.col("d_b") + F.col("all_d") - F.col("d"))
+    return suitors.join(sums, ["account", "head"]).where((F.col("a") == F.col("partner")) | pays).select("account", "a", "head")
+
+
+def modularity(member: DataFrame, found: DataFrame) -> DataFrame:
+    """(account, modularity) of communities over the account's edges."""
+    of = lambda name: member.select("account", F.col("address").alias(name), F.col("community").alias(name + "_of"))
+    rows = found.join(of("src"), ["account", "src"]).join(of("dst"), ["account", "dst"])
+    inside = rows.groupBy("account").agg(F.sum("weight").alias("m"), F.sum(F.when(F.col("src_of") == F.col("dst_of"), F.col("weight")).otherwise(0)).alias("inside"))
+    ends = rows.select("account", F.explode(F.array("src_of", "dst_of")).alias("c"), "weight").groupBy("account", "c").agg(F.sum("weight").alias("d"))
+    squares = ends.groupBy("account").agg(F.sum(F.col("d").cast("double") * F.col("d")).alias("s"))
+    return inside.join(squares, "account").select("account", (F.col("inside") / F.col("m") - F.col("s") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
+
+
+def numbered(member: DataFrame) -> DataFrame:
+    """(account, address, community_id): an account's communities numbered by their smallest member, from 0. Only communities, one row each, are ordered."""
+    first = member.groupBy("account", "community").agg(F.min("address").alias("first_member"))
+    first = first.withColumn("community_id", F.row_number().over(W.partitionBy("account").orderBy("first_member")).cast("long") - 1)
+    return member.join(first, ["account", "community"]).select("account", "address", "community_id")
 
 
 def louvain(people: DataFrame, found: DataFrame) -> DataFrame:
-    """(account, address, community_id); an account without edges has a community per node."""
-    rows = people.select("account", F.col("address").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).distinct().unionByName(found.select("account", "src", "dst", F.col("weight").cast("double").alias("weight")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = pdf[pdf.dst.notna()]
-        labels = louvain_labels(list(links[["src", "dst", "weight"]].itertuples(index=False, name=None)), sorted(pdf[pdf.dst.isna()].src))
-        return pd.DataFrame({"account": pdf.account.iloc[0], "address": list(labels), "community_id": list(labels.values())})
-
-    return rows.groupBy("account").applyInPandas(run, "account string, address string, community_id long")
+    """(account, address, community_id); a node without edges is a community of its own."""
+    return numbered(communities(people, found))
 
 
 def community_summary(labelled: DataFrame, ranks: DataFrame, top: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 `Matcher` turns postings (docid, len, col, pos, stem) into scores; where they come from is up to its two forms.
 `SearchIndex` reads the texts themselves: rows are tokenised once and only words that may have a wanted stem
-become rows; stemming is an Arrow UDF over the distinct ones. `stored_index.StoredIndex` keeps postings as tables and
+become rows and are stemmed, by an Arrow UDF. `stored_index.StoredIndex` keeps postings as tables and
 reads those of a query's terms. Texts and queries go through one tokeniser (`TOKEN`, in lower case) and one `fold`.
 """
 
@@ -119,7 +119,20 @@ def porter(word: str) -> str:
 
 @pandas_udf(StringType())
 def stem_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda w: porter(fold(w)), na_action="ignore")
+    known = {w: porter(fold(w)) for w in s.dropna().unique()}
+    return pd.Series([known.get(w) for w in s], dtype=object)
+
+
+def stem_among(starts: tuple[str, ...]):
+    """The stems of words that begin (folded) as told; null for others, which are not stemmed."""
+
+    @pandas_udf(StringType())
+    def stems(s: pd.Series) -> pd.Series:
+        folded = {w: w if w.isascii() else fold(w) for w in s.dropna().unique()}
+        found = {w: porter(f) for w, f in folded.items() if f.startswith(starts)}
+        return pd.Series([found.get(w) for w in s], dtype=object)
+
+    return stems.asNondeterministic()  # evaluated once, not again in a filter below
 
 
 TOKEN = r"([\p{L}\p{N}\p{Co}\p{Mn}]+)"
@@ -134,10 +147,10 @@ def phrase_tokens(phrase: str) -> list[str]:
     return [w for w in regex.findall(TOKEN, phrase.lower()) if fold(w)]
 
 
-def maybe_stems_to(token: Column, key: str, prefix: bool) -> Column:
-    """False only if the token's stem cannot be key (or begin with it): stemming changes no more than a word's end, of which at most the last letter of the stem is new, and folding changes no ASCII letter."""
-    sure = token.startswith(key) if prefix and len(key) < 2 else token.startswith(key[:-1])
-    return sure | token.rlike(r"[^\x00-\x7F]")
+def maybe_stems_to(token: Column, keys: list[tuple[str, bool]]) -> Column:
+    """False only if the token's stem can be none of the keys (nor begin with one, where its flag is set): stemming changes no more than a word's end, of which at most the last letter of the stem is new, and folding changes no ASCII letter. One pattern for all keys."""
+    starts = sorted({k if prefix and len(k) < 2 else k[:-1] for k, prefix in keys})
+    return token.rlike("^(?:" + "|".join(map(re.escape, starts)) + r")|[^\x00-\x7F]")
 
 
 class Matcher:
@@ -185,7 +198,7 @@ class Matcher:
         """Scores of hits; df (phrase, df) where the hits are not all there are."""
         weight = F.element_at(F.create_map(*[F.lit(x) for kv in self.weights.items() for x in kv]), F.col("col"))
         rows = hits.groupBy("docid", "len", "phrase").agg(F.sum(weight * F.col("tf")).alias("f"))
-        df = rows.groupBy("phrase").agg(F.count("*").alias("df")) if df is None else df
+        df = rows.groupBy("phrase").agg(F.count("f").alias("df")) if df is None else df  # of f, so that both branches share one shuffle
         idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = -F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
         rows = rows.join(F.broadcast(df), "phrase").join(F.broadcast(self.totals()))  # a row for each phrase, and one
@@ -203,7 +216,7 @@ class SearchIndex(Matcher):
         self.stem = stem
         size = sum((F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN)) for c in self.weights), F.lit(0)).cast("long")
         self.lengths = docs.select("docid", size.alias("len"))
-        self.rows = docs.select("docid", F.concat(*map(self._placed, self.weights)).alias("words"))
+        self.rows = docs.select("docid", size.alias("len"), F.concat(*map(self._placed, self.weights)).alias("words"))  # len not by words, or these would go along with each word
 
     @staticmethod
     def _placed(name: str) -> Column:
@@ -216,15 +229,16 @@ class SearchIndex(Matcher):
         last = {words[-1] for words in keys} if prefix else set()
         whole = {k for words in keys for k in (words[:-1] if prefix else words)}
         if self.stem:
-            wanted = lambda w: reduce(lambda a, t: a | maybe_stems_to(w["token"], *t), [*((k, False) for k in sorted(whole)), *((k, True) for k in sorted(last))], F.lit(False))
+            wanted = lambda w: maybe_stems_to(w["token"], [*((k, False) for k in whole), *((k, True) for k in last)])
         else:
             wanted = lambda w: reduce(lambda a, k: a | w["token"].startswith(k), sorted(last), w["token"].isin(sorted(whole)))
-        rows = self.rows.select("docid", F.size("words").cast("long").alias("len"), F.explode(F.filter("words", wanted)).alias("w")).select("docid", "len", "w.col", "w.pos", "w.token")
+        rows = self.rows.select("docid", "len", F.explode(F.filter("words", wanted)).alias("w"))
+        rows = rows.select("docid", "len", "w.col", "w.pos", F.col("w.token").alias("stem"))
         if not self.stem:
-            return rows.withColumnRenamed("token", "stem")
-        stems = rows.select("token").distinct().withColumn("stem", stem_udf("token"))
+            return rows
+        starts = tuple(sorted({k[: max(len(k) - 1, 0)] for k in whole | last}))
         kept = reduce(lambda a, k: a | F.col("stem").startswith(k), sorted(last), F.col("stem").isin(sorted(whole)))
-        return rows.join(stems.where(kept), "token").drop("token")
+        return rows.withColumn("stem", stem_among(starts)("stem")).where(kept)
 
 
 def message_docs(messages: DataFrame) -> DataFrame:

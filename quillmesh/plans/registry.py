@@ -370,10 +370,33 @@ def graph_pagerank(spark, sf_dir):
     return graph.pagerank(people, graph.edges(people), tolerance=0.0, iterations=PAGERANK_STEPS).withColumn("centrality", F.round("centrality", 9))
 
 
-@query()
+COMMUNITY_ROUNDS = 12
+
+
+def _communities_sql() -> str:
+    """The mergers of graph.communities, a round after the other."""
+    out = [
+        "ge0 AS MATERIALIZED (SELECT account, src AS a, dst AS b, weight AS w FROM both_ways), dg AS (SELECT account, a, sum(w)::BIGINT AS d FROM ge0 GROUP BY ALL), gn0 AS MATERIALIZED (SELECT account, a, d, (sum(d) OVER (PARTITION BY account))::BIGINT AS t FROM dg)",
+        "gm0 AS MATERIALIZED (SELECT DISTINCT account, address, address AS c FROM mem)",
+    ]
+    for i in range(COMMUNITY_ROUNDS):
+        j = i + 1
+        out += [
+            f"gp{j} AS MATERIALIZED (SELECT DISTINCT ON (account, a) * FROM (SELECT e.account, e.a, e.b, e.w, x.d, y.d AS db, x.t FROM ge{i} e JOIN gn{i} x USING (account, a) JOIN gn{i} y ON y.account = e.account AND y.a = e.b) WHERE t * w > d * db ORDER BY account, a, t * w - d * db DESC, md5(least(a, b) || ':' || greatest(a, b)), b)",
+            f"gh{j} AS MATERIALIZED (SELECT x.account, x.a AS head, x.b AS partner FROM gp{j} x JOIN gp{j} y ON y.account = x.account AND y.a = x.b AND y.b = x.a WHERE x.d > x.db OR (x.d = x.db AND x.a < x.b))",
+            f"gj{j} AS MATERIALIZED (SELECT account, a, head FROM (SELECT z.*, h.head, h.partner, sum(z.d) OVER (PARTITION BY z.account, h.head) AS s FROM gp{j} z JOIN gh{j} h ON h.account = z.account AND h.head = z.b) WHERE a = partner OR t * w > d * (db + s - d))",
+            f"ge{j} AS MATERIALIZED (SELECT account, a, b, sum(w)::BIGINT AS w FROM (SELECT e.account, coalesce(x.head, e.a) AS a, coalesce(y.head, e.b) AS b, w FROM ge{i} e LEFT JOIN gj{j} x ON x.account = e.account AND x.a = e.a LEFT JOIN gj{j} y ON y.account = e.account AND y.a = e.b) WHERE a <> b GROUP BY ALL)",
+            f"gn{j} AS MATERIALIZED (SELECT n.account, coalesce(x.head, n.a) AS a, sum(d)::BIGINT AS d, any_value(t) AS t FROM gn{i} n LEFT JOIN gj{j} x ON x.account = n.account AND x.a = n.a GROUP BY ALL)",
+            f"gm{j} AS MATERIALIZED (SELECT m.account, m.address, coalesce(x.head, m.c) AS c FROM gm{i} m LEFT JOIN gj{j} x ON x.account = m.account AND x.a = m.c)",
+        ]
+    return ", ".join(out)
+
+
+@query(f"SELECT account, row_number() OVER (PARTITION BY account ORDER BY first_member) - 1 AS community_id, size, first_member FROM (SELECT account, c, count(*) AS size, min(address) AS first_member FROM gm{COMMUNITY_ROUNDS} GROUP BY account, c)", FULL + "," + _communities_sql())
 def graph_communities(spark, sf_dir):
     people = _members(spark, sf_dir)
-    return graph.louvain(people, graph.edges(people)).groupBy("account", "community_id").agg(F.count("*").alias("size"), F.min("address").alias("first_member"))
+    found = graph.numbered(graph.communities(people, graph.edges(people), COMMUNITY_ROUNDS))
+    return found.groupBy("account", "community_id").agg(F.count("*").alias("size"), F.min("address").alias("first_member"))
 
 
 # --- search

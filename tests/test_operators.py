@@ -174,6 +174,71 @@ def test_graph_two_circles(spark):
     assert graph.louvain(lonely, graph.edges(lonely)).count() == 1
 
 
+def plain_mergers(links):
+    """graph.communities for one account, with dictionaries."""
+    import hashlib
+
+    member, degree, weight = {}, {}, {}
+    for a, b, w in links:
+        for x, y in ((a, b), (b, a)):
+            member[x], degree[x], weight[x, y] = x, degree.get(x, 0) + w, weight.get((x, y), 0) + w
+    total = sum(degree.values())
+    while True:
+        choice = {}
+        for (a, b), w in weight.items():
+            gain = total * w - degree[a] * degree[b]
+            if gain > 0:
+                key = (-gain, hashlib.md5(f"{min(a, b)}:{max(a, b)}".encode()).hexdigest(), b)
+                choice[a] = min(choice.get(a, key), key)
+        chosen = {a: k[2] for a, k in choice.items()}
+        heads = {a: b for a, b in chosen.items() if chosen[b] == a and (degree[a] > degree[b] or (degree[a] == degree[b] and a < b))} if chosen else {}
+        if not heads:
+            return member
+        suitors = {h: [a for a, b in chosen.items() if b == h] for h in heads}
+        joins = {a: h for h, l in suitors.items() for a in l if a == heads[h] or total * weight[a, h] > degree[a] * (degree[h] + sum(degree[x] for x in l) - degree[a])}
+        to = lambda x: joins.get(x, x)  # noqa: E731, B023
+        merged, sums = {}, {}
+        for (a, b), w in weight.items():
+            if to(a) != to(b):
+                merged[to(a), to(b)] = merged.get((to(a), to(b)), 0) + w
+        for x, d in degree.items():
+            sums[to(x)] = sums.get(to(x), 0) + d
+        member, degree, weight = {x: to(c) for x, c in member.items()}, sums, merged
+
+
+def test_communities_against_plain_mergers(spark):
+    rng = random.Random(3)
+    groups = {"blocks": [(f"n{i:02d}", f"n{j:02d}", rng.randrange(1, 4)) for i in range(40) for j in range(i) if rng.random() < (0.5 if i % 4 == j % 4 else 0.03)]}
+    groups["path"] = [(f"n{i:03d}", f"n{i + 1:03d}", 1) for i in range(60)]
+    groups["star"] = [("hub", f"n{i:03d}", 1) for i in range(50)]
+    found = spark.createDataFrame([(g, min(a, b), max(a, b), w) for g, l in groups.items() for a, b, w in l], "account string, src string, dst string, weight long")
+    people = found.select("account", F.col("src").alias("address")).union(found.select("account", "dst")).union(spark.createDataFrame([("none", "solo")], "account string, address string"))
+    member = graph.communities(people, found)
+    got = {(r["account"], r["address"]): r["community"] for r in member.collect()}
+    assert got == {("none", "solo"): "solo"} | {(g, x): c for g, l in groups.items() for x, c in plain_mergers(l).items()}
+    score = {r["account"]: r["modularity"] for r in graph.modularity(member, found).collect()}
+    assert score["blocks"] > 0.55 and score["path"] > 0.7 and abs(score["star"]) < 1e-9
+    for (g, _), c in got.items():  # every community is connected
+        inside, seen = {x for (h, x), d in got.items() if h == g and d == c}, set()
+        todo = [next(iter(inside))]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b if a == x else a for a, b, _ in groups.get(g, []) if x in (a, b) and {a, b} <= inside]
+        assert seen == inside
+
+
+def test_pairs_of_a_hot_thread_are_tiled(spark):
+    people = spark.createDataFrame([("a", "hot", f"p{i:03d}") for i in range(300)] + [("a", "t", f"p{i:03d}") for i in range(5)] + [("b", "hot", "q"), ("b", "hot", "r")], "account string, thread_id string, address string")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(graph.edges(people, tile=16)) == plain(graph.edges(people)) and graph.edges(people).count() == 300 * 299 // 2 + 1
+    large = spark.range(20_000).select(F.lit("a").alias("account"), F.lit("t").alias("thread_id"), F.concat(F.lit("p"), "id").alias("address"))
+    tiles = graph.tiled(large).groupBy("row", "col").agg(F.count_if(F.expr("block = row")).alias("n"), F.count_if(F.expr("block = col")).alias("m"))
+    most = tiles.agg(F.count("*"), F.max(F.col("n") * F.col("m"))).first()
+    assert most[0] == 79 * 80 // 2 and most[1] < 2 * graph.TILE**2
+
+
 def test_search_equals_sqlite(spark):
     rng = random.Random(2)
     words = ["refund", "refunds", "invoice", "travel", "cat", "dog", "running", "runs", "bank"]
