@@ -53,25 +53,25 @@ def mini_sessions(events: DataFrame, gap: int = GAP, block: int = BLOCK) -> Data
 
 
 def with_segments(minis: DataFrame, gap: int, scratch: Scratch) -> DataFrame:
-    """minis with `segment`: of a user, a number that sessions of different segments never share."""
+    """minis with `segment`: of a user, a number that sessions of different segments never share. Joins are by merge: none of the sides has a bound, so none is broadcast."""
     before = W.partitionBy("user", "block").orderBy("start_s", "end_s").rowsBetween(W.unboundedPreceding, -1)
     opens = F.col("start_s") - F.max("end_s").over(before) > gap
     blocks = minis.select("user", "block", "start_s", "end_s", opens.alias("opens")).groupBy("user", "block")
     blocks = blocks.agg(F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"), F.min(F.when(F.col("opens"), F.col("start_s"))).alias("cut_s"))
     left = blocks.select("user", (F.col("block") + 1).alias("block"), F.col("last_s").alias("left_s"))
-    linked = blocks.join(left, ["user", "block"]).where(F.col("first_s") - F.col("left_s") <= gap).select("user", "block", "cut_s", (F.col("block") - 1).alias("to"))
+    linked = blocks.join(left.hint("merge"), ["user", "block"]).where(F.col("first_s") - F.col("left_s") <= gap).select("user", "block", "cut_s", (F.col("block") - 1).alias("to"))
     linked = scratch.put(linked, "linked")
     through = linked.where("cut_s IS NULL").select("user", "block", "to")
     jumps, moved = scratch.put(through, "through"), True
     while moved:  # each round doubles the blocks that a pointer skips
         ahead = jumps.select("user", F.col("block").alias("to"), F.col("to").alias("next"))
-        step = jumps.join(ahead, ["user", "to"], "left").select("user", "block", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+        step = jumps.join(ahead.hint("merge"), ["user", "to"], "left").select("user", "block", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
         step = scratch.put(step, "through")
         jumps, moved = step.drop("moved"), not step.where("moved").isEmpty()
     ends = jumps.select("user", F.col("block").alias("to"), F.col("to").alias("end"))
-    linked = linked.join(ends, ["user", "to"], "left").select("user", "block", "cut_s", F.coalesce("end", "to").alias("to"))
+    linked = linked.join(ends.hint("merge"), ["user", "to"], "left").select("user", "block", "cut_s", F.coalesce("end", "to").alias("to"))
     joins_left = F.col("to").isNotNull() & (F.col("cut_s").isNull() | (F.col("start_s") < F.col("cut_s")))
-    return minis.join(linked, ["user", "block"], "left").withColumn("segment", F.when(joins_left, F.col("to")).otherwise(F.col("block"))).drop("to", "cut_s")
+    return minis.join(linked.hint("merge"), ["user", "block"], "left").withColumn("segment", F.when(joins_left, F.col("to")).otherwise(F.col("block"))).drop("to", "cut_s")
 
 
 class Standing:
