@@ -70,21 +70,41 @@ def contact_events(messages: DataFrame) -> DataFrame:
     first_from = F.min(F.when((F.col("received") == 1) & F.col("address").isNotNull(), F.col("seq"))).over(W.partitionBy("account", "__thread", "address"))
     first_in = F.min("seq").over(W.partitionBy("account", "__thread"))
     rows = rows.withColumn("first_from", F.when(in_thread, first_from)).withColumn("first_in", F.when(in_thread, first_in))
-    return rows.select("account", "address", "internal_date", "seq", F.col("p.pos").alias("pos"), S.display_name(F.col("p.raw")).alias("name"), *marks, *received, "first_from", "first_in")
+    return rows.select("account", F.col("__thread").alias("thread"), "address", "internal_date", "seq", F.col("p.pos").alias("pos"), S.display_name(F.col("p.raw")).alias("name"), *marks, *received, "first_from", "first_in")
 
 
-def contacts_rollup(messages: DataFrame, with_bulk: bool = False) -> DataFrame:
-    """One row per correspondent; with_bulk adds how many bulk messages it sent (bulk_count)."""
+SUMS = {"msgs_received": "received", "msgs_sent": "sent", "read_count": "read", "replied_count": "replied", "initiated_count": "initiated", "starred_count": "starred", "important_count": "important"}
+
+
+def _counted(messages: DataFrame) -> DataFrame:
     events = contact_events(messages).where("address IS NOT NULL")
     sent = F.col("sent") == 1
     replied = sent & F.coalesce(F.col("first_from") < F.col("seq"), F.lit(False))
     initiated = sent & ~replied & F.coalesce(F.col("first_in") == F.col("seq"), F.lit(False))
-    events = events.withColumns({"replied": replied.cast("int"), "initiated": initiated.cast("int")})
-    named = F.when(F.col("name").isNotNull(), F.struct("seq", "pos", "name"))
-    sums = {"msgs_received": "received", "msgs_sent": "sent", "read_count": "read", "replied_count": "replied", "initiated_count": "initiated", "starred_count": "starred", "important_count": "important"}
-    if with_bulk:
-        sums["bulk_count"] = "bulk"
-    out = events.groupBy("account", "address").agg(F.min(named)["name"].alias("display_name"), *[F.sum(v).cast("long").alias(k) for k, v in sums.items()], F.min("internal_date").alias("first_seen"), F.max("internal_date").alias("last_seen"))
+    return events.withColumns({"replied": replied.cast("int"), "initiated": initiated.cast("int")})
+
+
+def _first_name() -> Column:
+    return F.min(F.when(F.col("name").isNotNull(), F.struct("seq", "pos", "name")))
+
+
+def contacts_rollup(messages: DataFrame, with_bulk: bool = False) -> DataFrame:
+    """One row per correspondent; with_bulk adds how many bulk messages it sent (bulk_count)."""
+    sums = SUMS | ({"bulk_count": "bulk"} if with_bulk else {})
+    out = _counted(messages).groupBy("account", "address").agg(_first_name()["name"].alias("display_name"), *[F.sum(v).cast("long").alias(k) for k, v in sums.items()], F.min("internal_date").alias("first_seen"), F.max("internal_date").alias("last_seen"))
+    return out.withColumn("domain", S.host_of(F.col("address")))
+
+
+def contact_shares(messages: DataFrame) -> DataFrame:
+    """What each thread gives to each correspondent: states that `contacts_of` merges. Replies depend on nothing outside their thread, so a thread's shares follow from its messages alone."""
+    sums = SUMS | {"bulk_count": "bulk"}
+    return _counted(messages).groupBy("account", "thread", "address").agg(_first_name().alias("named"), *[F.sum(v).cast("long").alias(k) for k, v in sums.items()], F.min("internal_date").alias("first_seen"), F.max("internal_date").alias("last_seen"))
+
+
+def contacts_of(shares: DataFrame) -> DataFrame:
+    """contacts_rollup (with bulk_count) from shares."""
+    sums = [*SUMS, "bulk_count"]
+    out = shares.groupBy("account", "address").agg(F.min("named")["name"].alias("display_name"), *[F.sum(c).alias(c) for c in sums], F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     return out.withColumn("domain", S.host_of(F.col("address")))
 
 

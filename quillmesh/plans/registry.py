@@ -17,8 +17,10 @@ from ..operators import graph, jobs, messages as M, rollups as R, runs, scoring,
 from ..operators.stored_index import StoredIndex
 from ..session import shared_folder
 from ..sources.mailbox import MAILBOX_SQL, PEOPLE_SQL, mailbox, table
+from ..sources import ndjson
 from ..sources.provider import TableSource
 from ..streaming.ingest import session_counts, windowed_counts
+from ..streaming.kept import KeptRollups
 from . import composites as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,6 +221,18 @@ def contacts_rollup(spark, sf_dir):
     return _contacts(spark, sf_dir)
 
 
+@query("SELECT c.*, coalesce(b.bulk_count, 0) AS bulk_count FROM contacts c LEFT JOIN bulk b USING (account, address)", FULL)
+def kept_contacts(spark, sf_dir):
+    """The contacts as three batches leave them: part of the mailbox with wrong flags and senders, the rest, then the first part's corrections."""
+    m = mailbox(spark, sf_dir)
+    wrong = F.col("key") % 3 == 0
+    kept = KeptRollups(spark, shared_folder(spark, "rollups"), parts=4)
+    swapped = {"unread": F.when(wrong, 1 - F.col("unread")).otherwise(F.col("unread")), "from_addr": F.when(wrong & (F.col("direction") == "received"), "Old Name <old@mail.example.com>").otherwise(F.col("from_addr"))}
+    for batch in (m.where("key % 10 < 6").withColumns(swapped), m.where("key % 10 >= 6"), m.where(wrong & (F.col("key") % 10 < 6))):
+        kept.apply(batch.drop("key"))
+    return kept.contacts.read().drop("__month")
+
+
 @query("SELECT * FROM domains", FULL)
 def domains_rollup(spark, sf_dir):
     return R.domains_rollup(_contacts(spark, sf_dir))
@@ -658,6 +672,16 @@ def image_counts(spark, sf_dir):
     return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("images"))
 
 
+@query("SELECT * FROM (WITH acc AS (SELECT account || '-' || key % 4 AS account, CASE WHEN key % 4 < 3 THEN internal_date END AS d FROM mb), fin AS (SELECT DISTINCT account FROM acc WHERE right(account, 1) = '1') "
+       "SELECT account, 'sync' AS phase, max(d) AS finished_at FROM acc ANTI JOIN fin USING (account) WHERE d IS NOT NULL GROUP BY account)")
+def import_watermarks(spark, sf_dir):
+    """Four accounts of each: without a run, with a failed finished one, with an unfinished one, and without a dated message."""
+    m = mailbox(spark, sf_dir).select(F.concat_ws("-", "account", F.col("key") % 4).alias("account"), F.when(F.col("key") % 4 < 3, F.col("internal_date")).alias("internal_date"))
+    kind = F.substring("account", -1, 1)
+    made = m.select("account").distinct().where(kind.isin("1", "2")).select("account", F.when(kind == "1", 5).cast("long").alias("finished_at"), F.lit("failed").alias("error"))
+    return ndjson.watermarks(m, made).select("account", "phase", "finished_at")
+
+
 @query("SELECT event_type AS account, count(*) FILTER (event_id % 4 IN (0, 1)) AS queue_depth, max(event_id) FILTER (event_id % 3 = 0) AS last_sync FROM events GROUP BY event_type", "")
 def queue_status(spark, sf_dir):
     status = F.element_at(F.array(*map(F.lit, ("queued", "running", "done", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))

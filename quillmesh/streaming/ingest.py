@@ -27,10 +27,10 @@ def month_of(df: DataFrame) -> Column:
 
 
 class VersionedTable:
-    """<path>/data/<version>/__month=<m>: the months a version wrote; <path>/manifest/v=<version>: month -> version that holds it. The highest manifest with _SUCCESS is current."""
+    """<path>/data/<version>/__month=<m>: the parts (months, or what `part` names) a version wrote; <path>/manifest/v=<version>: part -> version that holds it. The highest manifest with _SUCCESS is current. One writer at a time; a second one that chose the same version is refused."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, part: Callable[[DataFrame], Column] = month_of) -> None:
+        self.spark, self.path, self.part = spark, path.rstrip("/"), part
 
     def _listed(self, folder: str) -> list:
         jvm = self.spark.sparkContext._jvm
@@ -63,10 +63,12 @@ class VersionedTable:
         found = self.versions()
         version = (found or [0])[-1] + 1
         kept = {} if months is None else {m: v for m, v in self.manifest().items() if m not in months}
-        df.withColumn(PART, month_of(df)).write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/data/{version}")
+        if f"v={version}" in [p.getName() for _, p in self._listed("manifest")]:
+            raise ValueError(f"version {version} of {self.path} has another writer")
+        df.withColumn(PART, self.part(df)).write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/data/{version}")
         written = [p.getName().removeprefix(PART + "=") for _, p in self._listed(f"data/{version}") if p.getName().startswith(PART + "=")]
         rows = [*kept.items(), *((m, version) for m in written)]
-        self.spark.createDataFrame(rows, "month string, version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/v={version}")
+        self.spark.createDataFrame(rows, "month string, version int").coalesce(1).write.json(f"{self.path}/manifest/v={version}")
         return version
 
     def vacuum(self, keep: int = 2) -> None:

@@ -300,12 +300,31 @@ def test_ndjson_round_trip(spark, tmp_path):
     twice = ndjson.merged(tables, {"messages": df})
     assert {(r["account"], r["gmail_message_id"], r["body_state"], r["subject"]) for r in twice["messages"].collect()} == {("a", "m000", "full", None), ("b", "m001", "meta", None)}
     assert {(r["id"], r["name"]) for r in tables["labels"].collect()} == {("1", "One"), ("2", "New")} and tables["sync_runs"].count() == 0
-    runs = spark.createDataFrame([("a", 1, None)], "account string, finished_at long, error string")
-    assert [(r["account"], r["finished_at"]) for r in ndjson.watermarks(df, runs).collect()] == [("b", 9)]
+    runs = spark.createDataFrame([("a", 1, "failed"), ("c", None, None)], "account string, finished_at long, error string")
+    dated = df.unionByName(mail(spark, [{"account": "c", "internal_date": 4}, {"account": "d"}, {"account": "e", "internal_date": 0}]))
+    assert sorted((r["account"], r["finished_at"]) for r in ndjson.watermarks(dated, runs).collect()) == [("b", 9), ("c", 4)]
     with pytest.raises(ValueError):
         ndjson.export_lines({"secrets": df})
 
 
+def test_ndjson_stream_of_one_file(spark, tmp_path):
+    """The header comes first, blank lines are skipped, and the last of repeated rows wins, however the file is split."""
+    row = lambda i, name: json.dumps({"type": "labels", "row": {"account": "a", "id": str(i % 50), "name": name}})
+    lines = [json.dumps({"type": "header", "schema_version": ndjson.SCHEMA_VERSION}), ""] + [row(i, f"n{i}") for i in range(2000)]
+    (tmp_path / "all.ndjson").write_text("\n".join(lines) + "\n")
+    schema = {"labels": "account string, id string, name string"}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        got = ndjson.import_rows(spark, f"{tmp_path}/all.ndjson", schema)["labels"]
+        assert {(r["id"], r["name"]) for r in got.collect()} == {(str(i % 50), f"n{i}") for i in range(1950, 2000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for bad in (lines[2:], [lines[0].replace(str(ndjson.SCHEMA_VERSION), "1")], [lines[0], '{"type": "secrets", "row": {}}'], []):
+        (tmp_path / "bad.ndjson").write_text("\n".join(bad))
+        with pytest.raises(ValueError):
+            ndjson.import_rows(spark, f"{tmp_path}/bad.ndjson", schema)
+
+
 def test_payloads(spark):
     line = '{"id":"i1","threadId":"t","labelIds":["INBOX","UNREAD"],"internalDate":"12","snippet":"s","payload":{"mimeType":"multipart/mixed","headers":[{"name":"FROM","value":"A <a@b.c>"},{"name":"List-Id","value":"x"}],"parts":[{"mimeType":"multipart/alternative","parts":[{"mimeType":"text/plain","body":{"data":"aMOpbGxv"}},{"mimeType":"text/html","body":{"data":"PGI-"}}]},{"mimeType":"application/pdf","filename":"f.pdf","body":{"attachmentId":"att","size":10}},{"mimeType":"image/png","filename":"i.png","body":{"data":"AA"}}]}}'
     parsed = payload.parse(spark.createDataFrame([(line,)], "value string"))

@@ -45,3 +45,27 @@ def test_windows(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:10:00", "v"), (1, "2024-01-01 00:20:00", "v"), (1, "2024-01-02 05:00:00", "v")], "user_id int, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in windowed_counts(rows).collect()) == [1, 2]
     assert sorted(r["n"] for r in session_counts(rows).collect()) == [1, 2]
+
+
+def test_kept_rollups_follow_batches(spark, tmp_path):
+    """After each batch the kept tables equal the rollups of all messages so far, and only parts that the batch touches are written."""
+    from pyspark.sql import functions as F
+
+    from quillmesh.operators import rollups as R
+    from quillmesh.operators.messages import upsert
+    from quillmesh.streaming.kept import KeptRollups
+
+    from test_operators import mail, random_mail
+
+    rows = random_mail(7, 40)
+    first, later = mail(spark, rows[:30]), mail(spark, rows).where("gmail_message_id >= 'm025'")  # five come again
+    one = mail(spark, rows).where("gmail_message_id = 'm003'").withColumn("unread", 1 - F.col("unread")).withColumn("from_addr", F.lit("New Name <new@x.com>"))
+    kept, stored = KeptRollups(spark, f"file://{tmp_path}/kept", parts=6), None
+    plain = lambda df, names: sorted(map(repr, df.select(*names).collect()))
+    for batch in (first, later, one, one):
+        wrote = kept.apply(batch)
+        stored = upsert(batch.limit(0) if stored is None else stored, batch.withColumn("batch", F.lit(0)))
+        for name, whole in (("contacts", R.contacts_rollup(stored, with_bulk=True)), ("threads", R.threads_rollup(stored))):
+            assert plain(getattr(kept, name).read(), sorted(whole.columns)) == plain(whole, sorted(whole.columns))
+    assert len(wrote["mail"]) == 1 and len(set(kept.mail.manifest().values())) > 1
+    assert kept.apply(first.limit(0)) == {}
