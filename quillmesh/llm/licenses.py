@@ -1,7 +1,8 @@
 """License scans: winnowed fingerprints find candidates, banded alignment reports coverage and spans.
 
-The templates' k-gram fingerprints are winnowed (the smallest hash of each window; templates of one
-window or less keep all) into an inverted index hash -> (template, position). A document is scanned
+The templates' k-gram fingerprints are winnowed (the smallest hash of each window) into an inverted index
+hash -> (template, position); gram and window of a template are so short that no match can be without a
+fingerprint. A document is scanned
 as a whole: each of its k-gram hashes is looked up, hits of a template on near diagonals form a region,
 and each region is aligned with the template by banded local alignment of tokens. An alignment that
 covers at least `min_coverage` of the template's tokens is a match; its span is given in
@@ -11,8 +12,8 @@ The index depends on the templates alone (a parameter, not a table), so what is
 size that no input changes. Nothing is shuffled.
 
 Edge cases: null and empty texts match nothing; a text that repeats a template gives a span for
-each copy; equal coverage of two templates is reported for both; repeated rows are scanned one by one; an
-empty table gives an empty result; further columns are ignored.
+each copy; equal coverage of two templates is reported for both; repeated rows are scanned one by one, and so are rows without
+an id, whose matches have none; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,17 +76,44 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(n - window + 1) + window - 1 - np.argmin(views[:, ::-1], axis=1))
 
 
+def guaranteed_run(n: int, min_coverage: float) -> int:
+    """Tokens in a row that any match of so many of n tokens keeps: errors, at most n - matched, cut the matched ones into that many runs and one more."""
+    matched = max(1, -int(-min_coverage * n // 1))
+    return -(-matched // (n - matched + 1))
+
+
 class Index:
-    """The inverted index of the templates' winnowed fingerprints."""
+    """The inverted index of the templates' winnowed fingerprints: by gram size, hash -> (template, position).
+
+    A template's gram and window are such that a run of guaranteed_run tokens holds a fingerprint (gram + window - 1 tokens do), so no match is
+    without one: short templates have all their grams, the shortest ones grams of fewer tokens.
+    """
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE) -> None:
         self.names = sorted(templates)
         self.words = [tokens(templates[name])[2] for name in self.names]
-        postings = sorted((int(g[p]), t, int(p)) for t, w in enumerate(self.words) for g in [shingles(w, GRAM)] for p in winnow(g))
-        self.keys = np.array(sorted({h for h, _, _ in postings}), np.uint64)
-        self.lists: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for h, t, p in postings:
-            self.lists[h].append((t, p))
+        self.lists: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for t, words in enumerate(self.words):
+            if not len(words):
+                continue
+            run = guaranteed_run(len(words), min_coverage)
+            size = min(GRAM, run)
+            grams = shingles(words, size)
+            for p in winnow(grams, min(WINDOW, run - size + 1)):
+                self.lists[size][int(grams[p])].append((t, int(p)))
+        self.keys = {size: np.array(sorted(lists), np.uint64) for size, lists in self.lists.items()}
+
+    def hits(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """(template, shift) of each fingerprint in a text, in the order of the text."""
+        out = []
+        for size, keys in self.keys.items():
+            if len(words) < size:
+                continue
+            grams = shingles(words, size)
+            at = np.searchsorted(keys, grams)
+            at[at == len(keys)] = 0
+            out += [(p, t, p - q) for p in np.flatnonzero(keys[at] == grams).tolist() for t, q in self.lists[size][int(grams[p])]]
+        return [(t, shift) for _, t, shift in sorted(out)]
 
 
 def align(template: np.ndarray, part: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
@@ -117,19 +145,14 @@ def scan(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE) ->
     starts, ends, words, raw = tokens(text or "")
     if not len(words):
         return []
-    grams = shingles(words, GRAM)
-    at = np.searchsorted(index.keys, grams)
-    at[at == len(index.keys)] = 0
-    regions: dict[int, list[list[int]]] = defaultdict(list)
-    for p in np.flatnonzero(index.keys[at] == grams):
-        for t, q in index.lists[int(grams[p])]:
-            shift = int(p) - q
-            if not any(abs(shift - r[0]) <= min(BAND, len(index.words[t])) // 2 for r in regions[t][-4:]):
-                regions[t].append([shift])
+    regions: dict[int, list[int]] = defaultdict(list)
+    for t, shift in index.hits(words):
+        if not any(abs(shift - r) <= min(BAND, len(index.words[t])) // 2 for r in regions[t][-4:]):
+            regions[t].append(shift)
     out = []
     for t, found in regions.items():
         template, kept = index.words[t], []
-        for (shift,) in found:
+        for shift in found:
             lo = max(0, shift - BAND)
             part = words[lo : max(0, shift + len(template) + BAND)]
             n, a, b = align(template, part, shift - lo)
@@ -153,7 +176,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("matched", pa.int64()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(templates, min_coverage)
         for batch in batches:
             rows = [{"doc_id": doc, **m} for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in scan(text.as_py(), index, min_coverage)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)

@@ -10,7 +10,7 @@ import corpus_pipeline
 from quillmesh.llm.chat import PROBE_TEXT, Template, format_conversations, read_back
 from quillmesh.llm.common import Scratch
 from quillmesh.llm.decontaminate import clean_documents, decontaminate
-from quillmesh.llm.licenses import TEMPLATES, Index, align, scan, scan_licenses
+from quillmesh.llm.licenses import TEMPLATES, Index, align, scan, scan_licenses, tokens
 from quillmesh.llm.line_dedup import dedup_lines, later_copies
 from quillmesh.llm.mixing import mix, source_rates
 from quillmesh.llm.quality import quality
@@ -257,6 +257,25 @@ def test_alignment_against_full_dynamic_programming():
     assert scan("x y z", Index(TEMPLATES)) == []
 
 
+def test_every_substitution_within_the_coverage_is_found():
+    """Each token of each template in turn, and random and regular sets of as many tokens as the coverage allows, replaced by others: found whenever the alignment at the right place covers enough."""
+    rng = random.Random(11)
+    index, held = Index(TEMPLATES), 0
+    for name, template in TEMPLATES.items():
+        words = re.findall(r"[A-Za-z0-9]+", template)
+        n = len(words)
+        allowed = n - -int(-0.8 * n // 1)
+        cases = [{i} for i in range(n)] if allowed else []
+        cases += [set(rng.sample(range(n), allowed)) for _ in range(60)] + [set(list(range(k, n, -(-n // allowed)))[:allowed]) for k in range(3) if allowed]
+        for changed in cases:
+            text = "before it " + " ".join(f"zz{i}" if i in changed else w for i, w in enumerate(words)) + " after it"
+            enough = align(index.words[index.names.index(name)], tokens(text)[2], 2)[0] >= 0.8 * n
+            held += enough
+            assert len(changed) > 1 or enough
+            assert not enough or name in {m["license"] for m in scan(text, index)}, (name, changed)
+    assert held > 500
+
+
 def test_license_scan_against_brute_force(spark):
     """Without index, winnowing or band: every template aligned with every whole text."""
     rng = random.Random(12)
