@@ -5,15 +5,14 @@ unseen misspelling or compound shares vectors with words seen in training. A win
 words is the mean of its words and goes through a linear softmax; embeddings and softmax are
 trained together by Adam. A document's label is that of its most toxic window: each epoch trains
 toxic documents on the window that scores highest so far and clean ones on their highest and on
-random windows. A logistic curve over the highest window's logit and the log of the number of
-words turns it into the score.
+random windows. The score is the softmax's probability for the highest window, its logit calibrated by a
+scale and an offset fitted on the sample (the highest of many windows is higher than one); nothing but words enters it.
 
 Only the fit uses a bounded sample of labelled rows (at most `max_toxic` and `max_clean` documents,
 those of the smallest hash of their id; a documented parameter). Scoring covers whole texts of all rows. The model
 that is broadcast has a fixed size: a number for each bucket.
 
-Edge cases: null, empty and blank texts have no window and score the curve's value at a logit of 0
-and no words; repeated rows are scored one by one and count once in the fit; without labelled rows of both
+Edge cases: null, empty and blank texts have no window and score as a logit of 0 does; repeated rows are scored one by one and count once in the fit; without labelled rows of both
 classes, or with empty texts only, every score is the share of toxic ones (0 without any); null labels are not learnt from; an empty
 table gives an empty result; further columns are ignored.
 """
@@ -52,7 +51,7 @@ def buckets_of(word: str) -> list[int]:
 
 
 class Model:
-    """gram: each bucket's part in the logit (embedding times softmax difference); curve: weights of (logit, log words, 1)."""
+    """gram: each bucket's part in the logit (embedding times softmax difference); curve: scale and offset of the logit."""
 
     def __init__(self, gram: np.ndarray, bias: float, curve: np.ndarray) -> None:
         self.gram, self.bias, self.curve = gram, bias, curve
@@ -77,11 +76,11 @@ class Model:
 
     def score(self, text: str | None) -> float:
         words = words_of(text)
-        return curve_value(self.curve, self.peak(words), len(words))
+        return curve_value(self.curve, self.peak(words))
 
 
-def curve_value(curve: np.ndarray, peak: float, n: int) -> float:
-    z = float(curve @ np.array([peak, np.log1p(n), 1.0]))
+def curve_value(curve: np.ndarray, peak: float) -> float:
+    z = float(curve @ np.array([peak, 1.0]))
     return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
@@ -100,7 +99,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 512
     rate_toxic = float(labels.mean()) if len(labels) else 0.0
     if len(set(labels.tolist())) < 2 or not ids:
         level = min(max(rate_toxic, 1e-9), 1 - 1e-9)
-        return Model(np.zeros(BUCKETS), 0.0, np.array([0.0, 0.0, np.log(level / (1 - level))]))
+        return Model(np.zeros(BUCKETS), 0.0, np.array([0.0, np.log(level / (1 - level))]))
     grams = [np.array(buckets_of(w), np.int64) for w in ids]
     lengths = np.array([len(g) for g in grams])
     flat, starts = np.concatenate(grams), np.concatenate([[0], np.cumsum(lengths)])
@@ -153,11 +152,11 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 512
     values = word_values()
     offset = float(bias[1] - bias[0])
     top = np.array([peaks(values[d])[0].max() + offset if len(d) else 0.0 for d in docs])
-    features = np.stack([top, np.log1p([len(d) for d in docs]), np.ones(len(docs))], 1)
-    curve = np.zeros(3)
+    features = np.stack([top, np.ones(len(docs))], 1)
+    curve = np.zeros(2)
     for _ in range(40):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(features @ curve, -30, 30)))
-        step = np.linalg.solve((features * (p * (1 - p))[:, None]).T @ features + 1e-2 * np.eye(3), features.T @ (p - labels) + 1e-2 * curve)
+        step = np.linalg.solve((features * (p * (1 - p))[:, None]).T @ features + 1e-2 * np.eye(2), features.T @ (p - labels) + 1e-2 * curve)
         curve -= step
         if np.abs(step).max() < 1e-8:
             break
