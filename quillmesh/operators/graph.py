@@ -67,6 +67,15 @@ def neighbours(found: DataFrame, limit: int = 15) -> DataFrame:
     return both_ways(found).withColumn("rank", rank).where(F.col("rank") <= limit).withColumnsRenamed({"src": "address", "dst": "neighbour", "weight": "shared_threads"})
 
 
+def neighbours_of(people: DataFrame, address: str, limit: int = 15) -> DataFrame:
+    """`neighbours` of one address, from the threads that it takes part in alone."""
+    threads = people.where(F.col("address") == address).select("account", "thread_id").distinct()
+    near = people.join(threads, ["account", "thread_id"], "left_semi").where(F.col("address") != address)
+    near = near.groupBy("account", F.col("address").alias("neighbour")).agg(F.count("*").alias("shared_threads"))
+    rank = F.row_number().over(W.partitionBy("account").orderBy(F.desc("shared_threads"), "neighbour"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= limit).select("account", F.lit(address).alias("address"), "neighbour", "shared_threads", "rank")
+
+
 MAX_LOCAL_EDGES = 2_000_000
 #: Both forms look whether an account has settled after every so many steps, so that they stop it at the same one.
 SETTLED_EVERY = 5

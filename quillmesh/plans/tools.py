@@ -278,7 +278,7 @@ def find_person(archive: Archive, hint: str, account: str | None = None, limit:
 
 @tool
 def graph_neighbors(archive: Archive, address: str, account: str | None = None, limit: int = 15) -> dict:
-    found = graph.neighbours(graph.edges(_of(archive.members(), account)), limit).where(F.col("address") == address.lower())
+    found = graph.neighbours_of(_of(archive.members(), account), address.lower(), limit)
     if found.isEmpty():
         near = C.find_person(_of(archive.contacts(), account), address, limit).select("account", F.lit(address).alias("address"), F.col("address").alias("neighbour"), F.lit(0).cast("long").alias("shared_threads"), "rank")
         return {"neighbors": near, "fallback": True}

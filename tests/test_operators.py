@@ -170,6 +170,7 @@ def test_graph_two_circles(spark):
     labels = {r["address"]: r["community_id"] for r in graph.louvain(people, found).collect()}
     assert len(set(labels.values())) == 2 and labels["hub"] == labels["a"] == labels["b"] == labels["c"] and labels["x"] == labels["y"] == labels["z"]
     assert [(r["neighbour"], r["rank"]) for r in graph.neighbours(found).where("address = 'x'").orderBy("rank").collect()] == [("y", 1), ("z", 2)]
+    assert sorted(map(str, graph.neighbours_of(people, "x").select("neighbour", "shared_threads", "rank").collect())) == sorted(map(str, graph.neighbours(found).where("address = 'x'").select("neighbour", "shared_threads", "rank").collect()))
     lonely = people.where("thread_id = 't9'").unionByName(spark.createDataFrame([("b", "t", "solo")], people.schema))
     assert graph.louvain(lonely, graph.edges(lonely)).count() == 1
 
