@@ -18,14 +18,24 @@ def message_changes(messages: DataFrame) -> DataFrame:
     return messages.select("account", F.lit("message").alias("entity_type"), F.col("gmail_message_id").alias("entity_key"), F.lit("upsert").alias("operation"), F.lit(None).cast("string").alias("reason"), content.alias("payload"), key.alias("dedupe_key"), F.col("internal_date").alias("occurred_at"))
 
 
+def checked(events: DataFrame) -> DataFrame:
+    """The events; one that deletes without a reason is an error."""
+    return events.withColumn("operation", F.when((F.col("operation") == "delete") & F.col("reason").isNull(), F.raise_error(F.lit("a tombstone needs a reason"))).otherwise(F.col("operation")))
+
+
+def first_of_key(events: DataFrame) -> DataFrame:
+    """Of events with one dedupe key that of the first account and entity."""
+    rank = F.row_number().over(W.partitionBy("dedupe_key").orderBy("account", "entity_key"))
+    return events.withColumn("__nth", rank).where("__nth = 1").drop("__nth")
+
+
 def append(feed: DataFrame, events: DataFrame) -> DataFrame:
     """The feed and those events whose key is new, numbered on from its last sequence in the order of occurred_at (if there is one), account and keys; events without a key are always new. A tombstone (operation delete) without a reason is an error."""
     if "occurred_at" not in events.columns:
         events = events.withColumn("occurred_at", F.lit(None).cast("long"))
-    checked = events.withColumn("operation", F.when((F.col("operation") == "delete") & F.col("reason").isNull(), F.raise_error(F.lit("a tombstone needs a reason"))).otherwise(F.col("operation")))
-    keyed = checked.where("dedupe_key IS NOT NULL").join(feed.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
-    rank = F.row_number().over(W.partitionBy("dedupe_key").orderBy("account", "entity_key"))
-    fresh = keyed.withColumn("__nth", rank).where("__nth = 1").drop("__nth").unionByName(checked.where("dedupe_key IS NULL"))
+    rows = checked(events)
+    keyed = rows.where("dedupe_key IS NOT NULL").join(feed.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
+    fresh = first_of_key(keyed).unionByName(rows.where("dedupe_key IS NULL"))
     last = feed.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("last"))
     return feed.unionByName(_numbered(fresh, ["occurred_at", "account", "entity_type", "entity_key", "dedupe_key"]).join(F.broadcast(last)).withColumn("sequence", F.col("last") + F.col("nth")).select(*feed.columns))
 

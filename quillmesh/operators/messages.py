@@ -168,6 +168,15 @@ def matching_terms(messages: DataFrame, terms: list[str]) -> DataFrame:
     return with_phrases(messages, [t.strip() for t in terms if t.strip()], prefix=True)
 
 
+def with_terms(messages: DataFrame, terms: list[str]) -> DataFrame:
+    """The messages that hold any term; of a stream by their own texts."""
+    from .search import holds_phrase
+
+    if messages.isStreaming:
+        return holds_phrase(messages, [t.strip() for t in terms if t.strip()], prefix=True)
+    return messages.join(matching_terms(messages, terms), ["account", "gmail_message_id"], "left_semi")
+
+
 # --- trigger rules
 
 # What conditions may name.
@@ -217,7 +226,7 @@ def matching(messages: DataFrame, contacts: DataFrame, domains: DataFrame, condi
     rows = messages if batch is None else messages.join(batch, ["account", "gmail_message_id"], "left_semi")
     for kind, value in conditions:
         if kind == "subject_fts":
-            rows = rows.join(matching_terms(rows, value), ["account", "gmail_message_id"], "left_semi")
+            rows = with_terms(rows, value)
     address = F.lower("from_addr") if strict else S.extract_address(F.col("from_addr"))
     rows = rows.withColumn("__address", address).withColumn("__host", S.host_of(F.col("__address")))
     c = contacts.select("account", F.col("address").alias("__address"), "msgs_sent", "curation")

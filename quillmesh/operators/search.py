@@ -8,6 +8,7 @@ reads those of a query's terms. Texts and queries go through one tokeniser (`TOK
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 # Column weights, synonyms.
 WEIGHTS = {"subject": 10.0, "sender": 8.0, "recipients": 4.0, "body": 1.0}
@@ -241,13 +242,13 @@ class SearchIndex(Matcher):
         return rows.withColumn("stem", stem_among(starts)("stem")).where(kept)
 
 
-def message_docs(messages: DataFrame) -> DataFrame:
-    """A row for each message with what is searched: docid and a text for each weighted column."""
+def message_docs(messages: DataFrame, *also: str) -> DataFrame:
+    """A row for each message with what is searched: docid and a text for each weighted column, and what else is asked for."""
     from ..functions.scalars import message_ref, project_body, project_recipients
 
     return messages.select(
         message_ref(F.col("account"), F.col("gmail_message_id")).alias("docid"), "subject", F.col("from_addr").alias("sender"), project_recipients(F.col("to_addr"), F.col("cc_addr")).alias("recipients"),
-        project_body(F.col("snippet"), F.col("body_text"), F.col("summary_text")).alias("body"),
+        project_body(F.col("snippet"), F.col("body_text"), F.col("summary_text")).alias("body"), *also,
     )
 
 
@@ -263,6 +264,28 @@ def with_phrases(messages: DataFrame, phrases: list[str], index: Matcher | None
     return messages.select("account", "gmail_message_id", message_ref(F.col("account"), F.col("gmail_message_id")).alias("docid")).join(hits, "docid", "left_semi").drop("docid")
 
 
+def holds_phrase(messages: DataFrame, phrases: list[str], prefix: bool = False) -> DataFrame:
+    """The messages with any phrase, row by row and without an index: for streams, whose rows cannot meet postings of their own. The same words, stems and places as `with_phrases`."""
+    keys = [words for p in phrases if (words := [porter(fold(w)) for w in phrase_tokens(p)])]
+
+    @pandas_udf(BooleanType())
+    def holds(*columns: pd.Series) -> pd.Series:
+        known = functools.cache(lambda w: porter(fold(w)))
+
+        def at(stems: list[str], i: int, words: list[str]) -> bool:
+            end = i + len(words) - 1
+            return stems[i:end] == words[:-1] and (stems[end].startswith(words[-1]) if prefix else stems[end] == words[-1])
+
+        def found(text: str | None) -> bool:
+            stems = [known(w) for w in regex.findall(TOKEN, (text or "").lower())]
+            return any(at(stems, i, words) for words in keys for i in range(len(stems) - len(words) + 1))
+
+        return pd.Series([any(map(found, texts)) for texts in zip(*columns)], dtype=bool)
+
+    texts = message_docs(messages.select("*", F.struct(*messages.columns).alias("__row")), "__row").select("__row", holds("subject", "sender", "recipients", "body").alias("__holds"))
+    return texts.where("__holds").select("__row.*")
+
+
 def bm25_reference(docs: list[dict[str, str]], words: list[str], weights: dict[str, float]) -> dict[int, float]:
     """A plain version for tests: exact single tokens, no stemming."""
     split = [{c: phrase_tokens(d.get(c) or "") for c in weights} for d in docs]

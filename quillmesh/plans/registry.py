@@ -15,12 +15,14 @@ from ..functions import scalars as S
 from ..operators import feed as feed_ops
 from ..operators import graph, jobs, messages as M, rollups as R, runs, scoring, search
 from ..operators.stored_index import StoredIndex
-from ..session import shared_folder
+from ..session import Stage, shared_folder
 from ..sources.mailbox import MAILBOX_SQL, PEOPLE_SQL, mailbox, table
 from ..sources import ndjson
 from ..sources.provider import TableSource
 from ..streaming.ingest import session_counts, windowed_counts
+from ..streaming import kept_feed
 from ..streaming.kept import KeptRollups
+from ..streaming.kept_feed import KeptFeed
 from . import composites as C
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,6 +496,41 @@ def feed_append(spark, sf_dir):
     return feed_ops.append(empty, events.unionByName(events)).select("sequence", "account", "entity_key")
 
 
+@query(
+    "SELECT row_number() OVER (ORDER BY key % 10 >= 6, internal_date, account, gmail_message_id) AS sequence, account, gmail_message_id AS entity_key FROM mb"
+)
+def feed_kept(spark, sf_dir):
+    """The mailbox's changes as two batches leave them, the second one with all of the first again; read from the kept feed."""
+    m = mailbox(spark, sf_dir)
+    kept = KeptFeed(spark, shared_folder(spark, "feed"))
+    for rows in (m.where("key % 10 < 6"), m):
+        kept.append(feed_ops.message_changes(rows))
+    return kept.read().select("sequence", "account", "entity_key")
+
+
+@query(
+    "SELECT 'frequent' AS rule, m.account, gmail_message_id FROM mb m JOIN cur c ON c.account = m.account AND c.address = " + ADDR.format("m.from_addr") + " WHERE c.msgs_sent > 0 AND NOT m.is_list "
+    "UNION ALL SELECT 'starred', account, gmail_message_id FROM mb WHERE list_contains(labels, 'STARRED')",
+    FULL,
+)
+def rule_firings(spark, sf_dir):
+    """Rules over a stream of all messages, in which each of one part comes twice: a message fires a rule once."""
+    contacts, domains = _curated(spark, sf_dir)
+    folder = shared_folder(spark, "firings")
+    m = mailbox(spark, sf_dir)
+    for name, rows in (("all", m), ("again", m.where("key % 10 < 3"))):
+        rows.write.parquet(f"{folder}/in/{name}")
+    stream = spark.readStream.schema(m.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    rules = {"frequent": {"conditions": [("correspondent", True), ("is_list", False)]}, "starred": {"conditions": [("label", "STARRED")]}}
+    stage = Stage(spark, "curated")
+    curated = stage.put("contacts", contacts), stage.put("domains", domains)
+    kept = KeptFeed(spark, f"{folder}/feed")
+    kept.follow(kept_feed.firing_events(kept_feed.firings(stream, rules, *curated)), f"{folder}/checkpoint").awaitTermination()
+    stage.drop("contacts", "domains")
+    fired = F.from_json("payload", "rule string, account string, gmail_message_id string")
+    return kept.read().select(fired.alias("f")).select("f.*")
+
+
 CUTOFF_MS = 852_076_800_000  # 1997-01-01
 
 
