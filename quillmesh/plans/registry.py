@@ -17,9 +17,9 @@ from ..operators import graph, jobs, messages as M, rollups as R, runs, scoring,
 from ..operators.stored_index import StoredIndex
 from ..session import Stage, shared_folder
 from ..sources.mailbox import MAILBOX_SQL, PEOPLE_SQL, mailbox, table
-from ..sources import ndjson
+from ..sources import datasource, ndjson
 from ..sources.provider import TableSource
-from ..streaming.ingest import session_counts, windowed_counts
+from ..streaming.ingest import VersionedTable, session_counts, windowed_counts
 from ..streaming import kept_feed
 from ..streaming.kept import KeptRollups
 from ..streaming.kept_feed import KeptFeed
@@ -702,6 +702,17 @@ def source_listing(spark, sf_dir):
     return TableSource(mailbox(spark, sf_dir), "me", NOW_MS).list_ids("in:inbox", "1997-01-01", "1998-01-01", 500, include_sent=False)
 
 
+@query(f"SELECT account, gmail_message_id, internal_date, body_state FROM mb WHERE internal_date >= {CUTOFF_MS} AND internal_date < {SINCE_MS} AND direction = 'received'")
+def source_scan(spark, sf_dir):
+    """The mailbox stored by month and read through the registered source: of the files only a year's are read."""
+    archive = VersionedTable(spark, shared_folder(spark, "archive"))
+    archive.write(mailbox(spark, sf_dir))
+    datasource.register(spark)
+    columns = "account,gmail_message_id,internal_date,body_state,direction"
+    rows = spark.read.format(datasource.FORMAT).option("path", archive.path).option("columns", columns).load()
+    return rows.where((F.col("internal_date") >= CUTOFF_MS) & (F.col("internal_date") < SINCE_MS) & (F.col("direction") == "received")).drop("direction")
+
+
 @query("SELECT page_id, len(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<img[^>]*>'), lambda t: regexp_matches(t, '(?i)src\\s*=\\s*.?[^\\s>\"'']'))) AS images FROM pages", "")
 def image_counts(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
