@@ -14,6 +14,7 @@ from ..functions import images as I
 from ..functions import scalars as S
 from ..operators import feed as feed_ops
 from ..operators import graph, jobs, messages as M, rollups as R, runs, scoring, search
+from ..operators.overlays import Overlays
 from ..operators.stored_index import StoredIndex
 from ..session import Stage, shared_folder
 from ..sources.mailbox import MAILBOX_SQL, PEOPLE_SQL, mailbox, table
@@ -579,6 +580,24 @@ def edit_labels(spark, sf_dir):
 # --- selectors, sweeps and sources
 
 
+@query(
+    "SELECT account, gmail_message_id, array_to_string(list_sort(labels), ',') AS labels, starred, unread, summary FROM (SELECT account, gmail_message_id, CASE WHEN key % 4 = 2 THEN list_filter(labels, lambda x: x <> 'STARRED') WHEN key % 4 IN (1, 3) THEN list_distinct(list_append(labels, 'STARRED')) ELSE labels END AS labels, "
+    "CASE WHEN key % 4 = 2 THEN 0 WHEN key % 4 IN (1, 3) THEN 1 ELSE starred END AS starred, unread, CASE WHEN key % 6 = 0 THEN 'second' WHEN key % 3 = 0 THEN 'first' END AS summary FROM mb)"
+)
+def stored_marks(spark, sf_dir):
+    """Label edits and summaries of the whole mailbox in four transactions, the later ones taking some of the earlier back; the log is folded between."""
+    m = mailbox(spark, sf_dir)
+    store = Overlays(spark, shared_folder(spark, "marks"))
+    mark = lambda rows, kind, item, value: rows.select(F.lit(kind).alias("kind"), "account", F.col("gmail_message_id").alias("key"), F.lit(item).alias("item"), F.lit(value).alias("value"))
+    store.put_rows(mark(m.where("key % 4 > 0"), "label", "STARRED", "add").unionByName(mark(m.where("key % 3 = 0"), "summary", "text", "first")))
+    store.put_rows(mark(m.where("key % 2 = 0"), "label", "STARRED", "remove"))
+    store.fold()
+    store.put_rows(mark(m.where("key % 6 = 0"), "summary", "text", "second"))
+    store.put_rows(mark(m.where("key % 4 = 0"), "label", "STARRED", None))
+    rows = store.on_messages(m.withColumn("summary_text", F.lit(None).cast("string")))
+    return rows.select("account", "gmail_message_id", F.array_join(F.array_sort("labels"), ",").alias("labels"), "starred", "unread", F.col("summary_text").alias("summary"))
+
+
 @query(f"SELECT account, gmail_message_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY internal_date DESC, gmail_message_id) AS rank FROM mb WHERE body_state = 'meta' AND internal_date >= {SINCE_MS}) WHERE rank <= 100")
 def enrich_all(spark, sf_dir):
     """rule=all with since and limit."""

@@ -1,14 +1,15 @@
 """The public query API: 35 tools over an archive, as a registry name -> callable(archive, **args).
 
-An `Archive` holds DataFrames: messages and the user's own overlay tables (curations, categories,
-keywords, summaries, settings, rules, consumers). Derived tables are functions of these and are built when a
-tool asks for them. Tools that list return DataFrames, tools that look one thing up or
+An `Archive` holds DataFrames: messages and the user's own marks (label edits, curations, categories,
+keywords, summaries, settings, rules, consumers), which are stored (`operators.overlays`) and merged on read. Derived tables are
+functions of these and are built when a tool asks for them. Tools that list return DataFrames, tools that look one thing up or
 change an overlay return dictionaries. Nothing here reaches a network: tools that would fetch from a
 provider read `archive.source` (message payloads at hand) or report that there is none.
 """
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 import hashlib
 import hmac
@@ -24,12 +25,13 @@ from ..functions import distill as D
 from ..functions import images as I
 from ..functions import scalars as S
 from ..operators import graph, jobs as J, messages as M, rollups as R, runs, scoring, search
+from ..operators.overlays import SYNC, Marks, Overlays
+from ..session import shared_folder
 from ..sources import payload
 from . import composites as C
 
 STALE_SECONDS = 3 * 3600
 SYNC_ETA_SECONDS = 90
-MAX_BROADCAST = 100_000
 
 
 @dataclass
@@ -38,14 +40,7 @@ class Archive:
     messages: DataFrame
     own: dict[str, list[str]]
     now_ms: int
-    contact_curation: dict[tuple[str, str], str] = field(default_factory=dict)
-    domain_curation: dict[tuple[str, str], str] = field(default_factory=dict)
-    categories: dict[tuple[str, str], str] = field(default_factory=dict)
-    keywords: dict[str, list[str]] = field(default_factory=dict)
-    thread_summaries: dict[tuple[str, str], str] = field(default_factory=dict)
-    settings: dict[str, dict] = field(default_factory=dict)
-    rules: dict[str, dict] = field(default_factory=dict)
-    consumers: dict[str, dict] = field(default_factory=dict)
+    overlays: Overlays | None = None  # the user's marks; without a store the archive gets one of its own
     label_names: dict[str, str] = field(default_factory=dict)
     runs: DataFrame | None = None
     jobs: DataFrame | None = None  # jobs.SCHEMA; where there is such a table, reads of a stale account ask for a sync
@@ -54,25 +49,36 @@ class Archive:
     source: DataFrame | None = None  # parsed payloads
     index: search.Matcher | None = None  # a stored index of the messages; without one searches read the texts
 
-    def _overlay(self, values: dict, key: str, column: str) -> DataFrame:
-        """The user's own marks as a table; it is broadcast up to MAX_BROADCAST of them."""
-        rows = self.spark.createDataFrame([(a, k, v) for (a, k), v in values.items()], f"account string, {key} string, {column} string")
-        return F.broadcast(rows) if len(values) <= MAX_BROADCAST else rows
+    def __post_init__(self) -> None:
+        self.base = self.messages  # as the last sync left them
+        self.overlays = self.overlays or Overlays(self.spark, shared_folder(self.spark, "overlays"))
+        marks = lambda kind, single=False: Marks(self.overlays, kind, single)
+        self.contact_curation, self.domain_curation, self.categories, self.thread_summaries = map(marks, ("contact_curation", "domain_curation", "category", "thread_summary"))
+        self.keywords, self.settings, self.rules, self.consumers = (marks(kind, True) for kind in ("keywords", "settings", "rule", "consumer"))
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Messages with the label edits and summaries of now."""
+        self.messages = self.overlays.on_messages(self.base)
+
+    def put(self, marks: list[tuple[str, str, str, str, str | None]]) -> None:
+        self.overlays.put(marks)
+        self.refresh()
 
     def contacts(self) -> DataFrame:
         scored = scoring.score_contacts(R.contacts_rollup(self.messages, with_bulk=True), None, self.now_ms)
         if self.metrics is not None:
             scored = scored.join(self.metrics, ["account", "address"], "left")
-        return scored.join(self._overlay(self.contact_curation, "address", "curation"), ["account", "address"], "left")
+        return scored.join(self.overlays.of("contact_curation", "address", "curation"), ["account", "address"], "left")
 
     def domains(self) -> DataFrame:
         rows = R.domains_rollup(R.contacts_rollup(self.messages))
-        for values, name in ((self.domain_curation, "curation"), (self.categories, "category")):
-            rows = rows.join(self._overlay(values, "domain", name), ["account", "domain"], "left")
+        for kind, name in (("domain_curation", "curation"), ("category", "category")):
+            rows = rows.join(self.overlays.of(kind, "domain", name), ["account", "domain"], "left")
         return rows
 
     def threads(self) -> DataFrame:
-        return R.threads_rollup(self.messages).join(self._overlay(self.thread_summaries, "thread_id", "summary"), ["account", "thread_id"], "left")
+        return R.threads_rollup(self.messages).join(self.overlays.of("thread_summary", "thread_id", "summary"), ["account", "thread_id"], "left")
 
     def members(self) -> DataFrame:
         return graph.members(R.threads_rollup(self.messages), self.messages, R.contacts_rollup(self.messages))
@@ -82,7 +88,9 @@ def build_graph(archive: Archive) -> Archive:
     """The archive with the graph's metrics on its contacts, as of now."""
     people = archive.members()
     found = graph.edges(people)
-    return replace(archive, metrics=graph.pagerank(people, found).join(graph.louvain(people, found).select("account", "address", "community_id"), ["account", "address"], "full_outer"))
+    out = copy.copy(archive)
+    out.metrics = graph.pagerank(people, found).join(graph.louvain(people, found).select("account", "address", "community_id"), ["account", "address"], "full_outer")
+    return out
 
 
 Tool = Callable[..., Any]
@@ -184,7 +192,9 @@ def refresh_inbox(archive: Archive, account: str, live_ids: list[str], limit: in
     live = archive.spark.createDataFrame([(account, i) for i in live_ids], "account string, gmail_message_id string")
     changes = M.reconcile(_of(archive.messages, account), live)
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
-    archive.messages = M.apply_reconcile(archive.messages, changes)
+    moved = F.when(F.col("change") == "restored", "add").otherwise("remove")
+    archive.overlays.put_rows(changes.where("change <> 'added'").select(F.lit("label").alias("kind"), "account", F.col("gmail_message_id").alias("key"), F.lit("INBOX").alias("item"), moved.alias("value")))
+    archive.refresh()
     return counts | {"inbox": list_labeled(archive, "INBOX", account, limit)}
 
 
@@ -221,8 +231,8 @@ def get_message_attachment(archive: Archive, ref: str, attachment: str) -> dict:
 def modify_labels(archive: Archive, ref: str, add: list[str] | None = None, remove: list[str] | None = None) -> dict:
     account, _, key = ref.partition(":")
     _one(_message(archive, ref), ref)
-    edit = archive.spark.createDataFrame([(account, key, add or [], remove or [])], "account string, gmail_message_id string, add array<string>, remove array<string>")
-    archive.messages = M.edit_labels(archive.messages, F.broadcast(edit))
+    words = {**dict.fromkeys(remove or [], "remove"), **dict.fromkeys(add or [], "add")}
+    archive.put([("label", account, key, label, word) for label, word in words.items()])
     return _one(_message(archive, ref), ref)
 
 
@@ -359,22 +369,22 @@ def interest_propose(archive: Archive, account: str | None = None, limit: int =
 
 @tool
 def interest_set(archive: Archive, account: str, contacts: dict[str, str | None] | None = None, domains: dict[str, str | None] | None = None, keywords: list[str] | None = None) -> dict:
-    """All or nothing: values are checked before any is stored."""
+    """All or nothing: values are checked before any is stored, and stored as one transaction."""
     chosen = {**(contacts or {}), **(domains or {})}
     if bad := [v for v in chosen.values() if v not in (None, "important", "muted", "blocked")]:
         raise ValueError(f"not a curation: {bad[0]}")
     known = {r["address"] for r in R.contacts_rollup(_of(archive.messages, account)).where(F.col("address").isin([a.lower() for a in contacts or {}])).select("address").collect()} if contacts else set()
-    for values, stored in (({k.lower(): v for k, v in (contacts or {}).items() if k.lower() in known}, archive.contact_curation), (domains or {}, archive.domain_curation)):
-        for key, value in values.items():
-            stored.pop((account, key), None) if value is None else stored.__setitem__((account, key), value)
+    marks = [archive.contact_curation.mark((account, k.lower()), v) for k, v in (contacts or {}).items() if k.lower() in known]
+    marks += [archive.domain_curation.mark((account, k), v) for k, v in (domains or {}).items()]
     if keywords is not None:
-        archive.keywords[account] = S.parse_keywords(",".join(keywords))
+        marks.append(archive.keywords.mark(account, S.parse_keywords(",".join(keywords))))
+    archive.overlays.put(marks)
     return interest_get(archive, account)
 
 
 @tool
 def interest_get(archive: Archive, account: str) -> dict:
-    pick = lambda stored: dict(sorted((k, v) for (a, k), v in stored.items() if a == account))
+    pick = lambda stored: {k: v for (_, k), v in stored.items(account)}
     return {"contacts": pick(archive.contact_curation), "domains": pick(archive.domain_curation), "keywords": archive.keywords.get(account, [])}
 
 
@@ -387,8 +397,8 @@ def save_summary(archive: Archive, text: str, ref: str | None = None, account: s
         raise ValueError("an empty summary")
     if ref:
         row = _one(_message(archive, ref), ref)
-        hit = (F.col("account") == row["account"]) & (F.col("gmail_message_id") == row["gmail_message_id"])
-        archive.messages = archive.messages.withColumn("summary_text", F.when(hit, F.lit(text.strip())).otherwise(F.col("summary_text")))
+        at = (row["account"], row["gmail_message_id"])
+        archive.put([("summary", *at, "text", text.strip()), ("summary", *at, "at", str(archive.now_ms))])
         return {"ref": ref}
     _one(R.threads_rollup(_of(archive.messages, account)).where(F.col("thread_id") == thread_id), str(thread_id))
     archive.thread_summaries[(account, thread_id)] = text.strip()
@@ -514,4 +524,6 @@ def fired(archive: Archive, batch: DataFrame) -> dict[str, DataFrame]:
 
 
 def with_messages(archive: Archive, messages: DataFrame) -> Archive:
+    """The archive after a sync: its labels are the provider's, so earlier label edits count no more; other marks do."""
+    archive.overlays.put([(SYNC, "", "", "", "done")])
     return replace(archive, messages=messages)
