@@ -65,7 +65,8 @@ class VersionedTable:
         kept = {} if months is None else {m: v for m, v in self.manifest().items() if m not in months}
         if f"v={version}" in [p.getName() for _, p in self._listed("manifest")]:
             raise ValueError(f"version {version} of {self.path} has another writer")
-        df.withColumn(PART, self.part(df)).write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/data/{version}")
+        rows = df.withColumn(PART, self.part(df)).hint("rebalance", PART)  # a part's rows meet, so it is few files; a hot one is split
+        rows.write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/data/{version}")
         written = [p.getName().removeprefix(PART + "=") for _, p in self._listed(f"data/{version}") if p.getName().startswith(PART + "=")]
         rows = [*kept.items(), *((m, version) for m in written)]
         self.spark.createDataFrame(rows, "month string, version int").coalesce(1).write.json(f"{self.path}/manifest/v={version}")
