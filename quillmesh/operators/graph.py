@@ -2,17 +2,14 @@
 
 Edges are counted by a self-join of thread participants, after pairs are reduced to one row per
 thread and participant; a thread of many participants is cut into tiles, so that its pairs are many
-tasks' work. PageRank runs per account, or as joins and aggregations with
-checkpoint() where an account is too large for a task. Communities grow by merges that raise modularity,
-as joins and aggregations over all accounts at once.
+tasks' work. PageRank and communities (which grow by merges that raise modularity) are joins and aggregations
+over all accounts at once, each round's tables written to the shared folder.
 """
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,15 +17,6 @@ from pyspark.sql import Window as W
 from ..session import Stage
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quillmesh-"))
-    return df.checkpoint()
-
-
 def members(threads: DataFrame, messages: DataFrame, contacts: DataFrame) -> DataFrame:
     """(account, thread_id, address): participants of threads without a list message that are contacts."""
     lists = messages.where(F.col("is_list")).select("account", "thread_id").distinct()
@@ -76,73 +64,48 @@ def neighbours_of(people: DataFrame, address: str, limit: int = 15) -> DataFrame
     return near.withColumn("rank", rank).where(F.col("rank") <= limit).select("account", F.lit(address).alias("address"), "neighbour", "shared_threads", "rank")
 
 
-MAX_LOCAL_EDGES = 2_000_000
-#: Both forms look whether an account has settled after every so many steps, so that they stop it at the same one.
-SETTLED_EVERY = 5
+#: Whether an account has settled is looked at after every so many steps; the ranks are written then.
+SETTLED_EVERY = 10
 
 
-def pagerank(people: DataFrame, found: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, iterations: int = 100, max_local_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
+def pagerank(people: DataFrame, found: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, iterations: int = 100) -> DataFrame:
     """(account, address, centrality): weighted PageRank per account, from equal ranks, until it moves by no more than its nodes times the tolerance.
 
-    Accounts are independent, so each is iterated in one task while the largest has at most
-    max_local_edges edges (counted first); beyond that the iteration is distributed.
+    All accounts are iterated at once, whatever their sizes. Edges lead both ways, so a node that leads nowhere is reached from nowhere: all such
+    nodes of an account have one rank (`lone`), which follows from itself, and what they spread needs no aggregation. Every node links to itself with
+    share 0, which keeps it and carries its last rank along. So a step is a join with the links and an aggregation, one shuffle of partial
+    sums. Accounts that have settled keep their ranks and leave.
     """
-    largest = found.groupBy("account").count().agg(F.max("count")).first()[0] or 0
-    run = _local_pagerank if largest <= max_local_edges else _distributed_pagerank
-    return run(people, found, damping, tolerance, iterations)
-
-
-def _local_pagerank(people: DataFrame, found: DataFrame, damping: float, tolerance: float, iterations: int) -> DataFrame:
-    nodes = people.select("account", F.col("address").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).distinct()
-    rows = nodes.unionByName(found.select("account", "src", "dst", F.col("weight").cast("double").alias("weight")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(pdf[pdf.dst.isna()].src.to_numpy(dtype=object))
-        links = pdf[pdf.dst.notna()]
-        a, b, w = np.searchsorted(names, links.src), np.searchsorted(names, links.dst), links.weight.to_numpy()
-        src, dst, weight, n = np.concatenate([a, b]).astype(int), np.concatenate([b, a]).astype(int), np.concatenate([w, w]), len(names)
-        total = np.bincount(src, weight, n)
-        share, dangling = weight / total[src], total == 0
-        ranks = np.full(n, 1.0 / n)
-        for step in range(1, iterations + 1):
-            new = (1 - damping) / n + damping * (np.bincount(dst, ranks[src] * share, n) + ranks[dangling].sum() / n)
-            moved, ranks = np.abs(new - ranks).sum(), new
-            if step % SETTLED_EVERY == 0 and moved <= n * tolerance:
-                break
-        return pd.DataFrame({"account": pdf.account.iloc[0], "address": names, "centrality": ranks})
-
-    return rows.groupBy("account").applyInPandas(run, "account string, address string, centrality double")
-
-
-def _distributed_pagerank(people: DataFrame, found: DataFrame, damping: float, tolerance: float, iterations: int) -> DataFrame:
-    """Accounts that have settled keep their ranks and leave the iteration."""
-    nodes = people.select("account", "address").distinct()
-    sizes = nodes.groupBy("account").agg(F.count("*").alias("n"))
-    links = both_ways(found)
-    out = links.groupBy("account", "src").agg(F.sum("weight").alias("total"))
-    links = _checkpointed(links.join(out, ["account", "src"]).select("account", F.col("src").alias("address"), "dst", (F.col("weight") / F.col("total")).alias("share")))
-    base = _checkpointed(nodes.join(sizes, "account").join(out.withColumnRenamed("src", "address"), ["account", "address"], "left").select("account", "address", "n", F.col("total").isNull().alias("dangling")))
-    ranks, settled = base.withColumn("r", F.lit(1.0) / F.col("n")), []
+    stage, key = Stage(people.sparkSession, "pagerank"), ["account", "address"]
+    nodes = stage.put("nodes", people.select(*key).distinct())
+    edges_of = stage.put("links", both_ways(found.select("account", "src", "dst", "weight")).withColumnRenamed("src", "address"))
+    totals = edges_of.groupBy(*key).agg(F.sum("weight").alias("total"))
+    shares = edges_of.join(totals, key).select(*key, "dst", (F.col("weight") / F.col("total")).alias("share"))
+    links = stage.put("shares", shares.unionByName(nodes.select(*key, F.col("address").alias("dst"), F.lit(0.0).alias("share"))))
+    sizes = nodes.join(totals, key, "left").groupBy("account").agg(F.count("*").alias("n"), F.count_if(F.col("total").isNull()).alias("n_lone"))
+    equal = F.lit(1.0) / F.col("n")
+    ranks = stage.put("ranks", nodes.join(sizes, "account").select(*key, "n", "n_lone", equal.alias("rank"), equal.alias("lone"), equal.alias("before")))
+    stage.drop("nodes", "links")
+    settled: list[DataFrame] = []
     for step in range(1, iterations + 1):
-        before = ranks
-        flow = before.join(links, ["account", "address"]).groupBy("account", F.col("dst").alias("address")).agg(F.sum(F.col("r") * F.col("share")).alias("flow"))
-        lost = before.where("dangling").groupBy("account").agg(F.sum("r").alias("lost"))
-        new = (1 - damping) / F.col("n") + damping * (F.coalesce("flow", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))
-        old = before.withColumnRenamed("r", "old")
-        ranks = old.join(flow, ["account", "address"], "left").join(lost, "account", "left").select("account", "address", "n", "dangling", "old", new.alias("r"))
+        own = F.when(F.col("address") == F.col("dst"), F.col("rank"))
+        flows = ranks.join(links, key).groupBy("account", F.col("dst").alias("address")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"), F.max(own).alias("before"), *[F.max(c).alias(c) for c in ("n", "n_lone", "lone")])
+        jump = (1 - damping) / F.col("n") + damping * F.col("lone") * F.col("n_lone") / F.col("n")
+        ranks = flows.select(*key, "n", "n_lone", (jump + damping * F.col("flow")).alias("rank"), jump.alias("lone"), "before")
         if step % SETTLED_EVERY == 0 and step < iterations:
-            ranks = _checkpointed(ranks)
-            still = ranks.groupBy("account").agg((F.sum(F.abs(F.col("r") - F.col("old"))) > F.first("n") * tolerance).alias("moves"))
-            ranks = _checkpointed(ranks.join(still, "account").drop("old"))
-            settled.append(ranks.where("NOT moves").select("account", "address", "r"))
-            ranks = ranks.where("moves").drop("moves")
-            if ranks.isEmpty():
+            ranks = stage.put("ranks", ranks)
+            moved = F.sum(F.abs(F.col("rank") - F.col("before")))
+            moves = ranks.groupBy("account").agg((moved > F.first("n") * tolerance).alias("moves"))
+            counts = {r["moves"]: r["count"] for r in moves.groupBy("moves").count().collect()}
+            if counts.get(False):
+                settled.append(stage.put(f"settled-{step}", ranks.join(moves.where("NOT moves"), "account").select(*key, "rank")))
+                ranks = stage.put("ranks", ranks.join(moves.where("moves"), "account").drop("moves"))
+            if not counts.get(True):
                 break
-        else:
-            ranks = ranks.drop("old")
-    for rows in settled:
-        ranks = ranks.select("account", "address", "r").unionByName(rows)
-    return ranks.select("account", "address", F.col("r").alias("centrality"))
+    out = reduce(DataFrame.unionByName, settled, ranks.select(*key, "rank")).withColumnRenamed("rank", "centrality")
+    out = stage.put("centrality", out)
+    stage.drop(*[name for name in stage.paths if name != "centrality"])
+    return out
 
 
 def communities(people: DataFrame, found: DataFrame, rounds: int = 100) -> DataFrame:
