@@ -18,7 +18,8 @@ from ..operators.overlays import Overlays
 from ..operators.stored_index import StoredIndex
 from ..session import Stage, shared_folder
 from ..sources.mailbox import MAILBOX_SQL, PEOPLE_SQL, mailbox, table
-from ..sources import datasource, ndjson
+from ..sources import datasource, ndjson, payload
+from ..sources.attachment_store import AttachmentStore
 from ..sources.provider import TableSource
 from ..streaming.ingest import VersionedTable, session_counts, windowed_counts
 from ..streaming import kept_feed
@@ -580,6 +581,25 @@ def edit_labels(spark, sf_dir):
 # --- selectors, sweeps and sources
 
 
+ATTACHED_SQL = """a AS (SELECT page_id, 'inline%3A0-page.html' AS name, html AS t FROM pages UNION ALL SELECT page_id, 'inline%3A1-site.txt', regexp_extract(url, '^[a-z]+://[^/]+', 0) FROM pages),
+b AS (SELECT 'crm/pages/' || page_id || '/' || name AS storage_key, sha256(t) AS digest, strlen(t) AS n, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM a WHERE page_id IS NOT NULL AND t <> '' AND strlen(t) <= 26214400),
+o AS (SELECT digest, min(batch) AS object_batch FROM b GROUP BY digest), e AS (SELECT storage_key, max(digest) AS digest, arg_max(n, digest) AS n FROM b GROUP BY storage_key)"""
+
+
+@query("SELECT storage_key, CAST(n AS BIGINT) AS size_bytes, digest AS read_sha256, object_batch FROM e JOIN o USING (digest)", ATTACHED_SQL)
+def attachment_store(spark, sf_dir):
+    """Every page as a message with two attachments, its html and its site (a content that many pages share), stored in two batches of which the first comes twice, and read back."""
+    data = lambda text: F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("="))
+    part = lambda name, kind, text: F.struct(F.lit(name).alias("filename"), F.lit(kind).alias("mimeType"), F.struct(F.octet_length(text).alias("size"), data(text).alias("data")).alias("body"))
+    parts = F.array(part("page.html", "text/html", F.col("html")), part("site.txt", "text/plain", F.regexp_extract("url", "^[a-z]+://[^/]+", 0)))
+    message = F.struct(F.col("page_id").cast("string").alias("id"), F.array(F.lit("INBOX")).alias("labelIds"), F.struct(F.lit("multipart/mixed").alias("mimeType"), parts.alias("parts")).alias("payload"))
+    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL")
+    store = AttachmentStore(spark, shared_folder(spark, "attachments"))
+    for batch, half in (("even", "page_id % 2 = 0"), ("odd", "page_id % 2 <> 0"), ("even", "page_id % 2 = 0")):
+        store.put(payload.storable(payload.parse(pages.where(half).select(F.to_json(message).alias("value"))), "pages"), "pages", batch)
+    return store.read().select("storage_key", "size_bytes", F.sha2("content", 256).alias("read_sha256"), "object_batch")
+
+
 @query(
     "SELECT account, gmail_message_id, array_to_string(list_sort(labels), ',') AS labels, starred, unread, summary FROM (SELECT account, gmail_message_id, CASE WHEN key % 4 = 2 THEN list_filter(labels, lambda x: x <> 'STARRED') WHEN key % 4 IN (1, 3) THEN list_distinct(list_append(labels, 'STARRED')) ELSE labels END AS labels, "
     "CASE WHEN key % 4 = 2 THEN 0 WHEN key % 4 IN (1, 3) THEN 1 ELSE starred END AS starred, unread, CASE WHEN key % 6 = 0 THEN 'second' WHEN key % 3 = 0 THEN 'first' END AS summary FROM mb)"

@@ -43,10 +43,10 @@ def metadata(parsed: DataFrame, account: str, own: list[str]) -> DataFrame:
 
 
 def binary(data: Column) -> Column:
-    """The bytes of base64url data; null if there is none."""
-    standard = F.translate(F.rtrim(data, F.lit("=")), "-_", "+/")
-    padded = F.concat(standard, F.repeat(F.lit("="), F.pmod(-F.length(standard), F.lit(4))))
-    return F.when(data != "", F.unbase64(padded))
+    """The bytes of base64url data, null if there is none. Padding and blanks (line breaks of a sender that folds its lines) do not count; a last character that is no whole byte is dropped."""
+    clean = F.translate(data, "-_= \t\r\n", "+/")
+    whole = F.substring(clean, F.lit(1), F.length(clean) - F.when(F.length(clean) % 4 == 1, 1).otherwise(0))
+    return F.when(data != "", F.unbase64(F.concat(whole, F.repeat(F.lit("="), F.pmod(-F.length(whole), F.lit(4))))))
 
 
 def decoded(data: Column) -> Column:
@@ -121,7 +121,7 @@ def storable(parsed: DataFrame, account: str, fetched: DataFrame | None = None)
         rows = rows.withColumn("data", F.lit(None).cast("string"))
     else:
         rows = rows.join(fetched.select("id", "attachment_id", "data"), ["id", "attachment_id"], "left")
-    rows = rows.withColumn("content", F.when(F.col("inline"), binary(F.col("inline_data"))).otherwise(F.unbase64("data")))
+    rows = rows.withColumn("content", F.when(F.col("inline"), binary(F.col("inline_data"))).otherwise(binary(F.col("data"))))
     status = F.when(refused, "rejected_by_policy").when(F.col("content").isNull(), "unavailable").otherwise("stored")
     name = S.safe_filename(F.col("filename"))
     place = F.concat(F.lit("crm/"), F.url_encode(F.lit(account)), F.lit("/"), F.url_encode("id"), F.lit("/"), F.url_encode("attachment_id"), F.lit("-"), name)

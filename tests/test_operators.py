@@ -356,6 +356,12 @@ def test_payloads(spark):
     assert [r["status"] for r in payload.storable(parsed, "acc").collect()] == []  # a list's mail
 
 
+def test_bytes_of_folded_and_broken_base64(spark):
+    rows = [("aMOpbGxv", "héllo".encode()), ("aM\r\nOp bGxv", "héllo".encode()), ("_-8=", b"\xff\xef"), ("_-8", b"\xff\xef"), ("aGkAA", b"hi\0"), ("a", b""), ("", None), (None, None)]
+    got = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(rows)], "i int, d string").select("i", payload.binary(F.col("d")).alias("b")).collect()
+    assert {r["i"]: None if r["b"] is None else bytes(r["b"]) for r in got} == {i: b for i, (_, b) in enumerate(rows)}
+
+
 def test_payload_trees_of_any_depth(spark):
     leaf = {"mimeType": "text/plain", "body": {"data": "aMOpbGxv"}}
     files = [{"mimeType": "application/x-dosexec", "filename": "a.exe", "body": {"attachmentId": "e", "size": 3}}, {"mimeType": " ", "filename": "Füße (1).txt", "body": {"data": "aGk"}}, {"mimeType": "text/plain", "filename": "f", "body": {"attachmentId": "big", "size": 26 * 1024 * 1024}}, {"filename": "none", "body": {}}, {"mimeType": "text/plain", "filename": "apart", "body": {"attachmentId": "p", "size": 2}}]
