@@ -589,7 +589,7 @@ o AS (SELECT digest, min(batch) AS object_batch FROM b GROUP BY digest), e AS (S
 @query("SELECT storage_key, CAST(n AS BIGINT) AS size_bytes, digest AS read_sha256, object_batch FROM e JOIN o USING (digest)", ATTACHED_SQL)
 def attachment_store(spark, sf_dir):
     """Every page as a message with two attachments, its html and its site (a content that many pages share), stored in two batches of which the first comes twice, and read back."""
-    data = lambda text: F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("="))
+    data = lambda text: F.replace(F.replace(F.base64(F.encode(text, "UTF-8")), F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
     part = lambda name, kind, text: F.struct(F.lit(name).alias("filename"), F.lit(kind).alias("mimeType"), F.struct(F.octet_length(text).alias("size"), data(text).alias("data")).alias("body"))
     parts = F.array(part("page.html", "text/html", F.col("html")), part("site.txt", "text/plain", F.regexp_extract("url", "^[a-z]+://[^/]+", 0)))
     message = F.struct(F.col("page_id").cast("string").alias("id"), F.array(F.lit("INBOX")).alias("labelIds"), F.struct(F.lit("multipart/mixed").alias("mimeType"), parts.alias("parts")).alias("payload"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,9 +45,9 @@ def metadata(parsed: DataFrame, account: str, own: list[str]) -> DataFrame:
 
 def binary(data: Column) -> Column:
     """The bytes of base64url data, null if there is none. Padding and blanks (line breaks of a sender that folds its lines) do not count; a last character that is no whole byte is dropped."""
-    clean = F.translate(data, "-_= \t\r\n", "+/")
-    whole = F.substring(clean, F.lit(1), F.length(clean) - F.when(F.length(clean) % 4 == 1, 1).otherwise(0))
-    return F.when(data != "", F.unbase64(F.concat(whole, F.repeat(F.lit("="), F.pmod(-F.length(whole), F.lit(4))))))
+    clean = reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), [("-", "+"), ("_", "/"), *((blank, "") for blank in "= \t\r\n")], data)
+    bytes_of = lambda text: F.unbase64(F.substring(text, F.lit(1), F.length(text) - F.when(F.length(text) % 4 == 1, 1).otherwise(0)))
+    return F.when(data != "", F.get(F.transform(F.array(clean), bytes_of), 0))  # the lambda's variable stands for the clean text, which is made once
 
 
 def decoded(data: Column) -> Column:
@@ -107,26 +108,27 @@ def attachments(parsed: DataFrame) -> DataFrame:
 
 
 def personal(parsed: DataFrame) -> DataFrame:
-    """(id) of the payloads whose attachments are stored: neither spam nor trash, nor with a header of lists or of automatic replies."""
+    """The payloads whose attachments are stored: neither spam nor trash, nor with a header of lists or of automatic replies."""
     labels = F.transform(F.coalesce("labelIds", F.array().cast("array<string>")), F.upper)
     names = F.transform(F.coalesce("payload.headers", F.array().cast(HEADER)), lambda h: F.lower(h["name"]))
-    return parsed.where(~F.arrays_overlap(labels, F.array(F.lit("SPAM"), F.lit("TRASH"))) & ~F.coalesce(F.arrays_overlap(names, F.array(*map(F.lit, NOT_PERSONAL))), F.lit(False))).select("id")
+    return parsed.where(~F.arrays_overlap(labels, F.array(F.lit("SPAM"), F.lit("TRASH"))) & ~F.coalesce(F.arrays_overlap(names, F.array(*map(F.lit, NOT_PERSONAL))), F.lit(False)))
 
 
 def storable(parsed: DataFrame, account: str, fetched: DataFrame | None = None) -> DataFrame:
     """Each attachment's import: status stored, rejected_by_policy (size or type) or unavailable (no bytes at hand), and where it is stored. fetched: (id, attachment_id, data) of parts that the provider keeps apart, as standard base64."""
-    rows = attachments(parsed).join(personal(parsed), "id", "left_semi")
+    rows = attachments(personal(parsed))
     refused = (F.col("size_bytes") > MAX_ATTACHMENT) | F.lower("mime_type").isin(BLOCKED_TYPES)
     if fetched is None:
         rows = rows.withColumn("data", F.lit(None).cast("string"))
     else:
         rows = rows.join(fetched.select("id", "attachment_id", "data"), ["id", "attachment_id"], "left")
-    rows = rows.withColumn("content", F.when(F.col("inline"), binary(F.col("inline_data"))).otherwise(binary(F.col("data"))))
-    status = F.when(refused, "rejected_by_policy").when(F.col("content").isNull(), "unavailable").otherwise("stored")
+    encoded = F.when(F.col("inline"), F.col("inline_data")).otherwise(F.col("data"))
+    status = F.when(refused, "rejected_by_policy").when(F.coalesce(encoded, F.lit("")) == "", "unavailable").otherwise("stored")
     name = S.safe_filename(F.col("filename"))
     place = F.concat(F.lit("crm/"), F.url_encode(F.lit(account)), F.lit("/"), F.url_encode("id"), F.lit("/"), F.url_encode("attachment_id"), F.lit("-"), name)
-    rows = rows.select("id", "attachment_id", "filename", "mime_type", "size_bytes", status.alias("status"), name.alias("stored_name"), place.alias("place"), "content")
-    return rows.withColumns({"storage_key": F.when(F.col("status") == "stored", F.replace("place", F.lit("+"), F.lit("%20"))), "content": F.when(F.col("status") == "stored", F.col("content"))}).drop("place")
+    rows = rows.select("id", "attachment_id", "filename", "mime_type", "size_bytes", status.alias("status"), name.alias("stored_name"), place.alias("place"), encoded.alias("encoded"))
+    kept = F.col("status") == "stored"
+    return rows.withColumns({"storage_key": F.when(kept, F.replace("place", F.lit("+"), F.lit("%20"))), "content": F.when(kept, binary(F.col("encoded")))}).drop("place", "encoded")
 
 
 def attachment_events(stored: DataFrame, account: str) -> DataFrame:
