@@ -29,8 +29,22 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+#: The characters of JS_SPACE.
+JS_SPACES = " \t\n\x0b\f\r\u00a0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def filled(c: Column) -> Column:
+    """`blank_to_null` of what is dear to compute: c is evaluated once."""
+    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
+
+
+def found(c: Column, pattern: str, group: int = 0) -> Column:
+    """The group of the first match, null without one; of groups that cannot be empty. c is evaluated once."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+    return F.btrim(c, F.lit(JS_SPACES))
 
 
 # --- addresses and domains
@@ -38,14 +52,13 @@ def js_trim(c: Column) -> Column:
 
 def extract_address(c: Column) -> Column:
     """The first address inside the first <...>, else in the whole value; lower case; null if none."""
-    inside = F.coalesce(blank_to_null(F.regexp_extract(c, "<([^>]+)>", 1)), c)
-    return F.lower(blank_to_null(F.regexp_extract(inside, r"[^\s<>@]+@[^\s<>@]+", 0)))
+    return F.lower(found(F.coalesce(found(c, "<([^>]+)>", 1), c), r"[^\s<>@]+@[^\s<>@]+"))
 
 
 def display_name(c: Column) -> Column:
     """Text before '<', trimmed, one outer quote stripped at each side; null if empty."""
     before = F.when(F.instr(c, "<") > 1, js_trim(F.substring_index(c, "<", 1)))
-    return blank_to_null(js_trim(F.regexp_replace(before, "^[\"']|[\"']$", "")))
+    return filled(js_trim(F.regexp_replace(before, "^[\"']|[\"']$", "")))
 
 
 def split_recipients(c: Column) -> Column:
@@ -60,7 +73,7 @@ def split_addresses(c: Column) -> Column:
 
 def host_of(c: Column) -> Column:
     """What follows the last @, lower case; null without @ or with nothing after it."""
-    return blank_to_null(F.lower(js_trim(F.regexp_extract(c, "@([^@]*)$", 1))))
+    return filled(F.lower(js_trim(F.regexp_extract(c, "@([^@]*)$", 1))))
 
 
 def registrable_domain(c: Column) -> Column:

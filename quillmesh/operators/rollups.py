@@ -65,8 +65,8 @@ def contact_events(messages: DataFrame) -> DataFrame:
     )
     address = S.extract_address(F.col("p.raw"))
     rows = rows.withColumn("address", F.when(~F.coalesce(address == F.col("own"), F.lit(False)), address))
-    rows = rows.withColumn("__thread", F.coalesce("thread_id", F.concat(F.lit("\x00"), "gmail_message_id")))
-    in_thread = F.col("thread_id").isNotNull()
+    rows = rows.withColumn("__thread", F.coalesce("thread_id", F.concat(F.lit("\x00"), "gmail_message_id"))).withColumn("__in", F.col("thread_id").isNotNull()).drop("thread_id", "gmail_message_id", "own")
+    in_thread = F.col("__in")
     first_from = F.min(F.when((F.col("received") == 1) & F.col("address").isNotNull(), F.col("seq"))).over(W.partitionBy("account", "__thread", "address"))
     first_in = F.min("seq").over(W.partitionBy("account", "__thread"))
     rows = rows.withColumn("first_from", F.when(in_thread, first_from)).withColumn("first_in", F.when(in_thread, first_in))
@@ -108,11 +108,24 @@ def contacts_of(shares: DataFrame) -> DataFrame:
     return out.withColumn("domain", S.host_of(F.col("address")))
 
 
-def domains_rollup(contacts: DataFrame) -> DataFrame:
-    rows = contacts.where("domain IS NOT NULL").groupBy("account", "domain").agg(F.sum(F.col("msgs_received") + F.col("msgs_sent")).alias("msgs"), F.count("*").alias("distinct_contacts"))
+def domains_rollup(contacts: DataFrame, with_correspondents: bool = False) -> DataFrame:
+    """One row per domain; with_correspondents adds how many of its contacts were written to (correspondents)."""
+    also = [F.count_if(F.col("msgs_sent") > 0).alias("correspondents")] if with_correspondents else []
+    rows = contacts.where("domain IS NOT NULL").groupBy("account", "domain").agg(F.sum(F.col("msgs_received") + F.col("msgs_sent")).alias("msgs"), F.count("*").alias("distinct_contacts"), *also)
     return rows.withColumn("registrable_domain", S.registrable_domain(F.col("domain")))
 
 
+def participations(messages: DataFrame) -> DataFrame:
+    """(account, thread_id, address, placed, contact), one scan and a row per message and person: placed if the thread has the person as a participant (threads_rollup), contact if this makes it a contact (contacts_rollup)."""
+    sent = F.col("direction") == "sent"
+    person = lambda raw, other: F.struct(raw.alias("raw"), F.lit(other).alias("other"))
+    recipients = F.transform(F.concat(S.split_recipients(F.col("to_addr")), S.split_recipients(F.col("cc_addr"))), lambda x: person(x, True))
+    people = F.when(sent, F.concat(recipients, F.array(person(F.col("from_addr"), False)))).otherwise(F.array(person(F.col("from_addr"), True)))
+    rows = messages.select("account", F.lower("own").alias("own"), _thread().alias("thread_id"), F.col("direction").isNotNull().alias("known"), F.explode(people).alias("p"))
+    rows = rows.withColumn("address", S.extract_address(F.col("p.raw"))).where(F.col("address").isNotNull() & (~F.col("p.other") | ~F.coalesce(F.col("address") == F.col("own"), F.lit(False))))
+    return rows.select("account", "thread_id", "address", (F.col("known") & F.col("thread_id").isNotNull()).alias("placed"), F.col("p.other").alias("contact"))
+
+
 def threads_rollup(messages: DataFrame) -> DataFrame:
     rows = messages.where(_thread().isNotNull())
     subject = F.when(F.col("subject").isNotNull(), F.struct(F.coalesce("internal_date", F.lit(0)).alias("d"), order_key().alias("seq"), "subject")) if "subject" in messages.columns else F.lit(None)
