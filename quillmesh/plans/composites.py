@@ -67,8 +67,11 @@ def find_person(contacts: DataFrame, hint: str, limit: int = 10) -> DataFrame:
 
 
 def domains_to_categorize(contacts: DataFrame, domains: DataFrame, limit: int = 20) -> DataFrame:
-    counts = contacts.groupBy("account", "domain").agg(F.count_if(F.col("msgs_sent") > 0).alias("correspondents"))
-    return top(domains.where("category IS NULL").join(counts, ["account", "domain"]), limit, F.desc("correspondents"), F.desc("msgs"), F.col("domain"))
+    """domains may have its correspondents (domains_rollup), or they are counted among the contacts."""
+    rows = domains.where("category IS NULL")
+    if "correspondents" not in domains.columns:
+        rows = rows.join(contacts.groupBy("account", "domain").agg(F.count_if(F.col("msgs_sent") > 0).alias("correspondents")), ["account", "domain"])
+    return top(rows, limit, F.desc("correspondents"), F.desc("msgs"), F.col("domain"))
 
 
 def domain_samples(contacts: DataFrame, limit: int = 5) -> DataFrame:

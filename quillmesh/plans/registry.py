@@ -336,7 +336,7 @@ def find_person(spark, sf_dir):
 )
 def domains_to_categorize(spark, sf_dir):
     contacts = _contacts(spark, sf_dir)
-    return C.domains_to_categorize(contacts, R.domains_rollup(contacts).withColumn("category", F.lit(None).cast("string"))).select("account", "domain", "correspondents", "msgs", "rank")
+    return C.domains_to_categorize(contacts, R.domains_rollup(contacts, with_correspondents=True).withColumn("category", F.lit(None).cast("string"))).select("account", "domain", "correspondents", "msgs", "rank")
 
 
 @query("SELECT account, domain, string_agg(address, ',' ORDER BY r) AS samples FROM (SELECT account, domain, address, row_number() OVER (PARTITION BY account, domain ORDER BY msgs_received + msgs_sent DESC, address) AS r FROM contacts) WHERE r <= 5 GROUP BY ALL", FULL)

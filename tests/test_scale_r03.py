@@ -28,3 +28,13 @@ def test_addresses_are_looked_for_once(spark):
     assert [r[1] for r in got] == ["Pat", None, None, None, None, None, None, "a@b,", "Q", "N", None, None]
     assert got[8][3] == "Q <q@r>" and got[3][3] == "x@y"
     assert plan(df.select(S.extract_address(F.col("v")).alias("x"))).count("regexp_extract") == 2
+
+
+def test_domains_bring_their_correspondents(spark):
+    contacts = R.contacts_rollup(mail(spark, random_mail(5)))
+    blank = lambda d: d.withColumn("category", F.lit(None).cast("string"))
+    names = ["account", "domain", "correspondents", "msgs", "rank"]
+    short = C.domains_to_categorize(contacts, blank(R.domains_rollup(contacts, with_correspondents=True))).select(*names)
+    long = C.domains_to_categorize(contacts, blank(R.domains_rollup(contacts))).select(*names)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect())) and short.count()
+    assert "Join" not in plan(short)
