@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import Stage
+from . import rollups as R
 
 
 def members(threads: DataFrame, messages: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -24,6 +25,20 @@ def members(threads: DataFrame, messages: DataFrame, contacts: DataFrame) -> Dat
     return rows.join(contacts.select("account", "address"), ["account", "address"], "left_semi")
 
 
+def members_of(messages: DataFrame, stage: Stage) -> DataFrame:
+    """`members` of the messages' own threads and contacts, as a table of the stage: one pass over the people of messages and one over list messages."""
+    rows = R.participations(messages).groupBy("account", "thread_id", "address").agg(F.max("placed").alias("placed"), F.max("contact").alias("contact"))
+    rows = stage.put("people", rows)
+    lists = messages.where(F.col("is_list")).select("account", "thread_id").distinct()
+    placed = rows.where("placed")
+    rest = placed.where("NOT contact")  # an account's own addresses as a rule: few that differ
+    also = rest.select("account", "address").distinct().join(rows.where("contact").select("account", "address").distinct(), ["account", "address"], "left_semi")
+    found = placed.where("contact").unionByName(rest.join(also, ["account", "address"], "left_semi"))
+    out = stage.put("members", found.join(lists, ["account", "thread_id"], "left_anti").select("account", "thread_id", "address"))
+    stage.drop("people")
+    return out
+
+
 #: Participants of a tile's side; a tile makes at most 2 * TILE * TILE pairs.
 TILE = 256
 

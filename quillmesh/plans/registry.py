@@ -100,8 +100,7 @@ def _curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mailbox(spark, sf_dir)
-    return graph.members(R.threads_rollup(m), m, R.contacts_rollup(m))
+    return graph.members_of(mailbox(spark, sf_dir), Stage(spark, "members"))
 
 
 # --- sources and projections
@@ -385,7 +384,7 @@ def _pagerank_sql() -> str:
 @query(f"SELECT account, address, round(r, 9) AS centrality FROM r{PAGERANK_STEPS}", FULL + "," + _pagerank_sql())
 def graph_pagerank(spark, sf_dir):
     people = _members(spark, sf_dir)
-    return graph.pagerank(people, graph.edges(people), tolerance=0.0, iterations=PAGERANK_STEPS).withColumn("centrality", F.round("centrality", 9))
+    return graph.pagerank(people, Stage(spark, "edges").put("edges", graph.edges(people)), tolerance=0.0, iterations=PAGERANK_STEPS).withColumn("centrality", F.round("centrality", 9))
 
 
 COMMUNITY_ROUNDS = 12

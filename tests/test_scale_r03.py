@@ -38,3 +38,13 @@ def test_domains_bring_their_correspondents(spark):
     long = C.domains_to_categorize(contacts, blank(R.domains_rollup(contacts))).select(*names)
     assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect())) and short.count()
     assert "Join" not in plan(short)
+
+
+def test_members_of_messages_are_members(spark):
+    for seed in range(3):
+        rows = random_mail(seed) + [{"thread_id": "t1", "direction": None, "from_addr": "late@x.com"}, {"thread_id": "t2", "is_list": True, "from_addr": "l@x.com"}, {"thread_id": "t3", "direction": "sent", "from_addr": "alias@me.org", "to_addr": "p1@x.com"}, {"from_addr": "Alias@me.org"}]
+        m = mail(spark, rows)
+        long = graph.members(R.threads_rollup(m), m, R.contacts_rollup(m))
+        found = graph.members_of(m, Stage(spark, "members"))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, long.select(*found.columns).collect()))
+        assert ("a", "t3", "alias@me.org") in map(tuple, found.collect())
