@@ -217,7 +217,7 @@ class SearchIndex(Matcher):
         self.stem = stem
         size = sum((F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN)) for c in self.weights), F.lit(0)).cast("long")
         self.lengths = docs.select("docid", size.alias("len"))
-        self.rows = docs.select("docid", size.alias("len"), F.concat(*map(self._placed, self.weights)).alias("words"))  # len not by words, or these would go along with each word
+        self.docs, self.size = docs, size  # len not by words, or these would go along with each word
 
     @staticmethod
     def _placed(name: str) -> Column:
@@ -226,6 +226,15 @@ class SearchIndex(Matcher):
     def totals(self) -> DataFrame:
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
 
+    def _may_hold(self, whole: set[str], last: set[str]) -> Column:
+        """False only of rows without a wanted word, by a look for what such a word begins with; other rows are not tokenised."""
+        starts = {k if k in last and len(k) < 2 else k[:-1] for k in whole | last} if self.stem else whole | last
+        texts = [F.coalesce(F.col(c), F.lit("")) for c in self.weights]
+        tests = [F.lower(t).contains(s) for t in texts for s in sorted(starts)]
+        if self.stem:
+            tests += [F.octet_length(t) > F.length(t) for t in texts]  # other letters may be folded
+        return reduce(lambda a, b: a | b, tests)
+
     def found(self, keys: list[list[str]], prefix: bool) -> DataFrame:
         last = {words[-1] for words in keys} if prefix else set()
         whole = {k for words in keys for k in (words[:-1] if prefix else words)}
@@ -233,7 +242,8 @@ class SearchIndex(Matcher):
             wanted = lambda w: maybe_stems_to(w["token"], [*((k, False) for k in whole), *((k, True) for k in last)])
         else:
             wanted = lambda w: reduce(lambda a, k: a | w["token"].startswith(k), sorted(last), w["token"].isin(sorted(whole)))
-        rows = self.rows.select("docid", "len", F.explode(F.filter("words", wanted)).alias("w"))
+        rows = self.docs.where(self._may_hold(whole, last)).select("docid", self.size.alias("len"), F.concat(*map(self._placed, self.weights)).alias("words"))
+        rows = rows.select("docid", "len", F.explode(F.filter("words", wanted)).alias("w"))
         rows = rows.select("docid", "len", "w.col", "w.pos", F.col("w.token").alias("stem"))
         if not self.stem:
             return rows
@@ -260,7 +270,11 @@ def with_phrases(messages: DataFrame, phrases: list[str], index: Matcher | None
     """(account, gmail_message_id) of the messages with any phrase, by the index of all messages or, without one, by their own texts."""
     from ..functions.scalars import message_ref
 
-    hits = (index or index_of_messages(messages)).matching(phrases, prefix)
+    if index is None:  # postings that keep the message's key need no join to find it
+        docs = message_docs(messages, "account", "gmail_message_id").withColumn("docid", F.struct("account", "gmail_message_id"))
+        named = any(phrase_tokens(p) for p in phrases)
+        return SearchIndex(docs).matching(phrases, prefix).select("docid.*") if named else docs.select("docid.*").limit(0)
+    hits = index.matching(phrases, prefix)
     return messages.select("account", "gmail_message_id", message_ref(F.col("account"), F.col("gmail_message_id")).alias("docid")).join(hits, "docid", "left_semi").drop("docid")
 
 

@@ -48,3 +48,12 @@ def test_members_of_messages_are_members(spark):
         found = graph.members_of(m, Stage(spark, "members"))
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, long.select(*found.columns).collect()))
         assert ("a", "t3", "alias@me.org") in map(tuple, found.collect())
+
+
+def test_phrases_without_an_index_are_found_without_a_join(spark):
+    m = mail(spark, [{"subject": "The Ernting of it"}, {"subject": "ernting the"}, {"subject": "an érnting"}, {"subject": None, "from_addr": "Onths <o@x.com>"}])
+    m = m.withColumns({c: F.lit(None).cast("string") for c in ("snippet", "body_text", "summary_text") if c not in m.columns})
+    found = search.with_phrases(m, ["The Ernting", "onths"])
+    assert sorted(r["gmail_message_id"] for r in found.collect()) == ["m000", "m003"] and "Join" not in plan(found)
+    assert [r["gmail_message_id"] for r in search.with_phrases(m, ["erntings"]).orderBy("gmail_message_id").collect()] == ["m000", "m001", "m002"]
+    assert search.with_phrases(m, ["", "--"]).columns == ["account", "gmail_message_id"] and not search.with_phrases(m, [""]).count()
