@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import blank_to_null
 from ..operators import rollups as R
 from ..operators.messages import upsert
+from ..session import Stage
 from .ingest import VersionedTable
 
 
@@ -38,18 +39,20 @@ class KeptRollups:
 
     def apply(self, batch: DataFrame) -> dict[str, list[str]]:
         """Take in a batch (a message once); the parts of each table that were written."""
-        batch = batch.withColumn("thread", thread_key())
+        stage = Stage(batch.sparkSession, "batch")  # what is read more than once is made once
+        batch = stage.put("batch", batch.withColumn("thread", thread_key()))
         parts = _parts(self.mail, batch)
         if not parts:
+            stage.drop("batch")
             return {}
-        touched = batch.select("account", "thread").distinct()
+        touched = stage.put("touched", batch.select("account", "thread").distinct())
         before = self.mail.read(parts)
         held = batch.limit(0) if before is None else before
         gone = R.contact_shares(held.join(touched, ["account", "thread"], "left_semi")).select("account", "address").distinct()
         former = _parts(self.shares, gone)  # known before the mail changes
         self.mail.write(upsert(held, batch.withColumn("batch", F.lit(0))), parts)
         ours = self.mail.read(parts).join(touched, ["account", "thread"], "left_semi")
-        fresh = R.contact_shares(ours)
+        fresh = stage.put("fresh", R.contact_shares(ours))
         sides = sorted(set(former) | set(_parts(self.shares, fresh)))
         if sides:
             self.shares.write(_replaced(self.shares.read(sides), fresh, touched), sides)
@@ -58,6 +61,7 @@ class KeptRollups:
         named = touched.withColumnRenamed("thread", "thread_id")
         rolled = R.threads_rollup(ours)
         self.threads.write(_replaced(self.threads.read(thread_parts := _parts(self.threads, named)), rolled, named), thread_parts)
+        stage.drop("batch", "touched", "fresh")
         return {"mail": parts, "shares": sides, "contacts": sides, "threads": thread_parts}
 
 

@@ -30,16 +30,6 @@ def test_addresses_are_looked_for_once(spark):
     assert plan(df.select(S.extract_address(F.col("v")).alias("x"))).count("regexp_extract") == 2
 
 
-def test_domains_bring_their_correspondents(spark):
-    contacts = R.contacts_rollup(mail(spark, random_mail(5)))
-    blank = lambda d: d.withColumn("category", F.lit(None).cast("string"))
-    names = ["account", "domain", "correspondents", "msgs", "rank"]
-    short = C.domains_to_categorize(contacts, blank(R.domains_rollup(contacts, with_correspondents=True))).select(*names)
-    long = C.domains_to_categorize(contacts, blank(R.domains_rollup(contacts))).select(*names)
-    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect())) and short.count()
-    assert "Join" not in plan(short)
-
-
 def test_members_of_messages_are_members(spark):
     for seed in range(3):
         rows = random_mail(seed) + [{"thread_id": "t1", "direction": None, "from_addr": "late@x.com"}, {"thread_id": "t2", "is_list": True, "from_addr": "l@x.com"}, {"thread_id": "t3", "direction": "sent", "from_addr": "alias@me.org", "to_addr": "p1@x.com"}, {"from_addr": "Alias@me.org"}]
@@ -50,6 +40,16 @@ def test_members_of_messages_are_members(spark):
         assert ("a", "t3", "alias@me.org") in map(tuple, found.collect())
 
 
+def test_domains_bring_their_correspondents(spark):
+    contacts = R.contacts_rollup(mail(spark, random_mail(5)))
+    blank = lambda d: d.withColumn("category", F.lit(None).cast("string"))
+    names = ["account", "domain", "correspondents", "msgs", "rank"]
+    short = C.domains_to_categorize(contacts, blank(R.domains_rollup(contacts, with_correspondents=True))).select(*names)
+    long = C.domains_to_categorize(contacts, blank(R.domains_rollup(contacts))).select(*names)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect())) and short.count()
+    assert "Join" not in plan(short)
+
+
 def test_phrases_without_an_index_are_found_without_a_join(spark):
     m = mail(spark, [{"subject": "The Ernting of it"}, {"subject": "ernting the"}, {"subject": "an érnting"}, {"subject": None, "from_addr": "Onths <o@x.com>"}])
     m = m.withColumns({c: F.lit(None).cast("string") for c in ("snippet", "body_text", "summary_text") if c not in m.columns})
@@ -57,3 +57,15 @@ def test_phrases_without_an_index_are_found_without_a_join(spark):
     assert sorted(r["gmail_message_id"] for r in found.collect()) == ["m000", "m003"] and "Join" not in plan(found)
     assert [r["gmail_message_id"] for r in search.with_phrases(m, ["erntings"]).orderBy("gmail_message_id").collect()] == ["m000", "m001", "m002"]
     assert search.with_phrases(m, ["", "--"]).columns == ["account", "gmail_message_id"] and not search.with_phrases(m, [""]).count()
+
+
+def test_a_kept_batch_is_computed_once(spark):
+    m, seen = mail(spark, random_mail(7)), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    KeptRollups(spark, Stage(spark, "kept").root, parts=2).apply(m.mapInArrow(count, m.schema))
+    assert seen.value == m.count()
