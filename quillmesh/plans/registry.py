@@ -88,12 +88,18 @@ def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mailbox(spark, sf_dir)
+    return _scored_of(mailbox(spark, sf_dir))
+
+
+def _scored_of(m: DataFrame) -> DataFrame:
     return scoring.score_contacts(R.contacts_rollup(m, with_bulk=True), None, NOW_MS)
 
 
 def _curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    scored = _scored(spark, sf_dir)
+    return _curated_of(_scored(spark, sf_dir))
+
+
+def _curated_of(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     score = F.col("engagement_score")
     domains = R.domains_rollup(scored).withColumn("curation", F.when(F.col("distinct_contacts") % 7 == 0, "important"))
     return scored.withColumn("curation", F.when(score >= 3.0, "important").when(score <= -0.5, "muted")), domains
@@ -516,15 +522,16 @@ def feed_kept(spark, sf_dir):
 )
 def rule_firings(spark, sf_dir):
     """Rules over a stream of all messages, in which each of one part comes twice: a message fires a rule once."""
-    contacts, domains = _curated(spark, sf_dir)
     folder = shared_folder(spark, "firings")
-    m = mailbox(spark, sf_dir)
-    for name, rows in (("all", m), ("again", m.where("key % 10 < 3"))):
-        rows.write.parquet(f"{folder}/in/{name}")
+    mailbox(spark, sf_dir).write.parquet(f"{folder}/in/all")
+    m = spark.read.parquet(f"{folder}/in/all")
+    m.where("key % 10 < 3").write.parquet(f"{folder}/in/again")
     stream = spark.readStream.schema(m.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
     rules = {"frequent": {"conditions": [("correspondent", True), ("is_list", False)]}, "starred": {"conditions": [("label", "STARRED")]}}
     stage = Stage(spark, "curated")
+    contacts, domains = _curated_of(stage.put("scored", _scored_of(m)))
     curated = stage.put("contacts", contacts), stage.put("domains", domains)
+    stage.drop("scored")
     kept = KeptFeed(spark, f"{folder}/feed")
     kept.follow(kept_feed.firing_events(kept_feed.firings(stream, rules, *curated)), f"{folder}/checkpoint").awaitTermination()
     stage.drop("contacts", "domains")
