@@ -264,3 +264,22 @@ def test_suffix_dedup_ids_and_long_texts(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup_digest(docs).collect() if r["doc_id"] is not None)
     assert got == sorted((False, texts[i][0], *x) for i, x in wanted.items() if texts[i][0] is not None)
     assert sorted(r["n_removed"] for r in suffix_dedup_digest(docs).where("doc_id IS NULL").collect()) == [0, 500]
+
+
+@pytest.mark.parametrize(("remembered", "tasks"), [(0, 4), (500_000, 1)])
+def test_passages_of_over_50_words_are_marked(spark, monkeypatch, remembered, tasks):
+    """51 words that another document holds too, though shorter than 400 bytes, in front, inside and behind; not 50 words, nor a text's own repetitions."""
+    import quillmesh.llm.suffix_dedup as S
+
+    monkeypatch.setattr(S, "REMEMBERED", remembered)
+    rng = random.Random(11)
+    draw = lambda n: [rng.choice("abcdefghijklmnop") + str(rng.randrange(100)) for _ in range(n)]
+    around = lambda words, at=20: [*draw(at), *words, *draw(17)]
+    a, b, c, d, own = draw(51), draw(51), draw(50), draw(90), draw(60)
+    texts = [" ".join(x) for x in (around(a), around(a, 0), a, around(c), around(c), own + draw(3) + own, draw(80), d[:70], d[19:], ["x"] * 200, around(["y"] * 60), around(["y"] * 55), *(around(b, i) for i in range(6)), draw(52), draw(50))]
+    texts += [copy := " ".join(draw(51)), copy, None, "", " ".join(a).replace(" ", "\n\t "), "é " * 50 + "é"]
+    windows = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in (re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts)]
+    marked = [any(w & v for j, v in enumerate(windows) if j != i) for i, w in enumerate(windows)]
+    got = {r["doc_id"]: (r["shares_passage"], r["n_removed"]) for r in suffix_dedup_digest(frame(spark, list(enumerate(texts))).coalesce(tasks)).collect()}
+    assert {i: x for i, (x, _) in got.items()} == dict(enumerate(marked))
+    assert marked[:6] == [True, True, True, False, False, False] and got[0][1] == got[2][1] == 0
