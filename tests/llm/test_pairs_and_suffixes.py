@@ -283,3 +283,33 @@ def test_passages_of_over_50_words_are_marked(spark, monkeypatch, remembered, ta
     got = {r["doc_id"]: (r["shares_passage"], r["n_removed"]) for r in suffix_dedup_digest(frame(spark, list(enumerate(texts))).coalesce(tasks)).collect()}
     assert {i: x for i, (x, _) in got.items()} == dict(enumerate(marked))
     assert marked[:6] == [True, True, True, False, False, False] and got[0][1] == got[2][1] == 0
+
+
+def test_no_text_of_suffix_dedup_is_shuffled(spark, monkeypatch):
+    """Also where nothing is small enough to be broadcast by itself; cut in several passes the result stays."""
+    import quillmesh.llm.suffix_dedup as S
+
+    texts, plans, real = suffix_texts(4, "abcdef"), [], S.Scratch.put
+    explain = lambda df: spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    monkeypatch.setattr(S.Scratch, "put", lambda self, df, name: plans.append(explain(df)) or real(self, df, name))
+    monkeypatch.setattr(S, "RUNS", 3, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = suffix_dedup_digest(frame(spark, texts))
+        plans.append(explain(out))
+        got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == brute_cut(texts)
+    shuffles = [part for plan in plans for part in plan.split("\n\n") if ") Exchange\n" in part]
+    assert shuffles and not [s for s in shuffles if "text#" in s]
+
+
+def test_a_filter_loses_no_hash(spark):
+    from quillmesh.llm import sketch
+    from quillmesh.llm.hashing import mixed
+
+    own, others = mixed(np.arange(50_000, dtype=np.uint64)), mixed(np.arange(50_000, 150_000, dtype=np.uint64))
+    bits = sketch.filter_of(spark.createDataFrame([(int(x),) for x in own.astype(np.int64)], "h long"), len(own))
+    assert len(bits) == 1 << 17 and sketch.passes(bits, own).all() and 0 < sketch.passes(bits, others).mean() < 0.02
+    assert not sketch.passes(sketch.filter_of(spark.createDataFrame([], "h long"), 0), others).any()
